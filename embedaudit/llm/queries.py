@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
-from .storage import documents
+from . import exact_dedup, mixing
+from .storage import documents, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -41,3 +42,39 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_s
 FROM t JOIN g USING (text_sha256)""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), keep="max")
+
+
+# quality weights for the mix: labelled good documents come earlier, labelled bad ones later
+_QUALITY = "1.0 + coalesce(q, 0.5)"
+
+
+@_register("op8_mixing_targets", r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix'), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)
+      / (1.0::DOUBLE + coalesce(q, 0.5::DOUBLE)) AS k
+  FROM documents LEFT JOIN (SELECT doc_id AS i, avg(quality)::DOUBLE AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id) ON doc_id = i),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT arg_min(level, cap / w) AS level FROM l WHERE cap / w >= level),
+t AS (SELECT source, source_size, CASE WHEN cap / w >= f.level THEN w * f.level ELSE cap END AS target FROM l, f),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+    CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, CAST(whole + CASE WHEN size > 0 AND before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END AS INTEGER) AS repeats FROM p)
+SELECT doc_id, size, source_size, target, repeats, CAST(repeats * size AS BIGINT) AS taken FROM r""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # sizes first: no text goes through a join or a window
+    sized = written(documents(spark, sf_dir).select("doc_id", "source", mixing.words(F.col("text")).alias("words")), "sizes")
+    mix = mixing.mixed(with_quality(sized, sf_dir), size=F.col("words"), quality=F.expr(_QUALITY))
+    return mix.select("doc_id", "size", "source_size", "target", "repeats", "taken")
+
+
+def with_quality(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the mean of their quality labels as ``q``, null where there is none."""
+    labels = documents(docs.sparkSession, sf_dir, "labels").filter("doc_id IS NOT NULL")
+    marks = labels.groupBy(F.col("doc_id").alias("__labelled")).agg(F.avg("quality").alias("q"))
+    return docs.join(marks, docs["doc_id"] == marks["__labelled"], "left").drop("__labelled")
