@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing
 from .storage import documents, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,14 @@ def with_quality(docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = documents(docs.sparkSession, sf_dir, "labels").filter("doc_id IS NOT NULL")
     marks = labels.groupBy(F.col("doc_id").alias("__labelled")).agg(F.avg("quality").alias("q"))
     return docs.join(marks, docs["doc_id"] == marks["__labelled"], "left").drop("__labelled")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_register("op1_best_fit_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(spark, sf_dir), tokenizer_path())
