@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, media, mixing, packing
 from .storage import documents, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @_register("op1_best_fit_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), tokenizer_path())
+
+
+@_register("op9_media_columns")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.feature_text(media.media_columns(media.store_texts(documents(spark, sf_dir))))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
