@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, packing
+from . import exact_dedup, media, mixing, packing, pii
 from .storage import documents, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.feature_text(media.media_columns(media.store_texts(documents(spark, sf_dir))))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+@_register("op4_pii_surrogates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.with_surrogates(documents(spark, sf_dir).select("doc_id", "text"), key="corpus")
+    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_entities"), pii.entity_counts().alias("entities"), "pii")
