@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, packing, pii
+from . import exact_dedup, media, mixing, packing, pii, toxicity
 from .storage import documents, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.with_surrogates(documents(spark, sf_dir).select("doc_id", "text"), key="corpus")
     return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_entities"), pii.entity_counts().alias("entities"), "pii")
+
+
+def remainder(modulus: int) -> Column:
+    """crc32 of the id as text, modulo."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+@_register("op7_toxicity_mil")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, remainder(5) != 0)
+    scores = toxicity.with_toxicity(docs.select("doc_id", "text"), model)
+    return scores.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
