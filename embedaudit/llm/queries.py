@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, packing, pii, toxicity
+from . import exact_dedup, media, mixing, packing, pii, quality, toxicity
 from .storage import documents, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, labels, remainder(5) != 0)
     scores = toxicity.with_toxicity(docs.select("doc_id", "text"), model)
     return scores.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
+@_register("op10_quality_bytenet")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    net = quality.train(docs, labels, remainder(5) != 0)
+    scores = quality.with_quality(docs.select("doc_id", "text"), net)
+    return scores.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
