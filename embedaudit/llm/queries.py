@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, packing, pii, quality, repeats, toxicity
+from . import exact_dedup, media, mixing, packing, pii, ppm, quality, repeats, toxicity
 from .storage import documents, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.repeated_spans(documents(spark, sf_dir))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_register("op3_ppm_scoring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scores(documents(spark, sf_dir))
