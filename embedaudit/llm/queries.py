@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, packing, pii, ppm, quality, repeats, toxicity
+from . import exact_dedup, media, mixing, near_dedup, packing, pii, ppm, quality, repeats, toxicity
 from .storage import documents, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op3_ppm_scoring")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(documents(spark, sf_dir))
+
+
+@_register("op5_minhash_icws")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(documents(spark, sf_dir))
