@@ -45,7 +45,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # quality weights for the mix: labelled good documents come earlier, labelled bad ones later
-_QUALITY = "1.0 + coalesce(q, 0.5)"
+QUALITY = "1.0 + coalesce(q, 0.5)"
 
 
 @_register("op8_mixing_targets", r"""
@@ -69,7 +69,7 @@ SELECT doc_id, size, source_size, target, repeats, CAST(repeats * size AS BIGINT
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     # sizes first: no text goes through a join or a window
     sized = written(documents(spark, sf_dir).select("doc_id", "source", mixing.words(F.col("text")).alias("words")), "sizes")
-    mix = mixing.mixed(with_quality(sized, sf_dir), size=F.col("words"), quality=F.expr(_QUALITY))
+    mix = mixing.mixed(with_quality(sized, sf_dir), size=F.col("words"), quality=F.expr(QUALITY))
     return mix.select("doc_id", "size", "source_size", "target", "repeats", "taken")
 
 
