@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .storage import written
 
 #: Bytes of text in a block (one text may be longer), and of text for each bucket of keys.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 _ASK = "block long, bucket int, ask binary"
 
 

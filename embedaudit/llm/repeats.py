@@ -29,9 +29,11 @@ from .bytewords import Rolling, chunks, mix
 LENGTH, GRAM = 200, 32
 #: A long text's windows are taken so many at a time.
 PIECE = 1 << 18
+#: Bytes of text for each bucket of runs.
+RUN_BUCKET_BYTES = 32 << 20
 _PLACE = 20  # bits for the place of a gram in a piece; its fingerprint's leading bits stand before them
 #: Answers: settled and alone; repeated; repeated, and one of its kind for others; open.
-ALONE, REPEATED, SHOWN, OPEN = range(4)
+ALONE, REPEATED, SHOWN, OPEN = range(4)  # windows of the last two are compared
 
 
 class Runs(NamedTuple):
@@ -132,20 +134,18 @@ def _answer_runs(asks: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
     return [(x,) for x in np.split(code, np.cumsum(sizes)[:-1])]
 
 
-def _codes(texts: list[bytes], answers: pd.DataFrame) -> tuple[Runs, np.ndarray, list]:
-    """The block's runs, the answer to each, and its pieces with all windows' fingerprints."""
-    parts = list(runs(texts, windows=True))
-    found = _joined([p[0] for p in parts])
+def _codes(texts: list[bytes], answers: pd.DataFrame) -> tuple[Runs, np.ndarray]:
+    """The block's runs and the answer to each."""
+    found = _joined(list(runs(texts)))
     _, _, _, place = _distinct(found.gram, found.string)
-    code = B.told(answers, 1)[0][place] if len(place) else np.zeros(0, np.uint8)
-    return found, code, parts
+    return found, B.told(answers, 1)[0][place] if len(place) else np.zeros(0, np.uint8)
 
 
-def _open_windows(found: Runs, code: np.ndarray, parts: list, wanted: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the windows of the wanted runs, and the run of each. A run shown for others counts as two."""
+def _open_windows(texts: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the windows of open and shown runs, and the run of each, piece by piece."""
     prints, owner, start = [], [], 0
-    for part, windows, starts in parts:
-        mine = np.flatnonzero(np.isin(code[start : start + len(starts)], wanted))
+    for part, windows, starts in runs(texts, windows=True):
+        mine = np.flatnonzero(code[start : start + len(starts)] >= SHOWN)
         count = part.count[mine]
         at = np.repeat(starts[mine] - np.cumsum(count) + count, count) + np.arange(count.sum())
         prints.append(windows[at])
@@ -163,12 +163,12 @@ def _answer_windows(asks: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]
 
 def _marked(texts: list[bytes], runs_told: pd.DataFrame, windows_told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """All repeated windows of a block: their texts and first bytes."""
-    found, code, parts = _codes(texts, runs_told)
+    found, code = _codes(texts, runs_told)
     whole = np.flatnonzero((code == REPEATED) | (code == SHOWN))
     count = found.count[whole]
     text = [np.repeat(found.text[whole], count)]
     first = [np.repeat(found.first[whole] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-    prints, owner = _open_windows(found, code, parts, (OPEN, SHOWN))
+    prints, owner = _open_windows(texts, code)
     if len(prints):
         keys, place = np.unique(prints, return_inverse=True)
         yes = B.told(windows_told, 1)[0][place].astype(bool) & (code[owner] == OPEN)
@@ -204,12 +204,13 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives no rows. Columns other than id and text are not read.
     """
     blocks = B.stored(df, id_col, text_col)
-    buckets = B.bucket_count(blocks)
-    first = B.written(B.answered(B.asked(blocks, buckets, _ask_runs), _answer_runs), "runs")
+    # runs are some 85 bytes apart, so a bucket of them stands for more text than one of windows
+    few, buckets = B.bucket_count(blocks, RUN_BUCKET_BYTES), B.bucket_count(blocks)
+    first = B.written(B.answered(B.asked(blocks, few, _ask_runs), _answer_runs), "runs")
 
     def ask_windows(block, texts, answers, _ids):
-        found, code, parts = _codes(texts, answers)
-        prints, owner = _open_windows(found, code, parts, (OPEN, SHOWN))
+        _, code = _codes(texts, answers)
+        prints, owner = _open_windows(texts, code)
         keys, place = np.unique(prints, return_inverse=True)
         # one window of a shown run stands for the two or more it has
         count = np.bincount(place, 1 + (code[owner] == SHOWN), len(keys))
@@ -217,11 +218,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     second = B.answered(B.with_answers(blocks, first, ask_windows, B._ASK), _answer_windows)
     # the windows' answers follow the runs' in one table
-    both = first.unionAll(second.selectExpr("block", f"bucket + {buckets} AS bucket", "ask"))
+    both = first.unionAll(second.selectExpr("block", f"bucket + {few} AS bucket", "ask"))
     kind = df.schema[id_col].dataType.simpleString()
 
     def result(_block, texts, answers, ids):
-        later = answers["bucket"] >= buckets
+        later = answers["bucket"] >= few
         text, start = _marked(texts, answers[~later], answers[later])
         rows = []
         for data, found in zip(texts, spans(texts, text, start), strict=True):
