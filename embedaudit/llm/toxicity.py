@@ -69,26 +69,31 @@ def fit(texts: list[bytes], labels: np.ndarray, passes: int = 120, rate: float =
 
     Only features that toxic documents have more often than others, by ``z_least`` standard errors, get a weight.
     """
-    parts = [sentences(texts[a:b]) for a, b in bytewords.chunks(texts, 1 << 20)]
-    offset_s, offset_d, features, sentence, text = 0, 0, [], [], []
-    for (f, s, t, _), (a, b) in zip(parts, bytewords.chunks(texts, 1 << 20), strict=True):
-        features.append(f)
-        sentence.append(s + offset_s)
-        text.append(t + offset_d)
-        offset_s, offset_d = offset_s + len(t), offset_d + b - a
-    features, sentence, text = map(np.concatenate, (features, sentence, text))
     weights, bias, y = np.zeros(DIMENSION), -4.0, labels.astype(bool)
-    pairs = np.unique(np.repeat(text[sentence], features.shape[1]) * DIMENSION + features.ravel())
-    with_it = np.stack([np.bincount(pairs[y[pairs // DIMENSION] == v] % DIMENSION, minlength=DIMENSION) for v in (False, True)])
+    # which features a document has; chunks hold whole documents
+    with_it = np.zeros((2, DIMENSION))
+    for a, b in bytewords.chunks(texts):
+        features, sentence, text, _ = sentences(texts[a:b])
+        pairs = np.unique((text[sentence] * DIMENSION)[:, None] + features)
+        for side in (0, 1):
+            with_it[side] += np.bincount(pairs[y[a + pairs // DIMENSION] == side] % DIMENSION, minlength=DIMENSION)
     n = np.maximum(np.array([(~y).sum(), y.sum()]), 1)
     rates, both = with_it / n[:, None], with_it.sum(0) / n.sum()
     z_score = (rates[1] - rates[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n).sum())
     used = np.flatnonzero((z_score > z_least) & (np.arange(DIMENSION) > 0))
     slot = np.zeros(DIMENSION, np.int64)  # 0: a feature without weight
     slot[used] = np.arange(1, len(used) + 1)
-    at = slot[features]
-    some = np.flatnonzero(at)
-    feature, owner = at.ravel()[some], np.repeat(sentence, features.shape[1])[some]
+    # of the rest only what has a weight is kept
+    feature, owner, text, first = [], [], [], 0
+    for a, b in bytewords.chunks(texts):
+        features, sentence, mine, _ = sentences(texts[a:b])
+        at = slot[features]
+        row, column = np.nonzero(at)
+        feature.append(at[row, column])
+        owner.append(sentence[row] + first)
+        text.append(mine + a)
+        first += len(mine)
+    feature, owner, text = map(np.concatenate, (feature, owner, text))
     w, m, v, mb, vb = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1), 0.0, 0.0
     for k in range(1, passes + 1):
         z = bias + np.bincount(owner, w[feature], len(text))
