@@ -22,13 +22,21 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Imports the modules whose queries are registered."""
+    from . import cells, tables  # noqa: F401
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
     return _QUERIES["cohort_cells"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
