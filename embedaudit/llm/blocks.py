@@ -34,7 +34,7 @@ def squeezed(*arrays: np.ndarray) -> bytes:
         x = np.ascontiguousarray(x)
         delta = x.dtype == np.uint64 and len(x) > 1 and bool((x[1:] >= x[:-1]).all())
         y = np.diff(x, prepend=x.dtype.type(0)) if delta else x
-        planes = np.ascontiguousarray(y.view(np.uint8).reshape(len(y), -1).T).tobytes()
+        planes = np.ascontiguousarray(y.view(np.uint8).reshape(len(y), x.dtype.itemsize).T).tobytes()
         out.append(f"{x.dtype.str} {len(x)} {int(delta)}\n".encode() + planes)
     return zstandard.compress(b"".join(out), 1)
 
