@@ -29,8 +29,8 @@ from .bytewords import Rolling, chunks, mix
 LENGTH, GRAM = 200, 32
 #: A long text's windows are taken so many at a time.
 PIECE = 1 << 18
-#: Bytes of text for each bucket of runs.
-RUN_BUCKET_BYTES = 32 << 20
+#: Bytes of text in a block, and for each bucket of runs.
+BLOCK_BYTES, RUN_BUCKET_BYTES = 2 << 20, 32 << 20
 _PLACE = 20  # bits for the place of a gram in a piece; its fingerprint's leading bits stand before them
 #: Answers: settled and alone; repeated; repeated, and one of its kind for others; open.
 ALONE, REPEATED, SHOWN, OPEN = range(4)  # windows of the last two are compared
@@ -203,7 +203,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their own, and copies of each other. Matches never cross documents; all strings are judged on the input. An empty
     table gives no rows. Columns other than id and text are not read.
     """
-    blocks = B.stored(df, id_col, text_col)
+    blocks = B.stored(df, id_col, text_col, BLOCK_BYTES)
     # runs are some 85 bytes apart, so a bucket of them stands for more text than one of windows
     few, buckets = B.bucket_count(blocks, RUN_BUCKET_BYTES), B.bucket_count(blocks)
     first = B.written(B.answered(B.asked(blocks, few, _ask_runs), _answer_runs), "runs")
