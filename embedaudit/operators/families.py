@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,3 +180,48 @@ def cliffs_delta(u: Column, n_a: Column, n_b: Column) -> Column:
 def cliffs_label(delta: Column) -> Column:
     d = F.abs(delta)
     return F.when(d < 0.147, "negligible").when(d < 0.33, "small").when(d < 0.474, "medium").when(d.isNotNull(), "large")
+
+
+def family_condition_test(df: DataFrame, model: str, family_of: dict[str, str], a: str, b: str, condition: str, value: str, metric: str, least: int = 10, alpha: float = 0.05) -> DataFrame:
+    """One condition's similarities pooled by model family and compared: the two-sample test with what it shows.
+
+    ``observed`` is ``<a>_higher``, ``<b>_higher`` or ``no_difference``; below ``least`` values the row is skipped.
+    """
+    from .cells import two_sample_test
+
+    pairs = [F.lit(x) for item in family_of.items() for x in item]
+    rows = df.filter(F.col(condition) == value).withColumn("family", F.element_at(F.create_map(*pairs), F.col(model))).filter(F.col("family").isin(a, b))
+    t = two_sample_test(rows, [condition], metric, F.col("family") == a, least)
+    seen = F.when(F.col("p_value") >= alpha, "no_difference").when(F.col("mean_a") > F.col("mean_b"), f"{a}_higher").otherwise(f"{b}_higher")
+    return t.withColumn("observed", F.when(~F.col("skipped"), seen))
+
+
+def _range_tail(q: float, k: int, dof: float) -> float:
+    """P(studentised range of k means > q) by quadrature over the scale's and the least mean's distribution."""
+    z = np.linspace(-8, 8, 801)
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    phi = lambda x: 0.5 * np.vectorize(math.erfc)(-x / math.sqrt(2))
+    low = phi(z)
+    grid = np.linspace(0, max(q * 3, 30), 400)
+    inner = np.array([k * np.trapezoid(density * np.maximum(phi(z + w) - low, 0) ** (k - 1), z) for w in grid])
+    s = np.linspace(1e-3, 3.5, 700)
+    log_s = dof / 2 * math.log(dof) - math.lgamma(dof / 2) - (dof / 2 - 1) * math.log(2) + (dof - 1) * np.log(s) - dof * s * s / 2
+    return float(min(1.0, max(0.0, 1 - np.trapezoid(np.exp(log_s) * np.interp(q * s, grid, inner), s))))
+
+
+def tukey_hsd(df: DataFrame, group: str, metric: str, alpha: float = 0.05) -> DataFrame:
+    """Pairs of groups a < b: difference of means, p of the studentised range (Tukey-Kramer) and rejection."""
+    g = group_stats(df, [group], metric)
+    every = Window.partitionBy()
+    g = g.withColumn("k", F.count("*").over(every)).withColumn("dof", (F.sum("n").over(every) - F.col("k")).cast("double")).withColumn("mse", F.sum("ss").over(every) / F.nullif(F.col("dof"), F.lit(0.0)))
+    a = g.select(F.col(group).alias("group_a"), F.col("mean").alias("m_a"), F.col("n").alias("n_a"), "k", "dof", "mse")
+    b = g.select(F.col(group).alias("group_b"), F.col("mean").alias("m_b"), F.col("n").alias("n_b"))
+    pairs = a.join(b, F.col("group_a") < F.col("group_b")).withColumn("difference", F.col("m_b") - F.col("m_a"))
+    pairs = pairs.withColumn("q", F.abs("difference") / F.nullif(F.sqrt(F.col("mse") / 2 * (1 / F.col("n_a") + 1 / F.col("n_b"))), F.lit(0.0)))
+
+    @F.pandas_udf("double")
+    def tail(q: pd.Series, k: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([_range_tail(x, int(n), d) if x == x and x is not None and d > 0 else None for x, n, d in zip(q, k, dof, strict=True)], dtype="float64")
+
+    p = F.nanvl(tail("q", "k", "dof"), F.lit(None).cast("double"))
+    return pairs.select("group_a", "group_b", "difference", "q", p.alias("p_value")).withColumn("reject", F.col("p_value") < alpha)

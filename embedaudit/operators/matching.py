@@ -70,3 +70,17 @@ def match_manifest(cases: DataFrame, pairs: DataFrame, assigned: DataFrame) -> D
     chosen = assigned.join(pairs, ["case_id", "candidate_id"]).select("case_id", "candidate_id", "tier", "age_delta", "score")
     joined = cases.select("case_id", "site", "sex", "age", "diagnosis").join(chosen, "case_id", "left")
     return joined.withColumn("status", F.when(F.col("candidate_id").isNotNull(), "MATCHED").otherwise("NO_MATCH"))
+
+
+def match_series(cases: DataFrame, series: DataFrame) -> DataFrame:
+    """The best series of each case: sexes must agree where the series has one; the score is that of candidates.
+
+    The join is on sex or its absence, so that it stays an equality: each series with a sex meets the cases of that
+    sex, one without meets all.
+    """
+    code = F.when(F.upper(F.col("sex")).startswith("M"), "male").when(F.upper(F.col("sex")).startswith("F"), "female")
+    years = F.rtrim(F.trim("age"), F.lit("Y")).try_cast("double")
+    s = series.select("series_id", code.alias("series_sex"), years.alias("age"), "diagnosis").withColumn("meets", F.when(F.col("series_sex").isNull(), "any").otherwise(F.col("series_sex")))
+    c = cases.select("case_id", F.col("age").cast("double").alias("case_age"), F.col("diagnosis").alias("case_diagnosis"), F.explode(F.array(F.lit("any"), F.coalesce("sex", F.lit("unknown")))).alias("meets"))
+    best = scored(c.join(s, "meets")).groupBy("case_id").agg(F.min(F.struct("score", "series_id")).alias("b"))
+    return best.select("case_id", "b.series_id", "b.score")
