@@ -52,7 +52,7 @@ def unsqueezed(value: bytes) -> list[np.ndarray]:
 
 
 def pack_texts(texts: list[bytes]) -> bytes:
-    return zstandard.compress(b"".join([np.array([len(texts), *map(len, texts)], np.int64).tobytes(), *texts]), 3)
+    return zstandard.compress(b"".join([np.array([len(texts), *map(len, texts)], np.int64).tobytes(), *texts]), 6)
 
 
 def unpack_texts(value: bytes) -> list[bytes]:
