@@ -20,7 +20,7 @@ from .storage import written
 
 #: Characters of a text that are part of the range key; with the hash they bound what splitters bring to the driver.
 PREFIX_CHARS = 24
-_LEAD, _HASH, _SHA, _HEAD, _ROW = "__lead", "__hash", "__sha256", "__head", "__row"
+_LEAD, _HASH, _SHA, _HEAD, _ROW, _PART = "__lead", "__hash", "__sha256", "__head", "__row", "__part"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -61,10 +61,13 @@ def content_sorted(df: DataFrame, id_col: str, text_col: str, keep: str, columns
 
 
 def _keepers(rows: DataFrame, id_col: str, keep: str) -> DataFrame:
-    """For each text: rows, and the row that stays (the id to keep, then the first row; null ids last)."""
+    """For each run (``__part``, digest): the rows of its text in all runs, and the one that stays (the id to keep, then
+    the first row; null ids last). A text with many rows has a run in each of many partitions, none larger than one."""
     wanted = F.col(id_col) if keep == "min" else -F.col(id_col)
     best = F.min(F.struct(F.col(id_col).isNull().alias("a"), wanted.alias("b"), F.col(_ROW).alias("r")))
-    return rows.groupBy(_SHA).agg(F.count(F.lit(1)).alias("group_size"), best.alias("__best"))
+    runs = rows.groupBy(_PART, _SHA).agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
+    texts = runs.groupBy(_SHA).agg(F.sum("n").alias("group_size"), F.min("best").alias("__best"))
+    return runs.select(_PART, _SHA).join(texts, _SHA)
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -76,10 +79,10 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are not read, whatever their names.
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = content_sorted(source, "doc_id", "text", keep, ["doc_id"])
+    rows = content_sorted(source, "doc_id", "text", keep, ["doc_id"]).withColumn(_PART, F.shiftright(_ROW, 33))
     best = _keepers(rows, "doc_id", keep)
     signed = F.col("__best.b") if keep == "min" else -F.col("__best.b")
-    joined = rows.join(best, _SHA)
+    joined = rows.join(best, [_PART, _SHA])
     return joined.select(
         F.col("doc_id").alias(id_col), signed.cast(df.schema[id_col].dataType).alias("keep_id"), "group_size",
         (F.col(_ROW) == F.col("__best.r")).alias("kept"), F.col(_SHA).alias("text_sha256"),
