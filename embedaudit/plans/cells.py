@@ -359,3 +359,31 @@ def severity_trend(spark, sf_dir):
 def pairwise_summary(spark, sf_dir):
     t = pairwise_models(spark, sf_dir).filter("NOT skipped")
     return t.groupBy("model_a", "model_b").agg(F.avg("cohens_d").alias("mean_d"), (F.avg(F.col("significant_bonferroni").cast("double")) * 100).alias("pct_significant"))
+
+
+@register("tukey_models", METRIC_SQL + """, g AS (SELECT model, avg(cosine_similarity) AS m FROM metric GROUP BY 1)
+ SELECT a.model AS group_a, b.model AS group_b, round(b.m - a.m, 6) AS difference FROM g a JOIN g b ON a.model < b.model""")
+def tukey_models(spark, sf_dir):
+    return families.tukey_hsd(_metric(spark, sf_dir), "model", "cosine_similarity").select("group_a", "group_b", F.round("difference", 6).alias("difference"))
+
+
+@register("model_effect")
+def model_effect(spark, sf_dir):
+    """Kruskal-Wallis over the models with Dunn's pairs beside the omnibus p, as the study does for groups that are not normal."""
+    metric = _metric(spark, sf_dir)
+    whole = families.kruskal_wallis(metric, "model", "cosine_similarity").select("h", F.col("p_value").alias("omnibus_p"))
+    return families.dunn_posthoc(metric, "model", "cosine_similarity").crossJoin(F.broadcast(whole))  # one row
+
+
+@register("family_effect")
+def family_effect(spark, sf_dir):
+    """One perturbation's similarities pooled by model family and compared."""
+    family = {"uni": "vision", "gigapath_tile": "vision", "conch": "language", "quilt_llava": "language"}
+    rows = _metric(spark, sf_dir).withColumn("condition", F.format_string("p%02d", F.col("perturbation_id")))
+    return families.family_condition_test(rows, "model", family, "vision", "language", "condition", "p07", "cosine_similarity")
+
+
+@register("study_cka_ranks", _CKA.replace("SELECT model, perturbation_id, severity, cohort, max(n)", "SELECT model, severity, count(*) AS n FROM (SELECT model, perturbation_id, severity, cohort, max(n)") + ") WHERE cohort = 'POOLED' GROUP BY ALL")
+def study_cka_ranks(spark, sf_dir):
+    """Replicates of the CKA tests: one value for each perturbation."""
+    return cka_table_of(spark, sf_dir).filter("cohort = 'POOLED'").groupBy("model", "severity").agg(F.count("*").alias("n"))

@@ -344,3 +344,52 @@ def stream_ledger(spark, sf_dir):
     from embedaudit.streaming import ledger_stream
 
     return ledger_stream.run_once(spark, sf_dir).select("key", "event_id", "status")
+
+
+@register("corpus_completeness", """SELECT event_type, count(*) AS found, 200 AS expected, CASE WHEN count(*) = 200 THEN 'ok' WHEN count(*) < 200 THEN 'missing' ELSE 'extra' END AS status FROM events GROUP BY 1""")
+def corpus_completeness(spark, sf_dir):
+    counts = T(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("found")).withColumn("expected", F.lit(200))
+    return counts.withColumn("status", F.when(F.col("found") == F.col("expected"), "ok").when(F.col("found") < F.col("expected"), "missing").otherwise("extra"))
+
+
+@register("level_texts", f"WITH {_SLIDES} SELECT slide_id, printf('%.4f;%.4f;%.4f', mpp, mpp * 4, mpp * 16) AS levels FROM s WHERE mpp IS NOT NULL")
+def level_texts(spark, sf_dir):
+    s = study.slides(spark, sf_dir).filter("mpp IS NOT NULL")
+    return s.select("slide_id", F.array_join(F.transform("levels", lambda d: F.format_string("%.4f", F.col("mpp") * d)), ";").alias("levels"))
+
+
+@register("weighted_means", """WITH g AS (SELECT l_suppkey, l_returnflag, count(*) FILTER (l_linestatus = 'F') AS n_a, count(*) FILTER (l_linestatus <> 'F') AS n_b,
+  coalesce(avg(l_quantity) FILTER (l_linestatus = 'F'), 0) AS a, coalesce(avg(l_quantity) FILTER (l_linestatus <> 'F'), 0) AS b FROM lineitem GROUP BY ALL)
+ SELECT l_suppkey, l_returnflag, round((a * n_a + b * n_b) / (n_a + n_b), 6) AS mean FROM g""")
+def weighted_means(spark, sf_dir):
+    f = F.col("l_linestatus") == "F"
+    q = F.col("l_quantity")
+    g = T(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(
+        F.count_if(f).alias("n_a"), F.count_if(~f).alias("n_b"), F.coalesce(F.avg(F.when(f, q)), F.lit(0.0)).alias("a"), F.coalesce(F.avg(F.when(~f, q)), F.lit(0.0)).alias("b")
+    )
+    return g.select("l_suppkey", "l_returnflag", F.round((F.col("a") * F.col("n_a") + F.col("b") * F.col("n_b")) / (F.col("n_a") + F.col("n_b")), 6).alias("mean"))
+
+
+@register("match_series")
+def match_series(spark, sf_dir):
+    """Suppliers as series: sex by nation's parity, none for every third; ages as the series write them."""
+    key = F.col("s_suppkey")
+    sex = F.when(key % 3 == 0, F.lit(None)).when(F.col("s_nationkey") % 2 == 0, "M").otherwise("F")
+    series = T(spark, sf_dir, "supplier").select(
+        key.alias("series_id"), sex.alias("sex"), F.concat(F.lpad(F.floor(F.abs("s_acctbal") / 100).cast("string"), 3, "0"), F.lit("Y")).alias("age"),
+        F.when(key % 2 == 0, "malignant").otherwise("benign").alias("diagnosis"),
+    )
+    return matching.match_series(study.cases(spark, sf_dir), series)
+
+
+@register("perturb_status", f"WITH {_TILES} SELECT CAST(p AS INTEGER) AS perturbation_id, 'DONE' AS status, 3 * count(*) AS n FROM tile, range(1, 19) a(p) GROUP BY p")
+def perturb_status(spark, sf_dir):
+    return perturb_tiles(spark, sf_dir).groupBy("perturbation_id", "status").agg(F.count("*").alias("n"))
+
+
+@register("incremental_cells", """SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem d WHERE d.l_suppkey = l.l_suppkey AND d.l_returnflag = l.l_returnflag AND d.l_quantity > 49)""")
+def incremental_cells(spark, sf_dir):
+    """Cells that a store of results (here: those with a large order) does not hold yet."""
+    rows = T(spark, sf_dir, "lineitem")
+    keys = ["l_suppkey", "l_returnflag"]
+    return ledgers.pending(rows.select(*keys).distinct(), rows.filter("l_quantity > 49"), keys)
