@@ -25,7 +25,7 @@ CAPACITY, END = 4096, 1
 #: Pieces that are packed together, about.
 GROUP_PIECES = 100_000
 #: Words that a Python worker keeps with their ids; beyond that it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 _PUNCTUATION = b".,!?;:*#$%&|"
 _MARK = "\x01"  # no white space, so it is tokenized alone between two words
 _PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, deal long"
