@@ -31,7 +31,7 @@ from .components import components
 from .storage import written
 
 #: Words of a shingle, least similarity, bands and samples of a band: a pair at the least similarity shares no bucket
-#: with a chance of (1 - 0.8**4)**20 = 3e-5.
+#: with a chance of (1 - 0.8**4)**20 = 3e-5, as samples are drawn by the weights that are verified.
 SHINGLE, SIMILARITY, BANDS, SAMPLES = 5, 0.8, 20, 4
 #: Members of a bucket that are all compared, if of different components.
 SMALL = 32
@@ -41,8 +41,7 @@ DRAWN = 4
 CHUNK = 1000
 #: Weight of a shingle in the similarity: occurrences * (1 + IDF_SPAN * ln(N / frequency) / ln N). A small span keeps a
 #: large group of near copies similar: with a plain logarithm what they share weighs little and their few differences
-#: much. Samples are drawn by the sharper weight occurrences * (1 + ln(N / frequency)), so that passages which many
-#: documents hold seldom make a bucket.
+#: much.
 IDF_SPAN = 0.2
 #: Document frequencies are counted for 48 bits of a fingerprint.
 _KEY = np.uint64(0xFFFFFFFFFFFF0000)
@@ -99,10 +98,6 @@ def weights(occurrences: np.ndarray, frequency: np.ndarray, documents: int, span
     return occurrences * idf
 
 
-def sampling_weights(occurrences: np.ndarray, frequency: np.ndarray, documents: int) -> np.ndarray:
-    return occurrences * (1 + np.log(documents / frequency))
-
-
 def icws(value: np.ndarray, weight: np.ndarray, starts: np.ndarray, samples: int) -> np.ndarray:
     """Samples of each set (a row each): sets are ranges of ``value`` that begin at ``starts``, none empty.
 
@@ -178,11 +173,11 @@ def _signed(blocks: DataFrame, documents: int, kind: str, threshold: float, span
             shared = np.bincount(owner, weight * (frequency > 1), b - a)
             able = (shared >= threshold * whole * (1 - 1e-9)) & (whole > 0)
             some = able[owner]
-            owner, value, occurrences, frequency = (x[some] for x in (owner, value, occurrences, frequency))
+            owner, value, occurrences, frequency, weight = (x[some] for x in (owner, value, occurrences, frequency, weight))
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
             if not len(starts):
                 continue
-            keys_of = bands(icws(value, sampling_weights(occurrences, frequency, documents), starts, BANDS * SAMPLES))
+            keys_of = bands(icws(value, weight, starts, BANDS * SAMPLES))
             for k, (s, e) in enumerate(zip(starts, np.append(starts[1:], len(owner)), strict=True)):
                 many = frequency[s:e] > 1
                 vector = B.squeezed(value[s:e][many], occurrences[s:e][many].astype(np.uint32), frequency[s:e][many])

@@ -267,6 +267,27 @@ def test_near_duplicates_equal_brute_force(spark, none):
     assert near_dedup.near_duplicate_classes(none).count() == 0
 
 
+def _passage_pairs(pairs, fillers):
+    """Pairs of near copies (similarity a little above 0.8) made mostly of a passage that a third of the rows hold, and
+    rows of words of their own. Rows of the passage alone are no near copies of a pair."""
+    passage = " ".join(f"p{i}" for i in range(300))
+    texts = []
+    for k in range(pairs):
+        own = " ".join(f"o{k}x{i}" for i in range(20))
+        texts += [f"{passage} {own} {' '.join(f'{side}{k}x{i}' for i in range(33))}" for side in "ab"]
+    texts += [" ".join(f"f{k}x{i}" for i in range(20)) for k in range(fillers)]
+    return list(enumerate(texts))
+
+
+def test_near_copies_of_a_frequent_passage_share_buckets(spark):
+    """Samples are drawn by the weights that are verified: all pairs at the threshold meet."""
+    rows = _passage_pairs(120, 480)
+    stored = blocks.stored(_docs(spark, rows))
+    signed = near_dedup._signed(stored, len(rows), "bigint", near_dedup.SIMILARITY, near_dedup.IDF_SPAN)
+    keys = {r["ids"][0]: set(r["bands"]) for r in signed.filter("bands IS NOT NULL").select("ids", "bands").collect()}
+    assert sum(not keys[2 * k] & keys[2 * k + 1] for k in range(120)) == 0
+
+
 def test_icws_agrees_with_weighted_jaccard():
     rng = np.random.default_rng(0)
     value = rng.integers(0, 2**63, 80).astype(np.uint64)
