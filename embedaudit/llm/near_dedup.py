@@ -7,9 +7,7 @@
 4. In each bucket all members are compared to its least one by the weighted Jaccard similarity of the whole texts.
    Members of large buckets that are not in the component of that one are compared to a few more members drawn by
    hash, which joins what is left of large groups of copies. Then, so that no link between components is lost, members
-   that are still apart are compared to the bucket's members of other components. Where a bucket has more than SMALL members, only to those that share
-   a second bucket too: a similar pair shares two or more with a chance of 0.9996, texts that only hold one common
-   passage seldom do.
+   that are still apart are compared to all the bucket's members of other components, whatever the bucket's size.
 5. Classes are the connected components of the links.
 
 Pairs whose weights alone rule out the similarity are not compared.
@@ -33,9 +31,8 @@ from .storage import written
 #: Words of a shingle, least similarity, bands and samples of a band: a pair at the least similarity shares no bucket
 #: with a chance of (1 - 0.8**4)**20 = 3e-5, as samples are drawn by the weights that are verified.
 SHINGLE, SIMILARITY, BANDS, SAMPLES = 5, 0.8, 20, 4
-#: Members of a bucket that are all compared, if of different components.
+#: In buckets of more members, members drawn by hash are met first.
 SMALL = 32
-#: Members drawn by hash from a larger bucket in the step before.
 DRAWN = 4
 #: Members of a block in which those of a bucket are compared.
 CHUNK = 1000
@@ -207,30 +204,45 @@ def _apart_links(several: DataFrame, vectors: DataFrame, documents: int, thresho
     """Links of members that are apart to members of other components of their buckets.
 
     A bucket is dealt in blocks: members that ask by members that are asked, each CHUNK at most about. Pairs are
-    formed and compared within a block and only links leave it; of links of one member to one component, one.
+    formed and compared within a block and only links leave it; what they have joined is not compared again there.
     """
     chunks_of = F.ceil(F.col("members") / CHUNK).cast("int")
     home = F.pmod(F.xxhash64("node"), chunks_of).cast("int")
     every = F.explode(F.sequence(F.lit(0), chunks_of - 1))
-    base = ["key", "members", "node", "weight", "label"]
+    base = ["key", "node", "weight", "label", "apart"]
     asks = several.filter("apart").select(*base, home.alias("i"), every.alias("j"), F.lit(True).alias("asks"))
     rows = several.select(*base, every.alias("i"), home.alias("j"), F.lit(False).alias("asks"))
-    filled = asks.unionAll(rows).join(vectors.select("node", "shared", "bands"), "node")
+    filled = asks.unionAll(rows).join(vectors.select("node", "shared"), "node")
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
-        key, small = group["key"].iloc[0], group["members"].iloc[0] <= SMALL
-        rows = group[~group["asks"]]
-        bands_of, weight, label, node = np.stack(rows["bands"].to_list()), rows["weight"].to_numpy(), rows["label"].to_numpy(), rows["node"].to_numpy()
-        shared, links = [B.unsqueezed(x) for x in rows["shared"]], []
-        for x in group[group["asks"]].itertuples():
-            agree = bands_of == np.asarray(x.bands)
+        rows, links = group[~group["asks"]], []
+        if not len(rows):
+            return pd.DataFrame(links, columns=["a", "b"])
+        weight, node, apart = (rows[c].to_numpy() for c in ("weight", "node", "apart"))
+        asked = group[group["asks"]]
+        label = np.unique(np.concatenate([rows["label"], asked["label"]]), return_inverse=True)[1]
+        # all members' shingles, in their order
+        shared = [B.unsqueezed(x)[:2] for x in rows["shared"]]
+        value, occurrences = (np.concatenate([x[k] for x in shared]) for k in range(2))
+        owner = np.repeat(np.arange(len(rows)), [len(x[0]) for x in shared])
+        order = np.argsort(value, kind="stable")
+        value, occurrences, owner = value[order], occurrences[order], owner[order]
+        for n, x in enumerate(asked.itertuples(), len(rows)):
             able = np.minimum(weight, x.weight) >= np.maximum(weight, x.weight) * threshold * (1 - 1e-9)
-            # a pair is compared in the first bucket that it shares
-            first = np.asarray(x.bands)[agree.argmax(1)] == key
-            found, own = set(), B.unsqueezed(x.shared)
-            for k in np.flatnonzero(able & first & (label != x.label) & (agree.sum(1) >= (1 if small else 2))).tolist():
-                if label[k] not in found and _similarity(own, shared[k], x.weight, weight[k], documents, span) >= threshold - 1e-9:
-                    found.add(label[k])
+            # of two members that both ask, one does
+            able &= (label[: len(rows)] != label[n]) & (~apart | (node > x.node))
+            if not able.any():
+                continue
+            v, o, f = B.unsqueezed(x.shared)
+            first = np.searchsorted(value, v)
+            size = np.searchsorted(value, v, "right") - first
+            at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            least = np.minimum(occurrences[at], np.repeat(o, size))
+            common = np.bincount(owner[at], weights(least, np.repeat(f, size), documents, span), len(rows))
+            total = weight + x.weight - common
+            for k in np.flatnonzero(able & (common >= (threshold - 1e-9) * total)).tolist():
+                if label[k] != label[n]:
+                    label[label == label[k]] = label[n]
                     links.append((x.node, node[k]))
         return pd.DataFrame(links, columns=["a", "b"])
 
@@ -250,7 +262,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     blocks = B.stored(df, id_col, text_col)
     documents = blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
     signed = written(_signed(blocks, documents, kind, threshold, span), "signed")
-    vectors = signed.filter("bands IS NOT NULL").select("node", "weight", "shared", "bands").dropDuplicates(["node"])
+    vectors = signed.filter("bands IS NOT NULL").select("node", "weight", "shared").dropDuplicates(["node"])
     member = written(signed.filter("bands IS NOT NULL").select("node", "weight", F.explode("bands").alias("key")).distinct(), "buckets")
     able = F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (threshold * (1 - 1e-9))
     tops = member.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("hub"), F.max("node").alias("top"), F.count("*").alias("members"))

@@ -288,6 +288,19 @@ def test_near_copies_of_a_frequent_passage_share_buckets(spark):
     assert sum(not keys[2 * k] & keys[2 * k + 1] for k in range(120)) == 0
 
 
+def test_all_apart_members_of_large_buckets_are_compared(spark):
+    """A pair that shares one bucket of many members only is found, as is one of a member that does not ask."""
+    rng = np.random.default_rng(1)
+    sets = {k: np.sort(rng.integers(0, 2**63, 50).astype(np.uint64)) for k in range(40)}
+    for a, b in ((38, 39), (0, 20)):
+        sets[b] = np.sort(np.append(sets[a][:48], sets[b][:2]))
+    ones = np.ones(50, np.uint32)
+    vectors = spark.createDataFrame([(k, 50.0, bytearray(blocks.squeezed(v, ones, ones * 2)), [7, 1000 + k]) for k, v in sets.items()], "node long, weight double, shared binary, bands array<long>")
+    several = spark.createDataFrame([(7, 40, k, 50.0, k, k > 0) for k in sets], "key long, members long, node long, weight double, label long, apart boolean")
+    links = near_dedup._apart_links(several, vectors, 2, near_dedup.SIMILARITY, 0.0).collect()
+    assert {tuple(sorted((r["a"], r["b"]))) for r in links} == {(38, 39), (0, 20)}
+
+
 def test_icws_agrees_with_weighted_jaccard():
     rng = np.random.default_rng(0)
     value = rng.integers(0, 2**63, 80).astype(np.uint64)
