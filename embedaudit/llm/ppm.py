@@ -12,7 +12,9 @@ bytes of the longer one are excluded. (Tokens of the longest context are not exc
 of their byte codes. So probabilities add up to somewhat less than 1, never more.)
 
 What the trie gives a token depends on the token alone, so each distinct word is coded once, where its counts meet,
-and documents add up what :mod:`blocks` tells them.
+and documents add up what :mod:`blocks` tells them. The trie itself is dealt by the last two bytes of its contexts:
+where words' counts meet, they ask these buckets for the nodes and contexts of their steps. Only contexts of at most
+one byte, 65,536 counts at most, are known everywhere.
 """
 
 from __future__ import annotations
@@ -32,9 +34,6 @@ from .storage import written
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Nodes that the trie keeps at most beyond its contexts of one byte: those with the highest counts. It bounds what is
-#: broadcast (16 bytes a node). A node's shorter context counts at least as much, so the kept nodes are still a trie.
-MAX_NODES = 1_500_000
 #: Symbols: bytes but the six that separate words, the end of a word and the end of a text.
 SYMBOLS = 256 - 6 + 2
 SPACE, END = 0x20, 0x0A
@@ -123,10 +122,10 @@ def _shorter(code: np.ndarray) -> np.ndarray:
     return code & keep | (order - np.uint64(1)) << _TAG
 
 
-def _node_counts(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all orders and their counts."""
+def _node_counts(t: Tokens, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all orders and their counts; with ``every``, those of tokens that do not count too."""
     code, token = _steps(t)
-    some = t.counts[token] > 0
+    some = (t.counts[token] > 0) | every
     code, count = code[some], t.counts[token[some]]
     kept = []
     order = code >> _TAG
@@ -162,6 +161,15 @@ class Trie:
         excluded[deep] = counts[np.minimum(np.searchsorted(keys, _shorter(keys[deep])), len(keys) - 1)]
         self.shadow = np.add.reduceat(excluded, at) if len(at) else np.zeros(0)
 
+    @classmethod
+    def part(cls, low: Trie, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, total: np.ndarray, kinds: np.ndarray, shadow: np.ndarray) -> Trie:
+        """What some steps need: all of ``low``, and sorted codes and contexts of more than one byte (0: there is none)."""
+        out, node, known = cls.__new__(cls), counts > 0, total > 0
+        out.keys, out.node_count = np.append(low.keys, keys[node]), np.append(low.node_count, counts[node])
+        out.contexts, out.total = np.append(low.contexts, contexts[known]), np.append(low.total, total[known])
+        out.kinds, out.shadow = np.append(low.kinds, kinds[known]), np.append(low.shadow, shadow[known])
+        return out
+
     def _find(self, table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         if not len(table):
             return np.full(len(wanted), -1)
@@ -270,57 +278,95 @@ def _vocabulary(questions: DataFrame) -> DataFrame:
         parts = [Tokens(*B.unsqueezed(x)) for x in group["ask"]]
         t, place = Tokens.merged(parts)
         cuts = np.split(place.astype(np.uint32), np.cumsum([len(p.keys) for p in parts])[:-1])
-        asks = [{"block": int(b), "place": B.squeezed(x.astype(np.uint64))} for b, x in zip(group["block"], cuts, strict=True)]
-        return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "tokens": [B.squeezed(*t.arrays())], "asks": [asks], "n": [int(t.counts.sum())], "v": [int((t.counts > 0).sum())]})
+        places = [B.squeezed(x.astype(np.uint64)) for x in cuts]
+        return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "tokens": [B.squeezed(*t.arrays())], "blocks": [group["block"].tolist()], "places": [places], "n": [int(t.counts.sum())], "v": [int((t.counts > 0).sum())]})
 
-    return questions.groupBy("bucket").applyInPandas(bucket, "bucket int, tokens binary, asks array<struct<block:long,place:binary>>, n long, v long")
+    return questions.groupBy("bucket").applyInPandas(bucket, "bucket int, tokens binary, blocks array<long>, places array<binary>, n long, v long")
 
 
-def _trie(vocabulary: DataFrame, buckets: int, max_nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the trie: bounded, so it is brought together and broadcast."""
+def _low_nodes(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of no and one byte of context, with their counts: 65,792 at most, whatever the input."""
 
     def rows(batches):
         for batch in batches:
-            for bucket, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, counts = _node_counts(Tokens(*B.unsqueezed(value.as_py())))
-                # codes' leading bits are few: nodes are dealt by a mix of them
-                home = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
-                asks = [B.squeezed(keys[home == b], counts[home == b]) for b in range(buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()), pa.array(asks, pa.binary())], ["block", "bucket", "ask"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [B.unsqueezed(x) for x in group["ask"]]
-        keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
-        small = (keys >> _TAG) < 2
-        sizes = np.bincount(np.minimum(np.log2(np.maximum(counts[~small], 1)).astype(int), 62), minlength=63)
-        return pd.DataFrame({"nodes": [B.squeezed(keys, counts)], "sizes": [sizes.tolist()]})
-
-    asked = vocabulary.select("bucket", "tokens").mapInArrow(rows, B._ASK)
-    nodes = written(asked.groupBy("bucket").applyInPandas(add, "nodes binary, sizes array<long>"), "nodes")
-    totals = nodes.select(F.posexplode("sizes")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
-    sizes = np.zeros(63, np.int64)
-    for r in totals:
-        sizes[r["pos"]] = r["n"]
-    fits = np.flatnonzero(np.cumsum(sizes[::-1])[::-1] <= max_nodes)
-    least = 1 << int(fits[0]) if len(fits) else 1 << 62
-
-    def keep(batches):
-        for batch in batches:
+            total = np.zeros(1 << 16, np.int64)
             for value in batch.column(0):
-                keys, counts = B.unsqueezed(value.as_py())
-                some = (counts >= least) | ((keys >> _TAG) < 2)
-                yield pa.RecordBatch.from_arrays([pa.array([B.squeezed(keys[some], counts[some])], pa.binary())], ["nodes"])
-
-    got = [B.unsqueezed(bytes(r["nodes"])) for r in nodes.select("nodes").mapInArrow(keep, "nodes binary").toLocalIterator()]
-    if not got:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, counts = (np.concatenate([g[k] for g in got]) for k in range(2))
-    at = np.argsort(keys)
-    return keys[at], counts[at]
+                t = Tokens(*B.unsqueezed(value.as_py()))
+                code, token = _steps(t)
+                np.add.at(total, (code & np.uint64(0xFFFF)).astype(np.int64), t.counts[token])
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["code", "n"])
+
+    total = np.zeros(1 << 16, np.int64)
+    for r in vocabulary.select("tokens").mapInArrow(rows, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        total[r["code"]] = r["n"]
+    none, one = total.reshape(256, 256).sum(0), np.flatnonzero(total)
+    at = np.flatnonzero(none)
+    return np.append(at.astype(np.uint64), one.astype(np.uint64) | np.uint64(1) << _TAG), np.append(none[at], total[one])
+
+
+def _deep_codes(t: Tokens, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of two bytes of context and more, their counts and buckets. A context's bucket depends on its last two
+    bytes, so that shorter contexts lie where the longer ones do."""
+    keys, counts = _node_counts(t, every=True)
+    deep = keys >> _TAG > 1
+    keys, counts = keys[deep], counts[deep]
+    return keys, counts, (mix(keys >> _SYM & np.uint64(0xFFFF), 24) % np.uint64(buckets)).astype(np.int64)
 
 
-def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Callable[[list], np.ndarray] | None = None, max_nodes: int = MAX_NODES) -> DataFrame:
+def _by_home(home: np.ndarray):
+    """Each bucket with the places of its codes, in their order."""
+    order = np.argsort(home, kind="stable")
+    at = np.flatnonzero(np.diff(home[order], prepend=-1))
+    return [(int(home[x[0]]), x) for x in np.split(order, at[1:])] if len(home) else []
+
+
+def _low_scores(vocabulary: DataFrame, buckets: int) -> DataFrame:
+    """``block, bucket, ask``: what the trie gives the tokens of each block, and how often training documents have them."""
+    low = _low_nodes(vocabulary)
+
+    def asks(batches):
+        for batch in batches:
+            for bucket, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys, counts, home = _deep_codes(Tokens(*B.unsqueezed(value.as_py())), buckets)
+                for b, at in _by_home(home):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([b], pa.int32()), pa.array([B.squeezed(keys[at], counts[at])], pa.binary())], ["block", "bucket", "ask"])
+
+    def answer(asked):
+        keys, place = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([a[1] for a in asked]), len(keys)).astype(np.int64)
+        some = counts > 0
+        model = Trie(np.append(low[0], keys[some]), np.append(low[1], counts[some]))
+        told = []
+        for (mine, _), at in zip(asked, np.split(place, np.cumsum([len(a[0]) for a in asked])[:-1]), strict=True):
+            context = model._find(model.contexts, np.unique(mine >> _SYM))
+            of = [np.where(context >= 0, x[context], 0).astype(np.int64) for x in (model.total, model.kinds, model.shadow)] if len(model.contexts) else [np.zeros(len(context), np.int64)] * 3
+            told.append((counts[at], *of))
+        return told
+
+    answers = B.answered(vocabulary.select("bucket", "tokens").mapInArrow(asks, B._ASK), answer)
+
+    def reply(_bucket, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        row = left.iloc[0]
+        t = Tokens(*B.unsqueezed(row["tokens"]))
+        keys, _, home = _deep_codes(t, buckets)
+        told = {int(b): B.unsqueezed(x) for b, x in zip(right["bucket"], right["ask"], strict=True)}
+        counts, parts = np.zeros(len(keys), np.int64), [[np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]]
+        for b, at in _by_home(home):
+            counts[at] = told[b][0]
+            parts.append([np.unique(keys[at] >> _SYM), *told[b][1:]])
+        contexts, *of = (np.concatenate([x[k] for x in parts]) for k in range(4))
+        at = np.argsort(contexts)
+        model = Trie.part(Trie(*low), keys, counts, contexts[at], *(x[at] for x in of))
+        score = model.token_scores(t).astype(np.float32)
+        places = [B.unsqueezed(x)[0].astype(np.int64) for x in row["places"]]
+        return pd.DataFrame({"block": row["blocks"], "bucket": row["bucket"], "ask": [B.squeezed(score[x], t.counts[x]) for x in places]})
+
+    home = vocabulary.select("bucket", "tokens", "blocks", "places").groupBy(F.col("bucket").cast("long").alias("of"))
+    return home.cogroup(answers.groupBy(F.col("block").alias("of"))).applyInPandas(reply, B._ASK)
+
+
+def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Callable[[list], np.ndarray] | None = None) -> DataFrame:
     """One row per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     ``score`` is the model's log10 probability of the whole text, A-Z lower-cased; ``base_score`` that of a unigram
@@ -335,20 +381,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", traini
     vocabulary = written(_vocabulary(_ask_tokens(blocks, buckets, training)), "vocabulary")
     sums = vocabulary.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
-    trie = df.sparkSession.sparkContext.broadcast(_trie(vocabulary, max(1, buckets // 4), max_nodes))
-
-    def reply(batches):
-        model = Trie(*trie.value)
-        for batch in batches:
-            for bucket, value, asks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                t = Tokens(*B.unsqueezed(value.as_py()))
-                score = model.token_scores(t).astype(np.float32)
-                for ask in asks:
-                    at = B.unsqueezed(ask["place"])[0].astype(np.int64)
-                    told = B.squeezed(score[at], t.counts[at])
-                    yield pa.RecordBatch.from_arrays([pa.array([ask["block"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([told], pa.binary())], ["block", "bucket", "ask"])
-
-    answers = vocabulary.select("bucket", "tokens", "asks").mapInArrow(reply, B._ASK)
+    answers = _low_scores(vocabulary, max(1, buckets // 4))
     followed = B.answered(_ask_followed(blocks, buckets, training), _answer_followed)
     both = answers.unionAll(followed.selectExpr("block", f"bucket + {buckets} AS bucket", "ask"))
     kind = df.schema[id_col].dataType.simpleString()
