@@ -3,7 +3,8 @@
 A text is a series of tokens: words, each ended by a space, then one end. Counts are pretrained on all training
 documents, and code lengths are found in two parts.
 
-The longest context of a token is all bytes of the two tokens before it (as a fingerprint of 40 bits). If it is known
+The longest context of a token is all bytes of the two tokens before it (as a fingerprint of 40 bits; a token that
+follows is known by 40 bits beside it). If it is known
 and has been followed by this token, the token is coded there as a whole; if it is known and has not, an escape is
 coded (method C: as likely as the number of distinct followers). Below it is a trie of byte contexts within the token
 (at most ``ORDER`` bytes back, the token's beginning included): each node counts the bytes that follow. A byte is
@@ -225,14 +226,28 @@ def _ask_tokens(blocks: DataFrame, buckets: int, training: Callable[[list], np.n
 
 def _followed(texts: list[bytes]):
     """Of some texts: the fingerprints of all tokens, the number of each text's tokens, and for each token a key of its
-    longest context (40 bits) and itself (20 bits, and 4 of 0)."""
+    longest context (40 bits) and itself (24 bits), and 16 more bits of itself."""
     w, prints = _token_keys(texts)
     series = np.insert(prints, w.first[1:], _END_KEY)
     count = np.diff(w.first) + 1
     place = np.arange(len(series)) - np.repeat(np.cumsum(count) - count, count)
     before = [np.where(place >= k, np.concatenate([np.zeros(k, np.uint64), series[:-k]])[: len(series)], np.uint64(0)) for k in (1, 2)]
-    context = mix(mix(before[0], 21) ^ before[1], 22)
-    return series, count, context >> np.uint64(24) << np.uint64(24) | mix(series, 23) >> np.uint64(44) << np.uint64(4)
+    context, token = mix(mix(before[0], 21) ^ before[1], 22), mix(series, 23)
+    return series, count, context >> np.uint64(24) << np.uint64(24) | token >> np.uint64(40), (token >> np.uint64(24)).astype(np.uint16)
+
+
+def _distinct(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of both, sorted, and the place of each pair among them."""
+    order = np.argsort(keys)
+    k, m = keys[order], more[order]
+    if ((k[1:] == k[:-1]) & (m[1:] != m[:-1])).any():
+        order = np.lexsort((more, keys))
+        k, m = keys[order], more[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+    place = np.empty(len(k), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return k[new], m[new], place
 
 
 def _ask_followed(blocks: DataFrame, buckets: int, training: Callable[[list], np.ndarray]) -> DataFrame:
@@ -243,20 +258,20 @@ def _ask_followed(blocks: DataFrame, buckets: int, training: Callable[[list], np
             for block, ids, value in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 texts, learnt, parts = B.unpack_texts(value.as_py()), training(ids.as_py()), []
                 for a, b in chunks(texts):
-                    _, count, keys = _followed(texts[a:b])
-                    distinct, place = np.unique(keys, return_inverse=True)
-                    parts.append((distinct, np.bincount(place, np.repeat(learnt[a:b], count), len(distinct))))
-                keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                counts = np.bincount(place, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.uint32)
-                yield B.questions(block, buckets, keys, counts)
+                    _, count, keys, more = _followed(texts[a:b])
+                    keys, more, place = _distinct(keys, more)
+                    parts.append((keys, more, np.bincount(place, np.repeat(learnt[a:b], count), len(keys))))
+                keys, more, place = _distinct(*(np.concatenate([p[k] for p in parts]) for k in range(2)))
+                counts = np.bincount(place, np.concatenate([p[2] for p in parts]), len(keys)).astype(np.uint32)
+                yield B.questions(block, buckets, keys, more, counts)
 
     return blocks.select("block", "ids", "texts").mapInArrow(rows, B._ASK)
 
 
 def _answer_followed(asks: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
     """For each key: log10 of the token in its context, or of the escape (0 for an unknown context), and which it is."""
-    keys, counts = (np.concatenate([a[k] for a in asks]) for k in range(2))
-    distinct, place = np.unique(keys, return_inverse=True)
+    keys, more, counts = (np.concatenate([a[k] for a in asks]) for k in range(3))
+    distinct, _, place = _distinct(keys, more)
     follower = np.bincount(place, counts, len(distinct))
     context = distinct >> np.uint64(24)
     at = np.flatnonzero(np.diff(context, prepend=~context[:1]))
@@ -388,11 +403,11 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", traini
 
     def result(_block, texts, told, ids):
         parts = [_followed(texts[a:b]) for a, b in chunks(texts)]
-        series, count, keys = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        series, count, keys, more = (np.concatenate([p[k] for p in parts]) for k in range(4))
         later = told["bucket"] >= buckets
         (low, known), (top, hit) = B.told(told[~later], 2), B.told(told[later], 2)
         token = np.searchsorted(np.unique(np.append(series, _END_KEY)), series)
-        pair = np.unique(keys, return_inverse=True)[1]
+        pair = _distinct(keys, more)[2]
         begins = np.cumsum(count) - count
         summed = lambda x: np.add.reduceat(x.astype(np.float64), begins)
         return pd.DataFrame({

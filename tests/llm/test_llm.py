@@ -207,6 +207,68 @@ def test_ppm_symbols_add_up():
         assert (10 ** trie.log10(code)).sum() == pytest.approx(1.0, abs=1e-9), context
 
 
+def _ppm_model(learnt):
+    """Log10 probability of a token in its context by brute force, from the tokens of training texts."""
+    followers, nodes = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+
+    def steps(token):
+        for k in range(len(token)):
+            longest = (b" " + token[:k])[-ppm.ORDER :]
+            yield [longest[j:] for j in range(len(longest) + 1)], token[k]
+
+    for tokens in learnt:
+        for k, token in enumerate(tokens):
+            followers[tuple(tokens[max(k - 2, 0) : k])][token] += 1
+            for contexts, symbol in steps(token):
+                for c in contexts:
+                    nodes[c][symbol] += 1
+
+    def low(token):
+        out = 0.0
+        for contexts, symbol in steps(token):
+            excluded = set()
+            for c in contexts:
+                left = {s: n for s, n in nodes.get(c, {}).items() if s not in excluded}
+                total, kinds = sum(left.values()), len(left)
+                if symbol in left:
+                    out += math.log10(left[symbol] / (total + kinds))
+                    break
+                out += math.log10(kinds / (total + kinds)) if total else 0.0
+                excluded |= set(left)
+            else:
+                out -= math.log10(ppm.SYMBOLS - len(excluded))
+        return out
+
+    def coded(before, token):
+        seen = followers.get(tuple(before[-2:]), {})
+        total, kinds = sum(seen.values()), len(seen)
+        if token in seen:
+            return math.log10(seen[token] / (total + kinds))
+        return (math.log10(kinds / (total + kinds)) if total else 0.0) + low(token)
+
+    return coded
+
+
+def test_ppm_scores_equal_brute_force(spark, odd):
+    """Whole scores, with two words whose fingerprints agree in the 20 bits that once stood for them."""
+    many = [f"w{i}" for i in range(10_000)]
+    bits = (bytewords.mix(ppm._token_keys([" ".join(many).encode()])[1], 23) >> np.uint64(44)).tolist()
+    first = {}
+    one, two = next((many[first[x]], many[i]) for i, x in enumerate(bits) if first.setdefault(x, i) != i)
+    rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect() if r["doc_id"] != 4 and r["doc_id"] != 5]
+    rows += [(1000, f"a b {one}"), (1001, f"a b {two}"), (1002, f"{two} river xyzzy stone")]
+    toks = lambda t: [w + b" " for w in (t or "").encode().lower().split()] + [b"\n"]
+    held = lambda i: i is not None and i % 3 == 2 or i in (1001, 1002)
+    learnt = [toks(t) for i, t in rows if not held(i)]
+    coded = _ppm_model(learnt)
+    want = sorted((str(i), round(sum(coded(toks(t)[:k], w) for k, w in enumerate(toks(t))), 3)) for i, t in rows)
+    got = ppm.scores(_docs(spark, rows), training=lambda ids: np.array([not held(None if i is None or i != i else int(i)) for i in ids])).collect()
+    for (i, a), (j, b) in zip(want, sorted((str(r["doc_id"]), round(r["score"], 3)) for r in got), strict=True):
+        assert i == j and a == pytest.approx(b, abs=0.02), (i, a, b)
+    for before in ([], [b"a "], [b"a ", b"b "], [b"never "]):
+        assert sum(10 ** coded(before, w) for w in {w for x in learnt for w in x} | {two.encode() + b" "}) <= 1 + 1e-9
+
+
 def test_ppm_keeps_all_nodes(spark):
     """Rare contexts of a large vocabulary are learnt: words score as by the whole trie in one place."""
     rng = random.Random(8)
