@@ -5,8 +5,11 @@ of a script, upper and lower case) is a set, the positions' sets make a mixed-ra
 over that number's domain gives another number of the same domain. A permutation is injective, so distinct entities
 stay distinct in all documents, and it depends on the key and the entity alone, so all mentions of one entity agree
 in all documents (coreference) without any table of entities. Given names are permuted within a list of the same
-gender. A collision check walks on along the permutation's cycle while the surrogate is the entity itself or not of
-the wanted form, which keeps it a permutation, and a last one compares each document's surrogates.
+gender. A person's name is found behind a title, and is replaced word by word, so that a full name, a family name and
+a given name agree; in the same document every other whole-word mention of its words, with or without a title, before
+or after it, is replaced too. A person whom a document never titles is not found there. A collision check walks on
+along the permutation's cycle while the surrogate is the entity itself or not of the wanted form, which keeps it a
+permutation, and a last one compares each document's surrogates.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import functools
 import hashlib
 import hmac
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,7 +41,11 @@ NAMES = {
     "m": "Adam Albert Andreas Antonio Carlos Charles David Diego Emil Felix Franz Georg Hans Henri Hugo Jack James Javier John Jonas Karl Louis Luis Martin Michael Otto Paul Peter Thomas William".split(),
 }
 _GENDER_OF = {name: g for g, names in NAMES.items() for name in names}
-_WORD = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]+"
+#: A word of a name: hyphens and apostrophes are within it (not a possessive 's); an initial; a particle.
+_UPPER = "[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]"
+_WORD = rf"{_UPPER}(?:[^\W\d_]+|(?=['’]{_UPPER}))(?:(?:-|['’](?!s\b))[^\W\d_]+)*"
+_INITIAL = rf"{_UPPER}\.(?:-?{_UPPER}\.)*"
+_PARTICLE = r"(?:van|von|der|den|de|del|della|di|da|do|dos|du|la|le|zu|zur|bin|ibn|al|el|y|af|av|ter|ten)"
 #: Entity types, tried in this order at each place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -50,13 +57,14 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "name": rf"\b(?P<title>Mrs|Mr|Ms|Miss|Mme|Monsieur|Madame|Herr|Frau|Señora|Señor|Sra|Sr|Dr|Prof)\b\.? (?P<name>{_WORD}(?: {_WORD})?)",
+    "name": rf"\b(?P<title>Mrs|Mr|Ms|Miss|Mme|Monsieur|Madame|Herr|Frau|Señora|Señor|Sra|Sr|Dr|Prof)\b\.? (?P<name>(?:{_INITIAL} )*(?:{_PARTICLE} )*{_WORD}(?: (?:(?:{_INITIAL}|{_PARTICLE}) )*{_WORD})*)",
 }
-_FEMALE, _MALE = {"Mrs", "Ms", "Miss", "Mme", "Madame", "Frau", "Señora", "Sra"}, {"Mr", "Monsieur", "Herr", "Señor", "Sr"}
 _FINDER = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS.items()))
 #: A text with none of these holds no entity but a titled name.
 _HINT = re.compile(r"[@0-9=:]|AKIA|ASIA|gh[pousr]_")
 _TITLED = re.compile(PATTERNS["name"])
+_NAME_PART = rf"\b{_WORD}"
+_PARTS = re.compile(_NAME_PART)
 
 
 def _permuted(key: bytes, label: str, number: int, domain: int) -> int:
@@ -122,16 +130,18 @@ def _from_list(key: bytes, name: str, gender: str) -> str:
     return order[(order.index(name) + 1) % len(order)]
 
 
-def _person(key: bytes, name: str, gender: str) -> str:
-    given, _, family = name.partition(" ")
+def _person(key: bytes, name: str) -> str:
+    """Each word and initial has its own surrogate, whatever its place in the name; particles stay."""
     unlisted = lambda x: x not in _GENDER_OF
-    if not family:
-        return _remixed(key, "family", given, _CLASS_OF, unlisted) if given not in _GENDER_OF else _from_list(key, given, _GENDER_OF[given])
-    first = _from_list(key, given, _GENDER_OF[given]) if given in _GENDER_OF else _remixed(key, "given" + gender, given, _CLASS_OF, unlisted)
-    return f"{first} {_remixed(key, 'family', family, _CLASS_OF)}"
 
+    def one(m: re.Match) -> str:
+        word = m[0]
+        return _from_list(key, word, _GENDER_OF[word]) if word in _GENDER_OF else _remixed(key, "family", word, _CLASS_OF, unlisted)
 
-def surrogate(kind: str, entity: str, key: bytes, gender: str = "") -> str:
+    return re.sub(rf"{_NAME_PART}|{_UPPER}(?=\.)", one, name)
+
+
+def surrogate(kind: str, entity: str, key: bytes) -> str:
     """The replacement of one entity. Types keep what makes their format: a card its first digit and checksum, an
     email its last domain label, an IP its octets' range, a phone its country prefix."""
     if kind == "email":
@@ -150,7 +160,7 @@ def surrogate(kind: str, entity: str, key: bytes, gender: str = "") -> str:
     if kind == "secret":
         return _remixed(key, kind, entity, _HEX if _hex(entity) else _CLASS_OF, lambda x: _hex(x) == _hex(entity))
     if kind == "name":
-        return _person(key, entity, gender)
+        return _person(key, entity)
     return _remixed(key, kind, entity, _CLASS_OF)
 
 
@@ -158,27 +168,33 @@ _kept_surrogate = functools.lru_cache(maxsize=1 << 16)(surrogate)
 _INNER = {"secret": "secret", "access_key": "access", "github_token": "github", "iban": "iban", "name": "name"}
 
 
-def _entities(text: str) -> Iterator[tuple[str, int, int, str]]:
-    """Type, place and gender of each entity; places do not overlap."""
-    finder = _FINDER if _HINT.search(text) else _TITLED
+def _entities(text: str) -> list[tuple[str, int, int]]:
+    """Type and place of each entity, in order; places do not overlap."""
+    finder, found = _FINDER if _HINT.search(text) else _TITLED, []
     for m in finder.finditer(text):
-        kind = m.lastgroup if finder is _TITLED else next(k for k in PATTERNS if m[f"k_{k}"] is not None)
-        kind = "name" if finder is _TITLED else kind
-        start, end = m.span(_INNER.get(kind, 0))
-        title = m["title"] if kind == "name" else ""
-        yield kind, start, end, "f" if title in _FEMALE else "m" if title in _MALE else ""
+        kind = "name" if finder is _TITLED else next(k for k in PATTERNS if m[f"k_{k}"] is not None)
+        found.append((kind, *m.span(_INNER.get(kind, 0))))
+    parts = {x for kind, a, b in found if kind == "name" for x in _PARTS.findall(text[a:b])}
+    if parts:
+        # further mentions: runs of the names' words, between the entities
+        word = "|".join(map(re.escape, sorted(parts, key=len, reverse=True)))
+        mention = re.compile(rf"(?<!\w)(?:{word})(?: (?:(?:{_INITIAL}|{_PARTICLE}) )*(?:{word}))*(?!\w)")
+        edges = [0, *(x for _, a, b in found for x in (a, b)), len(text)]
+        found += [("name", *m.span()) for a, b in zip(edges[::2], edges[1::2], strict=True) for m in mention.finditer(text, a, b)]
+        found.sort(key=lambda x: x[1])
+    return found
 
 
 def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with surrogates, and each one's type and place in it."""
     out, spans, at, length, given = [], [], 0, 0, {}
-    for kind, start, end, gender in _entities(text):
+    for kind, start, end in _entities(text):
         entity = text[start:end]
-        new = _kept_surrogate(kind, entity, key, gender)
+        new = _kept_surrogate(kind, entity, key)
         # collision check: within a document no two entities of a type share a surrogate
         owner = given.setdefault((kind, new), entity)
         if owner != entity:
-            new = _kept_surrogate(kind, new, key, gender)
+            new = _kept_surrogate(kind, new, key)
             given[kind, new] = entity
         out += [text[at:start], new]
         length += start - at

@@ -303,6 +303,28 @@ def test_pii(odd, spark):
     assert len(whole) == odd.count() and {r["text"] for r in whole if r["doc_id"] == 1} == {None}
 
 
+def test_pii_mentions():
+    """No mention of a titled person's name stays, titled or not, and all mentions of a word agree."""
+    key = hashlib.sha256(b"k").digest()
+    for text, names in (
+        ("Anna Müller wrote to Mrs. Anna Müller. Müller's Anna, Müller-like", ["Anna", "Müller"]),
+        ("Mr Jean-Pierre Dupont met Jean-Pierre and Dupont", ["Jean", "Pierre", "Dupont"]),
+        ("Mr John Fitzgerald Kennedy; Kennedy, John Kennedy, Fitzgerald", ["John", "Fitzgerald", "Kennedy"]),
+        ("Dr Conan O'Brien, O'Brien's mail a@b.com; Mr J. R. Ewing; Herr Ludwig van Beethoven. Beethoven", ["Conan", "Brien", "Ewing", "Ludwig", "Beethoven"]),
+        ("Mr Martin said that Mrs Paula Martin left. Martin", ["Martin", "Paula"]),
+    ):
+        new, spans = pii.replaced(text, key)
+        assert not any(n in new for n in names), (text, new)
+        assert len(pii._PARTS.findall(new)) == len(pii._PARTS.findall(text)) and all(k in ("name", "email") for k, _, _ in spans)
+        words = collections.defaultdict(set)
+        for old, now in zip(pii._PARTS.findall(text), pii._PARTS.findall(new), strict=True):
+            words[old].add(now)
+        assert all(len(x) == 1 for x in words.values()), words
+        assert all(b > a >= 0 and b <= len(new) for _, a, b in spans) and sorted(spans, key=lambda x: x[1]) == spans
+    other = "Annabel Müllerin went to Kennedyville. Mr Kennedy"
+    assert pii.replaced(other, key)[0].startswith("Annabel Müllerin went to Kennedyville. Mr ")
+
+
 def test_pii_is_injective():
     key = hashlib.sha256(b"k").digest()
     for kind, form in (("phone", "+1 (555) 0{:02d}"), ("ip", "10.0.0.{}"), ("card", "4{:03d}000000000000")):
