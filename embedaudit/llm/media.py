@@ -23,6 +23,8 @@ EDGE, FRAME, KEY_EVERY, CHUNK_FRAMES = 8, 192, 12, 64
 TIMESCALE, FRAME_TICKS = 1000, 40
 #: Fixed values of the format: boxes that hold boxes.
 CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf", b"udta")
+#: Boxes nested deeper than this are not walked.
+DEPTH = 16
 _UNITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -110,22 +112,29 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
         if size < head or start + size > end:
             return
         yield Box(kind, start + head, start + size, path)
-        if kind in CONTAINERS:
+        if kind in CONTAINERS and len(path) < DEPTH:
             yield from walk(data, start + head, start + size, (*path, kind))
         start += size
 
 
 def _numbers(data: bytes | memoryview, box: Box, skip: int, kind: str, width: int = 1) -> np.ndarray:
-    """A table of ``width`` columns behind a full box's version, ``skip`` bytes and a count."""
-    count = struct.unpack_from(">I", data, box.start + 4 + skip)[0]
+    """A table of ``width`` columns behind a full box's version, ``skip`` bytes and a count, as far as the box reaches."""
     first = box.start + 8 + skip
+    if first > box.end:
+        return np.zeros((0, width), np.int64)
+    count = struct.unpack_from(">I", data, first - 4)[0]
     count = min(count, (box.end - first) // (np.dtype(kind).itemsize * width))
     return np.frombuffer(data, kind, count * width, first).astype(np.int64).reshape(-1, width)
 
 
 def tracks(data: bytes | memoryview) -> list[Track]:
-    """The tracks of a file with their decoded sample tables. No sample is read. Tracks without a full set of tables
-    have no samples; bytes that are no container have no tracks."""
+    """The tracks of a file with their decoded sample tables. No sample is read.
+
+    Any bytes are taken: bytes that are no container have no tracks; tracks without a full set of tables, or whose
+    tables contradict themselves, have no samples; a box that ends early says nothing, and its table ends with it.
+    Samples that do not lie within the file, or that would together be longer than it, are left out, so nothing that
+    is allocated is larger than the file by more than a constant factor, whatever counts its boxes claim.
+    """
     found: list[dict[bytes, Box]] = []
     for box in walk(data):
         if box.kind == b"trak":
@@ -139,26 +148,35 @@ def _track(data: bytes | memoryview, boxes: dict[bytes, Box]) -> Track:
     codec, timescale, duration = "", 0, 0
     if (b := boxes.get(b"stsd")) and b.end - b.start >= 16:
         codec = bytes(data[b.start + 12 : b.start + 16]).decode("latin-1")
-    if b := boxes.get(b"mdhd"):
-        timescale, duration = struct.unpack_from(">IQ" if data[b.start] else ">II", data, b.start + (20 if data[b.start] else 12))
-    none = np.zeros(0, np.int64)
-    place = boxes.get(b"co64") or boxes.get(b"stco")
-    if not place or b"stsc" not in boxes or b"stsz" not in boxes:
-        return Track(codec, timescale, duration, none, none, none)
-    same, count = struct.unpack_from(">II", data, boxes[b"stsz"].start + 4)
-    sizes = np.full(count, same, np.int64) if same else _numbers(data, boxes[b"stsz"], 4, ">u4")[:, 0]
+    if (b := boxes.get(b"mdhd")) and b.end > b.start:
+        kind, skip = (">IQ", 20) if data[b.start] else (">II", 12)
+        if b.start + skip + struct.calcsize(kind) <= b.end:
+            timescale, duration = struct.unpack_from(kind, data, b.start + skip)
+            duration = duration if duration < 1 << 63 else 0  # all ones mean that it is not known
+    none = Track(codec, timescale, duration, *(np.zeros(0, np.int64),) * 3)
+    place, size = boxes.get(b"co64") or boxes.get(b"stco"), boxes.get(b"stsz")
+    if not place or not size or b"stsc" not in boxes or size.end - size.start < 12:
+        return none
+    same, count = struct.unpack_from(">II", data, size.start + 4)
+    sizes = np.full(min(count, len(data) // same), same, np.int64) if same else _numbers(data, size, 4, ">u4")[:, 0]
+    sizes = sizes[np.cumsum(sizes) <= len(data)]
     chunk_at = _numbers(data, place, 0, ">u8" if place.kind == b"co64" else ">u4")[:, 0]
     runs = _numbers(data, boxes[b"stsc"], 0, ">u4", 3)
-    last = np.append(runs[1:, 0], len(chunk_at) + 1)
-    per_chunk = np.repeat(runs[:, 1], np.maximum(last - runs[:, 0], 0))[: len(chunk_at)]
-    chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[: len(sizes)]
+    if not len(sizes) or not len(chunk_at) or not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any():
+        return none
+    per_chunk = np.minimum(runs[np.searchsorted(runs[:, 0], np.arange(1, len(chunk_at) + 1), "right") - 1, 1], len(sizes))
+    # chunks up to the one that holds the last sample
+    per_chunk = np.diff(np.minimum(np.append(0, np.cumsum(per_chunk)), len(sizes)))
+    chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)
     sizes = sizes[: len(chunk)]
-    ends = np.cumsum(sizes)
-    first = np.searchsorted(chunk, np.arange(len(per_chunk)))  # first sample of each chunk
-    base = np.append(0, ends)[np.minimum(first, len(sizes))]
-    offsets = chunk_at[chunk] + (ends - sizes) - base[chunk]
+    before = np.append(0, np.cumsum(sizes))
+    first = np.append(0, np.cumsum(per_chunk))  # first sample of each chunk
+    offsets = chunk_at[chunk] + before[:-1] - before[first[chunk]]
+    inside = (offsets >= 0) & (offsets <= len(data) - sizes)
     keys = _numbers(data, boxes[b"stss"], 0, ">u4")[:, 0] - 1 if b"stss" in boxes else np.arange(len(sizes))
-    return Track(codec, timescale, duration, offsets, sizes, keys[keys < len(sizes)])
+    keys = keys[(keys >= 0) & (keys < len(sizes))]
+    keys = (np.cumsum(inside) - 1)[keys[inside[keys]]]
+    return Track(codec, timescale, duration, offsets[inside], sizes[inside], keys)
 
 
 def payload(data: bytes | memoryview, track: Track) -> bytes:
@@ -198,7 +216,7 @@ def media_columns(df: DataFrame, media_col: str = "media") -> DataFrame:
     """All columns of ``df`` but the media, with what the first track of each container says: ``codec``,
     ``timescale``, ``duration``, ``n_samples``, ``keyframes`` (byte ranges), and digests of the stored bytes:
     ``payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256``. Null media and bytes that are no
-    container have an empty codec, no samples and the digest of no bytes. Columns named as the new ones are replaced.
+    container have an empty codec, no samples and the digest of no bytes; of broken boxes see :func:`tracks`. Columns named as the new ones are replaced.
     """
     new = "codec string, timescale long, duration long, n_samples long, keyframes array<struct<first:long,end:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
     names = [x.split()[0] for x in new.replace("struct<first:long,end:long>", "x").split(", ")]

@@ -4,7 +4,8 @@ Each entity is mapped by a keyed permutation of its own format: every character
 of a script, upper and lower case) is a set, the positions' sets make a mixed-radix number, and a Feistel network
 over that number's domain gives another number of the same domain. A permutation is injective, so distinct entities
 stay distinct in all documents, and it depends on the key and the entity alone, so all mentions of one entity agree
-in all documents (coreference) without any table of entities. Given names are permuted within a list of the same
+in all documents (coreference) without any table of entities; phone and card numbers, IBANs, mail addresses and names
+agree in all ways of writing them (separators, capitals). Given names are permuted within a list of the same
 gender. A person's name is found behind a title, and is replaced word by word, so that a full name, a family name and
 a given name agree; in the same document every other whole-word mention of its words, with or without a title, before
 or after it, is replaced too. A person whom a document never titles is not found there. A collision check walks on
@@ -18,10 +19,11 @@ import functools
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 6
@@ -48,7 +50,7 @@ _INITIAL = rf"{_UPPER}\.(?:-?{_UPPER}\.)*"
 _PARTICLE = r"(?:van|von|der|den|de|del|della|di|da|do|dos|du|la|le|zu|zur|bin|ibn|al|el|y|af|av|ter|ten)"
 #: Entity types, tried in this order at each place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?\"?(?P<secret>[A-Za-z0-9_+/-]{8,})",
     "access_key": r"(?<![A-Z0-9])A[KS]IA(?P<access>[A-Z0-9]{16})(?![A-Z0-9])",
     "github_token": r"(?<![A-Za-z0-9])gh[pousr]_(?P<github>[A-Za-z0-9]{36,})",
@@ -111,6 +113,13 @@ def _remixed(key: bytes, label: str, text: str, classes: dict[str, str], good: C
     return found
 
 
+def _alike(key: bytes, label: str, text: str, classes: dict[str, str], skip: str = "", good: Callable[[str], bool] = lambda _: True) -> str:
+    """The surrogate of ``text`` without the characters of ``skip`` and in lower case, written in its form: one entity in
+    several forms has one surrogate in these forms."""
+    bare = iter(_remixed(key, label, "".join(c for c in text if c not in skip).lower(), classes, good))
+    return "".join(c if c in skip else (x.upper() if c != c.lower() else x) for c in text for x in ([c] if c in skip else [next(bare)]))
+
+
 def _luhn(text: str) -> bool:
     digits = [int(c) for c in text if c.isdigit()][::-1]
     return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
@@ -132,11 +141,11 @@ def _from_list(key: bytes, name: str, gender: str) -> str:
 
 def _person(key: bytes, name: str) -> str:
     """Each word and initial has its own surrogate, whatever its place in the name; particles stay."""
-    unlisted = lambda x: x not in _GENDER_OF
+    unlisted = lambda x: x.title() not in _GENDER_OF
 
     def one(m: re.Match) -> str:
         word = m[0]
-        return _from_list(key, word, _GENDER_OF[word]) if word in _GENDER_OF else _remixed(key, "family", word, _CLASS_OF, unlisted)
+        return _from_list(key, word, _GENDER_OF[word]) if word in _GENDER_OF else _alike(key, "family", word, _CLASS_OF, good=unlisted)
 
     return re.sub(rf"{_NAME_PART}|{_UPPER}(?=\.)", one, name)
 
@@ -147,18 +156,25 @@ def surrogate(kind: str, entity: str, key: bytes) -> str:
     if kind == "email":
         local, _, host = entity.rpartition("@")
         host, dot, tld = host.rpartition(".")
-        return _remixed(key, "local", local, _CLASS_OF) + "@" + _remixed(key, "host", host, _CLASS_OF) + dot + tld
+        return _alike(key, "local", local, _CLASS_OF) + "@" + _alike(key, "host", host, _CLASS_OF) + dot + tld
     if kind == "card":
-        return entity[0] + _remixed(key, kind + entity[0], entity[1:], _CLASS_OF, lambda x: _luhn(entity[0] + x) == _luhn(entity))
+        return entity[0] + _alike(key, kind + entity[0], entity[1:], _CLASS_OF, " -", lambda x: _luhn(entity[0] + x) == _luhn(entity))
     if kind == "ip":
-        return _remixed(key, kind, entity, _CLASS_OF, lambda x: _octets(x) == _octets(entity))
+        if not _octets(entity):
+            return _remixed(key, kind, entity, _CLASS_OF, lambda x: not _octets(x))
+        # all addresses are one domain
+        number = int.from_bytes(bytes(map(int, entity.split("."))), "big")
+        return ".".join(map(str, _permuted(key, kind, number, 1 << 32).to_bytes(4, "big")))
     if kind == "phone":
         head = re.match(r"\+\d{1,3}(?=\D)|", entity)[0]
-        return head + _remixed(key, kind + head, entity[len(head) :], _CLASS_OF)
+        return head + _alike(key, kind + head, entity[len(head) :], _CLASS_OF, " .-()")
     if kind == "access_key":
-        return _remixed(key, kind, entity, _BASE32 if set(entity) <= _BASE32.keys() else _ALNUM)
+        plain = set(entity) <= _BASE32.keys()
+        return _remixed(key, kind, entity, _BASE32 if plain else _ALNUM, lambda x: (set(x) <= _BASE32.keys()) == plain)
     if kind == "secret":
         return _remixed(key, kind, entity, _HEX if _hex(entity) else _CLASS_OF, lambda x: _hex(x) == _hex(entity))
+    if kind == "iban":
+        return _alike(key, kind, entity, _CLASS_OF, " ")
     if kind == "name":
         return _person(key, entity)
     return _remixed(key, kind, entity, _CLASS_OF)
@@ -192,10 +208,8 @@ def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
         entity = text[start:end]
         new = _kept_surrogate(kind, entity, key)
         # collision check: within a document no two entities of a type share a surrogate
-        owner = given.setdefault((kind, new), entity)
-        if owner != entity:
+        while given.setdefault((kind, new), entity) != entity:
             new = _kept_surrogate(kind, new, key)
-            given[kind, new] = entity
         out += [text[at:start], new]
         length += start - at
         spans.append((kind, length, length + len(new)))
@@ -204,6 +218,20 @@ def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     return "".join(out), spans
 
 
+#: The session's setting that holds the key.
+KEY_SETTING = "spark.embedaudit.pii.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of all replacements: the session's setting, which a user keeps to get the same surrogates again. Without
+    one the session draws a key of its own, so that nobody can invert the surrogates."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def with_surrogates(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``df`` with the text's entities replaced, and ``pii``: type, first character and end of each surrogate.
 

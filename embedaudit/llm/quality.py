@@ -110,17 +110,16 @@ class Net:
 def fit(texts: list[bytes], labels: np.ndarray, balance: float, passes: int = 14, batch_bytes: int = 120_000, rate: float = 0.01, seed: int = 0) -> Net:
     """A network fitted by Adam. ``balance`` is the weight of a row of label 1, that of label 0 being 1.
 
-    Of a text longer than a batch, one batch's bytes at a random place are seen in each pass."""
+    Every text is seen whole in each pass; one longer than a batch is a batch of its own."""
     net, r = Net(seed), np.random.default_rng(seed)
     m, v, k = {n: 0.0 for n in net.p}, {n: 0.0 for n in net.p}, 0
-    cut = lambda x: x if len(x) <= batch_bytes else x[(s := int(r.integers(len(x) - batch_bytes))) : s + batch_bytes]
-    base = np.concatenate([net.pooled([cut(texts[i])])[-1] for i in r.permutation(len(texts))[:300]])
+    base = np.concatenate([net.pooled(texts[a:b])[-1] for a, b in bytewords.chunks(texts, batch_bytes)])
     net.p["mean"], net.p["spread"] = base.mean(0), base.std(0) + np.float32(1e-2)
     fixed = ("mean", "spread")
-    total = passes * sum(min(len(x), batch_bytes) for x in texts) // batch_bytes + 1
+    total = passes * sum(1 for _ in bytewords.chunks(texts, batch_bytes)) + 1
     for _ in range(passes):
         order = r.permutation(len(texts))
-        shuffled = [cut(texts[i]) for i in order]
+        shuffled = [texts[i] for i in order]
         for a, b in bytewords.chunks(shuffled, batch_bytes):
             y = labels[order[a:b]]
             g = net.gradient(shuffled[a:b], y, np.where(y == 1, balance, 1.0))

@@ -99,12 +99,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("op4_pii_surrogates")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.with_surrogates(documents(spark, sf_dir).select("doc_id", "text"), key="corpus")
+    out = pii.with_surrogates(documents(spark, sf_dir).select("doc_id", "text"), key=pii.session_key(spark))
     return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_entities"), pii.entity_counts().alias("entities"), "pii")
 
 
 def remainder(modulus: int) -> Column:
-    """crc32 of the id as text, modulo."""
+    """crc32 of the id as text, modulo; null of a null id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
@@ -113,7 +113,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, remainder(5) != 0)
     scores = toxicity.with_toxicity(docs.select("doc_id", "text"), model)
-    return scores.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+    return scores.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
 @_register("op10_quality_bytenet")
@@ -121,7 +121,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
     net = quality.train(docs, labels, remainder(5) != 0)
     scores = quality.with_quality(docs.select("doc_id", "text"), net)
-    return scores.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+    return scores.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @_register("op6_suffix_dedup")
