@@ -8,7 +8,6 @@ count, and bounded, so that packing is as wide as the input.
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytewords
 from .storage import written
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -26,14 +26,22 @@ CAPACITY, END = 4096, 1
 GROUP_PIECES = 100_000
 #: Words that a Python worker keeps with their ids; beyond that it starts anew.
 CACHE_WORDS = 1_500_000
-_PUNCTUATION = b".,!?;:*#$%&|"
 _MARK = "\x01"  # no white space, so it is tokenized alone between two words
+#: Words to a call of the tokenizer, and bytes of text taken together.
+_TOGETHER, _CHUNK = 500, 1 << 20
+_PUNCTUATION, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_PUNCTUATION[np.frombuffer(b".,!?;:*#$%&|", np.uint8)] = True
+_PLAIN[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = True
+_MOST_PUNCTUATION = 4  # bytes of punctuation at a word's end that are taken off; words with more are whole
 _PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, deal long"
 
 
 class WordIds:
     """Ids of texts by a tokenizer that drops white space and never joins across it: the ids of a text are those of
-    its words, and each word is encoded once. Punctuation at a word's end is a token run of its own."""
+    its words, and each word is encoded once. Punctuation at a word's end is a token run of its own.
+
+    Words are known by 64-bit fingerprints in sorted arrays: with CACHE_WORDS kept, a new word is taken for another
+    with a chance of 1e-13."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,63 +51,68 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.bounds = np.zeros(1 << 16, np.uint32), [0]
-
-    def _add(self, word: bytes, ids: list[int]) -> None:
-        end = self.bounds[-1] + len(ids)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), end), np.uint32)])
-        self.flat[self.bounds[-1] : end] = ids
-        self.known[word] = len(self.bounds) - 1
-        self.bounds.append(end)
-
-    def _ids(self, word: bytes) -> list[int]:
-        k = self.known[word]
-        return self.flat[self.bounds[k] : self.bounds[k + 1]].tolist()
-
-    def _encode(self, new: list[bytes]) -> None:
-        """Adds words, many to a call; a mark between two words shows where the ids of one end."""
-        for k in range(0, len(new), 200):
-            some = new[k : k + 200]
-            texts = [w.decode() for w in some]
-            ids = self.tokenizer.encode_batch_fast([f" {_MARK} ".join(texts)], add_special_tokens=False)[0].ids
-            parts = [list(g) for is_mark, g in itertools.groupby(ids, lambda i: i in self.mark) if not is_mark]
-            if len(self.mark) > 1 or len(parts) != len(some) or any(_MARK in x or "<|" in x for x in texts):
-                parts = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            for word, part in zip(some, parts, strict=True):
-                self._add(word, part)
-
-    def learn(self, words: set[bytes]) -> None:
-        whole, split = set(), []
-        for word in (w for w in words if w not in self.known):
-            core = word.rstrip(_PUNCTUATION)
-            if core != word and core and core.decode()[-1].isalnum() and b"<|" not in word:
-                split.append((word, core, word[len(core) :]))
-                whole.update((core, word[len(core) :]))
-            else:
-                whole.add(word)
-        self._encode(sorted(w for w in whole if w not in self.known))
-        for word, core, rest in split:
-            if word not in self.known:
-                self._add(word, self._ids(core) + self._ids(rest))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
-            self.clear()
-        # A-Z are lower-cased here too, which the tokenizer does; not where a special token's text could be meant
-        split = [(x if "<|" in x else x.lower() if x.isascii() else x).encode() for x in texts]
-        split = [(x if b"<|" in x else x.lower()).split() for x in split]
-        self.learn(set(itertools.chain.from_iterable(split)))
-        bounds, known, out = np.asarray(self.bounds), self.known, []
-        for words in split:
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            first, sizes = bounds[at], bounds[at + 1] - bounds[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(first - ends + sizes, sizes) + np.arange(total)])
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.used, self.bounds = np.zeros(1 << 16, np.uint32), 0, np.zeros(1, np.int64)
+
+    def _encode(self, new: list[bytes]) -> list[np.ndarray]:
+        """Ids of some words, many to a call; a mark between two words shows where the ids of one end."""
+        text = f" {_MARK} ".encode().join(new).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark[0])
+        if len(self.mark) > 1 or len(marks) != len(new) - 1 or "<|" in text or text.count(_MARK) != len(new) - 1:
+            parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+            return [np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([len(x) for x in parts])]
+        return [np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1]
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Adds words with their (sorted, new) fingerprints."""
+        parts = [self._encode(words[k : k + _TOGETHER]) for k in range(0, len(words), _TOGETHER)]
+        ids, sizes = (np.concatenate([x[k] for x in parts]) for k in range(2))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, len(self.bounds) - 1 + np.arange(len(keys)))
+        self.bounds = np.append(self.bounds, self.used + np.cumsum(sizes))
+        self.used += len(ids)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text. Texts in which a special token could be meant go to the tokenizer as they are."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        whole = [k for k, x in enumerate(texts) if b"<|" in x]
+        for k in whole:
+            out[k] = np.array(self.tokenizer.encode(texts[k].decode(), add_special_tokens=False).ids, np.uint32)
+        rest = sorted(set(range(len(texts))) - set(whole))
+        for a, b in bytewords.chunks([texts[k] for k in rest], _CHUNK):
+            for k, ids in zip(rest[a:b], self._chunk([texts[k] for k in rest[a:b]]), strict=True):
+                out[k] = ids
         return out
 
+    def _chunk(self, texts: list[bytes]) -> list[np.ndarray]:
+        # A-Z are lower-cased, which the tokenizer does too
+        w = bytewords.words(texts)
+        starts, ends, cuts = w.starts, w.ends, w.ends.copy()
+        for _ in range(_MOST_PUNCTUATION):
+            cuts -= _PUNCTUATION[w.data[cuts - 1]] & (cuts - starts > 1)
+        split = (cuts < ends) & _PLAIN[w.data[cuts - 1]]
+        # a word's end of punctuation follows it as a word of its own
+        place = np.flatnonzero(split) + 1
+        starts, ends = np.insert(starts, place, cuts[split]), np.insert(np.where(split, cuts, ends), place, ends[split])
+        first = w.first + np.append(0, np.cumsum(split))[w.first]
+        keys, at, inverse = np.unique(bytewords.Rolling(w.data)(starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > CACHE_WORDS:
+            self.clear()
+        near = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[near] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            data = w.data.tobytes()
+            self._learn(keys[new], [data[s:e] for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+        slot = self.slots[np.searchsorted(self.keys, keys)][inverse] if len(keys) else np.zeros(0, np.int64)
+        begin, sizes = self.bounds[slot], self.bounds[slot + 1] - self.bounds[slot]
+        stops = np.append(0, np.cumsum(sizes))
+        ids = self.flat[np.repeat(begin - stops[:-1], sizes) + np.arange(stops[-1])]
+        return np.split(ids, stops[first[1:-1]]) if len(texts) > 1 else [ids]
+
 
 _LOADED: dict[str, WordIds] = {}
 
@@ -113,10 +126,10 @@ def _loaded(path: str) -> WordIds:
 def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
     ids_of, dealt = _loaded(path), 0
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
+        for k in range(0, batch.num_rows, 1024):
+            part = batch.slice(k, 1024)
             docs, rows = part.column(0), []
-            for doc, ids in enumerate(ids_of.encode([x or "" for x in part.column(1).to_pylist()])):
+            for doc, ids in enumerate(ids_of.encode([(x or "").encode() for x in part.column(1).to_pylist()])):
                 whole = np.append(ids, end).astype("<u4")
                 for piece, start in enumerate(range(0, len(whole), capacity)):
                     cut = whole[start : start + capacity]
