@@ -62,6 +62,20 @@ def unpack_texts(value: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def distinct_pairs(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of both, sorted, and the place of each pair among them."""
+    order = np.argsort(keys)
+    k, m = keys[order], more[order]
+    if ((k[1:] == k[:-1]) & (m[1:] != m[:-1])).any():
+        order = np.lexsort((more, keys))
+        k, m = keys[order], more[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+    place = np.empty(len(k), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return k[new], m[new], place
+
+
 def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of the whole table: ``block, n_bytes, ids, texts``. Null text counts as empty; ids may be null or repeat.
     A block's number is stored with it, so every later step means the same block by it."""

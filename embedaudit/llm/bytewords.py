@@ -8,7 +8,7 @@ import numpy as np
 
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+SECOND_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Texts are taken together up to so many bytes; longer ones alone.
 CHUNK = 1 << 18
 
@@ -24,32 +24,34 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(256, dtype=np.uint64), 1)
+_BYTE = {int(base): mix(np.arange(256, dtype=np.uint64), k + 1) for k, base in enumerate((BASE, SECOND_BASE))}
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS: dict[int, list[np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
+def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    known = _POWERS.setdefault(int(base), [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    if len(known[0]) < n:
         size = 1 << (n - 1).bit_length()
         with np.errstate(over="ignore"):
-            for k, base in enumerate((BASE, _INVERSE)):
-                steps = np.full(size, base, np.uint64)
+            for k, x in enumerate((int(base), pow(int(base), -1, 1 << 64))):
+                steps = np.full(size, x, np.uint64)
                 steps[0] = 1
-                _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
+                known[k] = np.multiply.accumulate(steps)
+    return known[0][:n], known[1][:n]
 
 
 class Rolling:
     """Fingerprints of any ranges of one array of bytes."""
 
-    def __init__(self, data: np.ndarray):
-        powers, self.inverse = _powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, base: np.uint64 = BASE):
+        powers, self.inverse = _powers(len(data) + 1, base)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * powers[:-1], out=self.sums[1:])
+        np.cumsum(_BYTE[int(base)][data] * powers[:-1], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))

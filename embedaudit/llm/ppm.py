@@ -236,20 +236,6 @@ def _followed(texts: list[bytes]):
     return series, count, context >> np.uint64(24) << np.uint64(24) | token >> np.uint64(40), (token >> np.uint64(24)).astype(np.uint16)
 
 
-def _distinct(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of both, sorted, and the place of each pair among them."""
-    order = np.argsort(keys)
-    k, m = keys[order], more[order]
-    if ((k[1:] == k[:-1]) & (m[1:] != m[:-1])).any():
-        order = np.lexsort((more, keys))
-        k, m = keys[order], more[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
-    place = np.empty(len(k), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return k[new], m[new], place
-
-
 def _ask_followed(blocks: DataFrame, buckets: int, training: Callable[[list], np.ndarray]) -> DataFrame:
     """Distinct (context, token) of each block, with how often training documents have them."""
 
@@ -259,9 +245,9 @@ def _ask_followed(blocks: DataFrame, buckets: int, training: Callable[[list], np
                 texts, learnt, parts = B.unpack_texts(value.as_py()), training(ids.as_py()), []
                 for a, b in chunks(texts):
                     _, count, keys, more = _followed(texts[a:b])
-                    keys, more, place = _distinct(keys, more)
+                    keys, more, place = B.distinct_pairs(keys, more)
                     parts.append((keys, more, np.bincount(place, np.repeat(learnt[a:b], count), len(keys))))
-                keys, more, place = _distinct(*(np.concatenate([p[k] for p in parts]) for k in range(2)))
+                keys, more, place = B.distinct_pairs(*(np.concatenate([p[k] for p in parts]) for k in range(2)))
                 counts = np.bincount(place, np.concatenate([p[2] for p in parts]), len(keys)).astype(np.uint32)
                 yield B.questions(block, buckets, keys, more, counts)
 
@@ -271,7 +257,7 @@ def _ask_followed(blocks: DataFrame, buckets: int, training: Callable[[list], np
 def _answer_followed(asks: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
     """For each key: log10 of the token in its context, or of the escape (0 for an unknown context), and which it is."""
     keys, more, counts = (np.concatenate([a[k] for a in asks]) for k in range(3))
-    distinct, _, place = _distinct(keys, more)
+    distinct, _, place = B.distinct_pairs(keys, more)
     follower = np.bincount(place, counts, len(distinct))
     context = distinct >> np.uint64(24)
     at = np.flatnonzero(np.diff(context, prepend=~context[:1]))
@@ -407,7 +393,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", traini
         later = told["bucket"] >= buckets
         (low, known), (top, hit) = B.told(told[~later], 2), B.told(told[later], 2)
         token = np.searchsorted(np.unique(np.append(series, _END_KEY)), series)
-        pair = _distinct(keys, more)[2]
+        pair = B.distinct_pairs(keys, more)[2]
         begins = np.cumsum(count) - count
         summed = lambda x: np.add.reduceat(x.astype(np.float64), begins)
         return pd.DataFrame({

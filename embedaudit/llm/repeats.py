@@ -10,13 +10,13 @@ digit; what is left after the last digit are exactly the repeated windows. Three
    goes on, for the others.
 3. The whole window, for windows of runs that share their gram with a different run.
 
-Digits are 64-bit fingerprints, counted over the whole corpus by :mod:`blocks`; a window is falsely called repeated
-with a chance of about (windows compared)**2 / 2**65 in all. Runs, windows and copies within one document count.
+Digits are fingerprints, counted over the whole corpus by :mod:`blocks`: 64 bits for a gram, 64 more for a run with that
+gram, 96 for a window. Among 1e14 windows that are compared one is falsely called repeated with a chance of some 6 %.
+Runs, windows and copies within one document count.
 """
 
 from __future__ import annotations
 
-import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .bytewords import Rolling, chunks, mix
+from .bytewords import SECOND_BASE, Rolling, chunks, mix
 
 LENGTH, GRAM = 200, 32
 #: A long text's windows are taken so many at a time.
@@ -37,7 +37,7 @@ ALONE, REPEATED, SHOWN, OPEN = range(4)  # windows of the last two are compared
 
 
 class Runs(NamedTuple):
-    gram: np.ndarray  # fingerprint of each run's gram
+    gram: np.ndarray  # fingerprint of each run's gram, mixed: as it is the least of many, its own leading bits are near zero
     string: np.ndarray  # of its whole string and the gram's place in it
     text: np.ndarray  # number of its text in the block
     first: np.ndarray  # first window of the run, as a byte of its text
@@ -89,8 +89,12 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, windows: bo
         stops = np.minimum(np.append(np.flatnonzero(change), n)[np.searchsorted(np.flatnonzero(change), starts, "right")], limits[text[starts] + 1] - length + 1)
         at = least[starts]
         string = mix(rolling(starts, stops + length - 1) ^ mix((at - starts).astype(np.uint64), 5), 6)
-        found = Runs(grams[at], string, numbers[text[starts]], base + starts - limits[text[starts]], stops - starts)
-        yield (found, mix(rolling.fixed(length), 7), starts) if windows else found
+        found = Runs(mix(grams[at], 8), string, numbers[text[starts]], base + starts - limits[text[starts]], stops - starts)
+        if windows:
+            # the digit of a window has 96 bits: two fingerprints of different bases
+            yield found, mix(rolling.fixed(length), 7), (Rolling(data, SECOND_BASE).fixed(length) >> np.uint64(32)).astype(np.uint32), starts
+        else:
+            yield found
 
 
 def _joined(parts: list[Runs]) -> Runs:
@@ -141,23 +145,24 @@ def _codes(texts: list[bytes], answers: pd.DataFrame) -> tuple[Runs, np.ndarray]
     return found, B.told(answers, 1)[0][place] if len(place) else np.zeros(0, np.uint8)
 
 
-def _open_windows(texts: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the windows of open and shown runs, and the run of each, piece by piece."""
-    prints, owner, start = [], [], 0
-    for part, windows, starts in runs(texts, windows=True):
+def _open_windows(texts: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints (two arrays) of the windows of open and shown runs, and the run of each, piece by piece."""
+    prints, more, owner, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+    for part, windows, second, starts in runs(texts, windows=True):
         mine = np.flatnonzero(code[start : start + len(starts)] >= SHOWN)
         count = part.count[mine]
         at = np.repeat(starts[mine] - np.cumsum(count) + count, count) + np.arange(count.sum())
         prints.append(windows[at])
+        more.append(second[at])
         owner.append(np.repeat(mine + start, count))
         start += len(starts)
-    return np.concatenate([np.zeros(0, np.uint64), *prints]), np.concatenate([np.zeros(0, np.int64), *owner])
+    return np.concatenate(prints), np.concatenate(more), np.concatenate(owner)
 
 
 def _answer_windows(asks: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
-    keys, counts = (np.concatenate([a[k] for a in asks]) for k in range(2))
-    _, place = np.unique(keys, return_inverse=True)
-    many = np.bincount(place, counts) > 1
+    keys, more, counts = (np.concatenate([a[k] for a in asks]) for k in range(3))
+    distinct, _, place = B.distinct_pairs(keys, more)
+    many = np.bincount(place, counts, len(distinct)) > 1
     return [(x,) for x in np.split(many[place].astype(np.uint8), np.cumsum([len(a[0]) for a in asks])[:-1])]
 
 
@@ -168,9 +173,9 @@ def _marked(texts: list[bytes], runs_told: pd.DataFrame, windows_told: pd.DataFr
     count = found.count[whole]
     text = [np.repeat(found.text[whole], count)]
     first = [np.repeat(found.first[whole] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-    prints, owner = _open_windows(texts, code)
+    prints, more, owner = _open_windows(texts, code)
     if len(prints):
-        keys, place = np.unique(prints, return_inverse=True)
+        _, _, place = B.distinct_pairs(prints, more)
         yes = B.told(windows_told, 1)[0][place].astype(bool) & (code[owner] == OPEN)
         # windows of a run follow each other in order
         begin = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -210,11 +215,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def ask_windows(block, texts, answers, _ids):
         _, code = _codes(texts, answers)
-        prints, owner = _open_windows(texts, code)
-        keys, place = np.unique(prints, return_inverse=True)
+        prints, more, owner = _open_windows(texts, code)
+        keys, more, place = B.distinct_pairs(prints, more)
         # one window of a shown run stands for the two or more it has
         count = np.bincount(place, 1 + (code[owner] == SHOWN), len(keys))
-        return B.questions(block, buckets, keys, np.minimum(count, 2).astype(np.uint8)).to_pandas()
+        return B.questions(block, buckets, keys, more, np.minimum(count, 2).astype(np.uint8)).to_pandas()
 
     second = B.answered(B.with_answers(blocks, first, ask_windows, B._ASK), _answer_windows)
     # the windows' answers follow the runs' in one table
