@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .bytewords import Rolling, chunks, mix, words
 from .components import components
-from .storage import written
+from .storage import join_counted, released, written
 
 #: Words of a shingle, least similarity, bands and samples of a band: a pair at the least similarity shares no bucket
 #: with a chance of (1 - 0.8**4)**20 = 3e-5, as samples are drawn by the weights that are verified.
@@ -262,6 +262,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     blocks = B.stored(df, id_col, text_col)
     documents = blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
     signed = written(_signed(blocks, documents, kind, threshold, span), "signed")
+    released(blocks)
     vectors = signed.filter("bands IS NOT NULL").select("node", "weight", "shared").dropDuplicates(["node"])
     member = written(signed.filter("bands IS NOT NULL").select("node", "weight", F.explode("bands").alias("key")).distinct(), "buckets")
     able = F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (threshold * (1 - 1e-9))
@@ -278,17 +279,21 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     ends = label.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
     met = labelled().withColumnRenamed("weight", "weight_b").join(drawn.join(ends, "a", "left").withColumn("label_a", F.coalesce("label_a", "a")), "key")
     met = met.filter((F.col("label") != F.col("label_a")) & able).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    links = links.unionAll(written(_verified(met, vectors, documents, threshold, span), "links"))
-    label = written(components(links), "labels")
+    drawn_links = written(_verified(met, vectors, documents, threshold, span), "links")
+    old, both = label, links.unionAll(drawn_links)
+    label = written(components(both), "labels")
+    released(old)
     # buckets of several components
     hub_labels = hubs.join(label, F.col("a") == F.col("node"), "left").select("key", "members", F.coalesce("label", "a").alias("hub_label"))
     several = labelled().join(hub_labels, "key").withColumn("apart", F.col("label") != F.col("hub_label"))
     mixed = several.filter("apart").select("key").distinct()
     several = written(several.join(mixed, "key", "left_semi"), "several")
     more = written(_apart_links(several, vectors, documents, threshold, span), "links")
-    final = written(components(links.unionAll(more)), "labels")
+    final = written(components(both.unionAll(more)), "labels")
     rows = signed.select("node", F.explode("ids").alias("id")).withColumn("row", F.monotonically_increasing_id())
     named = written(rows.join(final, "node", "left").select("id", "row", F.coalesce("label", "node").alias("label")), "named")
+    released(signed, member, several, links, drawn_links, more, label, final)
     best = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("row").alias("row")))
-    classes = named.groupBy("label").agg(best.alias("best"), F.count("*").alias("class_size"))
-    return named.join(classes, "label").select(F.col("id").alias(id_col), F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))
+    classes = written(named.groupBy("label").agg(best.alias("best"), F.count("*").alias("class_size")), "classes")
+    whole = join_counted(named, classes, "label", "class_size", documents)
+    return whole.select(F.col("id").alias(id_col), F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -27,7 +28,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`written` that nothing reads any more: what was made of them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that hold more than one in so many of all rows are met by a broadcast; there are at most as many of them.
+FEW = 10_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row for each key and in ``count`` how many of the ``total``
+    rows have it. Keys with more than a FEW-th of the rows are broadcast (at most FEW of them, whatever the input), so
+    that no key's rows meet in one task; the rest is an ordinary join, none of whose keys is large."""
+    more = [c for c in table.columns if c != key]
+    hot = F.col(count) * FEW > total
+    top = F.broadcast(table.filter(hot).select(F.col(key), F.struct(*more).alias("__more")))
+    marked = rows.join(top, key, "left")
+    met = marked.filter("__more IS NOT NULL").select(*rows.columns, *(F.col(f"__more.{c}").alias(c) for c in more))
+    rest = marked.filter("__more IS NULL").drop("__more").join(table.filter(~hot), key).select(*rows.columns, *more)
+    return met.unionByName(rest)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
