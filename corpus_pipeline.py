@@ -1,8 +1,7 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, mixing, packing.
 
-Each stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``, which is a table that was written and
-read again, so that a row's place in it is the same each time it is read. All stages but the last return the columns
-of ``docs``.
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``. All stages but the last return the
+columns of ``docs``.
 """
 
 from __future__ import annotations
@@ -20,7 +19,9 @@ _ROW = "__row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_ROW, F.monotonically_increasing_id())
+    """``docs`` with a number for each row, written with it: a number means the same row in each later read, however
+    the reads are split."""
+    return written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
