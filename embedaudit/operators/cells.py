@@ -6,6 +6,8 @@ of a cell, so that a cell's window holds as many rows as it has values, not obse
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,11 @@ def shapiro_wilk(df: DataFrame, keys: list[str], metric: str, most: int = NORMAL
     Columns of rank and size, and W is a ratio of grouped sums.
     """
     rows = drop_missing(df, metric).select(*keys, F.col(metric).cast("double").alias("__x"), F.xxhash64(*df.columns).alias("__h"))
+    # of a large group only rows of a low hash are sorted: twice as many as are drawn
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__size")).select(*[F.col(k).alias(f"__key_{k}") for k in keys], "__size")
+    same = functools.reduce(lambda p, k: p & F.col(k).eqNullSafe(F.col(f"__key_{k}")), keys, F.lit(True))
+    low = F.pmod(F.col("__h"), F.lit(1 << 30)) * F.col("__size") <= F.lit(float(1 << 31)) * most
+    rows = rows.join(sizes, same).filter(low).select(*keys, "__x", "__h")
     drawn = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("__h", "__x"))).filter(F.col("__k") <= most)
     placed = drawn.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy("__x"))).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
     scored = placed.withColumn("__m", tails.normal_quantile((F.col("__i") - 0.375) / (F.col("__n") + 0.25)))

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of matrices that a task holds before it hands them on.
+MOST_BYTES = 128 << 20
+
+
 def cross_moments(pairs: DataFrame, keys: list[str], x: str = "baseline", y: str = "vector") -> DataFrame:
     """Per cell: ``n`` and ``moments``, the flat array [sum x, sum y, xx', xy', yy'] over rows with both vectors.
 
@@ -21,20 +25,30 @@ def cross_moments(pairs: DataFrame, keys: list[str], x: str = "baseline", y: str
     schema = ", ".join([*(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys), "n long, moments array<double>"])
     rows = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
 
+    def table(sums: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pandas(pd.DataFrame([(*k, n, m) for k, (n, m) in sums.items()], columns=[*keys, "n", "moments"]), preserve_index=False)
+
     def partial(batches):
+        # one row for each cell and task, unless the cells' matrices outgrow MOST_BYTES
+        sums, held = {}, 0
         for batch in batches:
             frame = batch.select(keys).to_pandas()
             groups = frame.groupby(keys, dropna=False, sort=False).indices if keys else {(): np.arange(len(frame))}
             xs, ys = batch.column(len(keys)), batch.column(len(keys) + 1)
-            out = []
             for at in groups.values():
-                take = pa.array(at)
+                take, cell = pa.array(at), tuple(frame.iloc[at[0]].tolist())
                 a, b = (np.array(c.take(take).flatten()).reshape(len(at), -1) for c in (xs, ys))
                 good = ~(np.isnan(a).any(1) | np.isnan(b).any(1))
                 a, b = a[good], b[good]
-                out.append((*frame.iloc[at[0]].tolist(), int(len(a)), np.concatenate([a.sum(0), b.sum(0), (a.T @ a).ravel(), (a.T @ b).ravel(), (b.T @ b).ravel()])))
-            made = pd.DataFrame(out, columns=[*keys, "n", "moments"])
-            yield pa.RecordBatch.from_pandas(made, preserve_index=False)
+                moments = np.concatenate([a.sum(0), b.sum(0), (a.T @ a).ravel(), (a.T @ b).ravel(), (b.T @ b).ravel()])
+                n, known = sums.get(cell, (0, 0.0))
+                held += 0 if n else moments.nbytes
+                sums[cell] = (n + len(a), known + moments)
+                if held > MOST_BYTES:
+                    yield table(sums)
+                    sums, held = {}, 0
+        if sums:
+            yield table(sums)
 
     parts = rows.mapInArrow(partial, schema)
     spread = parts.select(*keys, "n", F.posexplode("moments").alias("place", "v"))

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embedaudit.functions import tails
+from embedaudit.sources.scratch import written
 
+from . import prefix
 from .cells import drop_missing
 
 
@@ -30,10 +32,10 @@ def one_way_anova(df: DataFrame, group: str, metric: str) -> DataFrame:
 
 def group_ranks(df: DataFrame, group: str, metric: str) -> DataFrame:
     """``rank_sum`` and ``n`` of each group, with the total size and tie term beside each."""
-    values = drop_missing(df, metric).groupBy(F.col(metric).cast("double").alias("value"), group).agg(F.count("*").alias("c"))
+    # distinct values are read several times, rows once
+    values = written(drop_missing(df, metric).groupBy(F.col(metric).cast("double").alias("value"), group).agg(F.count("*").alias("c")), "values")
     distinct = values.groupBy("value").agg(F.sum("c").alias("t"))
-    before = F.sum("t").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
-    ranked = distinct.select("value", "t", (before + (F.col("t") + 1) / 2).alias("mid_rank"))
+    ranked = prefix.before(distinct, "value", "t").select("value", "t", (F.col("before") + (F.col("t") + 1) / 2).alias("mid_rank"))
     ties = ranked.agg(F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("tie_term"), F.sum("t").alias("total"))
     sums = values.join(ranked, "value").groupBy(group).agg(F.sum(F.col("c") * F.col("mid_rank")).alias("rank_sum"), F.sum("c").alias("n"))
     return sums.crossJoin(F.broadcast(ties))  # one row

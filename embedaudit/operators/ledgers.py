@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from embedaudit.sources.scratch import written
+
 
 def latest_per_key(ledger: DataFrame, key: str, order: Column | str) -> DataFrame:
     """The last row of each key, found by a partial maximum rather than a sort of the key's history."""
@@ -29,17 +31,21 @@ def first_rows(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def folder_paths(folders: DataFrame, files: DataFrame, most: int = 64) -> DataFrame:
-    """``file_id, path`` of every file: folders (``id, parent, name``; null parent is a root) are joined to their parents
-    until all lead to a root. A file whose folder is missing has no row; cycles end after ``most`` levels."""
+def folder_paths(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """``file_id, path`` of every file: folders (``id, parent, name``; null parent is a root) take over their parents'
+    paths, whose length doubles in each round, until all lead to a root; each round is written. A file whose folder or
+    one of whose folder's parents is missing has no row. Folders in a cycle are an error."""
     paths = folders.select("id", F.col("parent").alias("up"), F.col("name").alias("path"))
-    above = folders.select(F.col("id").alias("a_id"), F.col("parent").alias("a_parent"), F.col("name").alias("a_name"))
-    for _ in range(most):
+    for _ in range(64):  # 2**64 levels
         if paths.filter("up IS NOT NULL").isEmpty():
-            break
+            return files.join(paths, F.col("parent") == F.col("id")).select("file_id", F.concat_ws("/", "path", "name").alias("path"))
+        above = paths.select(F.col("id").alias("a_id"), F.col("up").alias("a_up"), F.col("path").alias("a_path"))
         joined = paths.join(above, F.col("up") == F.col("a_id"), "left").filter("up IS NULL OR a_id IS NOT NULL")
-        paths = joined.select("id", F.col("a_parent").alias("up"), F.when(F.col("a_id").isNull(), F.col("path")).otherwise(F.concat_ws("/", "a_name", "path")).alias("path"))
-    return files.join(paths.filter("up IS NULL"), F.col("parent") == F.col("id")).select("file_id", F.concat_ws("/", "path", "name").alias("path"))
+        # a folder that meets itself is its own parent's parent
+        paths = written(joined.select("id", F.when(F.col("a_up") == F.col("id"), F.col("id")).otherwise(F.col("a_up")).alias("up"), F.concat_ws("/", F.when(F.length(F.coalesce("path", F.lit(""))) < 1 << 20, F.col("a_path")), "path").alias("path")), "paths")
+        if not paths.filter("up = id").isEmpty():
+            break
+    raise ValueError("folders form a cycle")
 
 
 def shard(df: DataFrame, order: str, index: int, count: int) -> DataFrame:

@@ -2,29 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from embedaudit.functions.text import series_age
+from embedaudit.sources.scratch import written
+
 YEARS, MISSING_AGE = 10, 25.0
+#: Candidates that are fetched for a case at most.
+FETCH = 200
+_ANY = "*"
+
 
+def fetch_cap(size: int) -> int:
+    """Candidates that are fetched first for a wanted number: twice as many, 200 at most."""
+    return min(2 * size, FETCH)
 
-def tiered(cases: DataFrame, candidates: DataFrame, window: int = YEARS, cap: int = 200) -> DataFrame:
+
+def tiered(cases: DataFrame, candidates: DataFrame, window: int = YEARS, size: int = FETCH) -> DataFrame:
     """Candidates of each case's first tier that has any: 1 site, sex and age, 2 site and sex, 3 site.
 
-    A missing sex or age of a case drops that clause; a candidate with a missing value does not meet it. Of a tier at
-    most ``cap`` candidates in id order are looked at. The site's equality carries the join; the rest is residual.
+    A missing sex or age of a case drops that clause; a candidate with a missing value does not meet it. Of a tier the
+    first FETCH candidates in id order are taken; ``retry`` marks those beyond the first :func:`fetch_cap`, which are
+    looked at only when all before them are used.
+
+    Cases that agree in site, sex and age have one list. Candidates are ranked once under each of their keys (with sex
+    and age, either or neither), FETCH of a key stay, and lists are looked up by key: no case meets all candidates of
+    its site.
     """
+    keys = F.array(*[F.struct(s.alias("k_sex"), a.alias("k_age")) for s in (F.col("sex"), F.lit(_ANY)) for a in (F.col("age").cast("string"), F.lit(_ANY))])
+    keyed = candidates.select("candidate_id", "site", "sex", "age", "diagnosis", F.explode(F.array_distinct(keys)).alias("k")).select("*", "k.*").drop("k").filter("k_sex IS NOT NULL AND k_age IS NOT NULL")
+    ranked = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("site", "k_sex", "k_age").orderBy("candidate_id"))).filter(F.col("__n") <= FETCH).drop("__n")
+    classes = cases.select("site", F.col("sex").alias("case_sex"), F.col("age").alias("case_age")).distinct()
+    sex = F.coalesce("case_sex", F.lit(_ANY))
+    ages = F.when(F.col("case_age").isNull(), F.array(F.lit(_ANY))).otherwise(
+        F.transform(F.sequence(F.greatest(F.col("case_age") - window, F.lit(0)).cast("int"), F.greatest(F.col("case_age") + window, F.lit(0)).cast("int")), lambda x: x.cast("string"))
+    )
+    any_age = F.array(F.lit(_ANY))
+    tiers = F.array(*[F.struct(F.lit(t).alias("tier"), s.alias("k_sex"), a.alias("ages")) for t, s, a in ((1, sex, ages), (2, sex, any_age), (3, F.lit(_ANY), any_age))])
+    looked = classes.select("*", F.explode(tiers).alias("t")).select("site", "case_sex", "case_age", "t.tier", "t.k_sex", F.explode("t.ages").alias("k_age"))
+    of_class = ["site", "case_sex", "case_age"]
+    met = looked.join(ranked, ["site", "k_sex", "k_age"]).drop("k_sex", "k_age")
+    placed = met.withColumn("place", F.row_number().over(Window.partitionBy(*of_class, "tier").orderBy("candidate_id"))).filter(F.col("place") <= FETCH)
+    first = placed.withColumn("first_tier", F.min("tier").over(Window.partitionBy(*of_class))).filter("tier = first_tier").drop("first_tier")
+    lists = first.select(F.col("site").alias("l_site"), F.col("case_sex").alias("l_sex"), F.col("case_age").alias("l_age"), "tier", "candidate_id", "sex", "age", "diagnosis", (F.col("place") > fetch_cap(size)).alias("retry"))
     c = cases.select("case_id", "site", F.col("sex").alias("case_sex"), F.col("age").alias("case_age"), F.col("diagnosis").alias("case_diagnosis"))
-    sex = F.col("case_sex").isNull() | (F.col("case_sex") == F.col("sex"))
-    age = F.col("case_age").isNull() | F.col("age").between(F.greatest(F.col("case_age") - window, F.lit(0)), F.col("case_age") + window)
-    tier = F.when(sex & age, 1).when(sex, 2).otherwise(3)
-    # each tier is capped before it is chosen, so no case carries more than three caps of candidates on
-    met = c.join(candidates, "site").withColumn("tier", tier)
-    placed = met.withColumn("place", F.row_number().over(Window.partitionBy("case_id", "tier").orderBy("candidate_id"))).filter(F.col("place") <= cap)
-    first = placed.withColumn("first_tier", F.min("tier").over(Window.partitionBy("case_id"))).filter("tier = first_tier")
-    return first.drop("place", "first_tier")
+    same = (F.col("site") == F.col("l_site")) & F.col("case_sex").eqNullSafe(F.col("l_sex")) & F.col("case_age").eqNullSafe(F.col("l_age"))
+    return c.join(lists, same).drop("l_site", "l_sex", "l_age")
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -40,29 +64,35 @@ def best_per_case(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(by)).filter("rank = 1").drop("rank")
 
 
-def assign_unique(pairs: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Each candidate to at most one case, cases in order choosing their best: by deferred acceptance.
+def assign_unique(pairs: DataFrame) -> DataFrame:
+    """Each candidate to at most one case, cases in order choosing their best that is left: by deferred acceptance.
 
-    In a round each free case proposes to its next candidate in (score, candidate) order; a candidate keeps the
-    proposer of the least case id and frees the one it held. With one common priority the outcome is that of cases
-    choosing one after the other. Rounds' states are checkpointed; the loop ends when no free case has a candidate
-    left.
+    A case prefers candidates by ``retry`` (where ``pairs`` has it), score and id. Cases with one list of wishes form a
+    class. In a round the k-th free case of a class proposes to the k-th candidate of the list that nobody before the
+    class's first free case holds: those before it are taken by cases that come first. A candidate keeps the proposer
+    of the least case id and frees the one it held. With one common priority the outcome is that of cases choosing one
+    after the other. Every round's state is written to the shared folder; in each at least the first free case that
+    has a candidate left is settled for good, usually most are, and the loop ends when nobody proposes.
     """
-    spark = pairs.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
-    wish = pairs.withColumn("wish", F.row_number().over(Window.partitionBy("case_id").orderBy("score", "candidate_id"))).select("case_id", "candidate_id", "wish").checkpoint()
-    state = wish.groupBy("case_id").agg(F.max("wish").alias("wishes")).select("case_id", F.lit(0).alias("asked"), F.lit(False).alias("held"), "wishes").checkpoint()
-    for _ in range(rounds):
-        state = state.withColumn("asked", F.when(~F.col("held"), F.col("asked") + 1).otherwise(F.col("asked")))
-        proposals = state.filter("asked <= wishes").join(wish, (state["case_id"] == wish["case_id"]) & (state["asked"] == wish["wish"])).select(state["case_id"], "candidate_id")
-        kept = proposals.groupBy("candidate_id").agg(F.min("case_id").alias("case_id")).select(F.col("case_id").alias("winner"))
-        state = state.join(kept, F.col("case_id") == F.col("winner"), "left").select("case_id", "asked", F.col("winner").isNotNull().alias("held"), "wishes").checkpoint()
-        if state.filter("NOT held AND asked < wishes").isEmpty():
-            break
-    return state.filter("held").join(wish, "case_id").filter("asked = wish").select("case_id", "candidate_id")
+    order = [*(["retry"] if "retry" in pairs.columns else []), "score", "candidate_id"]
+    wishes = pairs.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("w")).select("case_id", F.col("w.candidate_id").alias("w"))
+    wishes = wishes.withColumn("list", F.md5(F.array_join(F.transform("w", lambda x: x.cast("string")), ",").cast("binary")))
+    free_all = written(wishes.select("case_id", "list"), "cases")
+    lists = written(wishes.groupBy("list").agg(F.any_value("w").alias("w")).select("list", F.posexplode("w").alias("wish", "candidate_id")), "wishes")
+    held, seen = lists.sparkSession.createDataFrame([], f"candidate_id {lists.schema['candidate_id'].dataType.simpleString()}, case_id {free_all.schema['case_id'].dataType.simpleString()}"), None
+    while True:
+        free = free_all.join(held.select("case_id"), "case_id", "left_anti")
+        # no list is longer than FETCH, so no more of a class can propose
+        free = free.withColumn("k", F.row_number().over(Window.partitionBy("list").orderBy("case_id"))).filter(F.col("k") <= FETCH)
+        first = free.filter("k = 1").select("list", F.col("case_id").alias("first_free"))
+        open_ = lists.join(first, "list").join(held.withColumnRenamed("case_id", "holder"), "candidate_id", "left").filter("holder IS NULL OR holder > first_free")
+        open_ = open_.withColumn("k", F.row_number().over(Window.partitionBy("list").orderBy("wish"))).select("list", "k", "candidate_id")
+        proposals = free.join(open_, ["list", "k"]).select("candidate_id", "case_id")
+        held = written(held.unionByName(proposals).groupBy("candidate_id").agg(F.min("case_id").alias("case_id")), "held")
+        state = tuple(held.agg(F.count("*"), F.sum(F.xxhash64("candidate_id", "case_id").cast("decimal(38,0)"))).first())
+        if state == seen:
+            return held.select("case_id", "candidate_id")
+        seen = state
 
 
 def match_manifest(cases: DataFrame, pairs: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -75,12 +105,14 @@ def match_manifest(cases: DataFrame, pairs: DataFrame, assigned: DataFrame) -> D
 def match_series(cases: DataFrame, series: DataFrame) -> DataFrame:
     """The best series of each case: sexes must agree where the series has one; the score is that of candidates.
 
-    The join is on sex or its absence, so that it stays an equality: each series with a sex meets the cases of that
-    sex, one without meets all.
+    Only the first series of each sex, age and diagnosis can be a best one, and cases that agree in these have one best
+    series, so distinct values meet, not rows.
     """
     code = F.when(F.upper(F.col("sex")).startswith("M"), "male").when(F.upper(F.col("sex")).startswith("F"), "female")
-    years = F.rtrim(F.trim("age"), F.lit("Y")).try_cast("double")
-    s = series.select("series_id", code.alias("series_sex"), years.alias("age"), "diagnosis").withColumn("meets", F.when(F.col("series_sex").isNull(), "any").otherwise(F.col("series_sex")))
-    c = cases.select("case_id", F.col("age").cast("double").alias("case_age"), F.col("diagnosis").alias("case_diagnosis"), F.explode(F.array(F.lit("any"), F.coalesce("sex", F.lit("unknown")))).alias("meets"))
-    best = scored(c.join(s, "meets")).groupBy("case_id").agg(F.min(F.struct("score", "series_id")).alias("b"))
-    return best.select("case_id", "b.series_id", "b.score")
+    s = series.select("series_id", F.coalesce(code, F.lit("any")).alias("meets"), series_age(F.col("age")).alias("age"), "diagnosis").groupBy("meets", "age", "diagnosis").agg(F.min("series_id").alias("series_id"))
+    c = cases.select("case_id", "sex", F.col("age").cast("double").alias("case_age"), F.col("diagnosis").alias("case_diagnosis"))
+    classes = c.select("sex", "case_age", "case_diagnosis").distinct().withColumn("meets", F.explode(F.array(F.lit("any"), F.coalesce("sex", F.lit("unknown")))))
+    best = scored(classes.join(s, "meets")).groupBy("sex", "case_age", "case_diagnosis").agg(F.min(F.struct("score", "series_id")).alias("b"))
+    best = best.select(F.col("sex").alias("b_sex"), F.col("case_age").alias("b_age"), F.col("case_diagnosis").alias("b_diagnosis"), "b")
+    same = F.col("sex").eqNullSafe(F.col("b_sex")) & F.col("case_age").eqNullSafe(F.col("b_age")) & F.col("case_diagnosis").eqNullSafe(F.col("b_diagnosis"))
+    return c.join(best, same).select("case_id", "b.series_id", "b.score")

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedaudit.operators.ledgers import latest_per_key
-
-
-def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+from embedaudit.sources.scratch import new_path
 
 
 def take_up(spark: SparkSession, source: str, pattern: str, schema, out: str, checkpoint: str) -> None:
@@ -32,7 +23,7 @@ def current(spark: SparkSession, out: str) -> DataFrame:
 
 def run_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table taken up as a stream of files, and its current state by key."""
-    folder = _folder(spark)
+    folder = new_path(spark, "ledger")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     take_up(spark, sf_dir, "events.parquet", schema, f"{folder}/rows", f"{folder}/checkpoint")
     return current(spark, f"{folder}/rows")
