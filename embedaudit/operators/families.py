@@ -144,7 +144,7 @@ def paired_conditions(df: DataFrame, keys: list[str], unit: str, condition: str,
     """One row for each unit and key that has both conditions: ``x, y, diff`` in one grouped pass, without a join."""
     value = lambda c: F.max(F.when(F.col(condition) == c, F.col(metric)))
     wide = drop_missing(df, metric).filter(F.col(condition).isin(a, b)).groupBy(*keys, unit).agg(value(a).alias("x"), value(b).alias("y"))
-    return wide.filter("x IS NOT NULL AND y IS NOT NULL").withColumn("diff", F.col("x") - F.col("y"))
+    return wide.filter("x IS NOT NULL AND y IS NOT NULL").withColumn("diff", F.round(F.col("x") - F.col("y"), 9))
 
 
 def wilcoxon_signed_rank(pairs: DataFrame, keys: list[str], diff: str = "diff", least: int = 10) -> DataFrame:
@@ -175,6 +175,17 @@ def wilcoxon_signed_rank(pairs: DataFrame, keys: list[str], diff: str = "diff",
     )
 
 
+def direction(p: Column, difference: Column, a: str, b: str, alpha: float = 0.05) -> Column:
+    """``<a>_higher``, ``<b>_higher`` or ``no_difference``; null without a p."""
+    return F.when(p >= alpha, "no_difference").when(p.isNotNull() & (difference > 0), f"{a}_higher").when(p.isNotNull(), f"{b}_higher")
+
+
+def with_prediction(tests: DataFrame, a: str, b: str, predicted: Column, difference: str = "median_diff") -> DataFrame:
+    """``observed``, ``predicted`` and ``confirmed``: whether they are one label (null without a test)."""
+    seen = tests.withColumn("observed", direction(F.col("p_value"), F.col(difference), a, b)).withColumn("predicted", predicted)
+    return seen.withColumn("confirmed", F.col("observed") == F.col("predicted"))
+
+
 def cliffs_delta(u: Column, n_a: Column, n_b: Column) -> Column:
     return 2 * u / (n_a * n_b) - 1
 
@@ -194,7 +205,7 @@ def family_condition_test(df: DataFrame, model: str, family_of: dict[str, str],
     pairs = [F.lit(x) for item in family_of.items() for x in item]
     rows = df.filter(F.col(condition) == value).withColumn("family", F.element_at(F.create_map(*pairs), F.col(model))).filter(F.col("family").isin(a, b))
     t = two_sample_test(rows, [condition], metric, F.col("family") == a, least)
-    seen = F.when(F.col("p_value") >= alpha, "no_difference").when(F.col("mean_a") > F.col("mean_b"), f"{a}_higher").otherwise(f"{b}_higher")
+    seen = direction(F.col("p_value"), F.col("mean_a") - F.col("mean_b"), a, b, alpha)
     return t.withColumn("observed", F.when(~F.col("skipped"), seen))
 
 

@@ -10,6 +10,7 @@ from embedaudit.functions.vectors import cosine, norm
 from embedaudit.operators import cells, cka, families
 from embedaudit.sources import study
 
+from . import sqltail
 from .registry import register
 
 CELL = ["model", "perturbation_id", "severity"]
@@ -36,6 +37,15 @@ effects AS (SELECT *, CASE WHEN psd = 0 THEN 0 ELSE (mean_a - mean_b) / psd END
     SELECT *, sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / nullif(n_a + n_b - 2, 0)) AS psd FROM moments))"""
 
 
+_PAIRS = "(VALUES ('conch', 'quilt_llava'), ('conch', 'uni'), ('quilt_llava', 'uni')) p(model_a, model_b)"
+_OUTLIERS = "(VALUES ('gigapath_tile', 'uni'), ('gigapath_tile', 'conch'), ('gigapath_tile', 'quilt_llava')) p(model_a, model_b)"
+_COHORT_ROWS = "SELECT model, perturbation_id, severity, cohort = 'ACC' AS a, cosine_similarity AS x FROM metric"
+
+
+def _pair_rows(pairs: str) -> str:
+    return f"SELECT model_a, model_b, perturbation_id, severity, model = model_a AS a, cosine_similarity AS x FROM metric JOIN {pairs} ON model IN (model_a, model_b)"
+
+
 def _acc():
     return F.col("cohort") == "ACC"
 
@@ -45,6 +55,16 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _tested(df: DataFrame) -> DataFrame:
+    """A family's rows with what two engines agree on: probabilities to 7 digits, statistics to 4."""
+    digits = {"statistic": 4, "cohens_d": 5, "mean_a": 6, "mean_b": 6, "shapiro_p_a": 6, "shapiro_p_b": 6}
+    return df.select(*[(F.round(c, digits.get(c, 7)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _family_sql(keys: list[str], rows: str, end: str, least: int = 3, before: str = METRIC_SQL) -> str:
+    return f"{before}, src AS ({rows}), {sqltail.two_sample(keys, 'src', least)} {end}"
+
+
 def _metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.cosine_table(spark, sf_dir)
 
@@ -160,9 +180,12 @@ def zero_variance_cells(spark, sf_dir):
     return t.select(*CELL, (F.col("n_a") + F.col("n_b")).alias("n"), F.when(F.col("test_used") == "zero_variance_identical", F.col("test_used")).otherwise("tested").alias("test_used"))
 
 
-@register("cohort_effect")
+_PAIR_KEYS = ["model_a", "model_b", "perturbation_id", "severity"]
+
+
+@register("cohort_effect", _family_sql(CELL, _COHORT_ROWS, sqltail.bonferroni()))
 def cohort_effect(spark, sf_dir):
-    return cells.adjust_bonferroni(cells.two_sample_test(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc()))
+    return _tested(cells.adjust_bonferroni(cells.two_sample_test(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc())))
 
 
 def _p_source(spark, sf_dir):
@@ -187,10 +210,10 @@ def adjust_bh(spark, sf_dir):
     return _rounded(cells.adjust_bh(_p_source(spark, sf_dir), family=["l_returnflag"]), 9)
 
 
-@register("pairwise_models")
+@register("pairwise_models", _family_sql(_PAIR_KEYS, _pair_rows(_PAIRS), sqltail.bonferroni()))
 def pairwise_models(spark, sf_dir):
     pairs = cells.model_pairs(_metric(spark, sf_dir), list(study.PRIMARY))
-    return cells.adjust_bonferroni(cells.two_sample_test(pairs, ["model_a", "model_b", "perturbation_id", "severity"], "cosine_similarity", F.col("is_a")))
+    return _tested(cells.adjust_bonferroni(cells.two_sample_test(pairs, _PAIR_KEYS, "cosine_similarity", F.col("is_a"))))
 
 
 @register("pairwise_moments", METRIC_SQL + """, e AS (SELECT a.model AS model_a, b.model AS model_b, perturbation_id, severity, a.m AS mean_a, b.m AS mean_b, a.n AS n_a, b.n AS n_b
@@ -204,10 +227,10 @@ def pairwise_moments(spark, sf_dir):
     return m.select(*keys, "n_a", "n_b", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"))
 
 
-@register("outlier_effect")
+@register("outlier_effect", _family_sql(_PAIR_KEYS, _pair_rows(_OUTLIERS), sqltail.benjamini_hochberg()))
 def outlier_effect(spark, sf_dir):
     pairs = cells.outlier_pairs(_metric(spark, sf_dir), study.OUTLIER, list(study.PRIMARY))
-    return cells.adjust_bh(cells.two_sample_test(pairs, ["model_a", "model_b", "perturbation_id", "severity"], "cosine_similarity", F.col("is_a")))
+    return _tested(cells.adjust_bh(cells.two_sample_test(pairs, _PAIR_KEYS, "cosine_similarity", F.col("is_a"))))
 
 
 @register("outlier_moments", METRIC_SQL + """, g AS (SELECT model, perturbation_id, severity, avg(cosine_similarity) AS m FROM metric GROUP BY ALL)
@@ -219,67 +242,82 @@ def outlier_moments(spark, sf_dir):
     return m.select(*keys, F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"))
 
 
-@register("cohort_effect_cka")
+_CKA_METRIC = _CKA.replace("\nSELECT model, perturbation_id", ",\nmetric AS (SELECT model, perturbation_id", 1) + ")"
+_CKA_COHORT_ROWS = "SELECT model, severity, cohort = 'ACC' AS a, linear_cka AS x FROM metric WHERE cohort <> 'POOLED'"
+_CKA_PAIR_KEYS = ["model_a", "model_b", "severity"]
+
+
+def _cka_pair_rows(pairs: str) -> str:
+    return f"SELECT model_a, model_b, severity, model = model_a AS a, linear_cka AS x FROM metric JOIN {pairs} ON model IN (model_a, model_b) WHERE cohort = 'POOLED'"
+
+
+@register("cohort_effect_cka", _family_sql(["model", "severity"], _CKA_COHORT_ROWS, sqltail.bonferroni(), before=_CKA_METRIC))
 def cohort_effect_cka(spark, sf_dir):
-    return cells.adjust_bonferroni(cells.two_sample_test(cka_table_of(spark, sf_dir).filter("cohort <> 'POOLED'"), ["model", "severity"], "linear_cka", _acc()))
+    return _tested(cells.adjust_bonferroni(cells.two_sample_test(cka_table_of(spark, sf_dir).filter("cohort <> 'POOLED'"), ["model", "severity"], "linear_cka", _acc())))
 
 
-@register("pairwise_models_cka")
+@register("pairwise_models_cka", _family_sql(_CKA_PAIR_KEYS, _cka_pair_rows(_PAIRS), sqltail.bonferroni(), before=_CKA_METRIC))
 def pairwise_models_cka(spark, sf_dir):
     pairs = cells.model_pairs(cka_table_of(spark, sf_dir).filter("cohort = 'POOLED'"), list(study.PRIMARY))
-    return cells.adjust_bonferroni(cells.two_sample_test(pairs, ["model_a", "model_b", "severity"], "linear_cka", F.col("is_a")))
+    return _tested(cells.adjust_bonferroni(cells.two_sample_test(pairs, _CKA_PAIR_KEYS, "linear_cka", F.col("is_a"))))
 
 
-@register("outlier_effect_cka")
+@register("outlier_effect_cka", _family_sql(_CKA_PAIR_KEYS, _cka_pair_rows(_OUTLIERS), sqltail.benjamini_hochberg(), before=_CKA_METRIC))
 def outlier_effect_cka(spark, sf_dir):
     pairs = cells.outlier_pairs(cka_table_of(spark, sf_dir).filter("cohort = 'POOLED'"), study.OUTLIER, list(study.PRIMARY))
-    return cells.adjust_bh(cells.two_sample_test(pairs, ["model_a", "model_b", "severity"], "linear_cka", F.col("is_a")))
+    return _tested(cells.adjust_bh(cells.two_sample_test(pairs, _CKA_PAIR_KEYS, "linear_cka", F.col("is_a"))))
 
 
-@register("shapiro_wilk")
+@register("shapiro_wilk", f"{METRIC_SQL}, src AS (SELECT model, perturbation_id, severity, cohort, cosine_similarity AS x FROM metric), {sqltail.shapiro([*CELL, 'cohort'], 'src')} SELECT model, perturbation_id, severity, cohort, sw_n, round(w, 7) AS w, round(sw_p, 7) AS sw_p FROM sw")
 def shapiro_wilk(spark, sf_dir):
-    return cells.shapiro_wilk(_metric(spark, sf_dir), [*CELL, "cohort"], "cosine_similarity")
+    w = cells.shapiro_wilk(_metric(spark, sf_dir), [*CELL, "cohort"], "cosine_similarity")
+    return _rounded(w, 7)
 
 
 _ANOVA = """g AS (SELECT {g} AS g, count(*) AS n, avg({x}) AS m, var_samp({x}) * (count(*) - 1) AS ss FROM {t} GROUP BY 1),
 s AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS between, sum(ss) AS within FROM g)
-SELECT k, CAST(n AS BIGINT) AS n, round(between / (k - 1) / (within / (n - k)), 4) AS f FROM s"""
+SELECT k, CAST(n AS BIGINT) AS n, round(f, 4) AS f, round(«p», 7) AS p_value FROM (SELECT *, between / (k - 1) / (within / (n - k)) AS f FROM s)""".replace("«p»", sqltail.f_upper("f", "k - 1", "CAST(n - k AS DOUBLE)"))
+
+
+def _anova_sql(group: str, value: str, rows: str) -> str:
+    return _ANOVA.replace("{g}", group).replace("{x}", value).replace("{t}", rows)
 
 
-@register("anova_returnflag", "WITH " + _ANOVA.format(g="l_returnflag", x="l_extendedprice", t="lineitem"))
+@register("anova_returnflag", "WITH " + _anova_sql("l_returnflag", "l_extendedprice", "lineitem"))
 def anova_returnflag(spark, sf_dir):
     a = families.one_way_anova(study.table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
-    return a.select("k", "n", F.round("f", 4).alias("f"))
+    return a.select("k", "n", F.round("f", 4).alias("f"), F.round("p_value", 7).alias("p_value"))
 
 
-@register("anova_models", METRIC_SQL + ", " + _ANOVA.format(g="model", x="cosine_similarity", t="metric"))
+@register("anova_models", METRIC_SQL + ", " + _anova_sql("model", "cosine_similarity", "metric"))
 def anova_models(spark, sf_dir):
     a = families.one_way_anova(_metric(spark, sf_dir), "model", "cosine_similarity")
-    return a.select("k", "n", F.round("f", 4).alias("f"))
+    return a.select("k", "n", F.round("f", 4).alias("f"), F.round("p_value", 7).alias("p_value"))
 
 
 _KW = """v AS (SELECT {g} AS g, {x} AS value, count(*) AS c FROM {t} GROUP BY ALL), d AS (SELECT value, sum(c) AS t FROM v GROUP BY value),
 r AS (SELECT value, t, sum(t) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) - t + (t + 1) / 2.0::DOUBLE AS mid FROM d),
 q AS (SELECT g, sum(c * mid)::DOUBLE AS rs, sum(c)::DOUBLE AS n FROM v JOIN r USING (value) GROUP BY g),
 z AS (SELECT sum(t)::DOUBLE AS total, sum(t * t * t - t)::DOUBLE AS ties FROM d)"""
-_KW_END = " SELECT count(*) AS k, round((12 / (max(total) * (max(total) + 1)) * sum(rs * rs / n) - 3 * (max(total) + 1)) / (1 - max(ties) / (max(total) * max(total) * max(total) - max(total))), 4) AS h FROM q, z"
+_KW_END = " SELECT k, round(h, 4) AS h, round(" + sqltail.chi2_upper("h", "k - 1") + ", 7) AS p_value FROM (SELECT count(*) AS k, (12 / (max(total) * (max(total) + 1)) * sum(rs * rs / n) - 3 * (max(total) + 1)) / (1 - max(ties) / (max(total) * max(total) * max(total) - max(total))) AS h FROM q, z)"
 
 
 @register("kruskal_events", "WITH " + _KW.format(g="event_type", x="round(value, 2)", t="events") + _KW_END)
 def kruskal_events(spark, sf_dir):
     e = study.table(spark, sf_dir, "events").select("event_type", F.round("value", 2).alias("value"))
-    return families.kruskal_wallis(e, "event_type", "value").select("k", F.round("h", 4).alias("h"))
+    return families.kruskal_wallis(e, "event_type", "value").select("k", F.round("h", 4).alias("h"), F.round("p_value", 7).alias("p_value"))
 
 
 @register("kruskal_models", METRIC_SQL + ", " + _KW.format(g="model", x="cosine_similarity", t="metric") + _KW_END)
 def kruskal_models(spark, sf_dir):
-    return families.kruskal_wallis(_metric(spark, sf_dir), "model", "cosine_similarity").select("k", F.round("h", 4).alias("h"))
+    return families.kruskal_wallis(_metric(spark, sf_dir), "model", "cosine_similarity").select("k", F.round("h", 4).alias("h"), F.round("p_value", 7).alias("p_value"))
 
 
-@register("dunn_models", METRIC_SQL + ", " + _KW.format(g="model", x="cosine_similarity", t="metric") + """ SELECT a.g AS group_a, b.g AS group_b,
- round((a.rs / a.n - b.rs / b.n) / sqrt((total * (total + 1) / 12 - ties / (12 * (total - 1))) * (1 / a.n + 1 / b.n)), 5) AS z FROM q a JOIN q b ON a.g < b.g, z""")
+@register("dunn_models", METRIC_SQL + ", " + _KW.format(g="model", x="cosine_similarity", t="metric") + """, dz AS (SELECT a.g AS group_a, b.g AS group_b,
+ (a.rs / a.n - b.rs / b.n) / sqrt((total * (total + 1) / 12 - ties / (12 * (total - 1))) * (1 / a.n + 1 / b.n)) AS dz FROM q a JOIN q b ON a.g < b.g, z)
+ SELECT group_a, group_b, round(dz, 5) AS z, round(least(1.0, count(*) OVER () * """ + sqltail.normal2("dz") + "), 7) AS p_value FROM dz")
 def dunn_models(spark, sf_dir):
-    return families.dunn_posthoc(_metric(spark, sf_dir), "model", "cosine_similarity").select("group_a", "group_b", F.round("z", 5).alias("z"))
+    return families.dunn_posthoc(_metric(spark, sf_dir), "model", "cosine_similarity").select("group_a", "group_b", F.round("z", 5).alias("z"), F.round("p_value", 7).alias("p_value"))
 
 
 @register("interaction_effect", METRIC_SQL + """,
@@ -292,18 +330,27 @@ def interaction_effect(spark, sf_dir):
     return out.filter("term <> 'model'").select("term", F.round("sum_sq", 6).alias("sum_sq"))
 
 
-@register("interaction_table")
+@register("interaction_table", METRIC_SQL + """,
+c AS (SELECT model, cohort, count(*)::DOUBLE AS n, avg(cosine_similarity) AS y, var_samp(cosine_similarity) * (count(*) - 1) AS ss FROM metric GROUP BY ALL),
+m AS (SELECT model, a.n AS n1, b.n AS n2, a.y AS y1, b.y AS y2, a.ss + b.ss AS rss, a.n * b.n / (a.n + b.n) AS w, a.y - b.y AS d FROM c a JOIN c b USING (model) WHERE a.cohort = 'ACC' AND b.cohort = 'GDC'),
+s AS (SELECT sum(w * d) * sum(w * d) / sum(w) AS ssc, sum(w * d * d) - sum(w * d) * sum(w * d) / sum(w) AS ssi, sum(rss) AS rss, count(*) AS k, sum(n1 + n2) AS n,
+   -- the model's: what is explained beyond cohorts alone
+   sum(n1 * y1 * y1 + n2 * y2 * y2) - sum(n1 * y1) * sum(n1 * y1) / sum(n1) - sum(n2 * y2) * sum(n2 * y2) / sum(n2) - (sum(w * d * d) - sum(w * d) * sum(w * d) / sum(w)) AS ssm FROM m),
+t AS (SELECT unnest(['model', 'cohort', 'model:cohort', 'residual']) AS term, unnest([ssm, ssc, ssi, rss]) AS ss, unnest([k - 1, 1, k - 1, n - 2 * k])::DOUBLE AS df, rss / (n - 2 * k) AS mse, (n - 2 * k)::DOUBLE AS dof FROM s)
+SELECT term, round(ss, 6) AS sum_sq, df, round(f, 3) AS f, round(CASE WHEN f IS NOT NULL THEN """ + sqltail.f_upper("f", "df", "dof") + """ END, 7) AS p_value FROM (SELECT *, CASE WHEN term <> 'residual' THEN ss / df / mse END AS f FROM t)""")
 def interaction_table(spark, sf_dir):
-    return families.interaction_effect(_metric(spark, sf_dir), "model", _acc(), "cosine_similarity")
+    out = families.interaction_effect(_metric(spark, sf_dir), "model", _acc(), "cosine_similarity")
+    return out.select("term", F.round("sum_sq", 6).alias("sum_sq"), "df", F.round("f", 3).alias("f"), F.round("p_value", 7).alias("p_value"))
 
 
 @register("effects_by_model", METRIC_SQL + """,
 c AS (SELECT model, perturbation_id, count(*) AS n, avg(cosine_similarity) AS y, var_samp(cosine_similarity) * (count(*) - 1) AS ss FROM metric GROUP BY ALL),
 w AS (SELECT model, CAST(sum(n) AS BIGINT) AS n_tiles, count(*) AS levels, sum(ss) AS rss, max(y) FILTER (perturbation_id = 1) AS y1, max(n) FILTER (perturbation_id = 1) AS n1 FROM c GROUP BY model)
-SELECT model, perturbation_id, n_tiles, round(y - y1, 6) AS coef, round((y - y1) / sqrt(rss / (n_tiles - levels) * (1.0::DOUBLE / n + 1.0::DOUBLE / n1)), 4) AS t FROM c JOIN w USING (model) WHERE perturbation_id <> 1""")
+SELECT model, perturbation_id, n_tiles, round(coef, 6) AS coef, round(tt, 4) AS t, round(p, 7) AS p_value, round(least(1.0, 54 * p), 7) AS p_value_bonferroni FROM (SELECT *, """ + sqltail.student2("tt", "dof") + """ AS p FROM (
+  SELECT model, perturbation_id, n_tiles, y - y1 AS coef, (n_tiles - levels)::DOUBLE AS dof, (y - y1) / sqrt(rss / (n_tiles - levels) * (1.0::DOUBLE / n + 1.0::DOUBLE / n1)) AS tt FROM c JOIN w USING (model) WHERE perturbation_id <> 1))""")
 def effects_by_model(spark, sf_dir):
     e = families.effects_by_group(_metric(spark, sf_dir), "model", "perturbation_id", "cosine_similarity")
-    return e.select("model", "perturbation_id", "n_tiles", F.round("coef", 6).alias("coef"), F.round("t", 4).alias("t"))
+    return e.select("model", "perturbation_id", "n_tiles", F.round("coef", 6).alias("coef"), F.round("t", 4).alias("t"), F.round("p_value", 7).alias("p_value"), F.round("p_value_bonferroni", 7).alias("p_value_bonferroni"))
 
 
 @register("perturbation_effect", METRIC_SQL + """, c AS (SELECT perturbation_id, avg(cosine_similarity) AS y FROM metric GROUP BY ALL)
@@ -355,10 +402,10 @@ def severity_trend(spark, sf_dir):
     return _metric(spark, sf_dir).groupBy(category.alias("category"), "model", "severity").agg(F.round(F.avg("cosine_similarity"), 5).alias("mean"))
 
 
-@register("pairwise_summary")
+@register("pairwise_summary", _family_sql(_PAIR_KEYS, _pair_rows(_PAIRS), "SELECT model_a, model_b, round(avg(cohens_d), 5) AS mean_d, round(100.0 * avg(CAST(significant_bonferroni AS DOUBLE)), 4) AS pct_significant FROM (" + sqltail.bonferroni() + ") WHERE NOT skipped GROUP BY ALL"))
 def pairwise_summary(spark, sf_dir):
     t = pairwise_models(spark, sf_dir).filter("NOT skipped")
-    return t.groupBy("model_a", "model_b").agg(F.avg("cohens_d").alias("mean_d"), (F.avg(F.col("significant_bonferroni").cast("double")) * 100).alias("pct_significant"))
+    return t.groupBy("model_a", "model_b").agg(F.round(F.avg("cohens_d"), 5).alias("mean_d"), F.round(F.avg(F.col("significant_bonferroni").cast("double")) * 100, 4).alias("pct_significant"))
 
 
 @register("tukey_models", METRIC_SQL + """, g AS (SELECT model, avg(cosine_similarity) AS m FROM metric GROUP BY 1)
@@ -375,12 +422,15 @@ def model_effect(spark, sf_dir):
     return families.dunn_posthoc(metric, "model", "cosine_similarity").crossJoin(F.broadcast(whole))  # one row
 
 
-@register("family_effect")
+_FAMILY = """SELECT 'p07' AS condition, model IN ('uni', 'gigapath_tile') AS a, cosine_similarity AS x FROM metric WHERE perturbation_id = 7"""
+
+
+@register("family_effect", _family_sql(["condition"], _FAMILY, """SELECT * REPLACE (round(p_value, 7) AS p_value), CASE WHEN skipped THEN NULL WHEN p_value >= 0.05 THEN 'no_difference' WHEN mean_a > mean_b THEN 'vision_higher' ELSE 'language_higher' END AS observed FROM tested""", 10))
 def family_effect(spark, sf_dir):
     """One perturbation's similarities pooled by model family and compared."""
     family = {"uni": "vision", "gigapath_tile": "vision", "conch": "language", "quilt_llava": "language"}
     rows = _metric(spark, sf_dir).withColumn("condition", F.format_string("p%02d", F.col("perturbation_id")))
-    return families.family_condition_test(rows, "model", family, "vision", "language", "condition", "p07", "cosine_similarity")
+    return _tested(families.family_condition_test(rows, "model", family, "vision", "language", "condition", "p07", "cosine_similarity"))
 
 
 @register("study_cka_ranks", _CKA.replace("SELECT model, perturbation_id, severity, cohort, max(n)", "SELECT model, severity, count(*) AS n FROM (SELECT model, perturbation_id, severity, cohort, max(n)") + ") WHERE cohort = 'POOLED' GROUP BY ALL")

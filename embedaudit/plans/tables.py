@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from embedaudit.functions import text
-from embedaudit.operators import kernels, ledgers, matching, slides
+from embedaudit.operators import families, kernels, ledgers, matching, slides
 from embedaudit.sources import study
 
+from . import sqltail
 from .registry import register
 
 T = study.table
@@ -78,15 +79,33 @@ def best_per_case(spark, sf_dir):
     return matching.best_per_case(_scored(spark, sf_dir)).select("case_id", "candidate_id", "score")
 
 
-@register("assign_unique")
+#: Candidates are wanted ten to a case, so the first 20 of a tier come first and the rest when these are used.
+_WANTED = 10
+_FETCHED = _TIERED.replace(
+    "scored AS (SELECT case_id, candidate_id, tier,", "scored AS MATERIALIZED (SELECT case_id, candidate_id, tier, place > 20 AS retry,"
+)
+_ASSIGNED = _FETCHED.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+turn AS MATERIALIZED (SELECT case_id, row_number() OVER (ORDER BY case_id) AS i FROM (SELECT DISTINCT case_id FROM scored)),
+wish AS MATERIALIZED (SELECT i, t.case_id, list(candidate_id ORDER BY retry, score, candidate_id) AS w FROM scored JOIN turn t USING (case_id) GROUP BY ALL),
+step AS (SELECT 0::BIGINT AS i, CAST(NULL AS BIGINT) AS case_id, CAST(NULL AS BIGINT) AS candidate_id, []::BIGINT[] AS used
+  UNION ALL SELECT w.i, w.case_id, list_filter(w.w, lambda x: NOT list_contains(s.used, x))[1]::BIGINT, list_append(s.used, list_filter(w.w, lambda x: NOT list_contains(s.used, x))[1]::BIGINT) FROM step s JOIN wish w ON w.i = s.i + 1),
+assigned AS (SELECT case_id, candidate_id FROM step WHERE candidate_id IS NOT NULL)"""
+
+
+def _wanted(spark, sf_dir):
+    return matching.scored(matching.tiered(study.cases(spark, sf_dir), study.candidates(spark, sf_dir), size=_WANTED))
+
+
+@register("assign_unique", _ASSIGNED + " SELECT case_id, candidate_id FROM assigned")
 def assign_unique(spark, sf_dir):
-    return matching.assign_unique(_scored(spark, sf_dir).select("case_id", "candidate_id", "score"))
+    return matching.assign_unique(_wanted(spark, sf_dir))
 
 
-@register("match_manifest")
+@register("match_manifest", _ASSIGNED + """ SELECT c.case_id, site, sex, age, diagnosis, a.candidate_id, s.tier, s.age_delta, s.score, CASE WHEN a.candidate_id IS NULL THEN 'NO_MATCH' ELSE 'MATCHED' END AS status
+ FROM cases c LEFT JOIN assigned a USING (case_id) LEFT JOIN scored s ON s.case_id = a.case_id AND s.candidate_id = a.candidate_id""")
 def match_manifest(spark, sf_dir):
-    pairs = _scored(spark, sf_dir)
-    return matching.match_manifest(study.cases(spark, sf_dir), pairs, matching.assign_unique(pairs.select("case_id", "candidate_id", "score")))
+    pairs = _wanted(spark, sf_dir)
+    return matching.match_manifest(study.cases(spark, sf_dir), pairs, matching.assign_unique(pairs))
 
 
 @register("grid_pairs", """SELECT vec_id, CAST(p AS INTEGER) AS perturbation_id, ['mild','moderate','severe'][s] AS severity FROM embeddings, range(1, 19) a(p), range(1, 4) b(s)""")
@@ -308,19 +327,31 @@ def diagnostics(spark, sf_dir):
     return kernels.diagnostics(study.tiles(spark, sf_dir), study.grid(spark))
 
 
-@register("held_out_pairs", f"""WITH {_TILES}, c AS (SELECT sample_id, red, list_transform(range(0, 64), lambda i: red[(i // 8) * 8 + (7 - i % 8) + 1]) AS h, list_transform(range(0, 64), lambda i: red[(7 - i // 8) * 8 + i % 8 + 1]) AS v FROM tile),
- s AS (SELECT sample_id, round(list_dot_product(list_transform(red, lambda x: x::DOUBLE), list_transform(h, lambda x: x::DOUBLE)) / list_dot_product(list_transform(red, lambda x: x::DOUBLE), list_transform(red, lambda x: x::DOUBLE)), 6) AS x,
-   round(list_dot_product(list_transform(red, lambda x: x::DOUBLE), list_transform(v, lambda x: x::DOUBLE)) / list_dot_product(list_transform(red, lambda x: x::DOUBLE), list_transform(red, lambda x: x::DOUBLE)), 6) AS y FROM c)
- SELECT substr(sample_id, 1, 3) AS cohort, count(*) AS n_pairs, count(*) FILTER (x > y) AS n_pos, count(*) FILTER (x < y) AS n_neg, round(median(x), 6) AS median_a, round(median(y), 6) AS median_b,
- round((count(*) FILTER (x > y) - count(*) FILTER (x < y)) / (count(*) FILTER (x <> y))::DOUBLE, 6) AS cohens_2g FROM s GROUP BY 1""")
+_HELD_OUT = f"""WITH {_TILES}, c AS (SELECT sample_id, red, list_transform(range(0, 64), lambda i: red[(i // 8) * 8 + (7 - i % 8) + 1]) AS h, list_transform(range(0, 64), lambda i: red[(7 - i // 8) * 8 + i % 8 + 1]) AS v FROM tile),
+ s AS (SELECT substr(sample_id, 1, 3) AS cohort, round(list_dot_product(list_transform(red, lambda x: x::DOUBLE), list_transform(h, lambda x: x::DOUBLE)) / list_dot_product(list_transform(red, lambda x: x::DOUBLE), list_transform(red, lambda x: x::DOUBLE)), 6) AS x,
+   round(list_dot_product(list_transform(red, lambda x: x::DOUBLE), list_transform(v, lambda x: x::DOUBLE)) / list_dot_product(list_transform(red, lambda x: x::DOUBLE), list_transform(red, lambda x: x::DOUBLE)), 6) AS y FROM c),
+ d AS (SELECT cohort, abs(round(x - y, 9)) AS v, x > y AS up FROM s WHERE x <> y),
+ g AS (SELECT cohort, v, count(*) AS t, count(*) FILTER (up) AS p FROM d GROUP BY ALL),
+ r AS (SELECT *, sum(t) OVER (PARTITION BY cohort ORDER BY v ROWS UNBOUNDED PRECEDING) - t + (t + 1) / 2.0::DOUBLE AS mid FROM g),
+ w AS (SELECT cohort, sum(p * mid) AS plus, sum((t - p) * mid) AS minus, sum(t)::DOUBLE AS n, sum(t * t * t - t)::DOUBLE AS ties FROM r GROUP BY 1),
+ z AS (SELECT *, (least(plus, minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM w),
+ o AS (SELECT cohort, count(*) AS n_pairs, count(*) FILTER (x > y) AS n_pos, count(*) FILTER (x < y) AS n_neg, round(median(x), 6) AS median_a, round(median(y), 6) AS median_b, round(median(round(x - y, 9)), 6) + 0.0 AS median_diff,
+   round((count(*) FILTER (x > y) - count(*) FILTER (x < y)) / (count(*) FILTER (x <> y))::DOUBLE, 6) AS cohens_2g FROM s GROUP BY 1)"""
+
+
+@register("held_out_pairs", _HELD_OUT + " SELECT cohort, n_pairs, n_pos, n_neg, median_a, median_b, cohens_2g FROM o")
 def held_out_pairs(spark, sf_dir):
     w = kernels.held_out_test(study.tiles(spark, sf_dir))
     return w.select("cohort", "n_pairs", "n_pos", "n_neg", *[F.round(c, 6).alias(c) for c in ("median_a", "median_b", "cohens_2g")])
 
 
-@register("held_out_test")
+@register("held_out_test", _HELD_OUT + f""", q AS (SELECT o.*, round(least(plus, minus), 1) AS w, round(z, 5) AS z, {sqltail.normal2("z")} AS p FROM o JOIN z USING (cohort))
+ SELECT * EXCLUDE (p), round(p, 7) AS p_value, CASE WHEN p >= 0.05 THEN 'no_difference' WHEN median_diff > 0 THEN 'flip_h_higher' ELSE 'flip_v_higher' END AS observed, 'no_difference' AS predicted,
+ CASE WHEN p >= 0.05 THEN 'no_difference' WHEN median_diff > 0 THEN 'flip_h_higher' ELSE 'flip_v_higher' END = 'no_difference' AS confirmed FROM q""")
 def held_out_test(spark, sf_dir):
-    return kernels.held_out_test(study.tiles(spark, sf_dir))
+    """The paired test with what it shows beside what was predicted for the cohort (no difference)."""
+    w = families.with_prediction(kernels.held_out_test(study.tiles(spark, sf_dir)), "flip_h", "flip_v", F.lit("no_difference"))
+    return w.select("cohort", "n_pairs", "n_pos", "n_neg", F.round("w", 1).alias("w"), F.round("z", 5).alias("z"), F.round("p_value", 7).alias("p_value"), *[(F.round(c, 6) + 0.0).alias(c) for c in ("median_a", "median_b", "median_diff", "cohens_2g")], "observed", "predicted", "confirmed")
 
 
 @register("folder_paths", """WITH RECURSIVE folder(id, path) AS (SELECT r_regionkey, r_name FROM region),
@@ -370,7 +401,10 @@ def weighted_means(spark, sf_dir):
     return g.select("l_suppkey", "l_returnflag", F.round((F.col("a") * F.col("n_a") + F.col("b") * F.col("n_b")) / (F.col("n_a") + F.col("n_b")), 6).alias("mean"))
 
 
-@register("match_series")
+@register("match_series", f"""WITH {_CASES},
+s AS (SELECT s_suppkey AS series_id, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_nationkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex, CAST(floor(abs(s_acctbal) / 100) AS DOUBLE) AS age, CASE WHEN s_suppkey % 2 = 0 THEN 'malignant' ELSE 'benign' END AS diagnosis FROM supplier)
+SELECT case_id, series_id, score FROM (SELECT c.case_id, s.series_id, CASE WHEN c.diagnosis = s.diagnosis THEN 0.0::DOUBLE ELSE 10.0::DOUBLE END + coalesce(abs(nullif(c.age, 0) - nullif(s.age, 0)), 25.0::DOUBLE) AS score
+  FROM cases c JOIN s ON s.sex IS NULL OR s.sex = c.sex) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score, series_id) = 1""")
 def match_series(spark, sf_dir):
     """Suppliers as series: sex by nation's parity, none for every third; ages as the series write them."""
     key = F.col("s_suppkey")
