@@ -7,7 +7,7 @@ perturbation and severity, so a task that is run again gives the same pixels.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +95,30 @@ def grid_means(pixels: str, edge: int = EDGE, cells: int = 4) -> Column:
 # --- numpy kernels: (rows, columns, 3) floats in 0..255 and the severity's place, 0 to 2
 
 
+class Draws:
+    """Numbers drawn by counting on from a text's digest: the same for a text in every run, task and engine."""
+
+    def __init__(self, text: str):
+        self.seed, self.at = np.uint64(int(hashlib.md5(text.encode()).hexdigest()[:8], 16) << 32), 0
+
+    def random(self, shape) -> np.ndarray:
+        """Uniform in (0, 1)."""
+        n = int(np.prod(shape))
+        z = self.seed + np.arange(self.at, self.at + n, dtype=np.uint64)
+        self.at += n
+        # fixed values of the published mixing function (SplitMix64)
+        z = z + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        return (((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53).reshape(shape)
+
+    def normal(self, mean: float, sigma: float, shape) -> np.ndarray:
+        """Two uniform draws for each value."""
+        u = self.random((int(np.prod(shape)), 2))
+        return mean + sigma * (np.sqrt(-2 * np.log(u[:, 0])) * np.cos(2 * np.pi * u[:, 1])).reshape(shape)
+
+
 def _hsv(x: np.ndarray) -> np.ndarray:
     """Hue in degrees, saturation and value in 0..1."""
     x = x / 255.0
@@ -180,22 +204,79 @@ def _scale(x, s, rng):
     return np.where(inside[..., None], _sampled(x, rows, cols), 255)
 
 
+def _mirrored(x: np.ndarray, n: int) -> np.ndarray:
+    """Places outside 0 to n - 1 reflected at the outermost pixels."""
+    period = max(2 * (n - 1), 1)
+    x = np.abs(x) % period
+    return np.where(x > n - 1, period - x, x)
+
+
 def _elastic(x, s, rng):
     n, m = x.shape[:2]
     moves = rng.normal(0, (0.5, 1.25, 2.0)[s], (3, 3, 2))
     at = np.meshgrid(np.linspace(0, 2, n), np.linspace(0, 2, m), indexing="ij")
     field = _sampled(moves, *at)
     rows, cols = np.meshgrid(np.arange(n), np.arange(m), indexing="ij")
-    return _sampled(x, rows + field[..., 0], cols + field[..., 1])
+    return _sampled(x, _mirrored(rows + field[..., 0], n), _mirrored(cols + field[..., 1], m))
+
+
+def _area(x: np.ndarray, by: int) -> np.ndarray:
+    n, m = x.shape[0] // by, x.shape[1] // by
+    return x[: n * by, : m * by].reshape(n, by, m, by, 3).mean((1, 3))
 
 
 def _coarse(x, s, rng):
     """Area means over blocks, then bilinear back."""
     by = (2, 4, 8)[s]
-    n, m = x.shape[0] // by, x.shape[1] // by
-    small = x[: n * by, : m * by].reshape(n, by, m, by, 3).mean((1, 3))
     rows, cols = np.meshgrid((np.arange(x.shape[0]) + 0.5) / by - 0.5, (np.arange(x.shape[1]) + 0.5) / by - 0.5, indexing="ij")
-    return _sampled(small, rows, cols)
+    return _sampled(_area(x, by), rows, cols)
+
+
+def _cubic(x: np.ndarray, a: float) -> np.ndarray:
+    x = np.abs(x)
+    return np.where(x <= 1, ((a + 2) * x - (a + 3)) * x * x + 1, np.where(x < 2, (((x - 5) * x + 8) * x - 4) * a, 0))
+
+
+def _cubic_weights(size: int, into: int, a: float, smooth: bool) -> np.ndarray:
+    """Weights of ``size`` pixels (columns) in each of ``into`` (rows). With ``smooth`` the kernel widens when pixels
+    become fewer and weights of what lies outside are dealt to the rest; else outer pixels are repeated."""
+    step = size / into
+    wide = max(step, 1.0) if smooth else 1.0
+    out = np.zeros((into, size))
+    for k in range(into):
+        centre = (k + 0.5) * step - 0.5
+        at = np.arange(int(np.floor(centre - 2 * wide)), int(np.ceil(centre + 2 * wide)) + 1)
+        w = _cubic((at - centre) / wide, a)
+        if smooth:
+            w = np.where((at >= 0) & (at < size), w, 0)
+        np.add.at(out[k], np.clip(at, 0, size - 1), w)
+        out[k] /= out[k].sum()
+    return out
+
+
+def _coarse_cubic(x, s, rng):
+    """Area means over blocks, then bicubic back."""
+    small = _area(x, (2, 4, 8)[s])
+    rows, cols = (_cubic_weights(small.shape[k], x.shape[k], -0.75, False) for k in range(2))
+    return np.einsum("ra,abc,sb->rsc", rows, small, cols, optimize=True)
+
+
+def fit_tile(x: np.ndarray, edge: int = 224) -> np.ndarray:
+    """An image of any size as ``edge`` x ``edge`` pixels, bicubic; one of that size stays as it is."""
+    if x.shape[:2] == (edge, edge):
+        return x
+    rows, cols = (_cubic_weights(x.shape[k], edge, -0.5, True) for k in range(2))
+    return _bytes(np.einsum("ra,abc,sb->rsc", rows, x.astype(float), cols, optimize=True))
+
+
+def fine_rotation(x: np.ndarray, s: int) -> np.ndarray:
+    """5, 10 or 15 degrees counter-clockwise about the centre, bilinear, white outside; not part of the registry."""
+    angle = np.radians((5, 10, 15)[s])
+    n, m = x.shape[:2]
+    dr, dc = np.meshgrid(np.arange(n) - (n - 1) / 2, np.arange(m) - (m - 1) / 2, indexing="ij")
+    rows, cols = dr * np.cos(angle) + dc * np.sin(angle) + (n - 1) / 2, dc * np.cos(angle) - dr * np.sin(angle) + (m - 1) / 2
+    inside = (rows >= 0) & (rows <= n - 1) & (cols >= 0) & (cols <= m - 1)
+    return _bytes(np.where(inside[..., None], _sampled(x.astype(float), rows, cols), 255))
 
 
 def _smoother(x, s, rng):
@@ -211,30 +292,45 @@ def gray(x: np.ndarray) -> np.ndarray:
 
 
 def _contrast(x, s, rng):
-    factor, level = (0.7, 1.0, 1.3)[s], np.floor(gray(x).mean() + 0.5)
+    factor, level = (0.7, 1.0, 1.3)[s], np.floor(np.round(gray(x).mean(), 9) + 0.5)
     return level + factor * (x - level)
 
 
-def _block_quantised(x, s, rng):
-    """The lossy part of a JPEG round trip: 8 x 8 cosine coefficients of luma and chroma, quantised by quality."""
-    quality = (80, 50, 20)[s]
-    scale = (5000 / quality if quality < 50 else 200 - 2 * quality) / 100
+# The quantisation tables of the JPEG standard's annex, luma and chroma.
+LUMA = """16 11 10 16 24 40 51 61 12 12 14 19 26 58 60 55 14 13 16 24 40 57 69 56 14 17 22 29 51 87 80 62
+18 22 37 56 68 109 103 77 24 35 55 64 81 104 113 92 49 64 78 87 103 121 120 101 72 92 95 98 112 100 103 99"""
+CHROMA = """17 18 24 47 99 99 99 99 18 21 26 66 99 99 99 99 24 26 56 99 99 99 99 99 47 66 99 99 99 99 99 99
+99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99"""
+#: Rows: luma and the two chroma planes of red, green and blue.
+PLANES = ((0.299, 0.587, 0.114), (-0.168736, -0.331264, 0.5), (0.5, -0.418688, -0.081312))
+JPEG_QUALITY = (80, 50, 20)
+
+
+def jpeg_steps(table: str, quality: int) -> list[int]:
+    """A table's 64 quantisation steps at a quality from 1 to 100."""
+    scale = 5000 // quality if quality < 50 else 200 - 2 * quality
+    return [min(max((int(v) * scale + 50) // 100, 1), 255) for v in table.split()]
+
+
+def _jpeg(x, s, rng):
+    """The lossy part of a JPEG round trip: 8 x 8 cosine coefficients of luma and chroma, quantised by quality. Sides
+    that are no multiple of 8 are continued by their last pixels. Chroma keeps its resolution."""
     k = np.arange(8)
     basis = np.sqrt(np.where(k[:, None] == 0, 1, 2) / 8) * np.cos((2 * k + 1) * k[:, None] * np.pi / 16)
-    step = np.maximum(1, np.floor((8 + 6 * (k[:, None] + k)) * scale + 0.5))
-    to = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
-    y = x @ to.T
+    steps = np.stack([np.reshape(jpeg_steps(t, JPEG_QUALITY[s]), (8, 8)) for t in (LUMA, CHROMA, CHROMA)], -1)
+    to = np.array(PLANES)
+    n, m = x.shape[:2]
+    y = np.pad(x, ((0, -n % 8), (0, -m % 8), (0, 0)), mode="edge") @ to.T
     y[..., 0] -= 128
-    n, m = x.shape[0] // 8 * 8, x.shape[1] // 8 * 8
-    blocks = y[:n, :m].reshape(n // 8, 8, m // 8, 8, 3)
-    c = np.einsum("ia,pajbc,kb->pijkc", basis, blocks.transpose(0, 1, 2, 3, 4), basis, optimize=True)
-    c = np.round(c / step[None, :, None, :, None]) * step[None, :, None, :, None]
-    y[:n, :m] = np.einsum("ia,pijkc,kb->pajbc", basis, c, basis, optimize=True).reshape(n, m, 3)
+    blocks = y.reshape(y.shape[0] // 8, 8, y.shape[1] // 8, 8, 3)
+    c = np.einsum("ia,pajbc,kb->pijkc", basis, blocks, basis, optimize=True) / steps[None, :, None]
+    c = np.floor(np.round(c, 6) + 0.5) * steps[None, :, None]
+    y = np.einsum("ia,pijkc,kb->pajbc", basis, c, basis, optimize=True).reshape(y.shape)
     y[..., 0] += 128
-    return y @ np.linalg.inv(to).T
+    return (y @ np.linalg.inv(to).T)[:n, :m]
 
 
-#: id -> name, category, kernel.
+#: id -> name, category, kernel. Ids, names and categories are those of the audited study.
 REGISTRY = {
     1: ("HE_Intensity_Variation", "colour_staining", _scaled(2, (1.10, 1.25, 1.40))),
     2: ("Colour_Channel_Shift", "colour_staining", lambda x, s, rng: x + (5, 15, 30)[s]),
@@ -245,25 +341,37 @@ REGISTRY = {
     7: ("Motion_Blur", "imaging_artefacts", _motion),
     8: ("Gaussian_Noise", "imaging_artefacts", lambda x, s, rng: x + rng.normal(0, (5, 15, 30)[s], x.shape)),
     9: ("Salt_Pepper_Noise", "imaging_artefacts", _salt_pepper),
-    10: ("JPEG_Compression", "imaging_artefacts", _block_quantised),
+    10: ("JPEG_Compression", "imaging_artefacts", _jpeg),
     11: ("Rotation", "geometric", lambda x, s, rng: np.rot90(x, s + 1)),
     12: ("Scaling", "geometric", _scale),
     13: ("Elastic_Deformation", "geometric", _elastic),
     14: ("Downsample_Upsample", "resolution_quality", _coarse),
-    15: ("Resolution_Degradation_MPP", "resolution_quality", _coarse),
+    15: ("Resolution_Degradation_MPP", "resolution_quality", _coarse_cubic),
     16: ("Sharpness_Reduction", "resolution_quality", _smoother),
     17: ("Brightness_Adjustment", "lighting", lambda x, s, rng: x * (0.7, 1.0, 1.3)[s]),
     18: ("Contrast_Adjustment", "lighting", _contrast),
 }
 
 
+def register(perturbation_id: int, name: str, category: str, kernel) -> None:
+    """Adds a kernel ``(pixels, severity's place, draws) -> pixels`` to the registry of this process, and of the workers
+    that import the module which registers it. An id that is taken is an error."""
+    if perturbation_id in REGISTRY:
+        raise ValueError(f"perturbation {perturbation_id} is {REGISTRY[perturbation_id][0]}")
+    REGISTRY[perturbation_id] = (name, category, kernel)
+
+
+def _bytes(x: np.ndarray) -> np.ndarray:
+    """Rounded half up; what differs from a half by rounding errors only counts as one."""
+    return np.clip(np.floor(np.round(x, 6) + 0.5), 0, 255).astype(np.uint8)
+
+
 def apply(tile: np.ndarray, perturbation_id: int, severity: str, seed: str = "") -> np.ndarray:
     """One tile (rows, columns, 3) of bytes through one kernel; the same seed gives the same bytes."""
     place = SEVERITIES.index(severity)
     if perturbation_id == 3 and place == 1:
         return tile  # as defined: moderate saturation is the identity
-    rng = np.random.default_rng(zlib.crc32(f"{seed}|{perturbation_id}|{severity}".encode()))
-    return np.clip(np.floor(REGISTRY[perturbation_id][2](tile.astype(float), place, rng) + 0.5), 0, 255).astype(np.uint8)
+    return _bytes(REGISTRY[perturbation_id][2](tile.astype(float), place, Draws(f"{seed}|{perturbation_id}|{severity}")))
 
 
 def laplacian_var(x: np.ndarray) -> float:
@@ -284,17 +392,19 @@ def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
 
 def _measured(a: np.ndarray, b: np.ndarray) -> list[float | None]:
     base, var, mse, g = laplacian_var(a), laplacian_var(b), float(((a.astype(float) - b) ** 2).mean()), gray(b.astype(float))
-    share = np.bincount(np.floor(g + 0.5).astype(int).ravel(), minlength=256) / g.size
+    share = np.bincount(np.floor(np.round(g, 6) + 0.5).astype(int).ravel(), minlength=256) / g.size
     share = share[share > 0]
-    return [var, 100 * var / base if base > 0 else None, ssim(a, b), 10 * np.log10(65025 / mse) if mse else float("inf"), float(np.abs(a.astype(float) - b).mean()), float(-(share * np.log2(share)).sum()), float(g.mean()), float(g.std())]
+    return [var, 100 * var / base if base > 0 else float("nan"), ssim(a, b), 10 * np.log10(65025 / mse) if mse else float("inf"), float(np.abs(a.astype(float) - b).mean()), float(-(share * np.log2(share)).sum()), float(g.mean()), float(g.std())]
 
 
 _METRICS = ["laplacian_var", "laplacian_pct_of_orig", "ssim", "psnr", "mean_abs_diff", "entropy", "mean_intensity", "std_intensity"]
 
 
-def _job(tiles: DataFrame, grid: DataFrame, names: list[str], kinds: list, work) -> DataFrame:
+def _job(tiles: DataFrame, grid: DataFrame, names: list[str], kinds: list, work, done: DataFrame | None = None) -> DataFrame:
     """Every tile through every cell of the grid (a table of some dozen rows); an exception is an ERROR row."""
     rows = tiles.select("sample_id", "red", "green", "blue").crossJoin(F.broadcast(grid.select("perturbation_id", "severity")))
+    if done is not None:
+        rows = rows.join(done, ["sample_id", "perturbation_id", "severity"], "left_anti").select("sample_id", "red", "green", "blue", "perturbation_id", "severity")
 
     def run(batches):
         for batch in batches:
@@ -315,9 +425,17 @@ def _job(tiles: DataFrame, grid: DataFrame, names: list[str], kinds: list, work)
     return rows.mapInArrow(run, schema)
 
 
-def perturb(tiles: DataFrame, grid: DataFrame) -> DataFrame:
-    """``sample_id, perturbation_id, severity, status, notes, data``: pixels row by row, three bytes each."""
-    return _job(tiles, grid, ["data"], [pa.binary()], lambda a, b: [np.ascontiguousarray(b).tobytes()])
+def perturb(tiles: DataFrame, grid: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """``sample_id, perturbation_id, severity, status, notes, data``: pixels row by row, three bytes each.
+
+    Cells that ``done`` (an earlier result) holds with status DONE are not computed again: their rows say
+    SKIPPED_EXISTING and have no data."""
+    made = lambda d: _job(tiles, grid, ["data"], [pa.binary()], lambda a, b: [np.ascontiguousarray(b).tobytes()], d)
+    if done is None:
+        return made(None)
+    held = done.filter("status = 'DONE'").select("sample_id", "perturbation_id", "severity").distinct()
+    skipped = held.select("*", F.lit("SKIPPED_EXISTING").alias("status"), F.lit("").alias("notes"), F.lit(None).cast("binary").alias("data"))
+    return made(held).unionByName(skipped)
 
 
 def diagnostics(tiles: DataFrame, grid: DataFrame) -> DataFrame:
