@@ -15,6 +15,8 @@ from embedaudit.functions import tails
 
 #: Share of the larger sample that the normality test looks at, at most.
 NORMALITY_ROWS = 5000
+#: Values of the smaller group up to which U's distribution is counted out.
+EXACT = 8
 
 
 def drop_missing(df: DataFrame, metric: str) -> DataFrame:
@@ -131,7 +133,8 @@ def two_sample_test(df: DataFrame, keys: list[str], metric: str, side: Column, l
     """One row for each cell: Welch's t where both groups are normal by Shapiro-Wilk, else Mann-Whitney.
 
     Cells whose groups are both constant get no test: p = 1 for equal constants, else 0. Cells with fewer than
-    ``least`` values in a group are rows too, with ``skipped`` and nulls. Missing values are left out first.
+    ``least`` values in a group are rows too, with ``skipped``, a ``reason`` and nulls. Missing values are left out
+    first.
     """
     marked = drop_missing(df, metric).withColumn("__a", side)
     side = F.col("__a")
@@ -144,19 +147,40 @@ def two_sample_test(df: DataFrame, keys: list[str], metric: str, side: Column, l
     constant = (F.col("var_a") == 0) & (F.col("var_b") == 0)
     equal = F.col("mean_a") == F.col("mean_b")
     normal = F.coalesce((F.col("p_sw_a") > alpha) & (F.col("p_sw_b") > alpha), F.lit(False))
+    # as the usual library does: exact where a group has 8 values at most and none are tied
+    few = (F.least("n_a", "n_b") <= EXACT) & (F.col("tie_term") == 0)
     infinite = F.when(F.col("mean_a") > F.col("mean_b"), float("inf")).otherwise(float("-inf"))
     test = F.when(constant & equal, "zero_variance_identical").when(constant, "zero_variance_distinct_constants").when(normal, "welch_t").otherwise("mann_whitney_u")
     statistic = F.when(constant & equal, 0.0).when(constant, infinite).when(normal, F.col("t")).otherwise(F.col("u"))
-    p = F.when(constant & equal, 1.0).when(constant, 0.0).when(normal, tails.student_two_sided(F.col("t"), F.col("df"))).otherwise(F.least(F.lit(1.0), tails.erfc(F.col("u_z") / F.sqrt(F.lit(2.0)))))
+    p = F.when(constant & equal, 1.0).when(constant, 0.0).when(normal, tails.student_two_sided(F.col("t"), F.col("df"))).when(few, tails.mann_whitney_exact(F.when(few, F.col("u")), F.col("n_a"), F.col("n_b"))).otherwise(F.least(F.lit(1.0), tails.erfc(F.col("u_z") / F.sqrt(F.lit(2.0)))))
     d = F.when(constant, 0.0).otherwise(cohens_d())
+    reason = F.when(skipped, F.format_string(f"n_a=%d, n_b=%d: fewer than {least} values", F.col("n_a"), F.col("n_b")))
     shown = lambda c, unless=F.lit(False): F.when(~skipped & ~unless, c)
     return j.select(
         *keys, shown(test).alias("test_used"), shown(statistic).alias("statistic"), shown(p).alias("p_value"), shown(d).alias("cohens_d"), shown(effect_size_label(d)).alias("effect_size"),
         "n_a", "n_b", shown(F.col("mean_a")).alias("mean_a"), shown(F.col("mean_b")).alias("mean_b"), shown(F.col("p_sw_a"), constant).alias("shapiro_p_a"),
-        shown(F.col("p_sw_b"), constant).alias("shapiro_p_b"), shown(normal & ~constant).alias("both_groups_normal"), skipped.alias("skipped"),
+        shown(F.col("p_sw_b"), constant).alias("shapiro_p_b"), shown(normal & ~constant).alias("both_groups_normal"), skipped.alias("skipped"), reason.alias("reason"),
     )
 
 
+def min_n_gate(df: DataFrame, least: int = 3, mode: str = "record") -> DataFrame:
+    """Cells with ``n_a`` or ``n_b`` below ``least``: marked ``skipped`` with a ``reason`` (record), or left out (drop)."""
+    low = F.least("n_a", "n_b") < least
+    if mode == "drop":
+        return df.filter(~low)
+    return df.withColumn("skipped", low).withColumn("reason", F.when(low, F.format_string(f"n_a=%d, n_b=%d: fewer than {least} values", F.col("n_a"), F.col("n_b"))))
+
+
+def pooled_only(df: DataFrame, cohort: str = "cohort") -> DataFrame:
+    """Rows of all cohorts together, for tests that don't compare cohorts."""
+    return df.filter(F.col(cohort) == "POOLED")
+
+
+def cohorts_only(df: DataFrame, cohort: str = "cohort") -> DataFrame:
+    """Rows of single cohorts: with the pooled ones every value would count twice."""
+    return df.filter(F.col(cohort) != "POOLED")
+
+
 def adjust_bonferroni(df: DataFrame, p: str = "p_value", family: list[str] | None = None, tests: int | None = None, alpha: float = 0.05) -> DataFrame:
     """``p_value_bonferroni`` and ``significant_bonferroni``: p times the family's tested rows (or ``tests``), at most 1."""
     count = F.lit(tests) if tests else F.count(p).over(Window.partitionBy(*(family or [])))

@@ -16,6 +16,10 @@ from . import prefix
 from .cells import drop_missing
 
 
+#: Differences up to which the signed ranks' distribution is counted out.
+EXACT = 50
+
+
 def group_stats(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
     x = F.col(metric).cast("double")
     return drop_missing(df, metric).groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.coalesce(F.var_samp(x) * (F.count(x) - 1), F.lit(0.0)).alias("ss"))
@@ -115,29 +119,99 @@ def effects_by_group(df: DataFrame, group: str, level: str, metric: str, referen
     return out.withColumn("p_value_bonferroni", F.least(F.lit(1.0), F.col("p_value") * tests)).withColumn("significant_bonferroni", F.col("p_value") * tests <= alpha)
 
 
+def _reml(cells: pd.DataFrame, reference: int) -> pd.DataFrame:
+    """Fit of a random intercept from sums of cells (group, level, n, mean, ss), balanced or not.
+
+    The variance ratio is found on the profile of the restricted likelihood; all else has a closed form given it.
+    """
+    levels, groups = sorted(cells["level"].unique()), sorted(cells["group"].unique())
+    n, total = np.zeros((len(groups), len(levels))), np.zeros((len(groups), len(levels)))
+    for g, l, k, m in cells[["group", "level", "n", "mean"]].itertuples(index=False):
+        n[groups.index(g), levels.index(l)] += k
+        total[groups.index(g), levels.index(l)] += k * m
+    yy, size, p = float((cells["ss"] + cells["n"] * cells["mean"] ** 2).sum()), n.sum(), len(levels)
+
+    def fit(ratio: float):
+        shrink = ratio / (1 + ratio * n.sum(1))
+        a = np.diag(n.sum(0)) - (n * shrink[:, None]).T @ n
+        b = total.sum(0) - (n * (shrink * total.sum(1))[:, None]).sum(0)
+        beta = np.linalg.solve(a, b)
+        rss = yy - float((shrink * total.sum(1) ** 2).sum()) - float(b @ beta)
+        sigma2 = max(rss, 1e-300) / (size - p)
+        deviance = (size - p) * math.log(sigma2) + np.log1p(ratio * n.sum(1)).sum() + np.linalg.slogdet(a)[1]
+        return deviance, beta, sigma2, np.linalg.inv(a)
+
+    grid = np.linspace(-25, 10, 141)
+    found = [fit(math.exp(x))[0] for x in grid]
+    k = int(np.argmin(found))
+    low, high = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
+    golden = (math.sqrt(5) - 1) / 2
+    for _ in range(80):
+        c, d = high - golden * (high - low), low + golden * (high - low)
+        low, high = (low, d) if fit(math.exp(c))[0] < fit(math.exp(d))[0] else (c, high)
+    ratio = math.exp((low + high) / 2)
+    ratio = 0.0 if fit(0.0)[0] <= fit(ratio)[0] else ratio
+    deviance, beta, sigma2, inverse = fit(ratio)
+    base = levels.index(reference)
+    rows = []
+    for j, level in enumerate(levels):
+        if j != base:
+            se = math.sqrt(max(sigma2 * (inverse[j, j] + inverse[base, base] - 2 * inverse[j, base]), 0.0))
+            coef = beta[j] - beta[base]
+            z = coef / se if se else None
+            rows.append((int(level), float(coef), z, math.erfc(abs(z) / math.sqrt(2)) if z is not None else None, ratio * sigma2, -0.5 * (deviance + (size - p) * (1 + math.log(2 * math.pi))), bool(0 < k < len(grid) - 1 or ratio == 0), None))
+    return pd.DataFrame(rows, columns=_MIXED)
+
+
+_MIXED = ["level", "coef", "z", "p_value", "group_var", "log_likelihood", "converged", "error"]
+
+
 def random_intercept(df: DataFrame, group: str, level: str, metric: str, reference: int = 1) -> DataFrame:
-    """Coefficients of levels with a random intercept for each group, for balanced cells: there the fixed effects are
-    the means over groups of the differences to the reference level, whatever the variance ratio; their standard
-    error is that of the residual. Also the closed-form intercept variance. Unbalanced designs give nulls."""
-    cells = group_stats(df, [group, level], metric)
-    a = cells.groupBy(level).agg(F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum("n").alias("n_level"))
-    g = cells.groupBy(group).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("gm"), F.sum("n").alias("gn"))
-    total = cells.agg(
-        F.sum("n").alias("n"), F.countDistinct(level).alias("levels"), F.countDistinct(group).alias("groups"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("cells"),
-        F.sum(F.col("ss") + F.col("n") * F.col("mean") ** 2).alias("yy"), F.sum(F.col("n") * F.col("mean")).alias("sy"),
-    )
-    by_level = a.agg(F.sum(F.col("s") ** 2 / F.col("n_level")).alias("ll"), F.max(F.when(F.col(level) == reference, F.col("s") / F.col("n_level"))).alias("mean_1"))
-    by_group = g.agg(F.sum(F.col("gn") * F.col("gm") ** 2).alias("gg"))
-    s = total.crossJoin(F.broadcast(by_level)).crossJoin(F.broadcast(by_group))  # one row each
-    centre = F.col("sy") ** 2 / F.col("n")
-    balanced = (F.col("least") == F.col("most")) & (F.col("cells") == F.col("levels") * F.col("groups"))
-    mse = (F.col("yy") - F.col("ll") - F.col("gg") + centre) / (F.col("n") - F.col("levels") - F.col("groups") + 1)
-    ms_group = (F.col("gg") - centre) / F.nullif(F.col("groups") - 1, F.lit(0))
-    s = s.withColumn("mse", F.when(balanced, mse)).withColumn("group_var", F.when(balanced, F.greatest(F.lit(0.0), (ms_group - mse) * F.col("groups") / F.col("n"))))
-    j = a.filter(F.col(level) != reference).crossJoin(F.broadcast(s.select("mean_1", "mse", "group_var")))
-    coef = F.when(F.col("mse").isNotNull(), F.col("s") / F.col("n_level") - F.col("mean_1"))
-    z = coef / F.nullif(F.sqrt(F.col("mse") * 2 / F.col("n_level")), F.lit(0.0))
-    return j.select(level, coef.alias("coef"), z.alias("z"), tails.normal_two_sided(z).alias("p_value"), "group_var")
+    """Coefficients of levels against the reference with a random intercept for each group, by restricted maximum
+    likelihood; designs need not be balanced. ``coef, z, p_value, group_var, log_likelihood, converged, error``.
+
+    The rows are reduced to n, mean and sum of squares of each cell of the design (models by perturbations), from which
+    the fit is made. A fit that cannot be made is one row with its ``error`` and nulls.
+    """
+    cells = group_stats(df, [group, level], metric).select(F.col(group).alias("group"), F.col(level).alias("level"), "n", "mean", "ss")
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return _reml(frame, reference)
+        except (ValueError, ZeroDivisionError, np.linalg.LinAlgError) as error:
+            return pd.DataFrame([(None, None, None, None, None, None, False, f"{type(error).__name__}: {error}"[:200])], columns=_MIXED)
+
+    # one row for each cell of the design, whatever the number of observations
+    out = cells.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "level int, coef double, z double, p_value double, group_var double, log_likelihood double, converged boolean, error string")
+    return out.withColumnRenamed("level", level)
+
+
+def model_effect(df: DataFrame, group: str, metric: str, alpha: float = 0.05, least: int = 3) -> DataFrame:
+    """The study's omnibus test over groups and, only where its p is below ``alpha``, all pairs of groups.
+
+    Where every group is normal by Shapiro-Wilk: ANOVA and Tukey's pairs; else Kruskal-Wallis and Dunn's. One row for
+    the omnibus test (null groups) and one for each pair: ``test_used, status, group_a, group_b, statistic, p_value,
+    error``. Fewer than ``least`` values in a group, or a fit without spread, is a row with status ``failed``.
+    """
+    from .cells import shapiro_wilk
+
+    spark = df.sparkSession
+    out = "test_used string, status string, group_a string, group_b string, statistic double, p_value double, error string"
+    failed = lambda test, why: spark.createDataFrame([(test, "failed", None, None, None, None, why)], out)
+    # a row for each group comes to the driver, to choose the branch
+    seen = group_stats(df, [group], metric).join(shapiro_wilk(df, [group], metric), group, "left").select("n", "ss", "sw_p").collect()
+    if len(seen) < 2 or min(r["n"] for r in seen) < least:
+        return failed(None, f"a group has fewer than {least} values")
+    if not any(r["ss"] > 0 for r in seen):
+        return failed(None, "no spread within groups")
+    normal = all(r["sw_p"] is not None and r["sw_p"] > alpha for r in seen)
+    whole, pairs, names = (one_way_anova, tukey_hsd, ("anova", "tukey", "f", "q")) if normal else (kruskal_wallis, dunn_posthoc, ("kruskal_wallis", "dunn", "h", "z"))
+    omnibus = whole(df, group, metric).select(F.lit(names[0]).alias("test_used"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("group_a"), F.lit(None).cast("string").alias("group_b"), F.col(names[2]).alias("statistic"), "p_value", F.lit(None).cast("string").alias("error"))
+    p = omnibus.first()["p_value"]
+    if p is None or p >= alpha:
+        return omnibus
+    each = pairs(df, group, metric).select(F.lit(names[1]).alias("test_used"), F.lit("ok").alias("status"), "group_a", "group_b", F.col(names[3]).alias("statistic"), "p_value", F.lit(None).cast("string").alias("error"))
+    return omnibus.unionByName(each)
 
 
 def paired_conditions(df: DataFrame, keys: list[str], unit: str, condition: str, a: str, b: str, metric: str) -> DataFrame:
@@ -168,9 +242,11 @@ def wilcoxon_signed_rank(pairs: DataFrame, keys: list[str], diff: str = "diff",
     w = F.least("plus", "minus")
     z = (w - n * (n + 1) / 4) / F.nullif(F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48), F.lit(0.0))
     tested = F.col("n_pairs") >= least
+    # counted out for few differences without ties and zeros
+    few = (n <= EXACT) & (F.col("ties") == 0) & (n == F.col("n_pairs"))
     g2 = (F.col("n_pos") - F.col("n_neg")) / F.nullif(F.col("n_pos") + F.col("n_neg"), F.lit(0))
     return j.select(
-        *keys, "n_pairs", "n_pos", "n_neg", F.when(tested, w).alias("w"), F.when(tested, z).alias("z"), F.when(tested, tails.normal_two_sided(z)).alias("p_value"),
+        *keys, "n_pairs", "n_pos", "n_neg", F.when(tested, w).alias("w"), F.when(tested, z).alias("z"), F.when(tested & few, tails.wilcoxon_exact(F.when(tested & few, w), n)).when(tested, tails.normal_two_sided(z)).alias("p_value"),
         "median_a", "median_b", "median_diff", g2.alias("cohens_2g"),
     )
 

@@ -26,6 +26,25 @@ def pending(expected: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return expected.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def resume(expected: DataFrame, ledger: DataFrame, listing: DataFrame, key: str, order: Column | str, dry_run: bool = False) -> DataFrame:
+    """What is still to do: expected keys whose last ledger row is not a verified, successful one (``status`` DONE and the
+    file listed with its size). Failed ones are tried again. ``dry_run`` keeps all keys, with ``action`` skip or do."""
+    last = verify_complete(latest_per_key(ledger, key, order), listing, key)
+    done = last.filter("complete AND status = 'DONE'").select(F.col(key).alias("__done")).distinct()
+    tagged = expected.join(done, F.col(key) == F.col("__done"), "left").withColumn("action", F.when(F.col("__done").isNull(), "do").otherwise("skip")).drop("__done")
+    return tagged if dry_run else tagged.filter("action = 'do'").drop("action")
+
+
+def incremental(cells: DataFrame, store: DataFrame, keys: list[str], force: bool = False) -> DataFrame:
+    """Cells that the store does not hold, or with ``force`` all of them."""
+    return cells if force else pending(cells, store, keys)
+
+
+def upsert(store: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The store with the new rows, which replace those of their keys."""
+    return store.join(new.select(*keys).distinct(), keys, "left_anti").select(*store.columns).unionByName(new.select(*store.columns))
+
+
 def first_rows(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key in the order given."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("__n = 1").drop("__n")

@@ -207,10 +207,10 @@ win AS (SELECT sample_id, severity, ch, a, b, avg(x) AS mx, avg(y) AS my, var_sa
 ssim AS (SELECT sample_id, severity, avg((2 * mx * my + 6.5025::DOUBLE) * (2 * cov + 58.5225::DOUBLE) / ((mx * mx + my * my + 6.5025::DOUBLE) * (vx + vy + 58.5225::DOUBLE))) AS ssim FROM win GROUP BY ALL),
 lev AS (SELECT sample_id, severity, unnest(gy) AS g FROM gray), hist AS (SELECT sample_id, severity, floor(round(g, 6) + 0.5) AS b, count(*) / 64.0::DOUBLE AS p FROM lev GROUP BY ALL),
 ent AS (SELECT sample_id, severity, -sum(p * log2(p)) AS entropy FROM hist GROUP BY ALL), mom AS (SELECT sample_id, severity, avg(g) AS m, stddev_pop(g) AS sd FROM lev GROUP BY ALL)
-SELECT sample_id, severity, round(var, 4) AS laplacian_var, round(100 * var / base, 4) AS laplacian_pct_of_orig, round(ssim, 6) AS ssim, round(10 * log10(65025 / mse), 5) AS psnr, round(mad, 5) AS mean_abs_diff,
+SELECT sample_id, severity, round(var, 4) AS laplacian_var, round(100 * var / base, 4) AS laplacian_pct_of_orig, round(ssim, 6) AS ssim, round(10 * log10(65025 / mse), 5) AS psnr, round(mad, 8) AS mean_abs_diff,
  round(entropy, 5) + 0.0 AS entropy, round(m, 9) AS mean_intensity, round(sd, 5) AS std_intensity FROM wide JOIN err USING (sample_id, severity) JOIN ssim USING (sample_id, severity) JOIN ent USING (sample_id, severity) JOIN mom USING (sample_id, severity)""")
 def tile_diagnostics(spark, sf_dir):
     grid = study.grid(spark).filter("perturbation_id = 2")
     d = kernels.diagnostics(study.tiles(spark, sf_dir), grid)
-    digits = {"laplacian_var": 4, "laplacian_pct_of_orig": 4, "ssim": 6, "mean_intensity": 9}
+    digits = {"laplacian_var": 4, "laplacian_pct_of_orig": 4, "ssim": 6, "mean_intensity": 9, "mean_abs_diff": 8}
     return d.select("sample_id", "severity", *[(F.round(c, digits.get(c, 5)) + 0.0).alias(c) for c in kernels._METRICS])

@@ -31,9 +31,10 @@ def read_results_json(spark: SparkSession, path: str, field: str) -> DataFrame:
     return whole.select(F.explode(F.from_json(F.get_json_object("value", f"$.{field}"), "map<string,string>")).alias("term", "value"))
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Flat candidates of a dump of hits: the first case and its first diagnosis; every level may be missing."""
-    hits = spark.read.schema(_HITS).json(path, multiLine=True).select(F.posexplode("data.hits").alias("seq", "h"))
+def read_candidates(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Flat candidates of dumps of hits, one to a file or (``lines``) to a line: the first case and its first
+    diagnosis; every level may be missing."""
+    hits = spark.read.schema(_HITS).json(path, multiLine=not lines).select(F.posexplode("data.hits").alias("seq", "h"))
     case = F.get("h.cases", F.lit(0))
     diagnosis = F.get(case["diagnoses"], F.lit(0))
     return hits.select(
@@ -54,9 +55,9 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Path, size and time of files at any depth; contents are not read."""
+    """Path, size and time of files at any depth, in the order of paths; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return found.select("path", "length", "modificationTime")
+    return found.select("path", "length", "modificationTime").orderBy("path")
 
 
 def list_tiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,9 +89,24 @@ def append_ledger(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def read_ledger(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """An append-only log (Parquet, or text in columns with a header), or a JSON map beside it: one row for each entry,
+    ``key`` and the entry's fields by ``schema``."""
+    if path.rstrip("/").endswith(".json"):
+        whole = spark.read.text(path, wholetext=True)
+        return whole.select(F.explode(F.from_json("value", f"map<string, struct<{schema}>>")).alias("key", "e")).select("key", "e.*")
+    return spark.read.schema(schema).csv(path, header=True, nullValue="") if schema else spark.read.parquet(path)
+
+
 def write_corpus(df: DataFrame, path: str) -> None:
-    """Perturbed tiles in folders by category, perturbation and severity."""
-    df.write.mode("overwrite").partitionBy("category", "perturbation_id", "severity").parquet(path)
+    """Perturbed tiles in folders by category, perturbation (``p03_name``) and severity, in the order of their ids."""
+    named = df.withColumn("perturbation", F.format_string("p%02d_%s", F.col("perturbation_id"), F.col("name"))).drop("name")
+    named.sortWithinPartitions("category", "perturbation", "severity", "sample_id").write.mode("overwrite").partitionBy("category", "perturbation", "severity").parquet(path)
+
+
+def write_cumulative(prior: DataFrame, new: DataFrame, key: list[str], path: str) -> None:
+    """The summary written whole: prior rows that have no new one, and the new ones. ``path`` is not that of ``prior``."""
+    cumulative(prior, new, key).write.mode("overwrite").parquet(path)
 
 
 def cumulative(prior: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
