@@ -50,6 +50,11 @@ def channel_shift(pixels: str, shift: Column) -> Column:
     return F.transform(pixels, lambda v: F.least(F.lit(255), v + shift).cast("int"))
 
 
+def composite_white(pixels: str, alpha: str) -> Column:
+    """A channel with opacity 0..255 laid on white, rounded half up."""
+    return F.zip_with(pixels, alpha, lambda v, a: F.floor(v * (a / F.lit(255.0)) + 255 * (1 - a / F.lit(255.0)) + 0.5).cast("int"))
+
+
 def _mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
 

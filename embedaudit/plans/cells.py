@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from embedaudit.functions import text
 from embedaudit.functions.vectors import cosine, norm
-from embedaudit.operators import cells, cka, families
+from embedaudit.operators import cells, cka, families, stores
+from embedaudit.operators import study as studies
 from embedaudit.sources import study
 
 from . import sqltail
@@ -353,20 +354,45 @@ def effects_by_model(spark, sf_dir):
     return e.select("model", "perturbation_id", "n_tiles", F.round("coef", 6).alias("coef"), F.round("t", 4).alias("t"), F.round("p_value", 7).alias("p_value"), F.round("p_value_bonferroni", 7).alias("p_value_bonferroni"))
 
 
-@register("perturbation_effect", METRIC_SQL + """, c AS (SELECT perturbation_id, avg(cosine_similarity) AS y FROM metric GROUP BY ALL)
- SELECT perturbation_id, round(y - (SELECT y FROM c WHERE perturbation_id = 1), 6) AS coef FROM c WHERE perturbation_id <> 1""")
+_RANDOM = METRIC_SQL + """, lv AS (SELECT perturbation_id, count(*)::DOUBLE AS n, avg(cosine_similarity) AS y FROM metric GROUP BY 1), gr AS (SELECT model, count(*)::DOUBLE AS n, avg(cosine_similarity) AS y FROM metric GROUP BY 1),
+ tt AS (SELECT count(*)::DOUBLE AS n, avg(cosine_similarity) AS y, var_pop(cosine_similarity) * count(*) AS ss FROM metric),
+ ms AS (SELECT (ss - (SELECT sum(l.n * (l.y - tt.y) * (l.y - tt.y)) FROM lv l) - (SELECT sum(g.n * (g.y - tt.y) * (g.y - tt.y)) FROM gr g)) / (n - (SELECT count(*) FROM lv) - (SELECT count(*) FROM gr) + 1) AS mse,
+   (SELECT sum(g.n * (g.y - tt.y) * (g.y - tt.y)) / (count(*) - 1) FROM gr g) AS msg, n / (SELECT count(*) FROM gr) AS per FROM tt),
+ fx AS (SELECT perturbation_id, y - (SELECT y FROM lv WHERE perturbation_id = 1) AS coef, (y - (SELECT y FROM lv WHERE perturbation_id = 1)) / sqrt(mse * 2 / n) AS z, greatest(0.0, (msg - mse) / per) AS group_var FROM lv, ms WHERE perturbation_id <> 1)"""
+
+
+@register("perturbation_effect", _RANDOM + " SELECT perturbation_id, round(coef, 6) AS coef, round(z, 4) AS z, round(" + sqltail.normal2("z") + ", 6) AS p_value, round(group_var, 8) + 0.0 AS group_var FROM fx")
 def perturbation_effect(spark, sf_dir):
-    return families.random_intercept(_metric(spark, sf_dir), "model", "perturbation_id", "cosine_similarity").select("perturbation_id", F.round("coef", 6).alias("coef"))
+    """The fit by restricted likelihood; the SQL is the closed form that it has in this balanced table."""
+    e = families.random_intercept(_metric(spark, sf_dir), "model", "perturbation_id", "cosine_similarity")
+    return e.select("perturbation_id", F.round("coef", 6).alias("coef"), F.round("z", 4).alias("z"), F.round("p_value", 6).alias("p_value"), (F.round("group_var", 8) + 0.0).alias("group_var"))
+
 
+_RANKED = """, rk AS (SELECT perturbation_id, round(coef, 6) AS coef, """ + sqltail.normal2("z") + """ < 0.05::DOUBLE / 54 AS significant FROM fx UNION ALL SELECT 1, 0.0, NULL)"""
 
-@register("effect_ranking", METRIC_SQL + """, c AS (SELECT perturbation_id, avg(cosine_similarity) AS y FROM metric GROUP BY ALL),
- e AS (SELECT perturbation_id, round(y - (SELECT y FROM c WHERE perturbation_id = 1), 6) AS coef FROM c)
- SELECT perturbation_id, CASE WHEN perturbation_id = 1 THEN 0.0 ELSE coef END AS coef, CAST(row_number() OVER (ORDER BY CASE WHEN perturbation_id = 1 THEN 0.0 ELSE coef END, perturbation_id) AS INTEGER) AS place FROM e""")
+
+@register("effect_ranking", _RANDOM + _RANKED + " SELECT perturbation_id, coef, significant, CAST(row_number() OVER (ORDER BY coef, perturbation_id) AS INTEGER) AS place FROM rk")
 def effect_ranking(spark, sf_dir):
-    e = families.random_intercept(_metric(spark, sf_dir), "model", "perturbation_id", "cosine_similarity").select("perturbation_id", F.round("coef", 6).alias("coef"))
-    both = e.unionByName(spark.range(1, 2).select(F.col("id").cast("int").alias("perturbation_id"), F.lit(0.0).alias("coef")))
-    # the table has a row for each perturbation
-    return both.withColumn("place", F.row_number().over(Window.orderBy("coef", "perturbation_id")))
+    return _ranking(spark, sf_dir)
+
+
+def _ranking(spark, sf_dir):
+    """Levels in the order of their effects, the reference level with 0 among them; a row for each perturbation."""
+    e = families.random_intercept(_metric(spark, sf_dir), "model", "perturbation_id", "cosine_similarity")
+    e = e.select("perturbation_id", F.round("coef", 6).alias("coef"), (F.col("p_value") < 0.05 / 54).alias("significant"))
+    reference = spark.range(1, 2).select(F.col("id").cast("int").alias("perturbation_id"), F.lit(0.0).alias("coef"), F.lit(None).cast("boolean").alias("significant"))
+    return stores.ranked(e.unionByName(reference), "coef", "perturbation_id")
+
+
+@register("effect_ranking_by_model", _RANDOM + _RANKED + """, pl AS (SELECT perturbation_id, CAST(row_number() OVER (ORDER BY coef, perturbation_id) AS INTEGER) AS place FROM rk),
+ mm AS (SELECT model, perturbation_id, avg(cosine_similarity) AS y FROM metric GROUP BY ALL), df AS (SELECT a.model, a.perturbation_id, round(a.y - b.y, 6) + 0.0 AS coef FROM mm a JOIN mm b ON a.model = b.model AND b.perturbation_id = 1)
+ SELECT model, perturbation_id, coef, place, CAST(row_number() OVER (PARTITION BY model ORDER BY coef, perturbation_id) AS INTEGER) AS model_place FROM df JOIN pl USING (perturbation_id)""")
+def effect_ranking_by_model(spark, sf_dir):
+    """Each model's effects in the pooled order, and their places in its own."""
+    e = families.effects_by_group(_metric(spark, sf_dir), "model", "perturbation_id", "cosine_similarity").select("model", "perturbation_id", (F.round("coef", 6) + 0.0).alias("coef"))
+    reference = e.select("model").distinct().select("model", F.lit(1).alias("perturbation_id"), F.lit(0.0).alias("coef"))
+    own = stores.ranked(e.unionByName(reference), "coef", "perturbation_id", "model_place", ["model"])
+    return own.join(F.broadcast(_ranking(spark, sf_dir).select("perturbation_id", "place")), "perturbation_id")  # a row for each perturbation
 
 
 def _heat(value):
@@ -384,6 +410,18 @@ def heatmap(spark, sf_dir):
     return _matrix(spark, sf_dir, lambda: F.col("mean_a"))
 
 
+@register("heatmap_b", _heat("mean_b"))
+def heatmap_b(spark, sf_dir):
+    return _matrix(spark, sf_dir, lambda: F.col("mean_b"))
+
+
+@register("gap_significance", _family_sql(CELL, _COHORT_ROWS, "SELECT perturbation_id, " + ", ".join(f"bool_or(significant_bonferroni) FILTER (model = '{m}') AS {m}" for m in study.MODELS) + " FROM (" + sqltail.bonferroni() + ") WHERE severity = 'severe' GROUP BY 1"))
+def gap_significance(spark, sf_dir):
+    """Which gaps of the matrix at one severity are significant, corrected over the whole family."""
+    t = cells.adjust_bonferroni(cells.two_sample_test(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc()))
+    return t.filter("severity = 'severe'").groupBy("perturbation_id").pivot("model", list(study.MODELS)).agg(F.bool_or("significant_bonferroni"))
+
+
 @register("difference_heatmap", _heat("(mean_a - mean_b)"))
 def difference_heatmap(spark, sf_dir):
     return _matrix(spark, sf_dir, lambda: F.col("mean_a") - F.col("mean_b"))
@@ -394,12 +432,20 @@ def gap_heatmap(spark, sf_dir):
     return _matrix(spark, sf_dir, cells.cohens_d)
 
 
-@register("severity_trend", METRIC_SQL + """ SELECT CASE WHEN perturbation_id <= 5 THEN 'colour_staining' WHEN perturbation_id <= 10 THEN 'imaging_artefacts' WHEN perturbation_id <= 13 THEN 'geometric'
- WHEN perturbation_id <= 16 THEN 'resolution_quality' ELSE 'lighting' END AS category, model, severity, round(avg(cosine_similarity), 5) AS mean FROM metric GROUP BY ALL""")
+_CATEGORY = "CASE WHEN perturbation_id <= 5 THEN 'colour_staining' WHEN perturbation_id <= 10 THEN 'imaging_artefacts' WHEN perturbation_id <= 13 THEN 'geometric' WHEN perturbation_id <= 16 THEN 'resolution_quality' ELSE 'lighting' END"
+
+
+@register("severity_trend", METRIC_SQL + f""", c AS (SELECT model, perturbation_id, severity, count(*) FILTER (cohort = 'ACC') AS n_a, count(*) FILTER (cohort <> 'ACC') AS n_b, avg(cosine_similarity) FILTER (cohort = 'ACC') AS a, avg(cosine_similarity) FILTER (cohort <> 'ACC') AS b FROM metric GROUP BY ALL),
+ f AS (SELECT n_a AS fa, n_b AS fb FROM c ORDER BY model, perturbation_id, severity LIMIT 1), g AS (SELECT {_CATEGORY} AS category, model, severity, round(avg((a * fa + b * fb) / (fa + fb)), 5) AS mean FROM c, f GROUP BY ALL)
+ SELECT *, row_number() OVER (ORDER BY list_position(['colour_staining', 'imaging_artefacts', 'geometric', 'resolution_quality', 'lighting'], category), list_position(['uni', 'conch', 'quilt_llava', 'gigapath_tile'], model), list_position(['mild', 'moderate', 'severe'], severity)) AS place FROM g""")
 def severity_trend(spark, sf_dir):
-    p = F.col("perturbation_id")
-    category = F.when(p <= 5, "colour_staining").when(p <= 10, "imaging_artefacts").when(p <= 13, "geometric").when(p <= 16, "resolution_quality").otherwise("lighting")
-    return _metric(spark, sf_dir).groupBy(category.alias("category"), "model", "severity").agg(F.round(F.avg("cosine_similarity"), 5).alias("mean"))
+    """Pooled means (with the first cell's sizes) by category, model and severity, in the fixed order."""
+    m = cells.cell_moments(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc())
+    w = stores.with_registry(stores.weighted_mean(m, "mean_a", "mean_b", "n_a", "n_b", fixed_n=CELL))
+    g = w.groupBy("category", "model", "severity").agg(F.round(F.avg("weighted_mean"), 5).alias("mean"), F.min("perturbation_id").alias("first"))
+    models, severities = stores.cell_order()[0], stores.cell_order()[2]
+    # a row for each category, model and severity
+    return g.withColumn("place", F.row_number().over(Window.orderBy("first", models, severities))).drop("first")
 
 
 @register("pairwise_summary", _family_sql(_PAIR_KEYS, _pair_rows(_PAIRS), "SELECT model_a, model_b, round(avg(cohens_d), 5) AS mean_d, round(100.0 * avg(CAST(significant_bonferroni AS DOUBLE)), 4) AS pct_significant FROM (" + sqltail.bonferroni() + ") WHERE NOT skipped GROUP BY ALL"))
@@ -414,12 +460,70 @@ def tukey_models(spark, sf_dir):
     return families.tukey_hsd(_metric(spark, sf_dir), "model", "cosine_similarity").select("group_a", "group_b", F.round("difference", 6).alias("difference"))
 
 
-@register("model_effect")
+_OMNIBUS = ", " + _KW.format(g="model", x="cosine_similarity", t="metric") + """, hh AS (SELECT count(*) AS k, (12 / (max(total) * (max(total) + 1)) * sum(rs * rs / n) - 3 * (max(total) + 1)) / (1 - max(ties) / (max(total) * max(total) * max(total) - max(total))) AS h FROM q, z),
+ hp AS (SELECT h, """ + sqltail.chi2_upper("h", "k - 1") + """ AS p FROM hh),
+ dz AS (SELECT a.g AS group_a, b.g AS group_b, (a.rs / a.n - b.rs / b.n) / sqrt((total * (total + 1) / 12 - ties / (12 * (total - 1))) * (1 / a.n + 1 / b.n)) AS dz FROM q a JOIN q b ON a.g < b.g, z),
+ me AS (SELECT 'kruskal_wallis' AS test_used, 'ok' AS status, NULL AS group_a, NULL AS group_b, round(h, 4) AS statistic, round(p, 7) AS p_value, NULL AS error FROM hp
+  UNION ALL SELECT 'dunn', 'ok', group_a, group_b, round(dz, 4), round(least(1.0, (SELECT count(*) FROM dz) * """ + sqltail.normal2("dz") + """), 7), NULL FROM dz WHERE (SELECT p FROM hp) < 0.05)"""
+
+
+def _omnibus(df):
+    return df.withColumn("statistic", F.round("statistic", 4)).withColumn("p_value", F.round("p_value", 7))
+
+
+@register("model_effect", METRIC_SQL + _OMNIBUS + " SELECT * FROM me")
 def model_effect(spark, sf_dir):
-    """Kruskal-Wallis over the models with Dunn's pairs beside the omnibus p, as the study does for groups that are not normal."""
-    metric = _metric(spark, sf_dir)
-    whole = families.kruskal_wallis(metric, "model", "cosine_similarity").select("h", F.col("p_value").alias("omnibus_p"))
-    return families.dunn_posthoc(metric, "model", "cosine_similarity").crossJoin(F.broadcast(whole))  # one row
+    """Models compared; their similarities are far from normal, so by ranks, and pairs only if the whole differs."""
+    return _omnibus(families.model_effect(_metric(spark, sf_dir), "model", "cosine_similarity"))
+
+
+@register("model_effect_cka", _CKA_METRIC + ", metric_cka AS (SELECT model, linear_cka AS cosine_similarity FROM metric WHERE cohort = 'POOLED')" + _OMNIBUS.replace("FROM metric GROUP BY ALL", "FROM metric_cka GROUP BY ALL") + " SELECT * FROM me")
+def model_effect_cka(spark, sf_dir):
+    return _omnibus(families.model_effect(cells.pooled_only(cka_table_of(spark, sf_dir)), "model", "linear_cka"))
+
+
+@register("model_effect_summary", METRIC_SQL + _OMNIBUS + ", ck AS (" + _CKA_METRIC.replace("WITH ", "WITH ", 1) + ", metric_cka AS (SELECT model, linear_cka AS cosine_similarity FROM metric WHERE cohort = 'POOLED')" + _OMNIBUS.replace("FROM metric GROUP BY ALL", "FROM metric_cka GROUP BY ALL") + """
+  SELECT model, round(avg(cosine_similarity), 6) AS mean_cka, (SELECT statistic FROM me WHERE group_a IS NULL) AS statistic_cka, (SELECT p_value FROM me WHERE group_a IS NULL) AS p_value_cka FROM metric_cka GROUP BY 1)
+ SELECT m.model, round(avg(cosine_similarity), 6) AS mean_cosine, (SELECT statistic FROM me WHERE group_a IS NULL) AS statistic_cosine, (SELECT p_value FROM me WHERE group_a IS NULL) AS p_value_cosine, any_value(mean_cka) AS mean_cka, any_value(statistic_cka) AS statistic_cka, any_value(p_value_cka) AS p_value_cka
+ FROM metric m JOIN ck ON ck.model = m.model GROUP BY 1""")
+def model_effect_summary(spark, sf_dir):
+    """Each model's means with the omnibus tests of similarity and of CKA side by side."""
+    return studies.model_effect_summary(_metric(spark, sf_dir), cells.pooled_only(cka_table_of(spark, sf_dir)))
+
+
+_STUDY_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS family, count(*) AS tests, count(*) FILTER ({flag}) AS significant, round(min(p_value), 7) AS least_p FROM ({sql})"
+    for name, flag, sql in (
+        ("cohort_effect", "significant_bonferroni", _family_sql(CELL, _COHORT_ROWS.replace("FROM metric", "FROM metric WHERE model <> 'gigapath_tile'"), sqltail.bonferroni())),
+        ("pairwise_models", "significant_bonferroni", _family_sql(_PAIR_KEYS, _pair_rows(_PAIRS), sqltail.bonferroni())),
+        ("cohort_effect_cka", "significant_bonferroni", _family_sql(["model", "severity"], _CKA_COHORT_ROWS + " AND model <> 'gigapath_tile'", sqltail.bonferroni(), before=_CKA_METRIC)),
+        ("pairwise_models_cka", "significant_bonferroni", _family_sql(_CKA_PAIR_KEYS, _cka_pair_rows(_PAIRS), sqltail.bonferroni(), before=_CKA_METRIC)),
+        ("outlier_effect", "significant_fdr_bh", _family_sql(_PAIR_KEYS, _pair_rows(_OUTLIERS), sqltail.benjamini_hochberg())),
+        ("outlier_effect_cka", "significant_fdr_bh", _family_sql(_CKA_PAIR_KEYS, _cka_pair_rows(_OUTLIERS), sqltail.benjamini_hochberg(), before=_CKA_METRIC)),
+    )
+)
+
+
+@register("run_study", _STUDY_SQL)
+def run_study(spark, sf_dir):
+    """All families of the primary models with the outlier's apart, and of each: tests, significant ones, least p."""
+    return studies.summary(studies.run_study(_metric(spark, sf_dir), cka_table_of(spark, sf_dir), list(study.PRIMARY), study.OUTLIER))
+
+
+@register("held_out_summary", METRIC_SQL + """, w AS (SELECT model, sample_id, max(cosine_similarity) FILTER (perturbation_id = 6) AS x, max(cosine_similarity) FILTER (perturbation_id = 7) AS y FROM metric WHERE severity = 'severe' GROUP BY ALL),
+ d AS (SELECT model, abs(round(x - y, 9)) AS v, x > y AS up FROM w WHERE x <> y), g AS (SELECT model, v, count(*) AS t, count(*) FILTER (up) AS p FROM d GROUP BY ALL),
+ r AS (SELECT *, sum(t) OVER (PARTITION BY model ORDER BY v ROWS UNBOUNDED PRECEDING) - t + (t + 1) / 2.0::DOUBLE AS mid FROM g),
+ s AS (SELECT model, least(sum(p * mid), sum((t - p) * mid)) AS st, sum(t)::DOUBLE AS n, sum(t * t * t - t)::DOUBLE AS ties FROM r GROUP BY 1),
+ z AS (SELECT model, (st - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s),
+ o AS (SELECT model, count(*) AS n, round(median(round(x - y, 9)), 6) + 0.0 AS median_diff, round((count(*) FILTER (x > y) - count(*) FILTER (x < y)) / (count(*) FILTER (x <> y))::DOUBLE, 6) AS cohens_2g FROM w GROUP BY 1),
+ q AS (SELECT o.*, """ + sqltail.normal2("z") + """ AS p FROM o JOIN z USING (model))
+ SELECT model, n, median_diff, cohens_2g, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars,
+  CASE WHEN p >= 0.05 THEN 'no_difference' WHEN median_diff > 0 THEN 'p06_higher' ELSE 'p07_higher' END = CASE WHEN model IN ('uni', 'gigapath_tile') THEN 'p06_higher' ELSE 'no_difference' END AS confirmed FROM q""")
+def held_out_summary(spark, sf_dir):
+    """Each model's paired difference between two conditions, with what its family was predicted to show."""
+    rows = _metric(spark, sf_dir).filter("severity = 'severe'").withColumn("condition", F.format_string("p%02d", F.col("perturbation_id")))
+    pairs = families.paired_conditions(rows, ["model"], "sample_id", "condition", "p06", "p07", "cosine_similarity")
+    return studies.held_out_summary(pairs, "p06", "p07", {"dinov2": "p06_higher"})
 
 
 _FAMILY = """SELECT 'p07' AS condition, model IN ('uni', 'gigapath_tile') AS a, cosine_similarity AS x FROM metric WHERE perturbation_id = 7"""
