@@ -10,6 +10,7 @@ from embedaudit.functions.vectors import cosine, norm
 from embedaudit.operators import cells, cka, families, stores
 from embedaudit.operators import study as studies
 from embedaudit.sources import study
+from embedaudit.sources.scratch import written
 
 from . import sqltail
 from .registry import register
@@ -23,7 +24,7 @@ base AS (SELECT ['uni','conch','quilt_llava','gigapath_tile'][m + 1] AS model, C
     list_transform(range(16 * m + 1, 16 * m + 17), lambda j: CAST(embedding[j] AS DOUBLE)) AS v
   FROM embeddings, range(4) t(m)),
 pert AS (SELECT model, cohort, sample_id, v, CAST(p AS INTEGER) AS perturbation_id, ['mild','moderate','severe'][s] AS severity,
-    CASE WHEN s = 2 AND p IN (3, 17, 18) THEN v ELSE list_transform(range(1, 17), lambda j: v[j] + 0.02::DOUBLE * s * ((7 * p + 13 * j) % 11 - 5) / 5.0::DOUBLE) END AS w
+    CASE WHEN s = 2 AND p IN (3, 17, 18) THEN v ELSE list_transform(range(1, 17), lambda j: v[j] * (1.0::DOUBLE + 0.1::DOUBLE * s * ((5 * p + 3 * j) % 7 - 3) / 3.0::DOUBLE) + 0.02::DOUBLE * s * ((7 * p + 13 * j) % 11 - 5) / 5.0::DOUBLE) END AS w
   FROM base, range(1, 19) a(p), range(1, 4) b(s))"""
 METRIC_SQL = f"""WITH {BASE_SQL},
 metric AS (SELECT model, sample_id, cohort, perturbation_id, severity,
@@ -58,7 +59,7 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def _tested(df: DataFrame) -> DataFrame:
     """A family's rows with what two engines agree on: probabilities to 7 digits, statistics to 4."""
-    digits = {"statistic": 4, "cohens_d": 5, "mean_a": 6, "mean_b": 6, "shapiro_p_a": 6, "shapiro_p_b": 6}
+    digits = {"statistic": 4, "cohens_d": 5, "mean_a": 9, "mean_b": 9, "shapiro_p_a": 6, "shapiro_p_b": 6}
     return df.select(*[(F.round(c, digits.get(c, 7)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -70,6 +71,11 @@ def _metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.cosine_table(spark, sf_dir)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric table written once, for tests that pass over it several times."""
+    return written(_metric(spark, sf_dir), "metric")
+
+
 @register("cosine_table", METRIC_SQL + " SELECT * FROM metric")
 def cosine_table(spark, sf_dir):
     return _metric(spark, sf_dir)
@@ -177,7 +183,7 @@ def welch_t(spark, sf_dir):
 @register("zero_variance_cells", METRIC_SQL + """, v AS (SELECT model, perturbation_id, severity, min(cosine_similarity) AS lo, max(cosine_similarity) AS hi, count(*) AS n FROM metric GROUP BY ALL)
  SELECT model, perturbation_id, severity, n, CASE WHEN lo = hi THEN 'zero_variance_identical' ELSE 'tested' END AS test_used FROM v""")
 def zero_variance_cells(spark, sf_dir):
-    t = cells.two_sample_test(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc())
+    t = cells.two_sample_test(_stored(spark, sf_dir), CELL, "cosine_similarity", _acc())
     return t.select(*CELL, (F.col("n_a") + F.col("n_b")).alias("n"), F.when(F.col("test_used") == "zero_variance_identical", F.col("test_used")).otherwise("tested").alias("test_used"))
 
 
@@ -186,7 +192,7 @@ _PAIR_KEYS = ["model_a", "model_b", "perturbation_id", "severity"]
 
 @register("cohort_effect", _family_sql(CELL, _COHORT_ROWS, sqltail.bonferroni()))
 def cohort_effect(spark, sf_dir):
-    return _tested(cells.adjust_bonferroni(cells.two_sample_test(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc())))
+    return _tested(cells.adjust_bonferroni(cells.two_sample_test(_stored(spark, sf_dir), CELL, "cosine_similarity", _acc())))
 
 
 def _p_source(spark, sf_dir):
@@ -213,7 +219,7 @@ def adjust_bh(spark, sf_dir):
 
 @register("pairwise_models", _family_sql(_PAIR_KEYS, _pair_rows(_PAIRS), sqltail.bonferroni()))
 def pairwise_models(spark, sf_dir):
-    pairs = cells.model_pairs(_metric(spark, sf_dir), list(study.PRIMARY))
+    pairs = cells.model_pairs(_stored(spark, sf_dir), list(study.PRIMARY))
     return _tested(cells.adjust_bonferroni(cells.two_sample_test(pairs, _PAIR_KEYS, "cosine_similarity", F.col("is_a"))))
 
 
@@ -224,13 +230,13 @@ def pairwise_models(spark, sf_dir):
  SELECT model_a, model_b, perturbation_id, severity, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b FROM e""")
 def pairwise_moments(spark, sf_dir):
     keys = ["model_a", "model_b", "perturbation_id", "severity"]
-    m = cells.cell_moments(cells.model_pairs(_metric(spark, sf_dir), list(study.PRIMARY)), keys, "cosine_similarity", F.col("is_a"))
+    m = cells.cell_moments(cells.model_pairs(_stored(spark, sf_dir), list(study.PRIMARY)), keys, "cosine_similarity", F.col("is_a"))
     return m.select(*keys, "n_a", "n_b", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"))
 
 
 @register("outlier_effect", _family_sql(_PAIR_KEYS, _pair_rows(_OUTLIERS), sqltail.benjamini_hochberg()))
 def outlier_effect(spark, sf_dir):
-    pairs = cells.outlier_pairs(_metric(spark, sf_dir), study.OUTLIER, list(study.PRIMARY))
+    pairs = cells.outlier_pairs(_stored(spark, sf_dir), study.OUTLIER, list(study.PRIMARY))
     return _tested(cells.adjust_bh(cells.two_sample_test(pairs, _PAIR_KEYS, "cosine_similarity", F.col("is_a"))))
 
 
@@ -239,7 +245,7 @@ def outlier_effect(spark, sf_dir):
  FROM g a JOIN g b USING (perturbation_id, severity) WHERE a.model = 'gigapath_tile' AND b.model <> 'gigapath_tile'""")
 def outlier_moments(spark, sf_dir):
     keys = ["model_a", "model_b", "perturbation_id", "severity"]
-    m = cells.cell_moments(cells.outlier_pairs(_metric(spark, sf_dir), study.OUTLIER, list(study.PRIMARY)), keys, "cosine_similarity", F.col("is_a"))
+    m = cells.cell_moments(cells.outlier_pairs(_stored(spark, sf_dir), study.OUTLIER, list(study.PRIMARY)), keys, "cosine_similarity", F.col("is_a"))
     return m.select(*keys, F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"))
 
 
@@ -418,7 +424,7 @@ def heatmap_b(spark, sf_dir):
 @register("gap_significance", _family_sql(CELL, _COHORT_ROWS, "SELECT perturbation_id, " + ", ".join(f"bool_or(significant_bonferroni) FILTER (model = '{m}') AS {m}" for m in study.MODELS) + " FROM (" + sqltail.bonferroni() + ") WHERE severity = 'severe' GROUP BY 1"))
 def gap_significance(spark, sf_dir):
     """Which gaps of the matrix at one severity are significant, corrected over the whole family."""
-    t = cells.adjust_bonferroni(cells.two_sample_test(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc()))
+    t = cells.adjust_bonferroni(cells.two_sample_test(_stored(spark, sf_dir), CELL, "cosine_similarity", _acc()))
     return t.filter("severity = 'severe'").groupBy("perturbation_id").pivot("model", list(study.MODELS)).agg(F.bool_or("significant_bonferroni"))
 
 
@@ -474,12 +480,12 @@ def _omnibus(df):
 @register("model_effect", METRIC_SQL + _OMNIBUS + " SELECT * FROM me")
 def model_effect(spark, sf_dir):
     """Models compared; their similarities are far from normal, so by ranks, and pairs only if the whole differs."""
-    return _omnibus(families.model_effect(_metric(spark, sf_dir), "model", "cosine_similarity"))
+    return _omnibus(families.model_effect(_stored(spark, sf_dir), "model", "cosine_similarity"))
 
 
 @register("model_effect_cka", _CKA_METRIC + ", metric_cka AS (SELECT model, linear_cka AS cosine_similarity FROM metric WHERE cohort = 'POOLED')" + _OMNIBUS.replace("FROM metric GROUP BY ALL", "FROM metric_cka GROUP BY ALL") + " SELECT * FROM me")
 def model_effect_cka(spark, sf_dir):
-    return _omnibus(families.model_effect(cells.pooled_only(cka_table_of(spark, sf_dir)), "model", "linear_cka"))
+    return _omnibus(families.model_effect(written(cells.pooled_only(cka_table_of(spark, sf_dir)), "cka"), "model", "linear_cka"))
 
 
 @register("model_effect_summary", METRIC_SQL + _OMNIBUS + ", ck AS (" + _CKA_METRIC.replace("WITH ", "WITH ", 1) + ", metric_cka AS (SELECT model, linear_cka AS cosine_similarity FROM metric WHERE cohort = 'POOLED')" + _OMNIBUS.replace("FROM metric GROUP BY ALL", "FROM metric_cka GROUP BY ALL") + """
@@ -488,7 +494,7 @@ def model_effect_cka(spark, sf_dir):
  FROM metric m JOIN ck ON ck.model = m.model GROUP BY 1""")
 def model_effect_summary(spark, sf_dir):
     """Each model's means with the omnibus tests of similarity and of CKA side by side."""
-    return studies.model_effect_summary(_metric(spark, sf_dir), cells.pooled_only(cka_table_of(spark, sf_dir)))
+    return studies.model_effect_summary(_stored(spark, sf_dir), written(cells.pooled_only(cka_table_of(spark, sf_dir)), "cka"))
 
 
 _STUDY_SQL = " UNION ALL ".join(
@@ -507,7 +513,7 @@ _STUDY_SQL = " UNION ALL ".join(
 @register("run_study", _STUDY_SQL)
 def run_study(spark, sf_dir):
     """All families of the primary models with the outlier's apart, and of each: tests, significant ones, least p."""
-    return studies.summary(studies.run_study(_metric(spark, sf_dir), cka_table_of(spark, sf_dir), list(study.PRIMARY), study.OUTLIER))
+    return studies.summary(studies.run_study(_stored(spark, sf_dir), written(cka_table_of(spark, sf_dir), "cka"), list(study.PRIMARY), study.OUTLIER))
 
 
 @register("held_out_summary", METRIC_SQL + """, w AS (SELECT model, sample_id, max(cosine_similarity) FILTER (perturbation_id = 6) AS x, max(cosine_similarity) FILTER (perturbation_id = 7) AS y FROM metric WHERE severity = 'severe' GROUP BY ALL),

@@ -100,7 +100,7 @@ ts_p AS (SELECT *, CASE test_used WHEN 'zero_variance_identical' THEN 1.0 WHEN '
     CASE test_used WHEN 'zero_variance_identical' THEN 0.0 WHEN 'zero_variance_distinct_constants' THEN CASE WHEN mean_a > mean_b THEN 'inf' ELSE '-inf' END::DOUBLE WHEN 'welch_t' THEN t WHEN 'mann_whitney_u' THEN u END AS statistic,
     CASE WHEN test_used IS NULL THEN NULL WHEN test_used LIKE 'zero%' THEN 0.0 ELSE coalesce(d, 0) END AS cohens_d FROM ts_d),
 tested AS (SELECT {k}, test_used, round(statistic, 4) AS statistic, p_value, round(cohens_d, 5) + 0.0 AS cohens_d, CASE WHEN abs(cohens_d) < 0.2 THEN 'small' WHEN abs(cohens_d) < 0.8 THEN 'medium' WHEN cohens_d IS NOT NULL THEN 'large' END AS effect_size,
-  n_a, n_b, CASE WHEN test_used IS NOT NULL THEN round(mean_a, 6) END AS mean_a, CASE WHEN test_used IS NOT NULL THEN round(mean_b, 6) END AS mean_b, CASE WHEN test_used NOT LIKE 'zero%' THEN round(sw_a, 6) END AS shapiro_p_a,
+  n_a, n_b, CASE WHEN test_used IS NOT NULL THEN round(mean_a, 9) END AS mean_a, CASE WHEN test_used IS NOT NULL THEN round(mean_b, 9) END AS mean_b, CASE WHEN test_used NOT LIKE 'zero%' THEN round(sw_a, 6) END AS shapiro_p_a,
   CASE WHEN test_used NOT LIKE 'zero%' THEN round(sw_b, 6) END AS shapiro_p_b, CASE WHEN test_used IS NOT NULL THEN test_used = 'welch_t' END AS both_groups_normal, test_used IS NULL AS skipped, CASE WHEN test_used IS NULL THEN printf('n_a=%d, n_b=%d: fewer than {least} values', n_a, n_b) END AS reason FROM ts_p)"""
 
 

@@ -25,10 +25,13 @@ def read_metric(spark: SparkSession, path: str, required: list[str]) -> DataFram
     return df
 
 
-def read_results_json(spark: SparkSession, path: str, field: str) -> DataFrame:
-    """One row for each entry of a map-valued field: ``term``, ``value`` (JSON text)."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json(F.get_json_object("value", f"$.{field}"), "map<string,string>")).alias("term", "value"))
+def read_results_json(spark: SparkSession, path: str, field: str, key: str | None = None) -> DataFrame:
+    """One row for each entry of a map-valued field: ``term``, ``value`` (JSON text). ``key`` ("name type") says that
+    each line is a document, and which of its fields is kept beside its entries; else a file is one."""
+    whole = spark.read.text(path, wholetext=key is None)
+    name, kind = (key or "").split() if key else (None, None)
+    kept = [F.get_json_object("value", f"$.{name}").cast(kind).alias(name)] if key else []
+    return whole.select(*kept, F.explode(F.from_json(F.get_json_object("value", f"$.{field}"), "map<string,string>")).alias("term", "value"))
 
 
 def read_candidates(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -85,6 +88,50 @@ def write_results_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode("overwrite").text(path)
 
 
+def _put(rows: DataFrame, place: str, content: str | None, root: str) -> None:
+    """A file for each row at ``root`` + its place, written by the executors through Arrow's file systems."""
+    from pyarrow import fs
+
+    def work(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                system, path = fs.FileSystem.from_uri(root + batch.column(place)[k].as_py())
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(batch.column(content)[k].as_py() if content else b"\n")
+            yield batch.select([place])
+
+    rows.select(*[c for c in (place, content) if c]).mapInArrow(work, rows.select(place).schema).write.format("noop").mode("overwrite").save()
+
+
+def write_each(rows: DataFrame, place: str, root: str) -> None:
+    """A file of one byte for each row (Spark lists no empty ones), at ``root`` (a URI) and the path in ``place``: stands in for a corpus' files. A task
+    that is run again writes the same files."""
+    _put(rows, place, None, root if "://" in root else f"file://{root}")
+
+
+def write_gray_images(tiles: DataFrame, name: str, pixels: str, edge: int, root: str) -> None:
+    """Each tile as an 8-bit gray bitmap file of its name, in the format's bottom-up rows of whole four bytes."""
+    import struct
+
+    import pyarrow as pa
+
+    def work(batches):
+        palette = b"".join(bytes((v, v, v, 0)) for v in range(256))
+        for batch in batches:
+            places, contents = [], []
+            for k in range(batch.num_rows):
+                values = bytes(batch.column(1)[k].as_py())
+                rows = b"".join(values[r * edge : (r + 1) * edge].ljust(-(-edge // 4) * 4, b"\0") for r in range(edge - 1, -1, -1))
+                head = struct.pack("<2sIHHI", b"BM", 54 + len(palette) + len(rows), 0, 0, 54 + len(palette)) + struct.pack("<IiiHHIIiiII", 40, edge, edge, 1, 8, 0, len(rows), 2835, 2835, 256, 0)
+                places.append(f"/{batch.column(0)[k].as_py()}.bmp")
+                contents.append(head + palette + rows)
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(contents, pa.binary())], ["place", "content"])
+
+    made = tiles.select(name, pixels).mapInArrow(work, "place string, content binary")
+    _put(made, "place", "content", root if "://" in root else f"file://{root}")
+
+
 def append_ledger(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -39,9 +39,9 @@ def grid(spark: SparkSession) -> DataFrame:
 
 
 def perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baselines moved by a fixed pattern of each grid cell; moderate 3, 17 and 18 leave them as they are."""
+    """Baselines stretched and moved by fixed patterns of each grid cell; moderate 3, 17 and 18 leave them as they are."""
     same = (F.col("step") == 2) & F.col("perturbation_id").isin(3, 17, 18)
-    moved = F.transform("vector", lambda x, j: x + F.lit(0.02) * F.col("step") * ((7 * F.col("perturbation_id") + 13 * (j + 1)) % 11 - 5) / F.lit(5.0))
+    moved = F.transform("vector", lambda x, j: x * (F.lit(1.0) + F.lit(0.1) * F.col("step") * ((5 * F.col("perturbation_id") + 3 * (j + 1)) % 7 - 3) / F.lit(3.0)) + F.lit(0.02) * F.col("step") * ((7 * F.col("perturbation_id") + 13 * (j + 1)) % 11 - 5) / F.lit(5.0))
     # the grid has 54 rows whatever the input
     cells = baselines(spark, sf_dir).crossJoin(F.broadcast(grid(spark)))
     return cells.select("model", "sample_id", "cohort", "perturbation_id", "severity", F.when(same, F.col("vector")).otherwise(moved).alias("vector"))
