@@ -14,7 +14,12 @@ from embedaudit.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"mid_ranks", "embedding_keys", "cosine_table", "cka_table"}
+#: Compared at a larger scale by the driver; several minutes in all.
+SLOW = {
+    "mid_ranks", "embedding_keys", "cosine_table", "cka_table", "run_study", "model_effect_summary", "model_effect_cka", "outlier_effect_cka", "pairwise_models_cka", "gap_significance", "pairwise_summary",
+    "outlier_effect", "embedding_store", "metric_file", "perturb_gaussian_noise", "effect_ranking_by_model", "match_manifest", "study_cka_ranks", "cell_variances", "outlier_moments", "pairwise_moments", "heatmap_b", "difference_heatmap",
+    "interaction_effect", "vector_norms", "anova_models", "kruskal_models", "dunn_models",
+}
 
 
 @pytest.fixture(scope="module")
@@ -212,3 +217,118 @@ def test_stream_takes_files_up_once(spark, tmp_path):
     events.iloc[400:500].to_parquet(source / "b.parquet")
     ledger_stream.take_up(*args)
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 500
+
+
+def _brute_mann_whitney(a, b):
+    """Two-sided exact p over all ways to deal the ranks."""
+    import itertools
+
+    both, m = sorted([*a, *b]), len(a)
+    u = sum(x > y for x in a for y in b)
+    top = max(u, m * len(b) - u)
+    ways = [sum(both[i] > both[j] for i in c for j in range(len(both)) if j not in c) for c in itertools.combinations(range(len(both)), m)]
+    return min(1.0, 2 * sum(w >= top for w in ways) / len(ways))
+
+
+def test_exact_mann_whitney(spark):
+    a, b = [1.0, 9.0, 4.5, 7.25], [2.0, 3.0, 8.0, 30.0, 55.0, 21.5]
+    r = _test(spark, [100 * x * x * x for x in a] + [0.5], [x * x for x in b] + [4e6])
+    assert r["test_used"] == "mann_whitney_u"
+    assert abs(r["p_value"] - _brute_mann_whitney([100 * x * x * x for x in a] + [0.5], [x * x for x in b] + [4e6])) < 1e-12
+
+
+def test_mann_whitney_published_p(spark):
+    # 18 against 18 without ties, U = 140: p = 0.4963589
+    frame = spark.createDataFrame([(140.0,)], "u double")
+    z = (max(140, 324 - 140) - 162 - 0.5) / math.sqrt(18 * 18 / 12 * 37)
+    from embedaudit.functions import tails
+
+    assert abs(frame.select(tails.normal_two_sided(F.lit(z)).alias("p")).first()["p"] - 0.4963589) < 5e-7
+
+
+def test_exact_wilcoxon(spark):
+    diffs = [1.5, -2.25, 3.0, 4.5, -5.0, 6.5, 7.0, 8.0, 9.0, 10.0, -0.5, 12.0]
+    rows = spark.createDataFrame([("k", d, 0.0, d) for d in diffs], "k string, x double, y double, diff double")
+    r = families.wilcoxon_signed_rank(rows, ["k"]).first()
+    n, order = len(diffs), sorted(diffs, key=abs)
+    minus = sum(i + 1 for i, d in enumerate(order) if d < 0)
+    below = sum(sum(i + 1 for i in range(n) if k >> i & 1) <= r["w"] for k in range(1 << n))
+    assert r["w"] == min(minus, n * (n + 1) // 2 - minus) and abs(r["p_value"] - min(1.0, 2 * below / (1 << n))) < 1e-12
+
+
+def test_unbalanced_mixed_model(spark):
+    """The fit from sums of cells equals that from whole matrices, at its optimum."""
+    rng = np.random.default_rng(4)
+    rows = [(f"g{g}", l, float(0.3 * l + u + rng.normal())) for g, u in enumerate(rng.normal(0, 1.5, 6)) for l in (1, 2, 3) for _ in range(int(rng.integers(1, 9)))]
+    got = families.random_intercept(spark.createDataFrame(rows, "g string, l int, x double"), "g", "l", "x").orderBy("l").collect()
+    y = np.array([r[2] for r in rows])
+    z = np.array([[r[0] == f"g{g}" for g in range(6)] for r in rows], float)
+    x = np.array([[1.0, r[1] == 2, r[1] == 3] for r in rows], float)
+
+    def fit(ratio):
+        v = np.eye(len(y)) + ratio * z @ z.T
+        w = np.linalg.inv(v)
+        beta = np.linalg.solve(x.T @ w @ x, x.T @ w @ y)
+        e = y - x @ beta
+        s2 = float(e @ w @ e) / (len(y) - 3)
+        return (len(y) - 3) * math.log(s2) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(x.T @ w @ x)[1], beta, s2, np.linalg.inv(x.T @ w @ x)
+
+    best = min((fit(r) + (r,) for r in np.exp(np.linspace(-6, 6, 2401))), key=lambda f: f[0])
+    for r, k in zip(got, (1, 2), strict=True):
+        assert r["converged"] and abs(r["coef"] - best[1][k]) < 1e-3 and abs(r["z"] - best[1][k] / math.sqrt(best[2] * best[3][k, k])) < 1e-2
+        assert abs(r["group_var"] / (best[2] * best[4]) - 1) < 0.02
+    bad = families.random_intercept(spark.createDataFrame([("g", 2, 1.0)], "g string, l int, x double"), "g", "l", "x").first()
+    assert not bad["converged"] and bad["error"]
+
+
+def test_model_effect_branches(spark):
+    rng = np.random.default_rng(1)
+    frame = lambda groups: spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x], "g string, x double")
+    q = np.array([math.sqrt(2) * _erfinv(2 * (i + 0.5) / 60 - 1) for i in range(60)])
+    normal = families.model_effect(frame({"a": q, "b": q + 1, "c": q * 1.01}), "g", "x").collect()
+    assert [r["test_used"] for r in normal] == ["anova"] + ["tukey"] * 3
+    same = families.model_effect(frame({"a": q, "b": q + 1e-4}), "g", "x").collect()
+    assert [r["test_used"] for r in same] == ["anova"]
+    skewed = families.model_effect(frame({"a": rng.exponential(size=80), "b": 5 + rng.exponential(size=80)}), "g", "x").collect()
+    assert [r["test_used"] for r in skewed] == ["kruskal_wallis", "dunn"]
+    assert families.model_effect(frame({"a": [1.0, 2.0], "b": q}), "g", "x").first()["status"] == "failed"
+    assert families.model_effect(frame({"a": [1.0] * 5, "b": [2.0] * 5}), "g", "x").first()["error"] == "no spread within groups"
+
+
+def test_assignment_under_contention(spark):
+    """Hundreds of cases that want one list, and some that want parts of it: as cases choosing one after the other."""
+    import random
+
+    rng, pairs = random.Random(3), []
+    for c in range(240):
+        pool = range(120) if c % 12 else rng.sample(range(150), 20)
+        pairs += [(c, k, float((k * 7) % 11), c % 12 != 0 and k > 90) for k in pool]
+    got = {r["case_id"]: r["candidate_id"] for r in matching.assign_unique(spark.createDataFrame(pairs, "case_id long, candidate_id long, score double, retry boolean")).collect()}
+    used, want = set(), {}
+    for c in range(240):
+        for _, _, k in sorted((p[3], p[2], p[1]) for p in pairs if p[0] == c):
+            if k not in used:
+                want[c] = k
+                used.add(k)
+                break
+    assert got == want
+
+
+def test_folder_paths_at_any_depth(spark):
+    deep = [(str(k), str(k - 1) if k else None, f"n{k}") for k in range(90)] + [("x", "gone", "x")]
+    files = spark.createDataFrame([(1, "89", "f"), (2, "x", "g"), (3, "0", "h")], "file_id long, parent string, name string")
+    got = {r["file_id"]: r["path"] for r in ledgers.folder_paths(spark.createDataFrame(deep, "id string, parent string, name string"), files).collect()}
+    assert got == {1: "/".join(f"n{k}" for k in range(90)) + "/f", 3: "n0/h"}
+    for ring in ([("a", "b", "a"), ("b", "a", "b")], [("a", "a", "a")], [("a", "b", "a"), ("b", "c", "b"), ("c", "a", "c"), ("d", "a", "d")]):
+        with pytest.raises(ValueError, match="cycle"):
+            ledgers.folder_paths(spark.createDataFrame(ring, "id string, parent string, name string"), files)
+
+
+def test_registered_kernels_and_skipped_cells(spark):
+    tiles = spark.createDataFrame([("t", [10] * 64, [20] * 64, [30] * 64)], "sample_id string, red array<int>, green array<int>, blue array<int>")
+    grid = spark.createDataFrame([(2, "mild"), (17, "severe")], "perturbation_id int, severity string")
+    first = kernels.perturb(tiles, grid)
+    again = kernels.perturb(tiles, grid, first.filter("perturbation_id = 2")).collect()
+    assert {(r["perturbation_id"], r["status"]) for r in again} == {(2, "SKIPPED_EXISTING"), (17, "DONE")}
+    with pytest.raises(ValueError, match="perturbation 3"):
+        kernels.register(3, "again", "lighting", None)
