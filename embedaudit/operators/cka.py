@@ -50,12 +50,14 @@ def cross_moments(pairs: DataFrame, keys: list[str], x: str = "baseline", y: str
         if sums:
             yield table(sums)
 
-    parts = rows.mapInArrow(partial, schema)
+    return _added(rows.mapInArrow(partial, schema), keys)
+
+
+def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial moments of each cell added up, entry by entry: no task holds all partial matrices of a cell."""
     spread = parts.select(*keys, "n", F.posexplode("moments").alias("place", "v"))
-    sums = spread.groupBy(*keys, "place").agg(F.sum("v").alias("v"))
-    counts = parts.groupBy(*keys).agg(F.sum("n").alias("n"))
-    whole = sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda s: s["v"]).alias("moments"))
-    return counts.join(whole, keys)
+    sums = spread.groupBy(*keys, "place").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    return sums.groupBy(*keys).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda s: s["v"]).alias("moments"))
 
 
 def _cka(n: float, flat: np.ndarray) -> float:
@@ -80,8 +82,5 @@ def linear_cka(moments: DataFrame, keys: list[str], least: int = 3, decimals: in
 
 def with_pooled(moments: DataFrame, keys: list[str], cohort: str = "cohort") -> DataFrame:
     """Cohorts' moments and their sum, the cohort POOLED: no row of the input is read twice."""
-    spread = moments.select(*keys, "n", F.posexplode("moments").alias("place", "v"))
-    sums = spread.groupBy(*keys, "place").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    pooled = sums.groupBy(*keys).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda s: s["v"]).alias("moments"))
-    columns = [*keys, cohort, "n", "moments"]
-    return moments.select(*columns).unionAll(pooled.withColumn(cohort, F.lit("POOLED")).select(*columns))
+    both = moments.select(*keys, F.explode(F.array(cohort, F.lit("POOLED"))).alias(cohort), "n", "moments")
+    return _added(both, [*keys, cohort])

@@ -67,30 +67,26 @@ def _family_sql(keys: list[str], rows: str, end: str, least: int = 3, before: st
     return f"{before}, src AS ({rows}), {sqltail.two_sample(keys, 'src', least)} {end}"
 
 
-def _metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return study.cosine_table(spark, sf_dir)
-
-
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The metric table written once, for tests that pass over it several times."""
-    return written(_metric(spark, sf_dir), "metric")
+    """The metric table written once: tests pass over it several times, and a filter on a value would find it again."""
+    return written(study.cosine_table(spark, sf_dir), "metric")
 
 
 @register("cosine_table", METRIC_SQL + " SELECT * FROM metric")
 def cosine_table(spark, sf_dir):
-    return _metric(spark, sf_dir)
+    return study.cosine_table(spark, sf_dir)
 
 
 @register("cohort_cells", METRIC_SQL + "," + _MOMENTS + """ SELECT model, perturbation_id, severity, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
  round(d, 4) + 0.0 AS cohens_d, CASE WHEN abs(round(d, 4)) < 0.2 THEN 'small' WHEN abs(round(d, 4)) < 0.8 THEN 'medium' ELSE 'large' END AS effect_size FROM effects""")
 def cohort_cells(spark, sf_dir):
-    m = cells.cell_moments(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc()).withColumn("d", F.round(cells.cohens_d(), 4))
+    m = cells.cell_moments(_stored(spark, sf_dir), CELL, "cosine_similarity", _acc()).withColumn("d", F.round(cells.cohens_d(), 4))
     return m.select(*CELL, "n_a", "n_b", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"), F.col("d").alias("cohens_d"), cells.effect_size_label(F.col("d")).alias("effect_size"))
 
 
 @register("cell_variances", METRIC_SQL + "," + _MOMENTS + " SELECT model, perturbation_id, severity, round(var_a, 9) AS var_a, round(var_b, 9) AS var_b FROM moments")
 def cell_variances(spark, sf_dir):
-    m = cells.cell_moments(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc())
+    m = cells.cell_moments(_stored(spark, sf_dir), CELL, "cosine_similarity", _acc())
     return m.select(*CELL, F.round("var_a", 9).alias("var_a"), F.round("var_b", 9).alias("var_b"))
 
 
@@ -129,9 +125,7 @@ SELECT model, perturbation_id, severity, cohort, max(n) AS n_tiles, round(sum(xy
 
 
 def cka_table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = study.baselines(spark, sf_dir).select("model", "sample_id", F.col("vector").alias("baseline"))
-    pairs = study.perturbed(spark, sf_dir).join(base, ["model", "sample_id"])
-    moments = cka.with_pooled(cka.cross_moments(pairs, [*CELL, "cohort"]), CELL)
+    moments = cka.with_pooled(cka.cross_moments(study.pairs(spark, sf_dir), [*CELL, "cohort"]), CELL)
     return cka.linear_cka(moments, [*CELL, "cohort"])
 
 
@@ -151,13 +145,13 @@ mw AS (SELECT model, perturbation_id, severity, ra - na * (na + 1) / 2 AS u, na,
 
 @register("mid_ranks", _RANKS + " SELECT model, perturbation_id, severity, value, c_a, c_b, CAST(mid_rank AS DOUBLE) AS mid_rank FROM ranks")
 def mid_ranks(spark, sf_dir):
-    return cells.mid_ranks(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc()).select(*CELL, "value", "c_a", "c_b", F.col("mid_rank").cast("double").alias("mid_rank"))
+    return cells.mid_ranks(_stored(spark, sf_dir), CELL, "cosine_similarity", _acc()).select(*CELL, "value", "c_a", "c_b", F.col("mid_rank").cast("double").alias("mid_rank"))
 
 
 @register("mann_whitney", _RANKS + """ SELECT model, perturbation_id, severity, round(u, 3) AS u,
  round((greatest(u, na * nb - u) - na * nb / 2 - 0.5) / nullif(spread, 0), 6) AS u_z, ties AS tie_term FROM mw""")
 def mann_whitney(spark, sf_dir):
-    m = cells.mann_whitney(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc())
+    m = cells.mann_whitney(_stored(spark, sf_dir), CELL, "cosine_similarity", _acc())
     return m.select(*CELL, F.round("u", 3).alias("u"), F.round("u_z", 6).alias("u_z"), "tie_term")
 
 
@@ -165,7 +159,7 @@ def mann_whitney(spark, sf_dir):
  CASE WHEN abs(round(2 * u / (na * nb) - 1, 6)) < 0.147 THEN 'negligible' WHEN abs(round(2 * u / (na * nb) - 1, 6)) < 0.33 THEN 'small'
  WHEN abs(round(2 * u / (na * nb) - 1, 6)) < 0.474 THEN 'medium' ELSE 'large' END AS label FROM mw""")
 def cliffs_delta(spark, sf_dir):
-    r = cells.rank_sums(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc())
+    r = cells.rank_sums(_stored(spark, sf_dir), CELL, "cosine_similarity", _acc())
     u = F.col("rank_sum_a") - F.col("r_n_a") * (F.col("r_n_a") + 1) / 2
     d = r.withColumn("delta", F.round(families.cliffs_delta(u, F.col("r_n_a"), F.col("r_n_b")), 6))
     return d.select(*CELL, "delta", families.cliffs_label(F.col("delta")).alias("label"))
@@ -174,7 +168,7 @@ def cliffs_delta(spark, sf_dir):
 @register("welch_t", METRIC_SQL + "," + _MOMENTS + """ SELECT model, perturbation_id, severity, round((mean_a - mean_b) / sqrt(sa + sb), 5) AS t,
  round((sa + sb) * (sa + sb) / (sa * sa / (n_a - 1) + sb * sb / (n_b - 1)), 3) AS df FROM (SELECT *, var_a / n_a AS sa, var_b / n_b AS sb FROM moments) WHERE sa + sb > 1e-20""")
 def welch_t(spark, sf_dir):
-    m = cells.cell_moments(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc())
+    m = cells.cell_moments(_stored(spark, sf_dir), CELL, "cosine_similarity", _acc())
     t, dof = cells.welch_t()
     spread = F.col("var_a") / F.col("n_a") + F.col("var_b") / F.col("n_b")
     return m.filter(spread > 1e-20).select(*CELL, F.round(t, 5).alias("t"), F.round(dof, 3).alias("df"))
@@ -277,7 +271,7 @@ def outlier_effect_cka(spark, sf_dir):
 
 @register("shapiro_wilk", f"{METRIC_SQL}, src AS (SELECT model, perturbation_id, severity, cohort, cosine_similarity AS x FROM metric), {sqltail.shapiro([*CELL, 'cohort'], 'src')} SELECT model, perturbation_id, severity, cohort, sw_n, round(w, 7) AS w, round(sw_p, 7) AS sw_p FROM sw")
 def shapiro_wilk(spark, sf_dir):
-    w = cells.shapiro_wilk(_metric(spark, sf_dir), [*CELL, "cohort"], "cosine_similarity")
+    w = cells.shapiro_wilk(_stored(spark, sf_dir), [*CELL, "cohort"], "cosine_similarity")
     return _rounded(w, 7)
 
 
@@ -298,7 +292,7 @@ def anova_returnflag(spark, sf_dir):
 
 @register("anova_models", METRIC_SQL + ", " + _anova_sql("model", "cosine_similarity", "metric"))
 def anova_models(spark, sf_dir):
-    a = families.one_way_anova(_metric(spark, sf_dir), "model", "cosine_similarity")
+    a = families.one_way_anova(_stored(spark, sf_dir), "model", "cosine_similarity")
     return a.select("k", "n", F.round("f", 4).alias("f"), F.round("p_value", 7).alias("p_value"))
 
 
@@ -317,14 +311,14 @@ def kruskal_events(spark, sf_dir):
 
 @register("kruskal_models", METRIC_SQL + ", " + _KW.format(g="model", x="cosine_similarity", t="metric") + _KW_END)
 def kruskal_models(spark, sf_dir):
-    return families.kruskal_wallis(_metric(spark, sf_dir), "model", "cosine_similarity").select("k", F.round("h", 4).alias("h"), F.round("p_value", 7).alias("p_value"))
+    return families.kruskal_wallis(_stored(spark, sf_dir), "model", "cosine_similarity").select("k", F.round("h", 4).alias("h"), F.round("p_value", 7).alias("p_value"))
 
 
 @register("dunn_models", METRIC_SQL + ", " + _KW.format(g="model", x="cosine_similarity", t="metric") + """, dz AS (SELECT a.g AS group_a, b.g AS group_b,
  (a.rs / a.n - b.rs / b.n) / sqrt((total * (total + 1) / 12 - ties / (12 * (total - 1))) * (1 / a.n + 1 / b.n)) AS dz FROM q a JOIN q b ON a.g < b.g, z)
  SELECT group_a, group_b, round(dz, 5) AS z, round(least(1.0, count(*) OVER () * """ + sqltail.normal2("dz") + "), 7) AS p_value FROM dz")
 def dunn_models(spark, sf_dir):
-    return families.dunn_posthoc(_metric(spark, sf_dir), "model", "cosine_similarity").select("group_a", "group_b", F.round("z", 5).alias("z"), F.round("p_value", 7).alias("p_value"))
+    return families.dunn_posthoc(_stored(spark, sf_dir), "model", "cosine_similarity").select("group_a", "group_b", F.round("z", 5).alias("z"), F.round("p_value", 7).alias("p_value"))
 
 
 @register("interaction_effect", METRIC_SQL + """,
@@ -333,7 +327,7 @@ m AS (SELECT model, a.n AS n1, b.n AS n2, a.y AS y1, b.y AS y2, a.ss + b.ss AS r
 s AS (SELECT sum(w * d) * sum(w * d) / sum(w) AS ssc, sum(w * d * d) - sum(w * d) * sum(w * d) / sum(w) AS ssi, sum(rss) AS rss, count(*) AS k, sum(n1 + n2) AS n FROM m)
 SELECT unnest(['cohort', 'model:cohort', 'residual']) AS term, unnest([round(ssc, 6), round(ssi, 6), round(rss, 6)]) AS sum_sq FROM s""")
 def interaction_effect(spark, sf_dir):
-    out = families.interaction_effect(_metric(spark, sf_dir), "model", _acc(), "cosine_similarity")
+    out = families.interaction_effect(_stored(spark, sf_dir), "model", _acc(), "cosine_similarity")
     return out.filter("term <> 'model'").select("term", F.round("sum_sq", 6).alias("sum_sq"))
 
 
@@ -346,7 +340,7 @@ s AS (SELECT sum(w * d) * sum(w * d) / sum(w) AS ssc, sum(w * d * d) - sum(w * d
 t AS (SELECT unnest(['model', 'cohort', 'model:cohort', 'residual']) AS term, unnest([ssm, ssc, ssi, rss]) AS ss, unnest([k - 1, 1, k - 1, n - 2 * k])::DOUBLE AS df, rss / (n - 2 * k) AS mse, (n - 2 * k)::DOUBLE AS dof FROM s)
 SELECT term, round(ss, 6) AS sum_sq, df, round(f, 3) AS f, round(CASE WHEN f IS NOT NULL THEN """ + sqltail.f_upper("f", "df", "dof") + """ END, 7) AS p_value FROM (SELECT *, CASE WHEN term <> 'residual' THEN ss / df / mse END AS f FROM t)""")
 def interaction_table(spark, sf_dir):
-    out = families.interaction_effect(_metric(spark, sf_dir), "model", _acc(), "cosine_similarity")
+    out = families.interaction_effect(_stored(spark, sf_dir), "model", _acc(), "cosine_similarity")
     return out.select("term", F.round("sum_sq", 6).alias("sum_sq"), "df", F.round("f", 3).alias("f"), F.round("p_value", 7).alias("p_value"))
 
 
@@ -356,7 +350,7 @@ w AS (SELECT model, CAST(sum(n) AS BIGINT) AS n_tiles, count(*) AS levels, sum(s
 SELECT model, perturbation_id, n_tiles, round(coef, 6) AS coef, round(tt, 4) AS t, round(p, 7) AS p_value, round(least(1.0, 54 * p), 7) AS p_value_bonferroni FROM (SELECT *, """ + sqltail.student2("tt", "dof") + """ AS p FROM (
   SELECT model, perturbation_id, n_tiles, y - y1 AS coef, (n_tiles - levels)::DOUBLE AS dof, (y - y1) / sqrt(rss / (n_tiles - levels) * (1.0::DOUBLE / n + 1.0::DOUBLE / n1)) AS tt FROM c JOIN w USING (model) WHERE perturbation_id <> 1))""")
 def effects_by_model(spark, sf_dir):
-    e = families.effects_by_group(_metric(spark, sf_dir), "model", "perturbation_id", "cosine_similarity")
+    e = families.effects_by_group(_stored(spark, sf_dir), "model", "perturbation_id", "cosine_similarity")
     return e.select("model", "perturbation_id", "n_tiles", F.round("coef", 6).alias("coef"), F.round("t", 4).alias("t"), F.round("p_value", 7).alias("p_value"), F.round("p_value_bonferroni", 7).alias("p_value_bonferroni"))
 
 
@@ -370,7 +364,7 @@ _RANDOM = METRIC_SQL + """, lv AS (SELECT perturbation_id, count(*)::DOUBLE AS n
 @register("perturbation_effect", _RANDOM + " SELECT perturbation_id, round(coef, 6) AS coef, round(z, 4) AS z, round(" + sqltail.normal2("z") + ", 6) AS p_value, round(group_var, 8) + 0.0 AS group_var FROM fx")
 def perturbation_effect(spark, sf_dir):
     """The fit by restricted likelihood; the SQL is the closed form that it has in this balanced table."""
-    e = families.random_intercept(_metric(spark, sf_dir), "model", "perturbation_id", "cosine_similarity")
+    e = families.random_intercept(_stored(spark, sf_dir), "model", "perturbation_id", "cosine_similarity")
     return e.select("perturbation_id", F.round("coef", 6).alias("coef"), F.round("z", 4).alias("z"), F.round("p_value", 6).alias("p_value"), (F.round("group_var", 8) + 0.0).alias("group_var"))
 
 
@@ -384,7 +378,7 @@ def effect_ranking(spark, sf_dir):
 
 def _ranking(spark, sf_dir):
     """Levels in the order of their effects, the reference level with 0 among them; a row for each perturbation."""
-    e = families.random_intercept(_metric(spark, sf_dir), "model", "perturbation_id", "cosine_similarity")
+    e = families.random_intercept(_stored(spark, sf_dir), "model", "perturbation_id", "cosine_similarity")
     e = e.select("perturbation_id", F.round("coef", 6).alias("coef"), (F.col("p_value") < 0.05 / 54).alias("significant"))
     reference = spark.range(1, 2).select(F.col("id").cast("int").alias("perturbation_id"), F.lit(0.0).alias("coef"), F.lit(None).cast("boolean").alias("significant"))
     return stores.ranked(e.unionByName(reference), "coef", "perturbation_id")
@@ -395,7 +389,7 @@ def _ranking(spark, sf_dir):
  SELECT model, perturbation_id, coef, place, CAST(row_number() OVER (PARTITION BY model ORDER BY coef, perturbation_id) AS INTEGER) AS model_place FROM df JOIN pl USING (perturbation_id)""")
 def effect_ranking_by_model(spark, sf_dir):
     """Each model's effects in the pooled order, and their places in its own."""
-    e = families.effects_by_group(_metric(spark, sf_dir), "model", "perturbation_id", "cosine_similarity").select("model", "perturbation_id", (F.round("coef", 6) + 0.0).alias("coef"))
+    e = families.effects_by_group(_stored(spark, sf_dir), "model", "perturbation_id", "cosine_similarity").select("model", "perturbation_id", (F.round("coef", 6) + 0.0).alias("coef"))
     reference = e.select("model").distinct().select("model", F.lit(1).alias("perturbation_id"), F.lit(0.0).alias("coef"))
     own = stores.ranked(e.unionByName(reference), "coef", "perturbation_id", "model_place", ["model"])
     return own.join(F.broadcast(_ranking(spark, sf_dir).select("perturbation_id", "place")), "perturbation_id")  # a row for each perturbation
@@ -407,7 +401,7 @@ def _heat(value):
 
 
 def _matrix(spark, sf_dir, value):
-    m = cells.cell_moments(_metric(spark, sf_dir).filter("severity = 'severe'"), CELL, "cosine_similarity", _acc())
+    m = cells.cell_moments(_stored(spark, sf_dir).filter("severity = 'severe'"), CELL, "cosine_similarity", _acc())
     return m.withColumn("v", F.round(value(), 4)).groupBy("perturbation_id").pivot("model", list(study.MODELS)).agg(F.max("v"))
 
 
@@ -446,7 +440,7 @@ _CATEGORY = "CASE WHEN perturbation_id <= 5 THEN 'colour_staining' WHEN perturba
  SELECT *, row_number() OVER (ORDER BY list_position(['colour_staining', 'imaging_artefacts', 'geometric', 'resolution_quality', 'lighting'], category), list_position(['uni', 'conch', 'quilt_llava', 'gigapath_tile'], model), list_position(['mild', 'moderate', 'severe'], severity)) AS place FROM g""")
 def severity_trend(spark, sf_dir):
     """Pooled means (with the first cell's sizes) by category, model and severity, in the fixed order."""
-    m = cells.cell_moments(_metric(spark, sf_dir), CELL, "cosine_similarity", _acc())
+    m = cells.cell_moments(_stored(spark, sf_dir), CELL, "cosine_similarity", _acc())
     w = stores.with_registry(stores.weighted_mean(m, "mean_a", "mean_b", "n_a", "n_b", fixed_n=CELL))
     g = w.groupBy("category", "model", "severity").agg(F.round(F.avg("weighted_mean"), 5).alias("mean"), F.min("perturbation_id").alias("first"))
     models, severities = stores.cell_order()[0], stores.cell_order()[2]
@@ -463,7 +457,7 @@ def pairwise_summary(spark, sf_dir):
 @register("tukey_models", METRIC_SQL + """, g AS (SELECT model, avg(cosine_similarity) AS m FROM metric GROUP BY 1)
  SELECT a.model AS group_a, b.model AS group_b, round(b.m - a.m, 6) AS difference FROM g a JOIN g b ON a.model < b.model""")
 def tukey_models(spark, sf_dir):
-    return families.tukey_hsd(_metric(spark, sf_dir), "model", "cosine_similarity").select("group_a", "group_b", F.round("difference", 6).alias("difference"))
+    return families.tukey_hsd(_stored(spark, sf_dir), "model", "cosine_similarity").select("group_a", "group_b", F.round("difference", 6).alias("difference"))
 
 
 _OMNIBUS = ", " + _KW.format(g="model", x="cosine_similarity", t="metric") + """, hh AS (SELECT count(*) AS k, (12 / (max(total) * (max(total) + 1)) * sum(rs * rs / n) - 3 * (max(total) + 1)) / (1 - max(ties) / (max(total) * max(total) * max(total) - max(total))) AS h FROM q, z),
@@ -527,7 +521,7 @@ def run_study(spark, sf_dir):
   CASE WHEN p >= 0.05 THEN 'no_difference' WHEN median_diff > 0 THEN 'p06_higher' ELSE 'p07_higher' END = CASE WHEN model IN ('uni', 'gigapath_tile') THEN 'p06_higher' ELSE 'no_difference' END AS confirmed FROM q""")
 def held_out_summary(spark, sf_dir):
     """Each model's paired difference between two conditions, with what its family was predicted to show."""
-    rows = _metric(spark, sf_dir).filter("severity = 'severe'").withColumn("condition", F.format_string("p%02d", F.col("perturbation_id")))
+    rows = _stored(spark, sf_dir).filter("severity = 'severe'").withColumn("condition", F.format_string("p%02d", F.col("perturbation_id")))
     pairs = families.paired_conditions(rows, ["model"], "sample_id", "condition", "p06", "p07", "cosine_similarity")
     return studies.held_out_summary(pairs, "p06", "p07", {"dinov2": "p06_higher"})
 
@@ -539,7 +533,7 @@ _FAMILY = """SELECT 'p07' AS condition, model IN ('uni', 'gigapath_tile') AS a,
 def family_effect(spark, sf_dir):
     """One perturbation's similarities pooled by model family and compared."""
     family = {"uni": "vision", "gigapath_tile": "vision", "conch": "language", "quilt_llava": "language"}
-    rows = _metric(spark, sf_dir).withColumn("condition", F.format_string("p%02d", F.col("perturbation_id")))
+    rows = _stored(spark, sf_dir).withColumn("condition", F.format_string("p%02d", F.col("perturbation_id")))
     return _tested(families.family_condition_test(rows, "model", family, "vision", "language", "condition", "p07", "cosine_similarity"))
 
 

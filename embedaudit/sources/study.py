@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` before the work of 54 grid cells is done for each: a table of few files keeps all cores
+    busy, and joins by these keys find the rows where they are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _cohort(vec_id: Column) -> Column:
     return F.when(vec_id % 2 == 0, "ACC").otherwise("GDC")
 
@@ -43,20 +49,24 @@ def perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = (F.col("step") == 2) & F.col("perturbation_id").isin(3, 17, 18)
     moved = F.transform("vector", lambda x, j: x * (F.lit(1.0) + F.lit(0.1) * F.col("step") * ((5 * F.col("perturbation_id") + 3 * (j + 1)) % 7 - 3) / F.lit(3.0)) + F.lit(0.02) * F.col("step") * ((7 * F.col("perturbation_id") + 13 * (j + 1)) % 11 - 5) / F.lit(5.0))
     # the grid has 54 rows whatever the input
-    cells = baselines(spark, sf_dir).crossJoin(F.broadcast(grid(spark)))
+    cells = _dealt(baselines(spark, sf_dir), "model", "sample_id").crossJoin(F.broadcast(grid(spark)))
     return cells.select("model", "sample_id", "cohort", "perturbation_id", "severity", F.when(same, F.col("vector")).otherwise(moved).alias("vector"))
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every perturbed vector with its ``baseline``, joined by model and tile: only baselines are shuffled, once."""
+    base = _dealt(baselines(spark, sf_dir), "model", "sample_id").select("model", "sample_id", F.col("vector").alias("baseline"))
+    return perturbed(spark, sf_dir).join(base, ["model", "sample_id"])
+
+
 def cosine_table(spark: SparkSession, sf_dir: str, decimals: int = 6) -> DataFrame:
-    """Similarity of every perturbed vector to its baseline, joined by model and tile."""
-    base = baselines(spark, sf_dir).select("model", "sample_id", F.col("vector").alias("baseline"))
-    pairs = perturbed(spark, sf_dir).join(base, ["model", "sample_id"])
-    return pairs.select("model", "sample_id", "cohort", "perturbation_id", "severity", F.round(cosine("baseline", "vector"), decimals).alias("cosine_similarity"))
+    """Similarity of every perturbed vector to its baseline."""
+    return pairs(spark, sf_dir).select("model", "sample_id", "cohort", "perturbation_id", "severity", F.round(cosine("baseline", "vector"), decimals).alias("cosine_similarity"))
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sample_id, cohort, red, green, blue``: 8 x 8 pixels, three cyclic shifts of the same values."""
-    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    emb = _dealt(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
     gray = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.round(F.lit(127.5) + F.lit(255.0) * v.cast("double")).cast("int"))))
     sample = F.concat(_cohort(F.col("vec_id")), F.lit("_"), F.lpad(F.col("vec_id").cast("string"), 6, "0"))
     one = emb.select("vec_id", sample.alias("sample_id"), _cohort(F.col("vec_id")).alias("cohort"), gray.alias("red"))
