@@ -59,4 +59,7 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total:
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the folder. Texts of fewer files than the session has cores are dealt out row by row, or a single
+    file would keep one core busy; larger tables are read as they are split, without a shuffle. The rows are the same."""
+    read, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return read.repartition(cores) if "text" in read.columns and len(read._jdf.inputFiles()) < cores else read
