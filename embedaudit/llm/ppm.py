@@ -57,8 +57,18 @@ class Tokens:
         ends = np.append(0, np.cumsum(self.sizes, dtype=np.int64))
         return Tokens(self.keys[a:b], self.counts[a:b], self.sizes[a:b], self.data[ends[a] : ends[b]])
 
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        return self.keys, self.counts, self.sizes, self.data
+    def packed(self) -> bytes:
+        """Counts and bytes alone: sizes and fingerprints follow from the bytes, as only a token's last symbol separates."""
+        return B.squeezed(self.counts, self.data)
+
+    @staticmethod
+    def unpacked(value: bytes, keyed: bool = False) -> Tokens:
+        """Tokens in the order they were packed in; fingerprints are all 0 unless asked for."""
+        counts, data = B.unsqueezed(value)
+        ends = np.flatnonzero((data == SPACE) | (data == END))
+        starts = np.append(0, ends + 1)[:-1]
+        keys = np.where(data[ends] == END, _END_KEY, Rolling(data)(starts, ends)) if keyed else np.zeros(len(ends), np.uint64)
+        return Tokens(keys, counts, (ends - starts + 1).astype(np.uint32), data)
 
     @staticmethod
     def merged(parts: list[Tokens]) -> tuple[Tokens, np.ndarray]:
@@ -218,7 +228,7 @@ def _ask_tokens(blocks: DataFrame, buckets: int, training: Callable[[list], np.n
                 t = tokens(B.unpack_texts(value.as_py()), training(ids.as_py()))
                 at = B.bucket_bounds(t.keys, buckets)
                 some = np.flatnonzero(np.diff(at)).tolist()
-                asks = [B.squeezed(*t.part(at[b], at[b + 1]).arrays()) for b in some]
+                asks = [t.part(at[b], at[b + 1]).packed() for b in some]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(asks, pa.binary())], ["block", "bucket", "ask"])
 
     return blocks.select("block", "ids", "texts").mapInArrow(rows, B._ASK)
@@ -236,6 +246,26 @@ def _followed(texts: list[bytes]):
     return series, count, context >> np.uint64(24) << np.uint64(24) | token >> np.uint64(40), (token >> np.uint64(24)).astype(np.uint16)
 
 
+def _packed_pairs(keys: np.ndarray, more: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted pairs as each context once with the number of its tokens, then 24 and 16 bits of each token."""
+    context = keys >> np.uint64(24)
+    at = np.flatnonzero(np.diff(context, prepend=~context[:1]))
+    return B.squeezed(context[at], np.diff(np.append(at, len(keys))).astype(np.uint32), (keys & np.uint64(0xFFFFFF)).astype(np.uint32), more, counts)
+
+
+def _unpacked_pairs(context: np.ndarray, size: np.ndarray, token: np.ndarray, *beside: np.ndarray) -> tuple[np.ndarray, ...]:
+    return np.repeat(context << np.uint64(24), size) | token, *beside
+
+
+def _by_value(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, frequent ones first, and the place of each number among them, in as few bytes as hold it."""
+    distinct, place, count = np.unique(x, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), np.min_scalar_type(max(len(order) - 1, 0)))
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[place]
+
+
 def _ask_followed(blocks: DataFrame, buckets: int, training: Callable[[list], np.ndarray]) -> DataFrame:
     """Distinct (context, token) of each block, with how often training documents have them."""
 
@@ -249,14 +279,19 @@ def _ask_followed(blocks: DataFrame, buckets: int, training: Callable[[list], np
                     parts.append((keys, more, np.bincount(place, np.repeat(learnt[a:b], count), len(keys))))
                 keys, more, place = B.distinct_pairs(*(np.concatenate([p[k] for p in parts]) for k in range(2)))
                 counts = np.bincount(place, np.concatenate([p[2] for p in parts]), len(keys)).astype(np.uint32)
-                yield B.questions(block, buckets, keys, more, counts)
+                at = B.bucket_bounds(keys, buckets)
+                some = np.flatnonzero(np.diff(at)).tolist()
+                asks = [_packed_pairs(*(x[at[b] : at[b + 1]] for x in (keys, more, counts))) for b in some]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(asks, pa.binary())], ["block", "bucket", "ask"])
 
     return blocks.select("block", "ids", "texts").mapInArrow(rows, B._ASK)
 
 
 def _answer_followed(asks: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
-    """For each key: log10 of the token in its context, or of the escape (0 for an unknown context), and which it is."""
-    keys, more, counts = (np.concatenate([a[k] for a in asks]) for k in range(3))
+    """For each key: log10 of the token in its context (below 0), or of the escape with its sign turned (0 for an unknown
+    context), by distinct values."""
+    pairs = [_unpacked_pairs(*a) for a in asks]
+    keys, more, counts = (np.concatenate([a[k] for a in pairs]) for k in range(3))
     distinct, _, place = B.distinct_pairs(keys, more)
     follower = np.bincount(place, counts, len(distinct))
     context = distinct >> np.uint64(24)
@@ -266,9 +301,9 @@ def _answer_followed(asks: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...
     kinds = np.repeat(np.add.reduceat((follower > 0).astype(np.float64), at), size)
     hit = follower > 0
     share = np.where(hit, follower, np.where(total > 0, kinds, 1.0)) / np.where(total > 0, total + kinds, 1.0)
-    told, hit = np.log10(share).astype(np.float32)[place], hit[place].astype(np.uint8)
-    cuts = np.cumsum([len(a[0]) for a in asks])[:-1]
-    return list(zip(np.split(told, cuts), np.split(hit, cuts), strict=True))
+    told = np.log10(share).astype(np.float32)
+    told = np.where(hit, told, -told)[place]
+    return [_by_value(x) for x in np.split(told, np.cumsum([len(a[0]) for a in pairs])[:-1])]
 
 
 def _vocabulary(questions: DataFrame) -> DataFrame:
@@ -276,11 +311,11 @@ def _vocabulary(questions: DataFrame) -> DataFrame:
 
     def bucket(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
-        parts = [Tokens(*B.unsqueezed(x)) for x in group["ask"]]
+        parts = [Tokens.unpacked(x, keyed=True) for x in group["ask"]]
         t, place = Tokens.merged(parts)
         cuts = np.split(place.astype(np.uint32), np.cumsum([len(p.keys) for p in parts])[:-1])
         places = [B.squeezed(x.astype(np.uint64)) for x in cuts]
-        return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "tokens": [B.squeezed(*t.arrays())], "blocks": [group["block"].tolist()], "places": [places], "n": [int(t.counts.sum())], "v": [int((t.counts > 0).sum())]})
+        return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "tokens": [t.packed()], "blocks": [group["block"].tolist()], "places": [places], "n": [int(t.counts.sum())], "v": [int((t.counts > 0).sum())]})
 
     return questions.groupBy("bucket").applyInPandas(bucket, "bucket int, tokens binary, blocks array<long>, places array<binary>, n long, v long")
 
@@ -292,7 +327,7 @@ def _low_nodes(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             total = np.zeros(1 << 16, np.int64)
             for value in batch.column(0):
-                t = Tokens(*B.unsqueezed(value.as_py()))
+                t = Tokens.unpacked(value.as_py())
                 code, token = _steps(t)
                 np.add.at(total, (code & np.uint64(0xFFFF)).astype(np.int64), t.counts[token])
             some = np.flatnonzero(total)
@@ -329,7 +364,7 @@ def _low_scores(vocabulary: DataFrame, buckets: int) -> DataFrame:
     def asks(batches):
         for batch in batches:
             for bucket, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, counts, home = _deep_codes(Tokens(*B.unsqueezed(value.as_py())), buckets)
+                keys, counts, home = _deep_codes(Tokens.unpacked(value.as_py()), buckets)
                 for b, at in _by_home(home):
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([b], pa.int32()), pa.array([B.squeezed(keys[at], counts[at])], pa.binary())], ["block", "bucket", "ask"])
 
@@ -349,7 +384,7 @@ def _low_scores(vocabulary: DataFrame, buckets: int) -> DataFrame:
 
     def reply(_bucket, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
-        t = Tokens(*B.unsqueezed(row["tokens"]))
+        t = Tokens.unpacked(row["tokens"])
         keys, _, home = _deep_codes(t, buckets)
         told = {int(b): B.unsqueezed(x) for b, x in zip(right["bucket"], right["ask"], strict=True)}
         counts, parts = np.zeros(len(keys), np.int64), [[np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]]
@@ -391,14 +426,15 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", traini
         parts = [_followed(texts[a:b]) for a, b in chunks(texts)]
         series, count, keys, more = (np.concatenate([p[k] for p in parts]) for k in range(4))
         later = told["bucket"] >= buckets
-        (low, known), (top, hit) = B.told(told[~later], 2), B.told(told[later], 2)
+        low, known = B.told(told[~later], 2)
+        top = np.concatenate([value[at] for value, at in map(B.unsqueezed, told[later].sort_values("bucket")["ask"])])
         token = np.searchsorted(np.unique(np.append(series, _END_KEY)), series)
         pair = B.distinct_pairs(keys, more)[2]
         begins = np.cumsum(count) - count
         summed = lambda x: np.add.reduceat(x.astype(np.float64), begins)
         return pd.DataFrame({
             id_col: pd.array(ids, "Int64") if kind == "bigint" else ids, "held_out": ~training(ids), "n_tokens": count, "n_known": summed(known[token] > 0).astype(np.int64),
-            "train_tokens": n, "base_score": summed(np.log10((known[token] + 1.0) / (n + v + 1.0))), "score": summed(top[pair] + np.where(hit[pair] > 0, 0, low[token])),
+            "train_tokens": n, "base_score": summed(np.log10((known[token] + 1.0) / (n + v + 1.0))), "score": summed(-np.abs(top[pair]) + np.where(top[pair] < 0, 0, low[token])),
         })
 
     return B.with_answers(blocks, both, result, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
