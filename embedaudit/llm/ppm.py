@@ -59,7 +59,7 @@ class Tokens:
 
     def packed(self) -> bytes:
         """Counts and bytes alone: sizes and fingerprints follow from the bytes, as only a token's last symbol separates."""
-        return B.squeezed(self.counts, self.data)
+        return B.squeezed_apart(self.counts, self.data)
 
     @staticmethod
     def unpacked(value: bytes, keyed: bool = False) -> Tokens:
@@ -250,7 +250,7 @@ def _packed_pairs(keys: np.ndarray, more: np.ndarray, counts: np.ndarray) -> byt
     """Sorted pairs as each context once with the number of its tokens, then 24 and 16 bits of each token."""
     context = keys >> np.uint64(24)
     at = np.flatnonzero(np.diff(context, prepend=~context[:1]))
-    return B.squeezed(context[at], np.diff(np.append(at, len(keys))).astype(np.uint32), (keys & np.uint64(0xFFFFFF)).astype(np.uint32), more, counts)
+    return B.squeezed_apart(context[at], np.diff(np.append(at, len(keys))).astype(np.uint32), (keys & np.uint64(0xFFFFFF)).astype(np.uint32), more, counts)
 
 
 def _unpacked_pairs(context: np.ndarray, size: np.ndarray, token: np.ndarray, *beside: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -396,7 +396,7 @@ def _low_scores(vocabulary: DataFrame, buckets: int) -> DataFrame:
         model = Trie.part(Trie(*low), keys, counts, contexts[at], *(x[at] for x in of))
         score = model.token_scores(t).astype(np.float32)
         places = [B.unsqueezed(x)[0].astype(np.int64) for x in row["places"]]
-        return pd.DataFrame({"block": row["blocks"], "bucket": row["bucket"], "ask": [B.squeezed(score[x], t.counts[x]) for x in places]})
+        return pd.DataFrame({"block": row["blocks"], "bucket": row["bucket"], "ask": [B.squeezed_apart(score[x], t.counts[x]) for x in places]})
 
     home = vocabulary.select("bucket", "tokens", "blocks", "places").groupBy(F.col("bucket").cast("long").alias("of"))
     return home.cogroup(answers.groupBy(F.col("block").alias("of"))).applyInPandas(reply, B._ASK)
@@ -412,7 +412,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", traini
     rows. Columns other than id and text are not read.
     """
     training = training or (lambda ids: ~held_out(ids))
-    blocks = B.stored(df, id_col, text_col)
+    blocks = B.stored(df, id_col, text_col, level=12)
     buckets = B.bucket_count(blocks)
     vocabulary = written(_vocabulary(_ask_tokens(blocks, buckets, training)), "vocabulary")
     sums = vocabulary.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
