@@ -197,6 +197,22 @@ def test_ppm_base_and_probabilities(odd, none):
     assert ppm.scores(none).count() == 0
 
 
+def test_arrays_come_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 300, 70_000):
+        arrays = [np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64)), rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.integers(0, 3, n), rng.random(n).astype(np.float32), np.zeros(n, np.uint32), rng.integers(0, 256, n).astype(np.uint8)]
+        for pack in (blocks.squeezed, blocks.squeezed_apart):
+            for want, got in zip(arrays, blocks.unsqueezed(pack(*arrays)), strict=True):
+                assert got.dtype == want.dtype and np.array_equal(got, want)
+
+
+def test_ppm_tokens_come_back():
+    t = ppm.tokens([b"the then there these them", b"", b"a The\tbanana \xc3\xa9t\xc3\xa9"], np.array([True, False, True]))
+    got = ppm.Tokens.unpacked(t.packed(), keyed=True)
+    for want, back in ((t.keys, got.keys), (t.counts, got.counts), (t.sizes, got.sizes), (t.data, got.data)):
+        assert np.array_equal(want, back)
+
+
 def test_ppm_symbols_add_up():
     """In any context the probabilities of all symbols sum to one: escapes and exclusion leave nothing out."""
     t = ppm.tokens([b"the then there these them", b"a the banana"], np.array([True, True]))
