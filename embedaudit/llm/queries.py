@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, near_dedup, packing, pii, ppm, quality, repeats, toxicity
+from . import exact_dedup, kmeans_tree, media, mixing, near_dedup, packing, pii, ppm, quality, repeats, toxicity
 from .storage import documents, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op5_minhash_icws")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(documents(spark, sf_dir))
+
+
+# SQL would compare all queries with all rows; a test holds recall against brute force
+@_register("op11_kmeans_tree")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.neighbours(documents(spark, sf_dir, "embeddings"), "id % 100 = 0", k=10)
