@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, kmeans_tree, media, mixing, near_dedup, packing, pii, ppm, quality, repeats, toxicity
+from . import exact_dedup, kmeans_tree, media, merkle, mixing, near_dedup, packing, pii, ppm, quality, repeats, toxicity
 from .storage import documents, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,63 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op11_kmeans_tree")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.neighbours(documents(spark, sf_dir, "embeddings"), "id % 100 = 0", k=10)
+
+
+def _merkle_levels(name: str, leaves: str, levels: int) -> str:
+    """CTEs ``{name}0 .. {name}{levels}``: nodes by level with the digests left and right of each in its run; level k+1
+    has the parents of level k, or its node itself where the group has one node."""
+    out = []
+    for k in range(levels + 1):
+        nodes = leaves if k == 0 else f"""
+  SELECT grp, idx // 16 AS idx, any_value((total + 15) // 16) AS total,
+    CASE WHEN any_value(total) > 1 THEN sha256(string_agg(digest, '' ORDER BY idx)) ELSE any_value(digest) END AS digest
+  FROM {name}{k - 1}
+  GROUP BY grp, idx // 16"""
+        out.append(f"""{name}{k} AS (
+  SELECT grp, idx, total, digest,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY grp, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY grp, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM ({nodes}))""")
+    return ",\n".join(out)
+
+
+def _merkle_sql(levels: int = 6, source_levels: int = 3) -> str:
+    """The manifest level by level: 16 ** levels rows of a source and 16 ** source_levels sources at most."""
+    fields = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars")]
+    text, low = "coalesce(strlen(text) || ':' || text, '-')", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head, body = " || ".join(fields), f"coalesce(strlen({low}) || ':' || {low}, '-')"
+    crc = """list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+      lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda u, v: CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384) ELSE u >> 1 END))"""
+    parts = [
+        f"""d AS (
+  SELECT doc_id, source, sha256({head} || {text}) AS leaf,
+    CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN sha256({head} || {body}) ELSE sha256({head} || {text}) END AS seen
+  FROM documents)""",
+        """o AS (
+  SELECT *, coalesce('~' || source, '') AS grp, count(*) OVER (PARTITION BY source) AS total,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+  FROM d)""",
+        _merkle_levels("a", "SELECT grp, idx, total, leaf AS digest FROM o", levels),
+        f"""s AS (
+  SELECT grp AS name, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS total FROM a{levels})""",
+        _merkle_levels("b", "SELECT '' AS grp, idx, total, subroot AS digest FROM s", source_levels),
+        "f0 AS (SELECT doc_id, leaf, grp, idx, seen AS value, '' AS proof FROM o)",
+    ]
+    for k in range(levels):
+        parts.append(f"""f{k + 1} AS (
+  SELECT doc_id, leaf, f.grp, f.idx // 16 AS idx, CASE WHEN total > 1 THEN sha256(l || value || r) ELSE value END AS value, proof || l || r AS proof
+  FROM f{k} f JOIN a{k} n ON f.grp = n.grp AND f.idx = n.idx)""")
+    parts.append(f"g0 AS (SELECT doc_id, leaf, s.subroot, s.idx, value, proof FROM f{levels} f JOIN s ON f.grp = s.name)")
+    for k in range(source_levels):
+        parts.append(f"""g{k + 1} AS (
+  SELECT doc_id, leaf, subroot, g.idx // 16 AS idx, CASE WHEN total > 1 THEN sha256(l || value || r) ELSE value END AS value, proof || l || r AS proof
+  FROM g{k} g JOIN b{k} n ON g.idx = n.idx)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, value AS folded_root, value = digest AS verified
+FROM g{source_levels}, b{source_levels}"""
+
+
+@_register("op12_merkle_manifest", _merkle_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return merkle.manifest(docs, changed=F.when(remainder(5) == 0, merkle.lowered(F.col("text"))))
