@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, kmeans_tree, media, merkle, mixing, near_dedup, packing, pii, ppm, quality, repeats, toxicity
+from . import cover_tree, exact_dedup, kmeans_tree, media, merkle, mixing, near_dedup, packing, pii, ppm, quality, repeats, toxicity
 from .storage import documents, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,27 @@ FROM g{source_levels}, b{source_levels}"""
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return merkle.manifest(docs, changed=F.when(remainder(5) == 0, merkle.lowered(F.col("text"))))
+
+
+_COMPONENTS = "list_transform(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda x: floor(256 * x))"
+
+
+@_register("op13_cover_tree", f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_COMPONENTS} AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    index = cover_tree.indexed(documents(spark, sf_dir, "embeddings"), label=label, component=lambda x: F.floor(256 * x))
+    return cover_tree.hard_negatives(index, cover_tree.anchors(index, "id % 100 = 0"))

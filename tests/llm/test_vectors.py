@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from embedaudit.llm import kmeans_tree
+from embedaudit.llm import cover_tree, kmeans_tree
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -100,3 +100,62 @@ def test_best_bins_go_by_distance():
         assert sorted(order) == list(range(tree.leaves)) and order[0] == kmeans_tree.leaf_of(tree, q[None])[0]
         assert kmeans_tree.best_bins(tree, to, 3) == order[:3]
         assert len(kmeans_tree.best_bins(tree, to, 1, np.bincount(own), 50)) > 1
+
+
+def _hard(rows, every=20, positives=5, negatives=5):
+    rows = [(i, np.floor(256 * v), (label + 1) % 10 if i % 7 == 0 else label) for i, v, label in rows if label is not None]
+    out = []
+    for a, q, label in rows:
+        if a % every:
+            continue
+        scores = sorted((-int(v @ q), i, other) for i, v, other in rows if i != a)
+        for p, i, _ in [s for s in scores if s[2] == label][:positives]:
+            fit = [s for s in scores if s[2] != label and 80 * -p <= 100 * -s[0] <= 100 * -p]
+            out += [(a, i, k + 1, j, -p, -s) for k, (s, j, _) in enumerate(fit[:negatives])]
+    return sorted(out)
+
+
+def _mined(df, every=20, **bounds):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    index = cover_tree.indexed(df, label=label, component=lambda x: F.floor(256 * x), **bounds)
+    got = cover_tree.hard_negatives(index, cover_tree.anchors(index, f"id % {every} = 0"))
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    return sorted(tuple(r) for r in got.collect())
+
+
+def test_hard_negatives_are_brute_force(spark):
+    odd = [r for r in ODD if r[0] != 1700] + [(1700, [0.25] * 8, 1), (2000, [0.0] * 8, 1), (2020, [-3.0] * 8, 2), (2040, [2.0] * 8, 77), (2041, [2.0] * 8, 2)]
+    some = _vectors(spark, 600, extra=odd)
+    for c in ("id", "vector", "block", "query_id", "rank", "score", "high", "low", "tree", "windows", "center", "place"):
+        some = some.withColumn(c, F.lit("clash"))
+    got = _mined(some, centers=8, block_rows=64, sample_rows=100)
+    assert got == _hard(_usable(some, True)) and len(got) > 100
+    assert got == _mined(some)  # other centres and blocks, same rows
+
+
+def test_hard_negatives_of_copies_few_and_none(spark):
+    rows = [(i, [1.0, 0.5], i % 3) for i in range(300)] + [(300 + i, [0.9, 0.1 * (i % 4)], i % 2) for i in range(40)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    want = _hard([(i, np.array(np.float32(v), float), label) for i, v, label in rows])
+    assert _mined(d, block_rows=32) == want
+    assert _mined(d.limit(1)) == [] and _mined(d.limit(0)) == []
+    with pytest.raises(ValueError, match="too large"):
+        _mined(spark.createDataFrame([(0, [1e9, 1.0], 1)], SCHEMA))
+
+
+def test_cover_tree_covers():
+    rng = np.random.default_rng(5)
+    points = np.vstack([np.round(40 * rng.normal(size=6) + 6 * rng.normal(size=(60, 6))) for _ in range(8)])
+    largest = float((points**2).sum(1).max())
+    tree = cover_tree.build(np.arange(len(points)), np.zeros(len(points)), points, largest)
+    above = cover_tree.augmented(tree.points, largest)
+    assert (tree.count > 0).sum() > 1 and sorted(tree.ids.tolist()) == list(range(len(points)))
+    queries = rng.normal(size=(5, 6)) * 30
+    low, high = cover_tree.bounds(queries @ tree.points[tree.lo].T, (queries**2).sum(1), largest, tree.radius)
+    for node in range(len(tree.lo)):
+        a, b = tree.lo[node], tree.hi[node]
+        assert np.sqrt(((above[a:b] - above[a]) ** 2).sum(1)).max() <= tree.radius[node] + 1e-6
+        scores = queries @ tree.points[a:b].T
+        assert (scores.max(1) <= high[:, node]).all() and (scores.min(1) >= low[:, node]).all()
+        kids = range(tree.first[node], tree.first[node] + tree.count[node])
+        assert sum(tree.hi[j] - tree.lo[j] for j in kids) in (0, b - a)
