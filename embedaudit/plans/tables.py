@@ -55,57 +55,84 @@ def skip_unallocated(spark, sf_dir):
     return T(spark, sf_dir, "orders").agg(F.count_if(empty).alias("skipped"), F.count_if(~empty).alias("kept"))
 
 
-_TIERED = f"""WITH {_CASES},
-met AS (SELECT c.case_id, d.candidate_id, c.age AS case_age, d.age, c.diagnosis AS case_diagnosis, d.diagnosis, CASE
-    WHEN (c.sex IS NULL OR c.sex = d.sex) AND (c.age IS NULL OR d.age BETWEEN greatest(c.age - 10, 0) AND c.age + 10) THEN 1 WHEN c.sex IS NULL OR c.sex = d.sex THEN 2 ELSE 3 END AS tier
-  FROM cases c JOIN cands d USING (site)),
-placed AS (SELECT *, row_number() OVER (PARTITION BY case_id, tier ORDER BY candidate_id) AS place FROM met QUALIFY place <= 200),
-first AS (SELECT *, min(tier) OVER (PARTITION BY case_id) AS first_tier FROM placed QUALIFY tier = first_tier),
-scored AS (SELECT case_id, candidate_id, tier, coalesce(CAST(abs(nullif(case_age, 0) - nullif(age, 0)) AS DOUBLE), 25.0::DOUBLE) AS age_delta,
-    CASE WHEN case_diagnosis IS NOT DISTINCT FROM diagnosis THEN 0.0::DOUBLE ELSE 10.0::DOUBLE END + coalesce(CAST(abs(nullif(case_age, 0) - nullif(age, 0)) AS DOUBLE), 25.0::DOUBLE) AS score FROM first)"""
-
-
-def _scored(spark, sf_dir):
-    return matching.scored(matching.tiered(study.cases(spark, sf_dir), study.candidates(spark, sf_dir)))
+# cases with the sites of their prefix, and candidates with one site, days and race
+_MATCH = """cust AS (
+  SELECT c_custkey AS id, CASE WHEN c_custkey % 17 <> 0 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'male' ELSE 'female' END END AS sex,
+    CASE WHEN c_custkey % 17 <> 0 THEN abs(c_acctbal) END AS balance, CASE WHEN c_custkey % 3 = 0 THEN 'malignant' ELSE 'benign' END AS diagnosis
+  FROM customer),
+cases AS (
+  SELECT id AS case_id, ['BP', 'BN', 'CP', 'CN', 'RP', 'RN', 'TP', 'TN', 'XX'][1 + (id // 5) % 9] || '-' || id AS code, sex,
+    CAST(floor(balance / 100) AS INTEGER) AS age, diagnosis,
+    CASE substr(code, 1, 2) WHEN 'BP' THEN ['Breast'] WHEN 'BN' THEN ['Breast'] WHEN 'CP' THEN ['Cervix Uteri'] WHEN 'CN' THEN ['Cervix Uteri'] WHEN 'RP' THEN ['Colon'] WHEN 'RN' THEN ['Colon']
+      WHEN 'TP' THEN ['Head and Neck', 'Oral Cavity', 'Oropharynx'] WHEN 'TN' THEN ['Head and Neck', 'Oral Cavity', 'Oropharynx'] END AS sites
+  FROM cust WHERE id % 5 = 0),
+cands AS (
+  SELECT id AS candidate_id, ['Breast', 'Cervix Uteri', 'Colon', 'Head and Neck', 'Oral Cavity', 'Oropharynx', 'Lung'][1 + id % 7] AS site, sex,
+    CAST(floor(balance * 3) AS INTEGER) AS age_days, diagnosis,
+    CASE WHEN id % 4 = 0 OR (id % 7 = 1 AND coalesce(sex, '') = 'female') OR (id % 7 = 2 AND id % 91 <> 2) THEN ' Black or African American' WHEN id % 4 = 1 THEN 'white' WHEN id % 4 = 2 THEN 'not reported' END AS race
+  FROM cust WHERE id % 5 <> 0)"""
+#: ``cap`` candidates of a tier are fetched first, 200 when these are used; races are excluded after that.
+_LISTED = """,
+met AS (
+  SELECT c.case_id, d.candidate_id, t.tier, c.age AS case_age, d.age_days, c.diagnosis AS case_diagnosis, d.diagnosis, d.race
+  FROM cases c JOIN cands d ON list_contains(c.sites, d.site) JOIN (VALUES (1), (2), (3)) t(tier)
+    ON t.tier = 3 OR (c.sex IS NULL OR c.sex = d.sex) AND (t.tier = 2 OR c.age IS NULL
+      OR d.age_days BETWEEN CAST(greatest(c.age - 20, 0) * 365 AS BIGINT) AND CAST((c.age + 20) * 365 AS BIGINT))),
+fetched AS (SELECT *, row_number() OVER (PARTITION BY case_id, tier ORDER BY candidate_id) AS place FROM met QUALIFY place <= 200),
+alive AS (
+  SELECT *, min(tier) FILTER (place <= {cap}) OVER (PARTITION BY case_id) AS first_tier, min(tier) OVER (PARTITION BY case_id) AS late_tier
+  FROM fetched WHERE coalesce(lower(trim(race)), '') NOT IN ('black or african american', 'african american')),
+listed AS (
+  SELECT case_id, candidate_id, min(CASE WHEN tier = first_tier AND place <= {cap} THEN tier ELSE 10 + tier END) AS list, any_value(case_diagnosis) AS case_diagnosis, any_value(diagnosis) AS diagnosis,
+    any_value(coalesce(abs(nullif(case_age, 0)::DOUBLE - nullif(age_days, 0) / 365.0::DOUBLE), 25.0::DOUBLE)) AS age_delta
+  FROM alive WHERE first_tier IS NOT NULL AND (tier = late_tier OR tier = first_tier AND place <= {cap}) GROUP BY case_id, candidate_id),
+scored AS MATERIALIZED (
+  SELECT case_id, candidate_id, CAST(list % 10 AS INTEGER) AS tier, list > 10 AS retry, age_delta,
+    CASE WHEN case_diagnosis IS NOT DISTINCT FROM diagnosis THEN 0.0::DOUBLE ELSE 10.0::DOUBLE END + age_delta AS score
+  FROM listed)"""
+_TIERED = f"WITH {_MATCH}{_LISTED.replace('{cap}', '100')}"
+
+
+def _lists(spark, sf_dir, **bounds):
+    return matching.wish_lists(study.cases(spark, sf_dir), study.slide_candidates(spark, sf_dir), **bounds)
 
 
 @register("match_candidates", _TIERED + " SELECT * FROM scored")
 def match_candidates(spark, sf_dir):
-    return _scored(spark, sf_dir).select("case_id", "candidate_id", "tier", "age_delta", "score")
+    return matching.case_pairs(*_lists(spark, sf_dir)).select("case_id", "candidate_id", "tier", "retry", "age_delta", "score")
 
 
-@register("best_per_case", _TIERED + " SELECT case_id, candidate_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score, candidate_id) = 1")
+@register("best_per_case", _TIERED + " SELECT case_id, candidate_id, score FROM scored WHERE NOT retry QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score, candidate_id) = 1")
 def best_per_case(spark, sf_dir):
-    return matching.best_per_case(_scored(spark, sf_dir)).select("case_id", "candidate_id", "score")
+    return matching.best_per_case(matching.case_pairs(*_lists(spark, sf_dir)).filter("NOT retry")).select("case_id", "candidate_id", "score")
 
 
 #: Candidates are wanted ten to a case, so the first 20 of a tier come first and the rest when these are used.
 _WANTED = 10
-_FETCHED = _TIERED.replace(
-    "scored AS (SELECT case_id, candidate_id, tier,", "scored AS MATERIALIZED (SELECT case_id, candidate_id, tier, place > 20 AS retry,"
-)
-_ASSIGNED = _FETCHED.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+_ASSIGNED = f"WITH RECURSIVE {_MATCH}{_LISTED.replace('{cap}', '20')}" + """,
 turn AS MATERIALIZED (SELECT case_id, row_number() OVER (ORDER BY case_id) AS i FROM (SELECT DISTINCT case_id FROM scored)),
 wish AS MATERIALIZED (SELECT i, t.case_id, list(candidate_id ORDER BY retry, score, candidate_id) AS w FROM scored JOIN turn t USING (case_id) GROUP BY ALL),
-step AS (SELECT 0::BIGINT AS i, CAST(NULL AS BIGINT) AS case_id, CAST(NULL AS BIGINT) AS candidate_id, []::BIGINT[] AS used
-  UNION ALL SELECT w.i, w.case_id, list_filter(w.w, lambda x: NOT list_contains(s.used, x))[1]::BIGINT, list_append(s.used, list_filter(w.w, lambda x: NOT list_contains(s.used, x))[1]::BIGINT) FROM step s JOIN wish w ON w.i = s.i + 1),
+step AS (
+  SELECT 0::BIGINT AS i, CAST(NULL AS BIGINT) AS case_id, CAST(NULL AS BIGINT) AS candidate_id, []::BIGINT[] AS used
+  UNION ALL
+  SELECT w.i, w.case_id, list_filter(w.w, lambda x: NOT list_contains(s.used, x))[1]::BIGINT, list_append(s.used, list_filter(w.w, lambda x: NOT list_contains(s.used, x))[1]::BIGINT)
+  FROM step s JOIN wish w ON w.i = s.i + 1),
 assigned AS (SELECT case_id, candidate_id FROM step WHERE candidate_id IS NOT NULL)"""
 
 
-def _wanted(spark, sf_dir):
-    return matching.scored(matching.tiered(study.cases(spark, sf_dir), study.candidates(spark, sf_dir), size=_WANTED))
-
-
 @register("assign_unique", _ASSIGNED + " SELECT case_id, candidate_id FROM assigned")
 def assign_unique(spark, sf_dir):
-    return matching.assign_unique(_wanted(spark, sf_dir))
+    return matching.assign(*_lists(spark, sf_dir, size=_WANTED))
 
 
-@register("match_manifest", _ASSIGNED + """ SELECT c.case_id, site, sex, age, diagnosis, a.candidate_id, s.tier, s.age_delta, s.score, CASE WHEN a.candidate_id IS NULL THEN 'NO_MATCH' ELSE 'MATCHED' END AS status
- FROM cases c LEFT JOIN assigned a USING (case_id) LEFT JOIN scored s ON s.case_id = a.case_id AND s.candidate_id = a.candidate_id""")
+@register("match_manifest", _ASSIGNED + """
+SELECT c.case_id, code, sex, age, diagnosis, a.candidate_id, coalesce('T' || s.tier, 'NONE') AS tier, s.age_delta, s.score,
+  CASE WHEN a.candidate_id IS NULL THEN 'NO_MATCH' ELSE 'MATCHED' END AS status
+FROM cases c LEFT JOIN assigned a USING (case_id) LEFT JOIN scored s ON s.case_id = a.case_id AND s.candidate_id = a.candidate_id""")
 def match_manifest(spark, sf_dir):
-    pairs = _wanted(spark, sf_dir)
-    return matching.match_manifest(study.cases(spark, sf_dir), pairs, matching.assign_unique(pairs))
+    lists = _lists(spark, sf_dir, size=_WANTED)
+    cases = study.cases(spark, sf_dir).select("case_id", "code", "sex", "age", "diagnosis")
+    return matching.match_manifest(cases, *lists, matching.assign(*lists))
 
 
 @register("grid_pairs", """SELECT vec_id, CAST(p AS INTEGER) AS perturbation_id, ['mild','moderate','severe'][s] AS severity FROM embeddings, range(1, 19) a(p), range(1, 4) b(s)""")

@@ -31,4 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lost."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`written` that nothing reads any more: what was made of them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

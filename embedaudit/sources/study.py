@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from embedaudit.functions.text import site_of_prefix
+
 from embedaudit.functions.vectors import cosine
 
 MODELS = ("uni", "conch", "quilt_llava", "gigapath_tile")
@@ -83,9 +85,17 @@ def _site(c: DataFrame) -> DataFrame:
     )
 
 
+# what a study's cases and candidates have beside: prefixes with several, one or no site, and few candidates of a site
+_PREFIXES = ("BP", "BN", "CP", "CN", "RP", "RN", "TP", "TN", "XX")
+_SITES = ("Breast", "Cervix Uteri", "Colon", "Head and Neck", "Oral Cavity", "Oropharynx", "Lung")
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``case_id, site, sex, age, diagnosis``: every fifth customer."""
-    return _site(table(spark, sf_dir, "customer").filter("c_custkey % 5 = 0")).withColumnRenamed("c_custkey", "case_id")
+    """``case_id, site, sex, age, diagnosis`` and ``code, sites``: every fifth customer."""
+    c = _site(table(spark, sf_dir, "customer").filter("c_custkey % 5 = 0")).withColumnRenamed("c_custkey", "case_id")
+    prefix = F.get(F.array(*map(F.lit, _PREFIXES)), (F.floor(F.col("case_id") / 5) % len(_PREFIXES)).cast("int"))
+    code = F.concat(prefix, F.lit("-"), F.col("case_id").cast("string"))
+    return c.withColumn("code", code).withColumn("sites", site_of_prefix(F.col("code")))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +103,20 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _site(table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0")).withColumnRenamed("c_custkey", "candidate_id")
 
 
+def slide_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``candidate_id, site, sex, age_days, race, diagnosis``: a candidate has one primary site, an age in days, and a
+    race where it is known; a site whose candidates of a sex are all excluded, and one that has few left."""
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0")
+    key, known = F.col("c_custkey"), F.col("c_custkey") % 17 != 0
+    sex = F.when(known, F.when(F.col("c_nationkey") % 2 == 0, "male").otherwise("female"))
+    site = F.get(F.array(*map(F.lit, _SITES)), (key % len(_SITES)).cast("int"))
+    gone = (key % 4 == 0) | ((site == "Cervix Uteri") & (sex == "female")) | ((site == "Colon") & (key % 91 != 2))
+    race = F.when(gone, " Black or African American").when(key % 4 == 1, "white").when(key % 4 == 2, "not reported")
+    days = F.when(known, F.floor(F.abs("c_acctbal") * 3).cast("int"))
+    diagnosis = F.when(key % 3 == 0, "malignant").otherwise("benign")
+    return c.select(key.alias("candidate_id"), site.alias("site"), sex.alias("sex"), days.alias("age_days"), race.alias("race"), diagnosis.alias("diagnosis"))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``key, seq, status, size``: an append-only log, later rows overriding earlier ones of a key."""
     e = table(spark, sf_dir, "events")

@@ -314,6 +314,63 @@ def test_assignment_under_contention(spark):
     assert got == want
 
 
+def _chosen(pairs):
+    used, want = set(), {}
+    for c in sorted({p[0] for p in pairs}):
+        for *_, k in sorted((p[2], p[1]) for p in pairs if p[0] == c):
+            if k not in used:
+                want[c] = k
+                used.add(k)
+                break
+    return want
+
+
+@pytest.mark.parametrize(("classes", "most"), [(2000, 1), (10, 5), (3, 15)])
+def test_assignment_settles_chains_where_they_are(spark, classes, most):
+    """Each case asks first for what the case before it ends with."""
+    pairs = [(c, 500 + c - k, float(-k)) for c in range(40) for k in (0, 1) if c - k >= 0]
+    members, lists = matching.classes_of(spark.createDataFrame(pairs, "case_id long, candidate_id long, score double"))
+    got, rounds = matching.assigned_in_rounds(members, lists, classes)
+    assert {r["case_id"]: r["candidate_id"] for r in got.collect()} == _chosen(pairs) and rounds <= most
+
+
+def test_assignment_in_small_groups_equals_one_after_the_other(spark):
+    rng = np.random.default_rng(8)
+    pairs = [(c, int(d), float(rng.integers(0, 9))) for c in range(60) for d in rng.choice(50, 7, replace=False)]
+    pairs += [(60 + c, d, float(d % 5)) for c in range(30) for d in range(12)]
+    members, lists = matching.classes_of(spark.createDataFrame(pairs, "case_id long, candidate_id long, score double"))
+    for classes in (5, 20):
+        got, _ = matching.assigned_in_rounds(members, lists, classes)
+        assert {r["case_id"]: r["candidate_id"] for r in got.collect()} == _chosen(pairs)
+
+
+def test_tiers_fall_through_what_is_excluded(spark):
+    """The first tier with any candidate left after the exclusion; the cap comes before it."""
+    black = " Black or African American"
+    case = "case_id long, sites array<string>, sex string, age int, diagnosis string"
+    cases = spark.createDataFrame(
+        [(1, ["A", "B"], "male", 50, "benign"), (2, ["A"], "female", 50, "benign"), (3, ["C"], None, None, None), (4, None, "male", 1, "benign"), (5, ["D"], "male", 30, "x"), (6, ["E"], "male", 30, "x")], case
+    )
+    far, near = 90 * 365, 50 * 365
+    rows = [(10, "B", "male", near, None, "benign"), (11, "A", "male", near + 20 * 365, "white", "malignant"), (12, "A", "male", near + 20 * 365 + 1, "white", "benign"), (13, "A", "female", near, black, "benign"), (14, "A", "female", far, "asian", "benign")]
+    rows += [(20, "C", None, None, "african american ", "benign"), (21, "C", None, None, "", "benign"), (22, "C", "male", 1, None, None)]
+    rows += [(30 + i, "D", "male", 30 * 365, black, "x") for i in range(4)] + [(40, "D", "male", 30 * 365, None, "x"), (41, "D", "female", 0, None, "x"), (39, "D", "female", 1, black, "x")]
+    rows += [(60 + i, "E", "male", 30 * 365, "black or african american", "x") for i in range(3)]
+    candidates = spark.createDataFrame(rows, "candidate_id long, site string, sex string, age_days int, race string, diagnosis string")
+
+    def lists(**bounds):
+        out = {}
+        for r in matching.case_pairs(*matching.wish_lists(cases, candidates, **bounds)).orderBy("case_id", "retry", "candidate_id").collect():
+            out.setdefault(r["case_id"], []).append((r["candidate_id"], r["tier"], r["retry"]))
+        return out
+
+    assert lists() == {1: [(10, 1, False), (11, 1, False)], 2: [(14, 2, False)], 3: [(21, 1, False), (22, 1, False)], 5: [(40, 1, False)]}
+    # of D two or four are fetched first, all excluded, in every tier: no list, and so none to be longer either
+    for size in (1, 2):
+        some = lists(size=size)
+        assert some[1] == [(10, 1, False), (11, 1, False)] and some[2] == [(14, 2, False)] and 5 not in some
+
+
 def test_folder_paths_at_any_depth(spark):
     deep = [(str(k), str(k - 1) if k else None, f"n{k}") for k in range(90)] + [("x", "gone", "x")]
     files = spark.createDataFrame([(1, "89", "f"), (2, "x", "g"), (3, "0", "h")], "file_id long, parent string, name string")
