@@ -129,6 +129,11 @@ def make_key(perturbation_id: Column, severity: Column, sample_id: Column) -> Co
     return F.when(perturbation_id.isNull(), F.concat(F.lit("baseline__"), sample_id)).otherwise(F.format_string("p%02d__%s__%s", perturbation_id, severity, sample_id))
 
 
+def held_out_key(condition: Column, sample_id: Column) -> Column:
+    """``condition__id``, as of tiles under conditions outside the battery."""
+    return F.concat(condition, F.lit("__"), sample_id)
+
+
 def parse_key(key: Column) -> Column:
     """``baseline__id`` or ``pNN__severity__id`` as a struct; the id may hold the separator."""
     parts = F.split(key, "__", 3)

@@ -251,14 +251,16 @@ def wilcoxon_signed_rank(pairs: DataFrame, keys: list[str], diff: str = "diff",
     )
 
 
-def direction(p: Column, difference: Column, a: str, b: str, alpha: float = 0.05) -> Column:
-    """``<a>_higher``, ``<b>_higher`` or ``no_difference``; null without a p."""
-    return F.when(p >= alpha, "no_difference").when(p.isNotNull() & (difference > 0), f"{a}_higher").when(p.isNotNull(), f"{b}_higher")
+def direction(p: Column, difference: Column, a: str, b: str, none: str, alpha: float = 0.05) -> Column:
+    """Label ``a`` or ``b`` where p is below ``alpha`` and the difference is above or below 0, else ``none`` (so also for
+    a difference of 0); null without a p."""
+    sure = p < alpha
+    return F.when(sure & (difference > 0), a).when(sure & (difference < 0), b).when(p.isNotNull(), none)
 
 
-def with_prediction(tests: DataFrame, a: str, b: str, predicted: Column, difference: str = "median_diff") -> DataFrame:
+def with_prediction(tests: DataFrame, a: str, b: str, none: str, predicted: Column, difference: str = "median_diff") -> DataFrame:
     """``observed``, ``predicted`` and ``confirmed``: whether they are one label (null without a test)."""
-    seen = tests.withColumn("observed", direction(F.col("p_value"), F.col(difference), a, b)).withColumn("predicted", predicted)
+    seen = tests.withColumn("observed", direction(F.col("p_value"), F.col(difference), a, b, none)).withColumn("predicted", predicted)
     return seen.withColumn("confirmed", F.col("observed") == F.col("predicted"))
 
 
@@ -281,7 +283,7 @@ def family_condition_test(df: DataFrame, model: str, family_of: dict[str, str],
     pairs = [F.lit(x) for item in family_of.items() for x in item]
     rows = df.filter(F.col(condition) == value).withColumn("family", F.element_at(F.create_map(*pairs), F.col(model))).filter(F.col("family").isin(a, b))
     t = two_sample_test(rows, [condition], metric, F.col("family") == a, least)
-    seen = direction(F.col("p_value"), F.col("mean_a") - F.col("mean_b"), a, b, alpha)
+    seen = direction(F.col("p_value"), F.col("mean_a") - F.col("mean_b"), f"{a}_higher", f"{b}_higher", "no_difference", alpha)
     return t.withColumn("observed", F.when(~F.col("skipped"), seen))
 
 

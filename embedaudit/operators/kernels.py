@@ -359,8 +359,8 @@ REGISTRY = {
 
 
 def register(perturbation_id: int, name: str, category: str, kernel) -> None:
-    """Adds a kernel ``(pixels, severity's place, draws) -> pixels`` to the registry of this process, and of the workers
-    that import the module which registers it. An id that is taken is an error."""
+    """Adds a kernel ``(pixels, severity's place, draws) -> pixels`` to the registry, which jobs carry to their workers.
+    An id that is taken is an error."""
     if perturbation_id in REGISTRY:
         raise ValueError(f"perturbation {perturbation_id} is {REGISTRY[perturbation_id][0]}")
     REGISTRY[perturbation_id] = (name, category, kernel)
@@ -371,12 +371,12 @@ def _bytes(x: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.round(x, 6) + 0.5), 0, 255).astype(np.uint8)
 
 
-def apply(tile: np.ndarray, perturbation_id: int, severity: str, seed: str = "") -> np.ndarray:
+def apply(tile: np.ndarray, perturbation_id: int, severity: str, seed: str = "", registry: dict | None = None) -> np.ndarray:
     """One tile (rows, columns, 3) of bytes through one kernel; the same seed gives the same bytes."""
     place = SEVERITIES.index(severity)
     if perturbation_id == 3 and place == 1:
         return tile  # as defined: moderate saturation is the identity
-    return _bytes(REGISTRY[perturbation_id][2](tile.astype(float), place, Draws(f"{seed}|{perturbation_id}|{severity}")))
+    return _bytes((registry or REGISTRY)[perturbation_id][2](tile.astype(float), place, Draws(f"{seed}|{perturbation_id}|{severity}")))
 
 
 def laplacian_var(x: np.ndarray) -> float:
@@ -411,6 +411,8 @@ def _job(tiles: DataFrame, grid: DataFrame, names: list[str], kinds: list, work,
     if done is not None:
         rows = rows.join(done, ["sample_id", "perturbation_id", "severity"], "left_anti").select("sample_id", "red", "green", "blue", "perturbation_id", "severity")
 
+    registry = dict(REGISTRY)  # as it is now, on the driver
+
     def run(batches):
         for batch in batches:
             ids, pids, severities = (batch.column(c).to_pylist() for c in ("sample_id", "perturbation_id", "severity"))
@@ -419,7 +421,7 @@ def _job(tiles: DataFrame, grid: DataFrame, names: list[str], kinds: list, work,
             for k in range(batch.num_rows):
                 tile = np.stack([c[k].reshape(edge, edge) for c in channels], -1).astype(np.uint8)
                 try:
-                    out.append(("DONE", "", *work(tile, apply(tile, pids[k], severities[k], ids[k]))))
+                    out.append(("DONE", "", *work(tile, apply(tile, pids[k], severities[k], ids[k], registry))))
                 except (ValueError, IndexError, KeyError, FloatingPointError) as error:
                     out.append(("ERROR", str(error)[:200], *[None] * len(names)))
             made = [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), [pa.string(), pa.string(), *kinds], strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.string(), *kinds)]

@@ -29,10 +29,26 @@ def grid_mean_model() -> Callable[..., np.ndarray]:
     return predict
 
 
-def embed(tiles: DataFrame, make_model: Callable[[], Callable[..., np.ndarray]], done: DataFrame, pixels: int, batch: int = 256) -> DataFrame:
+def profile_model(rows: bool, columns: bool) -> Callable[[], Callable[..., np.ndarray]]:
+    """A model without weights: the means of all rows, all columns or both, over the channels, in 0..1."""
+
+    def make() -> Callable[..., np.ndarray]:
+        def predict(red: np.ndarray, green: np.ndarray, blue: np.ndarray) -> np.ndarray:
+            edge = int(round(red.shape[1] ** 0.5))
+            gray = ((red + green + blue) / 3.0 / 255.0).reshape(len(red), edge, edge)
+            return np.concatenate([gray.mean(2)] * rows + [gray.mean(1)] * columns, axis=1)
+
+        return predict
+
+    return make
+
+
+def embed(tiles: DataFrame, make_model: Callable[[], Callable[..., np.ndarray]], done: DataFrame | None, pixels: int, batch: int = 256) -> DataFrame:
     """``sample_id, vector`` of the tiles that ``done`` does not hold: ``make_model`` is called once in each worker and
     gives a function of batches of the three channels. Tiles without pixels are left out."""
-    todo = tiles.filter("red IS NOT NULL").join(done.select("sample_id").distinct(), "sample_id", "left_anti")
+    todo = tiles.filter("red IS NOT NULL")
+    if done is not None:
+        todo = todo.join(done.select("sample_id").distinct(), "sample_id", "left_anti")
     vector = predict_batch_udf(make_model, return_type=ArrayType(DoubleType()), batch_size=batch, input_tensor_shapes=[[pixels]] * 3)
     return todo.select("sample_id", vector(*[F.col(c).cast("array<double>") for c in ("red", "green", "blue")]).alias("vector"))
 

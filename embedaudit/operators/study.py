@@ -67,5 +67,5 @@ def held_out_summary(pairs: DataFrame, a: str, b: str, predicted: dict[str, str]
     predicted for the model's family (else no difference)."""
     family = stores._literals(FAMILIES, F.col("model"))
     label = F.coalesce(stores._literals(predicted, family), F.lit("no_difference"))
-    t = families.with_prediction(families.wilcoxon_signed_rank(pairs, ["model"]), a, b, label)
+    t = families.with_prediction(families.wilcoxon_signed_rank(pairs, ["model"]), f"{a}_higher", f"{b}_higher", "no_difference", label)
     return t.select("model", F.col("n_pairs").alias("n"), (F.round("median_diff", 6) + 0.0).alias("median_diff"), F.round("cohens_2g", 6).alias("cohens_2g"), p_value_stars(F.col("p_value")).alias("stars"), "confirmed")

@@ -518,7 +518,7 @@ def run_study(spark, sf_dir):
  o AS (SELECT model, count(*) AS n, round(median(round(x - y, 9)), 6) + 0.0 AS median_diff, round((count(*) FILTER (x > y) - count(*) FILTER (x < y)) / (count(*) FILTER (x <> y))::DOUBLE, 6) AS cohens_2g FROM w GROUP BY 1),
  q AS (SELECT o.*, """ + sqltail.normal2("z") + """ AS p FROM o JOIN z USING (model))
  SELECT model, n, median_diff, cohens_2g, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars,
-  CASE WHEN p >= 0.05 THEN 'no_difference' WHEN median_diff > 0 THEN 'p06_higher' ELSE 'p07_higher' END = CASE WHEN model IN ('uni', 'gigapath_tile') THEN 'p06_higher' ELSE 'no_difference' END AS confirmed FROM q""")
+  CASE WHEN p < 0.05 AND median_diff > 0 THEN 'p06_higher' WHEN p < 0.05 AND median_diff < 0 THEN 'p07_higher' ELSE 'no_difference' END = CASE WHEN model IN ('uni', 'gigapath_tile') THEN 'p06_higher' ELSE 'no_difference' END AS confirmed FROM q""")
 def held_out_summary(spark, sf_dir):
     """Each model's paired difference between two conditions, with what its family was predicted to show."""
     rows = _stored(spark, sf_dir).filter("severity = 'severe'").withColumn("condition", F.format_string("p%02d", F.col("perturbation_id")))
@@ -529,7 +529,7 @@ def held_out_summary(spark, sf_dir):
 _FAMILY = """SELECT 'p07' AS condition, model IN ('uni', 'gigapath_tile') AS a, cosine_similarity AS x FROM metric WHERE perturbation_id = 7"""
 
 
-@register("family_effect", _family_sql(["condition"], _FAMILY, """SELECT * REPLACE (round(p_value, 7) AS p_value), CASE WHEN skipped THEN NULL WHEN p_value >= 0.05 THEN 'no_difference' WHEN mean_a > mean_b THEN 'vision_higher' ELSE 'language_higher' END AS observed FROM tested""", 10))
+@register("family_effect", _family_sql(["condition"], _FAMILY, """SELECT * REPLACE (round(p_value, 7) AS p_value), CASE WHEN skipped THEN NULL WHEN p_value < 0.05 AND mean_a > mean_b THEN 'vision_higher' WHEN p_value < 0.05 AND mean_a < mean_b THEN 'language_higher' ELSE 'no_difference' END AS observed FROM tested""", 10))
 def family_effect(spark, sf_dir):
     """One perturbation's similarities pooled by model family and compared."""
     family = {"uni": "vision", "gigapath_tile": "vision", "conch": "language", "quilt_llava": "language"}

@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None):
 
 def _load() -> None:
     """Imports the modules whose queries are registered."""
-    from . import cells, files, labels, pixels, tables  # noqa: F401
+    from . import cells, files, held_out, labels, pixels, tables  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

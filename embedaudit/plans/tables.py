@@ -373,11 +373,11 @@ def held_out_pairs(spark, sf_dir):
 
 
 @register("held_out_test", _HELD_OUT + f""", q AS (SELECT o.*, round(least(plus, minus), 1) AS w, round(z, 5) AS z, {sqltail.normal2("z")} AS p FROM o JOIN z USING (cohort))
- SELECT * EXCLUDE (p), round(p, 7) AS p_value, CASE WHEN p >= 0.05 THEN 'no_difference' WHEN median_diff > 0 THEN 'flip_h_higher' ELSE 'flip_v_higher' END AS observed, 'no_difference' AS predicted,
- CASE WHEN p >= 0.05 THEN 'no_difference' WHEN median_diff > 0 THEN 'flip_h_higher' ELSE 'flip_v_higher' END = 'no_difference' AS confirmed FROM q""")
+ SELECT * EXCLUDE (p), round(p, 7) AS p_value, CASE WHEN p < 0.05 AND median_diff > 0 THEN 'flip_h_higher' WHEN p < 0.05 AND median_diff < 0 THEN 'flip_v_higher' ELSE 'no_difference' END AS observed, 'no_difference' AS predicted,
+ CASE WHEN p < 0.05 AND median_diff > 0 THEN 'flip_h_higher' WHEN p < 0.05 AND median_diff < 0 THEN 'flip_v_higher' ELSE 'no_difference' END = 'no_difference' AS confirmed FROM q""")
 def held_out_test(spark, sf_dir):
     """The paired test with what it shows beside what was predicted for the cohort (no difference)."""
-    w = families.with_prediction(kernels.held_out_test(study.tiles(spark, sf_dir)), "flip_h", "flip_v", F.lit("no_difference"))
+    w = families.with_prediction(kernels.held_out_test(study.tiles(spark, sf_dir)), "flip_h_higher", "flip_v_higher", "no_difference", F.lit("no_difference"))
     return w.select("cohort", "n_pairs", "n_pos", "n_neg", F.round("w", 1).alias("w"), F.round("z", 5).alias("z"), F.round("p_value", 7).alias("p_value"), *[(F.round(c, 6) + 0.0).alias(c) for c in ("median_a", "median_b", "median_diff", "cohens_2g")], "observed", "predicted", "confirmed")
 
 
