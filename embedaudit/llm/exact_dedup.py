@@ -63,10 +63,12 @@ def content_sorted(df: DataFrame, id_col: str, text_col: str, keep: str, columns
 def _keepers(rows: DataFrame, id_col: str, keep: str) -> DataFrame:
     """For each run (``__part``, digest): the rows of its text in all runs, and the one that stays (the id to keep, then
     the first row; null ids last). A text with many rows has a run in each of many partitions, none larger than one."""
-    wanted = F.col(id_col) if keep == "min" else -F.col(id_col)
-    best = F.min(F.struct(F.col(id_col).isNull().alias("a"), wanted.alias("b"), F.col(_ROW).alias("r")))
-    runs = rows.groupBy(_PART, _SHA).agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
-    texts = runs.groupBy(_SHA).agg(F.sum("n").alias("group_size"), F.min("best").alias("__best"))
+    # ordered, never negated: the least long has no negative. Row numbers are not negative
+    least = keep == "min"
+    known, row = (F.col(id_col).isNull(), F.col(_ROW)) if least else (F.col(id_col).isNotNull(), -F.col(_ROW))
+    pick = F.min if least else F.max
+    runs = rows.groupBy(_PART, _SHA).agg(F.count(F.lit(1)).alias("n"), pick(F.struct(known.alias("a"), F.col(id_col).alias("b"), row.alias("r"))).alias("best"))
+    texts = runs.groupBy(_SHA).agg(F.sum("n").alias("group_size"), pick("best").alias("__best"))
     return runs.select(_PART, _SHA).join(texts, _SHA)
 
 
@@ -81,11 +83,10 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = content_sorted(source, "doc_id", "text", keep, ["doc_id"]).withColumn(_PART, F.shiftright(_ROW, 33))
     best = _keepers(rows, "doc_id", keep)
-    signed = F.col("__best.b") if keep == "min" else -F.col("__best.b")
     joined = rows.join(best, [_PART, _SHA])
     return joined.select(
-        F.col("doc_id").alias(id_col), signed.cast(df.schema[id_col].dataType).alias("keep_id"), "group_size",
-        (F.col(_ROW) == F.col("__best.r")).alias("kept"), F.col(_SHA).alias("text_sha256"),
+        F.col("doc_id").alias(id_col), F.col("__best.b").cast(df.schema[id_col].dataType).alias("keep_id"), "group_size",
+        (F.col(_ROW) == F.abs("__best.r")).alias("kept"), F.col(_SHA).alias("text_sha256"),
     )
 
 

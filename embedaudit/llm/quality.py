@@ -21,7 +21,8 @@ EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 10, 5, 32, 24
 CHUNK_STEPS, CHUNK_HOP = 160, 80
 #: Labelled rows that are fitted at most, of each label.
 TRAIN_ROWS = 1_000
-_BLOCK = 1 << 17
+#: Bytes of short texts that are worked on at once, and of a long text's pieces.
+BLOCK = 1 << 17
 
 
 class Net:
@@ -58,16 +59,51 @@ class Net:
         first = np.maximum(0, np.minimum(k * CHUNK_HOP, steps[text] - CHUNK_STEPS))
         return base + first, base + np.minimum(first + CHUNK_STEPS, steps[text]), text
 
-    def pooled(self, texts: list[bytes]):
+    def chunks(self, texts: list[bytes]):
         seen, a, steps = self.responses(texts)
         first, last, text = self.chunked(steps)
         sums = np.zeros((len(a) + 1, a.shape[1]))
         np.cumsum(a, 0, out=sums[1:])
         chunk = ((sums[last] - sums[first]) / (last - first)[:, None]).astype(np.float32)
-        bounds = np.searchsorted(text, np.arange(len(texts)))
-        most = np.maximum.reduceat(chunk, bounds)
-        mean = np.add.reduceat(chunk, bounds) / np.bincount(text, minlength=len(texts))[:, None].astype(np.float32)
-        return seen, a, first, last, text, chunk, np.concatenate([most, mean], 1)
+        return seen, a, first, last, text, chunk
+
+    def groups(self, texts: list[bytes]) -> list[tuple[list[bytes], np.ndarray]]:
+        """What is worked on at once, and whose text each piece is: all short texts together, a text over BLOCK bytes in
+        pieces of whole chunks. A piece ends where its last chunk ends, so pieces have the chunks of the whole."""
+        many = BLOCK // STRIDE // CHUNK_HOP
+        short = [k for k, x in enumerate(texts) if len(x) <= BLOCK]
+        out = [([texts[k] for k in short], np.array(short))] if short else []
+        for k, x in enumerate(texts):
+            if len(x) > BLOCK:
+                steps = -(-(len(x) - WIDTH) // STRIDE) + 1
+                chunks = -(-(steps - CHUNK_STEPS) // CHUNK_HOP) + 1
+                for first in range(0, chunks, many):
+                    last = min(first + many, chunks)
+                    end = steps if last == chunks else (last - 1) * CHUNK_HOP + CHUNK_STEPS
+                    begin = min(first * CHUNK_HOP, steps - CHUNK_STEPS)
+                    out.append(([x[begin * STRIDE : (end - 1) * STRIDE + WIDTH]], np.array([k])))
+        return out
+
+    def features(self, texts: list[bytes], kept: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's greatest and mean chunk features, its chunks, and how many of them share the greatest. What a
+        single group's backward pass needs is put into ``kept``."""
+        most, total = np.full((len(texts), FILTERS), -np.inf, np.float32), np.zeros((len(texts), FILTERS), np.float32)
+        count, ties = np.zeros(len(texts), np.float32), np.zeros((len(texts), FILTERS), np.float32)
+        groups = self.groups(texts)
+        for pieces, owner in groups:
+            parts = self.chunks(pieces)
+            text, chunk = parts[-2], parts[-1]
+            if kept is not None and len(groups) == 1:
+                kept.append(parts)
+            bounds = np.searchsorted(text, np.arange(len(pieces)))
+            top = np.maximum.reduceat(chunk, bounds)
+            equal = np.add.reduceat(chunk == top[text], bounds, dtype=np.float32)
+            old = most[owner]
+            ties[owner] = np.where(top > old, equal, np.where(top == old, ties[owner] + equal, ties[owner]))
+            most[owner] = np.maximum(old, top)
+            total[owner] += np.add.reduceat(chunk, bounds)
+            count[owner] += np.bincount(text, minlength=len(pieces)).astype(np.float32)
+        return np.concatenate([most, total / count[:, None]], 1), count, ties
 
     def head(self, features: np.ndarray):
         p = self.p
@@ -76,12 +112,13 @@ class Net:
         return x, h, h @ p["out"] + p["out_shift"][0]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        z = self.head(self.pooled(texts)[-1])[2].astype(np.float64)
+        z = self.head(self.features(texts)[0])[2].astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
     def gradient(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p, g = self.p, {}
-        seen, a, first, last, text, chunk, features = self.pooled(texts)
+        kept: list = []
+        features, count, ties = self.features(texts, kept)
         x, h, z = self.head(features)
         dz = ((1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight / len(texts)).astype(np.float32)
         g["out"], g["out_shift"] = h.T @ dz, dz.sum(keepdims=True)
@@ -89,31 +126,33 @@ class Net:
         g["dense"], g["dense_shift"] = x.T @ dh, dh.sum(0)
         df = dh @ p["dense"].T / p["spread"]
         dmost, dmean = df[:, :FILTERS], df[:, FILTERS:]
-        count = np.bincount(text, minlength=len(texts)).astype(np.float32)
-        dchunk = (dmean / count[:, None])[text]
-        best = chunk == features[text, :FILTERS]
-        ties = np.add.reduceat(best, np.searchsorted(text, np.arange(len(texts))), dtype=np.float32)
-        dchunk += best * (dmost / np.maximum(ties, 1))[text]
-        # a chunk's gradient reaches all its steps: a running sum of what begins and ends
-        turn = np.zeros((len(a) + 1, FILTERS), np.float32)
-        each = dchunk / (last - first)[:, None].astype(np.float32)
-        np.add.at(turn, first, each)
-        np.add.at(turn, last, -each)
-        da = np.cumsum(turn[:-1], 0, dtype=np.float32) * (a > 0)
-        rows = p["embed"][seen].reshape(len(a), -1)
-        g["filters"], g["shift"] = rows.T @ da, da.sum(0)
-        de = (da @ p["filters"].T).reshape(-1, EMBED)
-        g["embed"] = np.stack([np.bincount(seen.ravel(), de[:, k], 256) for k in range(EMBED)], 1).astype(np.float32)
+        g |= {"filters": 0.0, "shift": 0.0, "embed": 0.0}
+        for pieces, owner in self.groups(texts):
+            seen, a, first, last, text, chunk = kept[0] if kept else self.chunks(pieces)
+            text = owner[text]
+            dchunk = (dmean / count[:, None])[text]
+            best = chunk == features[text, :FILTERS]
+            dchunk += best * (dmost / np.maximum(ties, 1))[text]
+            # a chunk's gradient reaches all its steps: a running sum of what begins and ends
+            turn = np.zeros((len(a) + 1, FILTERS), np.float32)
+            each = dchunk / (last - first)[:, None].astype(np.float32)
+            np.add.at(turn, first, each)
+            np.add.at(turn, last, -each)
+            da = np.cumsum(turn[:-1], 0, dtype=np.float32) * (a > 0)
+            rows = p["embed"][seen].reshape(len(a), -1)
+            g["filters"], g["shift"] = g["filters"] + rows.T @ da, g["shift"] + da.sum(0)
+            de = (da @ p["filters"].T).reshape(-1, EMBED)
+            g["embed"] = g["embed"] + np.stack([np.bincount(seen.ravel(), de[:, k], 256) for k in range(EMBED)], 1).astype(np.float32)
         return g
 
 
 def fit(texts: list[bytes], labels: np.ndarray, balance: float, passes: int = 14, batch_bytes: int = 120_000, rate: float = 0.01, seed: int = 0) -> Net:
     """A network fitted by Adam. ``balance`` is the weight of a row of label 1, that of label 0 being 1.
 
-    Every text is seen whole in each pass; one longer than a batch is a batch of its own."""
+    Every text is seen whole in each pass; one longer than a batch is a batch of its own, worked on piece by piece."""
     net, r = Net(seed), np.random.default_rng(seed)
     m, v, k = {n: 0.0 for n in net.p}, {n: 0.0 for n in net.p}, 0
-    base = np.concatenate([net.pooled(texts[a:b])[-1] for a, b in bytewords.chunks(texts, batch_bytes)])
+    base = np.concatenate([net.features(texts[a:b])[0] for a, b in bytewords.chunks(texts, batch_bytes)])
     net.p["mean"], net.p["spread"] = base.mean(0), base.std(0) + np.float32(1e-2)
     fixed = ("mean", "spread")
     total = passes * sum(1 for _ in bytewords.chunks(texts, batch_bytes)) + 1
@@ -148,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
 def with_quality(df: DataFrame, net: Net | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``df`` with ``score`` and ``predicted`` (score >= threshold).
 
-    The whole text is scored, long ones a block of chunks at a time; null counts as empty, which is a chunk of zero
+    The whole text is scored, long ones a piece of whole chunks at a time, so memory does not follow them; null counts as empty, which is a chunk of zero
     bytes. Equal texts get equal scores. Without a network every score is 0.5. Columns named as the new ones are
     replaced.
     """
@@ -159,7 +198,7 @@ def with_quality(df: DataFrame, net: Net | None, text_col: str = "text", thresho
     def work(batches):
         for batch in batches:
             texts = [(x or "").encode() for x in batch.column(at).to_pylist()]
-            for a, b in bytewords.chunks(texts, _BLOCK):
+            for a, b in bytewords.chunks(texts, BLOCK):
                 score = shared.value.score(texts[a:b]) if shared.value else np.full(b - a, 0.5)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 

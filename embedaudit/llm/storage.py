@@ -1,45 +1,13 @@
-"""Tables between the steps of one operator, in the folder that driver and executors share."""
+"""How operators read their tables, and joins by keys that may be hot. Tables between steps are the library's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. Where that is unset, as in tests, a temporary folder in local mode;
-    an error on a cluster, whose executors could not see one."""
-    folder = spark.conf.get(_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
-    spark.conf.set(_SETTING, "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return spark.conf.get(_SETTING)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and read again if an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def released(*tables: DataFrame) -> None:
-    """Deletes tables of :func:`written` that nothing reads any more: what was made of them is written itself."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._written)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from embedaudit.sources.scratch import released, shared_dir, written
 
+__all__ = ["documents", "join_counted", "released", "shared_dir", "written"]
 
 #: Keys that hold more than one in so many of all rows are met by a broadcast; there are at most as many of them.
 FEW = 10_000
@@ -59,7 +27,8 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total:
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    """A table of the folder. Texts of fewer files than the session has cores are dealt out row by row, or a single
-    file would keep one core busy; larger tables are read as they are split, without a shuffle. The rows are the same."""
+    """A table of the folder, as Spark splits it by bytes. Only a table of texts with fewer splits than the session has
+    cores is dealt out row by row: it is smaller than a split for each core, so that costs little, and a single file
+    would keep one core busy. The rows are the same."""
     read, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
-    return read.repartition(cores) if "text" in read.columns and len(read._jdf.inputFiles()) < cores else read
+    return read.repartition(cores) if "text" in read.columns and read._jdf.rdd().getNumPartitions() < cores else read

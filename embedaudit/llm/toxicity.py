@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewords
@@ -18,6 +18,8 @@ from . import bytewords
 DIMENSION = 1 << 18
 #: Labelled rows that are fitted at most, of each label; the rows with the least hash of their id are taken.
 TRAIN_ROWS = 2_500
+#: Bytes of each label's texts that are fitted at most.
+TRAIN_BYTES = 32 << 20
 #: Word beginnings that are features beside whole words, in bytes.
 PREFIXES = (3, 4, 5, 6)
 _EDGE = np.zeros(256, bool)
@@ -67,7 +69,8 @@ def _softplus(x: np.ndarray) -> np.ndarray:
 def fit(texts: list[bytes], labels: np.ndarray, passes: int = 120, rate: float = 0.15, decay: float = 1.0, z_least: float = 4.5) -> tuple[np.ndarray, float]:
     """Weights and bias that make the noisy-or of sentence scores likeliest, by Adam over all documents with L2 decay.
 
-    Only features that toxic documents have more often than others, by ``z_least`` standard errors, get a weight.
+    Only features that toxic documents have more often than others, by ``z_least`` standard errors, get a weight; of n
+    documents at most half of what n can reach (its square root), so that few documents are fitted too.
     """
     weights, bias, y = np.zeros(DIMENSION), -4.0, labels.astype(bool)
     # which features a document has; chunks hold whole documents
@@ -80,6 +83,7 @@ def fit(texts: list[bytes], labels: np.ndarray, passes: int = 120, rate: float =
     n = np.maximum(np.array([(~y).sum(), y.sum()]), 1)
     rates, both = with_it / n[:, None], with_it.sum(0) / n.sum()
     z_score = (rates[1] - rates[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n).sum())
+    z_least = min(z_least, np.sqrt(n.sum()) / 2)
     used = np.flatnonzero((z_score > z_least) & (np.arange(DIMENSION) > 0))
     slot = np.zeros(DIMENSION, np.int64)  # 0: a feature without weight
     slot[used] = np.arange(1, len(used) + 1)
@@ -117,8 +121,9 @@ def scored(texts: list[bytes], model: tuple[np.ndarray, float]) -> tuple[np.ndar
     return -np.expm1(-np.bincount(text, _softplus(z), len(texts))), p, text, begins
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each: int, id_col: str = "doc_id", text_col: str = "text"):
-    """Texts and labels, at most ``each`` rows of label 1 and of 0: those with the least hash of their id.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each: int, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_BYTES):
+    """Texts and labels, at most ``each`` rows of label 1 and of 0: those with the least hash of their id, as far as
+    ``most`` bytes of each label hold whole texts; those over a 64th of that come last.
 
     ``usable`` says of the labels' rows which may be learnt from. Ids with several labels count by the largest.
     """
@@ -127,8 +132,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column
     chosen = known.filter("__y = 1").orderBy(*order).limit(each).unionAll(known.filter("__y = 0").orderBy(*order).limit(each))
     rows = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     # the chosen labels are bounded; ids that repeat among the documents give one text
-    found = rows.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).groupBy("__id").agg(F.min(F.struct("t", "__y")).alias("r"))
-    got = sorted((r["__id"], r["r"]["t"], r["r"]["__y"]) for r in found.collect())
+    found = rows.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).groupBy("__id").agg(F.min(F.struct("t", "__y")).alias("r")).select("__id", "r.*")
+    size = F.octet_length("t")
+    so_far = F.sum(size).over(Window.partitionBy("__y").orderBy(size > most // 64, *order))  # at most ``each`` rows
+    got = sorted((r["__id"], r["t"], r["__y"]) for r in found.withColumn("__bytes", so_far).filter(F.col("__bytes") <= most).collect())
     return [t.encode() for _, t, _ in got], np.array([y for _, _, y in got])
 
 

@@ -67,6 +67,16 @@ def test_exact_dedup(odd, none, keep):
     assert exact_dedup.exact_duplicates(none).count() == 0 and exact_dedup.drop_exact_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_exact_dedup_of_extreme_ids(spark, keep):
+    least, most = -(2**63), 2**63 - 1
+    docs = spark.createDataFrame([(least, "a"), (most, "A"), (None, "a"), (least, "b")], "doc_id long, text string")
+    got = {(r["doc_id"], r["text_sha256"][:4]): (r["keep_id"], r["kept"]) for r in exact_dedup.exact_duplicates(docs, keep=keep).collect()}
+    a, b = hashlib.sha256(b"a").hexdigest()[:4], hashlib.sha256(b"b").hexdigest()[:4]
+    want = least if keep == "min" else most
+    assert got == {(least, a): (want, want == least), (most, a): (want, want == most), (None, a): (want, False), (least, b): (least, True)}
+
+
 def test_exact_dedup_of_one_hot_text(spark):
     docs = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot text")).otherwise(F.col("id").cast("string")).alias("text"))
     assert exact_dedup.drop_exact_duplicates(docs).count() == 601
@@ -460,6 +470,37 @@ def test_quality_network(spark, odd):
     assert quality.with_quality(odd, net).filter("score BETWEEN 0 AND 1").count() == odd.count()
 
 
+def test_quality_of_long_texts_in_pieces(monkeypatch):
+    """Pieces have the chunks of the whole text, in scores and in gradients."""
+    rng = random.Random(6)
+    texts = [_words(rng, 4000).encode(), b"short", _words(rng, 900).encode(), b"same chunk " * 2500]
+    net, y, w = quality.Net(2), np.array([1, 0, 0, 1]), np.array([2.0, 1.0, 1.0, 2.0])
+    whole, slope = net.score(texts), net.gradient(texts, y, w)
+    for block in (801, 1 << 11, 1 << 13):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        assert len(net.groups(texts)) > 3
+        assert np.allclose(net.score(texts), whole, atol=1e-6)
+        got = net.gradient(texts, y, w)
+        assert all(np.allclose(got[k], slope[k], rtol=2e-3, atol=1e-5) for k in slope if k != "embed")
+        assert np.allclose(got["embed"], slope["embed"], rtol=2e-2, atol=1e-4)
+
+
+def test_training_rows_are_bounded_in_bytes(spark):
+    rows = [(i, ("x" * 9000 if i == 2 else f"text {i} ") * (i % 3 + 1)) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    every, y = toxicity.training_rows(_docs(spark, rows), labels, "toxic", F.lit(True), 100)
+    assert len(every) == 40 and sum(y) == 20
+    some, _ = toxicity.training_rows(_docs(spark, rows), labels, "toxic", F.lit(True), 100, most=400)
+    assert 20 < len(some) < 40 and max(map(len, some)) < 100 and set(some) <= set(every)
+
+
+def test_toxicity_learns_from_few_labels():
+    texts = [b"you are an awful fool. nice day" if i % 2 else b"a nice day. the river" for i in range(16)]
+    model = toxicity.fit(texts, np.arange(16) % 2)
+    score = toxicity.scored([b"what a fool", b"a nice river"], model)[0]
+    assert score[0] > score[1] and np.count_nonzero(model[0]) > 0
+
+
 def test_quality_gradient():
     net, texts, y = quality.Net(1), [b"some words here " * 80, b"X%%Y$$Z" * 9, b""], np.array([1, 0, 1])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
