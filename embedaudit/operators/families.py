@@ -228,13 +228,13 @@ def wilcoxon_signed_rank(pairs: DataFrame, keys: list[str], diff: str = "diff",
     there is no test.
     """
     d = F.col(diff)
-    base = pairs.groupBy(*keys).agg(
-        F.count("*").alias("n_pairs"), F.count_if(d > 0).alias("n_pos"), F.count_if(d < 0).alias("n_neg"), F.median("x").alias("median_a"), F.median("y").alias("median_b"), F.median(d).alias("median_diff")
-    )
+    pairs = written(pairs, "pairs")  # counted, ranked and selected from
+    base = pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.count_if(d > 0).alias("n_pos"), F.count_if(d < 0).alias("n_neg"))
+    middle = prefix.medians(pairs, keys, ["x", "y", diff])
+    base = base.join(middle.select(*keys, F.col("median_x").alias("median_a"), F.col("median_y").alias("median_b"), F.col(f"median_{diff}").alias("median_diff")), keys, "left")
     values = pairs.filter(d != 0).groupBy(*keys, F.abs(d).alias("v")).agg(F.count_if(d > 0).alias("p"), F.count("*").alias("t"))
-    before = F.sum("t").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
     t, mid = F.col("t"), F.col("mid")
-    sums = values.withColumn("mid", before + (t + 1) / 2).groupBy(*keys).agg(
+    sums = prefix.before(values, "v", "t", keys=keys).withColumn("mid", F.col("before") + (t + 1) / 2).groupBy(*keys).agg(
         F.sum(F.col("p") * mid).alias("plus"), F.sum((t - F.col("p")) * mid).alias("minus"), F.sum((t * t * t - t).cast("double")).alias("ties"), F.sum("t").cast("double").alias("n")
     )
     j = base.join(sums, keys, "left")

@@ -125,7 +125,7 @@ SELECT model, perturbation_id, severity, cohort, max(n) AS n_tiles, round(sum(xy
 
 
 def cka_table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moments = cka.with_pooled(cka.cross_moments(study.pairs(spark, sf_dir), [*CELL, "cohort"]), CELL)
+    moments = cka.cross_moments(study.pairs(spark, sf_dir), [*CELL, "cohort"], pooled="cohort", width=study.WIDTH)
     return cka.linear_cka(moments, [*CELL, "cohort"])
 
 

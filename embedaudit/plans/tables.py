@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from embedaudit.functions import text
-from embedaudit.operators import families, kernels, ledgers, matching, slides
+from embedaudit.operators import families, kernels, ledgers, matching, prefix, slides
 from embedaudit.sources import study
 
 from . import sqltail
@@ -190,7 +190,8 @@ def status_summary(spark, sf_dir):
 
 @register("group_medians", "SELECT l_returnflag, round(median(l_extendedprice), 4) AS median_price, round(median(l_quantity), 4) AS median_quantity FROM lineitem GROUP BY 1")
 def group_medians(spark, sf_dir):
-    return T(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 4).alias("median_price"), F.round(F.median("l_quantity"), 4).alias("median_quantity"))
+    m = prefix.medians(T(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_extendedprice", "l_quantity"])
+    return m.select("l_returnflag", F.round("median_l_extendedprice", 4).alias("median_price"), F.round("median_l_quantity", 4).alias("median_quantity"))
 
 
 @register("pooled_and_by_group", """SELECT l_returnflag, coalesce(l_linestatus, 'POOLED') AS cohort, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from embedaudit.operators import cells, cka, families, kernels, ledgers, matching
+from embedaudit.operators import cells, cka, families, kernels, ledgers, matching, prefix
 from embedaudit.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -143,6 +143,49 @@ def test_cka_equals_gram_form(spark):
     assert got["n_tiles"] == 40 and abs(got["linear_cka"] - (k * m).sum() / math.sqrt((k * k).sum() * (m * m).sum())) < 1e-9
 
 
+def test_cka_of_wide_vectors_in_pieces(spark):
+    """Width 1024: what is shuffled are pieces of bounded size, and the value is that of the Gram form."""
+    rng, width = np.random.default_rng(4), 1024
+    rows = []
+    for cell in ("a", "b"):
+        x = rng.normal(size=(12, width))
+        y = x * (0.5 if cell == "a" else 0.0) + rng.normal(size=(12, width))
+        rows += [(cell, p.tolist(), q.tolist()) for p, q in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "k string, baseline array<double>, vector array<double>").repartition(3)
+    moments = cka.cross_moments(df, ["k"]).cache()
+    size = moments.agg(F.max(F.octet_length("moments")).alias("most"), F.count("*").alias("n")).first()
+    assert size["most"] == 8 * cka.PIECE and size["n"] == 2 * -(-(2 * width + 3 * width * width) // cka.PIECE)
+    moments._width = width
+    got = {r["k"]: (r["n_tiles"], r["linear_cka"]) for r in cka.linear_cka(moments, ["k"], decimals=9).collect()}
+    h = np.eye(12) - 1 / 12
+    for i, cell in enumerate(("a", "b")):
+        x, y = (np.array([r[c] for r in rows[12 * i : 12 * i + 12]]) for c in (1, 2))
+        k, m = h @ x @ x.T @ h, h @ y @ y.T @ h
+        assert got[cell][0] == 12 and abs(got[cell][1] - (k * m).sum() / math.sqrt((k * k).sum() * (m * m).sum())) < 1e-7
+
+
+def test_ranges_grow_in_number_not_in_size(spark):
+    sizes = []
+    for n in (2000, 32000):
+        dealt = prefix.ranged(spark.range(n).select(F.lit("hot").alias("k"), (F.col("id") * 7 % 65537).cast("double").alias("v")), ["k"], "v", 500)
+        sizes.append(dealt.groupBy("__range").count().agg(F.max("count"), F.count("*")).first())
+    assert sizes[1][0] <= 2 * 500 and sizes[0][0] <= 2 * 500 and sizes[1][1] >= 10 * sizes[0][1]
+
+
+def test_running_totals_and_medians_over_ranges(spark):
+    rng = np.random.default_rng(3)
+    data = {k: rng.integers(-50, 50, n) / 4 for k, n in (("hot", 3000), ("b", 7), ("c", 8), ("d", 1))}
+    df = spark.createDataFrame([(k, float(v), None if i % 5 else float(v) * 2) for k, x in data.items() for i, v in enumerate(x)], "k string, x double, y double").repartition(4)
+    got = {r["k"]: (r["median_x"], r["median_y"]) for r in prefix.medians(df, ["k"], ["x", "y"], rows=20).collect()}
+    assert got == {k: (float(np.median(x)), float(np.median(x[::5] * 2))) for k, x in data.items()}
+    distinct = df.groupBy("k", "x").count()
+    totals = {(r["k"], r["x"]): r["before"] for r in prefix.before(distinct, "x", "count", keys=["k"], rows=20).collect()}
+    assert totals == {(k, float(v)): int((x < v).sum()) for k, x in data.items() for v in set(x.tolist())}
+    whole = {r["x"]: r["before"] for r in prefix.before(df.groupBy("x").count(), "x", "count", rows=20).collect()}
+    every = np.concatenate(list(data.values()))
+    assert whole == {float(v): int((every < v).sum()) for v in set(every.tolist())}
+
+
 def test_interaction_terms_are_the_anova(spark):
     rng = np.random.default_rng(5)
     rows = [(m, c, float(rng.normal() + 0.3 * (m == "b") + 0.2 * c)) for m in "abc" for c in (True, False) for _ in range(7 if c else 5)]
