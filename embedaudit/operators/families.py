@@ -207,11 +207,10 @@ def model_effect(df: DataFrame, group: str, metric: str, alpha: float = 0.05, le
     normal = all(r["sw_p"] is not None and r["sw_p"] > alpha for r in seen)
     whole, pairs, names = (one_way_anova, tukey_hsd, ("anova", "tukey", "f", "q")) if normal else (kruskal_wallis, dunn_posthoc, ("kruskal_wallis", "dunn", "h", "z"))
     omnibus = whole(df, group, metric).select(F.lit(names[0]).alias("test_used"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("group_a"), F.lit(None).cast("string").alias("group_b"), F.col(names[2]).alias("statistic"), "p_value", F.lit(None).cast("string").alias("error"))
-    p = omnibus.first()["p_value"]
-    if p is None or p >= alpha:
-        return omnibus
-    each = pairs(df, group, metric).select(F.lit(names[1]).alias("test_used"), F.lit("ok").alias("status"), "group_a", "group_b", F.col(names[3]).alias("statistic"), "p_value", F.lit(None).cast("string").alias("error"))
-    return omnibus.unionByName(each)
+    omnibus = written(omnibus, "omnibus")  # one row; the pairs' plan is gated by it
+    gate = omnibus.filter(F.col("p_value") < alpha).select("status")
+    each = pairs(df, group, metric).select(F.lit(names[1]).alias("test_used"), "group_a", "group_b", F.col(names[3]).alias("statistic"), "p_value", F.lit(None).cast("string").alias("error"))
+    return omnibus.unionByName(each.crossJoin(F.broadcast(gate)).select(*omnibus.columns))
 
 
 def paired_conditions(df: DataFrame, keys: list[str], unit: str, condition: str, a: str, b: str, metric: str) -> DataFrame:

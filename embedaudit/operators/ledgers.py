@@ -26,6 +26,21 @@ def pending(expected: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return expected.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def missing_members(df: DataFrame, column: str, wanted: list[str]) -> DataFrame:
+    """``missing``: those of the wanted values that no row has."""
+    expected = df.sparkSession.createDataFrame([(w,) for w in wanted], "missing string")
+    return pending(expected, df.select(F.col(column).alias("missing")), ["missing"])
+
+
+def require_members(df: DataFrame, column: str, wanted: list[str]) -> DataFrame:
+    """The rows of the wanted values; a ValueError that names what is missing and what there is if a value has no row."""
+    missing = sorted(r["missing"] for r in missing_members(df, column, wanted).collect())  # at most the wanted ones
+    if missing:
+        there = [str(r[0]) for r in df.select(column).distinct().orderBy(column).limit(20).collect()]
+        raise ValueError(f"{column}: no rows of {', '.join(missing)}; there are {', '.join(there)}")
+    return df.filter(F.col(column).isin(*wanted))
+
+
 def resume(expected: DataFrame, ledger: DataFrame, listing: DataFrame, key: str, order: Column | str, dry_run: bool = False) -> DataFrame:
     """What is still to do: expected keys whose last ledger row is not a verified, successful one (``status`` DONE and the
     file listed with its size). Failed ones are tried again. ``dry_run`` keeps all keys, with ``action`` skip or do."""

@@ -1,44 +1,141 @@
-"""Whole studies: all families of tests for one set of models, and their summaries."""
+"""Whole studies: all families of tests for one set of models, kept in a store and resumed, and their summaries.
+
+A family is a set of tests that are corrected together. Its cells are tested in one plan; what the store holds of
+them is not tested again, and the correction is made over all that it holds. A family that fails is a row with its
+error, and the others go on.
+"""
 
 from __future__ import annotations
 
+import dataclasses
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedaudit.functions.text import FAMILIES, p_value_stars
-
-from . import cells, families, stores
+from . import cells, families, ledgers, stores
 
 CELL = ["model", "perturbation_id", "severity"]
 _PAIR = ["model_a", "model_b"]
 
 
+@dataclasses.dataclass(frozen=True)
+class Family:
+    """``rows`` takes the metric and CKA tables and gives what is tested, ``test`` tests it; ``keys`` are a cell's, or
+    none for one fit over all rows; ``correct`` corrects the family's p-values."""
+
+    name: str
+    keys: list[str] | None
+    rows: Callable[[DataFrame, DataFrame], DataFrame]
+    test: Callable[[DataFrame], DataFrame]
+    correct: Callable[[DataFrame], DataFrame] = lambda df: df
+
+
+def study_families(primary: list[str], outlier: str | None = None) -> list[Family]:
+    """The families of a study on similarities and on CKA: the omnibus test, cohorts within cells, the two-way table, the
+    mixed model, pairs of primary models; an outlier is compared to each primary model in families of its own, corrected
+    by themselves."""
+    acc, is_a = F.col("cohort") == "ACC", F.col("is_a")
+    mine = lambda t: t.filter(F.col("model").isin(*primary))
+    single, whole = (lambda t: cells.cohorts_only(mine(t))), (lambda t: cells.pooled_only(mine(t)))
+    cosine, cka = "cosine_similarity", "linear_cka"
+    two = lambda keys, metric, side: lambda rows: cells.two_sample_test(rows, keys, metric, side)
+    pair, pair_cka = [*_PAIR, "perturbation_id", "severity"], [*_PAIR, "severity"]
+    out = [
+        Family("model_effect", None, lambda c, k: mine(c), lambda r: families.model_effect(r, "model", cosine)),
+        Family("model_effect_cka", None, lambda c, k: whole(k), lambda r: families.model_effect(r, "model", cka)),
+        Family("cohort_effect", CELL, lambda c, k: mine(c), two(CELL, cosine, acc), cells.adjust_bonferroni),
+        Family("cohort_effect_cka", ["model", "severity"], lambda c, k: single(k), two(["model", "severity"], cka, acc), cells.adjust_bonferroni),
+        Family("interaction", None, lambda c, k: mine(c), lambda r: families.interaction_effect(r, "model", acc, cosine)),
+        Family("interaction_cka", None, lambda c, k: single(k), lambda r: families.interaction_effect(r, "model", acc, cka)),
+        Family("perturbation_effect", None, lambda c, k: mine(c), lambda r: families.random_intercept(r, "model", "perturbation_id", cosine)),
+        Family("perturbation_effect_cka", None, lambda c, k: whole(k), lambda r: families.random_intercept(r, "model", "perturbation_id", cka)),
+        Family("pairwise_models", pair, lambda c, k: cells.model_pairs(mine(c), primary), two(pair, cosine, is_a), cells.adjust_bonferroni),
+        Family("pairwise_models_cka", pair_cka, lambda c, k: cells.model_pairs(whole(k), primary), two(pair_cka, cka, is_a), cells.adjust_bonferroni),
+    ]
+    if outlier:
+        out += [
+            Family("outlier_effect", pair, lambda c, k: cells.outlier_pairs(c, outlier, primary), two(pair, cosine, is_a), cells.adjust_bh),
+            Family("outlier_effect_cka", pair_cka, lambda c, k: cells.outlier_pairs(cells.pooled_only(k), outlier, primary), two(pair_cka, cka, is_a), cells.adjust_bh),
+        ]
+    return out
+
+
 def run_study(cosine: DataFrame, cka: DataFrame, primary: list[str], outlier: str | None = None) -> dict[str, DataFrame]:
-    """One table for each family of tests on similarities and on CKA, none of them computed yet.
+    """One table for each family, none of them computed yet and none stored."""
+    return {f.name: f.correct(f.test(f.rows(cosine, cka))) for f in study_families(primary, outlier)}
+
+
+class ResultStore:
+    """Tables of uncorrected results, one for each family, as Parquet in a folder that only grows; and the runs' log."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def read(self, name: str) -> DataFrame | None:
+        """What is stored of a family, or None."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        there = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        return self.spark.read.parquet(f"{self.path}/{name}") if there else None
 
-    Primary models: the omnibus test, cohorts within cells, the two-way table, the mixed model, pairs of models. An
-    outlier is compared to each primary model in families of its own, corrected by themselves. A fit that fails is a
-    row of its own table, so the other families go on.
+    def write(self, name: str, df: DataFrame, mode: str = "append") -> None:
+        df.write.mode(mode).parquet(f"{self.path}/{name}")
+
+    def log(self) -> DataFrame | None:
+        """``run, family, status, cells, error`` of all runs."""
+        return self.read("runs")
+
+
+def resume_study(store: ResultStore, cosine: DataFrame, cka: DataFrame, primary: list[str], outlier: str | None = None, force: bool = False, only: list[Family] | None = None) -> DataFrame:
+    """Tests what the store lacks, family by family, and returns this run's log: ``run, family, status, cells, error``.
+
+    ``status``: done with the number of ``cells`` tested (1 for a fit over all), skipped where the store had them all, or
+    failed with the error; a failed family is tried again by the next run. With ``force`` families are computed anew and
+    replace what is stored. A model that is asked for and absent is an error before anything is tested.
     """
-    acc = F.col("cohort") == "ACC"
-    mine, mine_cka = (t.filter(F.col("model").isin(*primary)) for t in (cosine, cka))
-    single, whole = cells.cohorts_only(mine_cka), cells.pooled_only(mine_cka)
-    is_a = F.col("is_a")
-    out = {
-        "model_effect": families.model_effect(mine, "model", "cosine_similarity"), "model_effect_cka": families.model_effect(whole, "model", "linear_cka"),
-        "cohort_effect": cells.adjust_bonferroni(cells.two_sample_test(mine, CELL, "cosine_similarity", acc)),
-        "cohort_effect_cka": cells.adjust_bonferroni(cells.two_sample_test(single, ["model", "severity"], "linear_cka", acc)),
-        "interaction": families.interaction_effect(mine, "model", acc, "cosine_similarity"), "interaction_cka": families.interaction_effect(single, "model", acc, "linear_cka"),
-        "perturbation_effect": families.random_intercept(mine, "model", "perturbation_id", "cosine_similarity"), "perturbation_effect_cka": families.random_intercept(whole, "model", "perturbation_id", "linear_cka"),
-        "pairwise_models": cells.adjust_bonferroni(cells.two_sample_test(cells.model_pairs(mine, primary), [*_PAIR, "perturbation_id", "severity"], "cosine_similarity", is_a)),
-        "pairwise_models_cka": cells.adjust_bonferroni(cells.two_sample_test(cells.model_pairs(whole, primary), [*_PAIR, "severity"], "linear_cka", is_a)),
-    }
-    if outlier:
-        out["outlier_effect"] = cells.adjust_bh(cells.two_sample_test(cells.outlier_pairs(cosine, outlier, primary), [*_PAIR, "perturbation_id", "severity"], "cosine_similarity", is_a))
-        out["outlier_effect_cka"] = cells.adjust_bh(cells.two_sample_test(cells.outlier_pairs(cells.pooled_only(cka), outlier, primary), [*_PAIR, "severity"], "linear_cka", is_a))
-    return out
+    ledgers.require_members(cosine, "model", [*primary, *([outlier] if outlier else [])])
+    before = store.log()
+    run = (before.agg(F.max("run")).first()[0] if before is not None else 0) + 1
+    out = []
+    for family in only if only is not None else study_families(primary, outlier):
+        try:
+            held = None if force else store.read(family.name)
+            rows = family.rows(cosine, cka)
+            if family.keys is None:
+                tested = 0 if held is not None else 1
+            else:
+                wanted = rows.select(*family.keys).distinct()
+                todo = wanted if held is None else ledgers.incremental(wanted, held, family.keys)
+                tested = todo.count()
+                if held is not None and tested:
+                    rows = rows.join(F.broadcast(todo), family.keys, "left_semi")  # a row for each cell of the study
+            if tested:
+                store.write(family.name, family.test(rows), "overwrite" if force else "append")
+            out.append((run, family.name, "done" if tested else "skipped", tested, None))
+        except Exception as error:  # a family of its own: the others go on
+            out.append((run, family.name, "failed", 0, f"{type(error).__name__}: {error}"[:300]))
+    log = store.spark.createDataFrame(out, "run int, family string, status string, cells long, error string")
+    store.write("runs", log)
+    return log
+
+
+def stored_tables(store: ResultStore, primary: list[str], outlier: str | None = None) -> dict[str, DataFrame]:
+    """The store's families, corrected over all that each holds; families without results are left out."""
+    found = ((f, store.read(f.name)) for f in study_families(primary, outlier))
+    return {f.name: f.correct(df) for f, df in found if df is not None}
+
+
+def long_results(tables: dict[str, DataFrame], keys: dict[str, list[str] | None]) -> DataFrame:
+    """``family, cell, p_value, significant`` of all tables; ``cell`` names the tested cell, pair, term or level."""
+    parts = []
+    for name, table in tables.items():
+        of = keys[name] or [c for c in ("group_a", "group_b", "term", "perturbation_id") if c in table.columns]
+        flag = next((c for c in ("significant_bonferroni", "significant_fdr_bh") if c in table.columns), None)
+        cell = F.concat_ws("|", *(F.col(c).cast("string") for c in of))
+        parts.append(table.select(F.lit(name).alias("family"), cell.alias("cell"), F.col("p_value").cast("double").alias("p_value"), (F.col(flag) if flag else F.lit(None).cast("boolean")).alias("significant")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def summary(study: dict[str, DataFrame]) -> DataFrame:

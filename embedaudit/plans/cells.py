@@ -10,7 +10,7 @@ from embedaudit.functions.vectors import cosine, norm
 from embedaudit.operators import cells, cka, families, stores
 from embedaudit.operators import study as studies
 from embedaudit.sources import study
-from embedaudit.sources.scratch import written
+from embedaudit.sources.scratch import new_path, written
 
 from . import sqltail
 from .registry import register
@@ -331,14 +331,17 @@ def interaction_effect(spark, sf_dir):
     return out.filter("term <> 'model'").select("term", F.round("sum_sq", 6).alias("sum_sq"))
 
 
-@register("interaction_table", METRIC_SQL + """,
+_INTERACTION = METRIC_SQL + """,
 c AS (SELECT model, cohort, count(*)::DOUBLE AS n, avg(cosine_similarity) AS y, var_samp(cosine_similarity) * (count(*) - 1) AS ss FROM metric GROUP BY ALL),
 m AS (SELECT model, a.n AS n1, b.n AS n2, a.y AS y1, b.y AS y2, a.ss + b.ss AS rss, a.n * b.n / (a.n + b.n) AS w, a.y - b.y AS d FROM c a JOIN c b USING (model) WHERE a.cohort = 'ACC' AND b.cohort = 'GDC'),
 s AS (SELECT sum(w * d) * sum(w * d) / sum(w) AS ssc, sum(w * d * d) - sum(w * d) * sum(w * d) / sum(w) AS ssi, sum(rss) AS rss, count(*) AS k, sum(n1 + n2) AS n,
    -- the model's: what is explained beyond cohorts alone
    sum(n1 * y1 * y1 + n2 * y2 * y2) - sum(n1 * y1) * sum(n1 * y1) / sum(n1) - sum(n2 * y2) * sum(n2 * y2) / sum(n2) - (sum(w * d * d) - sum(w * d) * sum(w * d) / sum(w)) AS ssm FROM m),
 t AS (SELECT unnest(['model', 'cohort', 'model:cohort', 'residual']) AS term, unnest([ssm, ssc, ssi, rss]) AS ss, unnest([k - 1, 1, k - 1, n - 2 * k])::DOUBLE AS df, rss / (n - 2 * k) AS mse, (n - 2 * k)::DOUBLE AS dof FROM s)
-SELECT term, round(ss, 6) AS sum_sq, df, round(f, 3) AS f, round(CASE WHEN f IS NOT NULL THEN """ + sqltail.f_upper("f", "df", "dof") + """ END, 7) AS p_value FROM (SELECT *, CASE WHEN term <> 'residual' THEN ss / df / mse END AS f FROM t)""")
+SELECT term, round(ss, 6) AS sum_sq, df, round(f, 3) AS f, round(CASE WHEN f IS NOT NULL THEN """ + sqltail.f_upper("f", "df", "dof") + """ END, 7) AS p_value FROM (SELECT *, CASE WHEN term <> 'residual' THEN ss / df / mse END AS f FROM t)"""
+
+
+@register("interaction_table", _INTERACTION)
 def interaction_table(spark, sf_dir):
     out = families.interaction_effect(_stored(spark, sf_dir), "model", _acc(), "cosine_similarity")
     return out.select("term", F.round("sum_sq", 6).alias("sum_sq"), "df", F.round("f", 3).alias("f"), F.round("p_value", 7).alias("p_value"))
@@ -491,25 +494,79 @@ def model_effect_summary(spark, sf_dir):
     return studies.model_effect_summary(_stored(spark, sf_dir), written(cells.pooled_only(cka_table_of(spark, sf_dir)), "cka"))
 
 
+_FAMILY_SQL = {
+    "cohort_effect": ("significant_bonferroni", _family_sql(CELL, _COHORT_ROWS.replace("FROM metric", "FROM metric WHERE model <> 'gigapath_tile'"), sqltail.bonferroni())),
+    "pairwise_models": ("significant_bonferroni", _family_sql(_PAIR_KEYS, _pair_rows(_PAIRS), sqltail.bonferroni())),
+    "cohort_effect_cka": ("significant_bonferroni", _family_sql(["model", "severity"], _CKA_COHORT_ROWS + " AND model <> 'gigapath_tile'", sqltail.bonferroni(), before=_CKA_METRIC)),
+    "pairwise_models_cka": ("significant_bonferroni", _family_sql(_CKA_PAIR_KEYS, _cka_pair_rows(_PAIRS), sqltail.bonferroni(), before=_CKA_METRIC)),
+    "outlier_effect": ("significant_fdr_bh", _family_sql(_PAIR_KEYS, _pair_rows(_OUTLIERS), sqltail.benjamini_hochberg())),
+    "outlier_effect_cka": ("significant_fdr_bh", _family_sql(_CKA_PAIR_KEYS, _cka_pair_rows(_OUTLIERS), sqltail.benjamini_hochberg(), before=_CKA_METRIC)),
+}
 _STUDY_SQL = " UNION ALL ".join(
-    f"SELECT '{name}' AS family, count(*) AS tests, count(*) FILTER ({flag}) AS significant, round(min(p_value), 7) AS least_p FROM ({sql})"
-    for name, flag, sql in (
-        ("cohort_effect", "significant_bonferroni", _family_sql(CELL, _COHORT_ROWS.replace("FROM metric", "FROM metric WHERE model <> 'gigapath_tile'"), sqltail.bonferroni())),
-        ("pairwise_models", "significant_bonferroni", _family_sql(_PAIR_KEYS, _pair_rows(_PAIRS), sqltail.bonferroni())),
-        ("cohort_effect_cka", "significant_bonferroni", _family_sql(["model", "severity"], _CKA_COHORT_ROWS + " AND model <> 'gigapath_tile'", sqltail.bonferroni(), before=_CKA_METRIC)),
-        ("pairwise_models_cka", "significant_bonferroni", _family_sql(_CKA_PAIR_KEYS, _cka_pair_rows(_PAIRS), sqltail.bonferroni(), before=_CKA_METRIC)),
-        ("outlier_effect", "significant_fdr_bh", _family_sql(_PAIR_KEYS, _pair_rows(_OUTLIERS), sqltail.benjamini_hochberg())),
-        ("outlier_effect_cka", "significant_fdr_bh", _family_sql(_CKA_PAIR_KEYS, _cka_pair_rows(_OUTLIERS), sqltail.benjamini_hochberg(), before=_CKA_METRIC)),
-    )
+    f"SELECT '{name}' AS family, count(*) AS tests, count(*) FILTER ({flag}) AS significant, round(min(p_value), 7) AS least_p FROM ({sql})" for name, (flag, sql) in _FAMILY_SQL.items()
 )
 
 
+def _study(spark, sf_dir):
+    """Results of a whole study, in two runs over one store: the first has the mild and moderate cells alone, the second
+    tests what it lacked. Fits over all rows are made in the second."""
+    store = studies.ResultStore(spark, new_path(spark, "study"))
+    cosine, cka_of = _stored(spark, sf_dir), written(cka_table_of(spark, sf_dir), "cka")
+    of = (list(study.PRIMARY), study.OUTLIER)
+    early = [f for f in studies.study_families(*of) if f.name in ("cohort_effect", "outlier_effect_cka")]
+    studies.resume_study(store, cosine.filter("severity <> 'severe'"), cka_of.filter("severity <> 'severe'"), *of, only=early)
+    log = studies.resume_study(store, cosine, cka_of, *of)
+    return studies.stored_tables(store, *of), log
+
+
 @register("run_study", _STUDY_SQL)
 def run_study(spark, sf_dir):
     """All families of the primary models with the outlier's apart, and of each: tests, significant ones, least p."""
     return studies.summary(studies.run_study(_stored(spark, sf_dir), written(cka_table_of(spark, sf_dir), "cka"), list(study.PRIMARY), study.OUTLIER))
 
 
+#: Cells of each family that the second of :func:`_study`'s runs tests.
+_LOG = """SELECT 'second run' AS family, family || '|' || cells AS cell, NULL::DOUBLE AS p_value, NULL::BOOLEAN AS significant FROM (VALUES
+  ('model_effect', 1), ('model_effect_cka', 1), ('cohort_effect', 54), ('cohort_effect_cka', 9), ('interaction', 1), ('interaction_cka', 1), ('perturbation_effect', 1), ('perturbation_effect_cka', 1),
+  ('pairwise_models', 162), ('pairwise_models_cka', 9), ('outlier_effect', 162), ('outlier_effect_cka', 3)) v(family, cells)"""
+_LONG = {name: (_FAMILY_SQL[name], keys) for name, keys in (
+    ("cohort_effect", CELL), ("pairwise_models", _PAIR_KEYS), ("outlier_effect", _PAIR_KEYS),
+    ("cohort_effect_cka", ["model", "severity"]), ("pairwise_models_cka", _CKA_PAIR_KEYS), ("outlier_effect_cka", _CKA_PAIR_KEYS),
+)}
+
+
+def _primary(sql: str, view: str) -> str:
+    """A fit's SQL over the primary models of ``view``."""
+    head = _CKA_METRIC if "linear_cka" in view else METRIC_SQL
+    body = sql[len(METRIC_SQL) :].replace("FROM metric", "FROM fitted")
+    return f"WITH fitted AS ({head} {view}){body}"
+
+
+_FITTED = {
+    "": "SELECT * FROM metric WHERE model <> 'gigapath_tile'",
+    "_cka": "SELECT model, perturbation_id, severity, cohort, linear_cka AS cosine_similarity FROM metric WHERE cohort = 'POOLED' AND model <> 'gigapath_tile'",
+    "_cka_cohorts": "SELECT model, perturbation_id, severity, cohort, linear_cka AS cosine_similarity FROM metric WHERE cohort <> 'POOLED' AND model <> 'gigapath_tile'",
+}
+_FITS = [
+    *((f"model_effect{s}", "concat_ws('|', group_a, group_b)", _primary(METRIC_SQL + _OMNIBUS + " SELECT * FROM me", _FITTED[s])) for s in ("", "_cka")),
+    *((f"interaction{s}", "term", _primary(_INTERACTION, _FITTED[v])) for s, v in (("", ""), ("_cka", "_cka_cohorts"))),
+    *((f"perturbation_effect{s}", "perturbation_id::VARCHAR", _primary(_RANDOM + " SELECT perturbation_id, " + sqltail.normal2("z") + " AS p_value FROM fx", _FITTED[s])) for s in ("", "_cka")),
+]
+
+
+@register("study_results", " UNION ALL ".join([
+    *(f"SELECT '{name}' AS family, concat_ws('|', {', '.join(keys)}) AS cell, round(p_value, 6) AS p_value, {flag} AS significant FROM ({sql})" for name, ((flag, sql), keys) in _LONG.items()),
+    *(f"SELECT '{name}' AS family, {cell} AS cell, round(p_value, 6) AS p_value, NULL AS significant FROM ({sql})" for name, cell, sql in _FITS),
+    _LOG,
+]))
+def study_results(spark, sf_dir):
+    """Every test of a whole study, of all twelve families, and how many cells of each its second run tested."""
+    tables, log = _study(spark, sf_dir)
+    keys = {f.name: f.keys for f in studies.study_families(list(study.PRIMARY), study.OUTLIER)}
+    second = log.select(F.lit("second run").alias("family"), F.concat_ws("|", "family", "cells").alias("cell"), F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("boolean").alias("significant"))
+    return studies.long_results(tables, keys).unionByName(second).withColumn("p_value", F.round("p_value", 6))
+
+
 @register("held_out_summary", METRIC_SQL + """, w AS (SELECT model, sample_id, max(cosine_similarity) FILTER (perturbation_id = 6) AS x, max(cosine_similarity) FILTER (perturbation_id = 7) AS y FROM metric WHERE severity = 'severe' GROUP BY ALL),
  d AS (SELECT model, abs(round(x - y, 9)) AS v, x > y AS up FROM w WHERE x <> y), g AS (SELECT model, v, count(*) AS t, count(*) FILTER (up) AS p FROM d GROUP BY ALL),
  r AS (SELECT *, sum(t) OVER (PARTITION BY model ORDER BY v ROWS UNBOUNDED PRECEDING) - t + (t + 1) / 2.0::DOUBLE AS mid FROM g),

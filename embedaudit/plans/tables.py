@@ -27,9 +27,7 @@ def keep_members(spark, sf_dir):
 
 @register("require_members", "SELECT m AS missing FROM (VALUES ('click'), ('purchase'), ('refund')) t(m) WHERE m NOT IN (SELECT event_type FROM events WHERE event_type IS NOT NULL)")
 def require_members(spark, sf_dir):
-    wanted = T(spark, sf_dir, "events").select("event_type").distinct()
-    expected = spark.createDataFrame([("click",), ("purchase",), ("refund",)], "missing string")
-    return ledgers.pending(expected, wanted.withColumnRenamed("event_type", "missing"), ["missing"])
+    return ledgers.missing_members(T(spark, sf_dir, "events"), "event_type", ["click", "purchase", "refund"])
 
 
 _CASES = """cust AS (SELECT c_custkey, c_mktsegment AS site, CASE WHEN c_custkey % 17 <> 0 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'male' ELSE 'female' END END AS sex,

@@ -18,7 +18,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SLOW = {
     "mid_ranks", "embedding_keys", "cosine_table", "cka_table", "run_study", "model_effect_summary", "model_effect_cka", "outlier_effect_cka", "pairwise_models_cka", "gap_significance", "pairwise_summary",
     "outlier_effect", "embedding_store", "metric_file", "perturb_gaussian_noise", "effect_ranking_by_model", "match_manifest", "study_cka_ranks", "cell_variances", "outlier_moments", "pairwise_moments", "heatmap_b", "difference_heatmap",
-    "interaction_effect", "vector_norms", "anova_models", "kruskal_models", "dunn_models",
+    "interaction_effect", "vector_norms", "anova_models", "kruskal_models", "dunn_models", "study_results",
 }
 
 
