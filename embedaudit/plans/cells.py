@@ -360,8 +360,11 @@ def effects_by_model(spark, sf_dir):
 _RANDOM = METRIC_SQL + """, lv AS (SELECT perturbation_id, count(*)::DOUBLE AS n, avg(cosine_similarity) AS y FROM metric GROUP BY 1), gr AS (SELECT model, count(*)::DOUBLE AS n, avg(cosine_similarity) AS y FROM metric GROUP BY 1),
  tt AS (SELECT count(*)::DOUBLE AS n, avg(cosine_similarity) AS y, var_pop(cosine_similarity) * count(*) AS ss FROM metric),
  ms AS (SELECT (ss - (SELECT sum(l.n * (l.y - tt.y) * (l.y - tt.y)) FROM lv l) - (SELECT sum(g.n * (g.y - tt.y) * (g.y - tt.y)) FROM gr g)) / (n - (SELECT count(*) FROM lv) - (SELECT count(*) FROM gr) + 1) AS mse,
-   (SELECT sum(g.n * (g.y - tt.y) * (g.y - tt.y)) / (count(*) - 1) FROM gr g) AS msg, n / (SELECT count(*) FROM gr) AS per FROM tt),
- fx AS (SELECT perturbation_id, y - (SELECT y FROM lv WHERE perturbation_id = 1) AS coef, (y - (SELECT y FROM lv WHERE perturbation_id = 1)) / sqrt(mse * 2 / n) AS z, greatest(0.0, (msg - mse) / per) AS group_var FROM lv, ms WHERE perturbation_id <> 1)"""
+   (SELECT sum(g.n * (g.y - tt.y) * (g.y - tt.y)) / (count(*) - 1) FROM gr g) AS msg, n / (SELECT count(*) FROM gr) AS per,
+   n - (SELECT count(*) FROM lv) - (SELECT count(*) FROM gr) + 1 AS dfe, (SELECT count(*) FROM gr) - 1 AS dfg FROM tt),
+ -- groups that differ no more than their rows do: no variance of their own, and all that is left is one error
+ mx AS (SELECT CASE WHEN msg < mse THEN (mse * dfe + msg * dfg) / (dfe + dfg) ELSE mse END AS mse, msg, per, greatest(0.0, (msg - mse) / per) AS group_var FROM ms),
+ fx AS (SELECT perturbation_id, y - (SELECT y FROM lv WHERE perturbation_id = 1) AS coef, (y - (SELECT y FROM lv WHERE perturbation_id = 1)) / sqrt(mse * 2 / n) AS z, group_var FROM lv, mx WHERE perturbation_id <> 1)"""
 
 
 @register("perturbation_effect", _RANDOM + " SELECT perturbation_id, round(coef, 6) AS coef, round(z, 4) AS z, round(" + sqltail.normal2("z") + ", 6) AS p_value, round(group_var, 8) + 0.0 AS group_var FROM fx")
