@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from embedaudit.sources.scratch import written
+from embedaudit.sources.scratch import released, written
 
 
 def latest_per_key(ledger: DataFrame, key: str, order: Column | str) -> DataFrame:
@@ -65,21 +65,38 @@ def first_rows(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
+def _doubled(nodes: DataFrame, *more) -> DataFrame:
+    """One round of pointer doubling over (id, up, ...): each node's ``up`` becomes that of its ``up``. Nodes whose ``up`` is
+    not there are left out; ``more`` are columns of the result, with ``a_`` before the upper node's."""
+    above = nodes.select(*(F.col(c).alias(f"a_{c}") for c in nodes.columns))
+    joined = nodes.join(above, F.col("up") == F.col("a_id"), "left").filter("up IS NULL OR a_id IS NOT NULL")
+    return written(joined.select("id", F.col("a_up").alias("up"), *more), "folders")
+
+
+def require_no_cycle(folders: DataFrame) -> None:
+    """A ValueError where folders (``id, parent``) lead round in a circle: there a walk upwards takes more steps than there
+    are folders. Only ids are followed, no paths."""
+    count = folders.count()
+    nodes = folders.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"))
+    while not nodes.filter("up IS NOT NULL").isEmpty():
+        if not nodes.filter((F.col("steps") > count) & F.col("up").isNotNull()).isEmpty():
+            raise ValueError("folders form a cycle")
+        before = nodes
+        nodes = _doubled(nodes, (F.col("steps") + F.coalesce("a_steps", F.lit(0))).alias("steps"))
+        released(*(x for x in (before,) if hasattr(x, "_written")))
+
+
 def folder_paths(folders: DataFrame, files: DataFrame) -> DataFrame:
     """``file_id, path`` of every file: folders (``id, parent, name``; null parent is a root) take over their parents'
     paths, whose length doubles in each round, until all lead to a root; each round is written. A file whose folder or
-    one of whose folder's parents is missing has no row. Folders in a cycle are an error."""
+    one of whose folder's parents is missing has no row. Folders in a cycle are an error, found before any path is made."""
+    require_no_cycle(folders)
     paths = folders.select("id", F.col("parent").alias("up"), F.col("name").alias("path"))
-    for _ in range(64):  # 2**64 levels
-        if paths.filter("up IS NOT NULL").isEmpty():
-            return files.join(paths, F.col("parent") == F.col("id")).select("file_id", F.concat_ws("/", "path", "name").alias("path"))
-        above = paths.select(F.col("id").alias("a_id"), F.col("up").alias("a_up"), F.col("path").alias("a_path"))
-        joined = paths.join(above, F.col("up") == F.col("a_id"), "left").filter("up IS NULL OR a_id IS NOT NULL")
-        # a folder that meets itself is its own parent's parent
-        paths = written(joined.select("id", F.when(F.col("a_up") == F.col("id"), F.col("id")).otherwise(F.col("a_up")).alias("up"), F.concat_ws("/", F.when(F.length(F.coalesce("path", F.lit(""))) < 1 << 20, F.col("a_path")), "path").alias("path")), "paths")
-        if not paths.filter("up = id").isEmpty():
-            break
-    raise ValueError("folders form a cycle")
+    while not paths.filter("up IS NOT NULL").isEmpty():
+        before = paths
+        paths = _doubled(paths, F.concat_ws("/", "a_path", "path").alias("path"))
+        released(*(x for x in (before,) if hasattr(x, "_written")))
+    return files.join(paths, F.col("parent") == F.col("id")).select("file_id", F.concat_ws("/", "path", "name").alias("path"))
 
 
 def shard(df: DataFrame, order: str, index: int, count: int) -> DataFrame:

@@ -400,7 +400,7 @@ def shard(spark, sf_dir):
 def stream_ledger(spark, sf_dir):
     from embedaudit.streaming import ledger_stream
 
-    return ledger_stream.run_once(spark, sf_dir).select("key", "event_id", "status")
+    return ledger_stream.run_in_drops(spark, sf_dir).select("key", "event_id", "status")
 
 
 @register("corpus_completeness", """SELECT event_type, count(*) AS found, 200 AS expected, CASE WHEN count(*) = 200 THEN 'ok' WHEN count(*) < 200 THEN 'missing' ELSE 'extra' END AS status FROM events GROUP BY 1""")

@@ -252,14 +252,40 @@ def test_stream_takes_files_up_once(spark, tmp_path):
     schema = spark.read.parquet(f"{SF}/events.parquet").schema
     events = pd.read_parquet(f"{SF}/events.parquet")
     events.head(400).to_parquet(source / "a.parquet")
-    args = (spark, str(source), "*.parquet", schema, str(tmp_path / "rows"), str(tmp_path / "ck"))
-    ledger_stream.take_up(*args)
-    assert spark.read.parquet(str(tmp_path / "rows")).count() == 400
-    ledger_stream.take_up(*args)
-    assert spark.read.parquet(str(tmp_path / "rows")).count() == 400
-    events.iloc[400:500].to_parquet(source / "b.parquet")
-    ledger_stream.take_up(*args)
-    assert spark.read.parquet(str(tmp_path / "rows")).count() == 500
+    state = str(tmp_path / "state")
+    args = (spark, str(source), "*.parquet", schema, state, str(tmp_path / "ck"))
+
+    def last(n):
+        rows = events.iloc[:n].sort_values(["ts", "event_id"]).groupby("user_id")["event_id"].last()
+        return rows.to_dict()
+
+    def got():
+        return {r["key"]: r["event_id"] for r in ledger_stream.current(spark, state).collect()}
+
+    with pytest.raises(ValueError, match="nothing was taken up"):
+        ledger_stream.current(spark, state)
+    assert ledger_stream.take_up(*args) == 400 and got() == last(400)
+    assert ledger_stream.take_up(*args) == 0 and got() == last(400)
+    # the next runs read what came, and the state: the first drop can even be gone
+    for n, name in ((500, "b"), (600, "c"), (700, "d")):
+        events.iloc[n - 100 : n].to_parquet(source / f"{name}.parquet")
+        if name == "c":
+            os.remove(source / "a.parquet")
+        assert ledger_stream.take_up(*args) == 100 and got() == last(n)
+    assert len([x for x in os.listdir(state) if x.startswith("state-")]) == 2
+
+
+def test_a_stream_batch_that_is_run_again_changes_nothing(spark, tmp_path):
+    from embedaudit.streaming import ledger_stream
+
+    source, state = tmp_path / "in", str(tmp_path / "state")
+    os.makedirs(source)
+    schema, events = spark.read.parquet(f"{SF}/events.parquet").schema, pd.read_parquet(f"{SF}/events.parquet")
+    events.head(300).to_parquet(source / "a.parquet")
+    ledger_stream.take_up(spark, str(source), "*.parquet", schema, state, str(tmp_path / "ck"))
+    want = sorted(map(tuple, ledger_stream.current(spark, state).collect()))
+    ledger_stream.take_up(spark, str(source), "*.parquet", schema, state, str(tmp_path / "lost"))  # as after a lost checkpoint
+    assert sorted(map(tuple, ledger_stream.current(spark, state).collect())) == want
 
 
 def _brute_mann_whitney(a, b):
@@ -419,6 +445,9 @@ def test_folder_paths_at_any_depth(spark):
     files = spark.createDataFrame([(1, "89", "f"), (2, "x", "g"), (3, "0", "h")], "file_id long, parent string, name string")
     got = {r["file_id"]: r["path"] for r in ledgers.folder_paths(spark.createDataFrame(deep, "id string, parent string, name string"), files).collect()}
     assert got == {1: "/".join(f"n{k}" for k in range(90)) + "/f", 3: "n0/h"}
+    long = [(str(k), str(k - 1) if k else None, "x" * 400_000) for k in range(6)]
+    got = ledgers.folder_paths(spark.createDataFrame(long, "id string, parent string, name string"), spark.createDataFrame([(1, "5", "f")], "file_id long, parent string, name string")).first()
+    assert len(got["path"]) == 6 * 400_001 + 1
     for ring in ([("a", "b", "a"), ("b", "a", "b")], [("a", "a", "a")], [("a", "b", "a"), ("b", "c", "b"), ("c", "a", "c"), ("d", "a", "d")]):
         with pytest.raises(ValueError, match="cycle"):
             ledgers.folder_paths(spark.createDataFrame(ring, "id string, parent string, name string"), files)
