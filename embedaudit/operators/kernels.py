@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from embedaudit.functions.text import param_of
+
 from . import families
 
 EDGE = 8
@@ -284,12 +286,15 @@ def fine_rotation(x: np.ndarray, s: int) -> np.ndarray:
     return _bytes(np.where(inside[..., None], _sampled(x.astype(float), rows, cols), 255))
 
 
-def _smoother(x, s, rng):
-    """A blend with the 3 x 3 smoothed tile (centre weight 5 of 13), edges kept."""
+def sharpened(x: np.ndarray, factor: float) -> np.ndarray:
+    """A blend with the 3 x 3 smoothed tile (centre weight 5 of 13), edges kept; factor 1 is the tile itself."""
     y = x.copy()
     y[1:-1, 1:-1] = (sum(x[1 + a : x.shape[0] - 1 + a, 1 + b : x.shape[1] - 1 + b] for a in (-1, 0, 1) for b in (-1, 0, 1)) + 4 * x[1:-1, 1:-1]) / 13
-    share = (0.5, 0.25, 0.05)[s]
-    return share * x + (1 - share) * y
+    return factor * x + (1 - factor) * y
+
+
+def _smoother(x, s, rng):
+    return sharpened(x, (0.5, 0.25, 0.05)[s])
 
 
 def gray(x: np.ndarray) -> np.ndarray:
@@ -371,8 +376,17 @@ def _bytes(x: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.round(x, 6) + 0.5), 0, 255).astype(np.uint8)
 
 
+# Rows beside the grid, which compare another factor and the tile itself with perturbation 16.
+EXTRA = {(16, "severe_alt_0.10"): 0.10, (16, "reference_1.0"): 1.0}
+#: Kernels of rows beside the grid, by perturbation and label.
+VARIANTS = {cell: (lambda x, factor=factor: sharpened(x, factor)) for cell, factor in EXTRA.items()}
+
+
 def apply(tile: np.ndarray, perturbation_id: int, severity: str, seed: str = "", registry: dict | None = None) -> np.ndarray:
-    """One tile (rows, columns, 3) of bytes through one kernel; the same seed gives the same bytes."""
+    """One tile (rows, columns, 3) of bytes through one kernel, or a variant beside the grid; the same seed gives the same
+    bytes."""
+    if (perturbation_id, severity) in VARIANTS:
+        return _bytes(VARIANTS[perturbation_id, severity](tile.astype(float)))
     place = SEVERITIES.index(severity)
     if perturbation_id == 3 and place == 1:
         return tile  # as defined: moderate saturation is the identity
@@ -445,9 +459,45 @@ def perturb(tiles: DataFrame, grid: DataFrame, done: DataFrame | None = None) ->
     return made(held).unionByName(skipped)
 
 
-def diagnostics(tiles: DataFrame, grid: DataFrame) -> DataFrame:
-    """The eight quality metrics of every tile and cell against the unperturbed tile."""
-    return _job(tiles, grid, _METRICS, [pa.float64()] * len(_METRICS), _measured)
+def diagnostics(tiles: DataFrame, grid: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """The eight quality metrics of every tile and cell against the unperturbed tile; rows that ``done`` has, with
+    whatever status, are not computed again."""
+    keys = None if done is None else done.select("sample_id", "perturbation_id", "severity").distinct()
+    return _job(tiles, grid, _METRICS, [pa.float64()] * len(_METRICS), _measured, keys)
+
+
+def extra_cells(spark) -> DataFrame:
+    """The cells beside the grid: two rows."""
+    return spark.createDataFrame(list(EXTRA), "perturbation_id int, severity string")
+
+
+def report(tiles: DataFrame, grid: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """Rows of the diagnostics' report that ``done`` lacks: a cell's name, category and parameter, status OK or ERROR with
+    its notes (metrics are null then), and the metrics, for the grid and the cells beside it."""
+    cells = grid.select("perturbation_id", "severity").unionByName(extra_cells(tiles.sparkSession))
+    made = diagnostics(tiles, cells, done)
+    p = F.col("perturbation_id")
+    named = F.create_map(*[x for k, v in REGISTRY.items() for x in (F.lit(k), F.array(F.lit(v[0]), F.lit(v[1])))])
+    beside = F.create_map(*[x for (k, label), v in EXTRA.items() for x in (F.lit(f"{k} {label}"), F.lit(v))])
+    cell = F.concat_ws(" ", p, "severity")
+    status = F.when(F.col("status") == "DONE", "OK").otherwise(F.col("status"))
+    notes = F.when((status == "OK") & F.map_contains_key(beside, cell), "diagnostic-only comparison row").otherwise(F.col("notes"))
+    value = F.coalesce(F.try_element_at(beside, cell), F.when(status == "OK", param_of(p, F.col("severity"))))
+    return made.select(
+        "sample_id", "perturbation_id", F.get(F.try_element_at(named, p), F.lit(0)).alias("name"), F.get(F.try_element_at(named, p), F.lit(1)).alias("category"), "severity",
+        value.alias("param_value"), status.alias("status"), notes.alias("notes"), *_METRICS,
+    )
+
+
+def resume_report(tiles: DataFrame, grid: DataFrame, path: str) -> int:
+    """Appends to the report at ``path`` the rows it lacks, and says how many these are. Rows of errors are kept and not
+    tried again."""
+    spark = tiles.sparkSession
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    before = spark.read.parquet(path).count() if there else 0
+    report(tiles, grid, spark.read.parquet(path) if there else None).write.mode("append").parquet(path)
+    return spark.read.parquet(path).count() - before
 
 
 def held_out_test(tiles: DataFrame, decimals: int = 6) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from embedaudit.operators import kernels
 from embedaudit.sources import study
+from embedaudit.sources.scratch import new_path
 
 from .registry import register
 
@@ -214,3 +215,83 @@ def tile_diagnostics(spark, sf_dir):
     d = kernels.diagnostics(study.tiles(spark, sf_dir), grid)
     digits = {"laplacian_var": 4, "laplacian_pct_of_orig": 4, "ssim": 6, "mean_intensity": 9, "mean_abs_diff": 8}
     return d.select("sample_id", "severity", *[(F.round(c, digits.get(c, 5)) + 0.0).alias(c) for c in kernels._METRICS])
+
+
+def _smoothed(factor: float) -> str:
+    """Perturbation 16 with one factor in the place of its severities'."""
+    return _smoother().replace(_by_severity((0.5, 0.25, 0.05)), f"{factor}::DOUBLE")
+
+
+# every kernel's pixels; two labels beside the grid for perturbation 16
+_BYTE = "CAST(greatest(0, least(255, floor(round({y}, 6) + 0.5))) AS INTEGER)"
+_EVERY = f"WITH {_TILES},\nevery AS (" + "\nUNION ALL ".join([
+    *(f"SELECT CAST({k} AS INTEGER) AS perturbation_id, sample_id, severity, i, y0, y1, y2 FROM (WITH {sql} SELECT * FROM out)" for k, (_, sql) in _KERNEL_SQL.items()),
+    *(f"SELECT CAST(16 AS INTEGER), sample_id, '{label}', i, y0, y1, y2 FROM (WITH {_smoothed(f)} SELECT * FROM out WHERE severity = 'mild')" for label, f in (("severe_alt_0.10", 0.1), ("reference_1.0", 1.0))),
+]) + f"),\nshown AS (SELECT perturbation_id, sample_id, severity, i, {', '.join(_BYTE.format(y=f'y{k}') + f' AS y{k}' for k in range(3))} FROM every)"
+
+
+@register("perturb_tiles", _EVERY + """
+SELECT sample_id, perturbation_id, severity, 'DONE' AS status, '' AS notes, md5(string_agg(printf('%02X%02X%02X', y0, y1, y2), '' ORDER BY i)) AS data
+FROM shown WHERE severity IN ('mild', 'moderate', 'severe') GROUP BY ALL""")
+def perturb_tiles(spark, sf_dir):
+    """All 18 kernels at all severities: status and a digest of each tile's pixels."""
+    done = kernels.perturb(study.tiles(spark, sf_dir), study.grid(spark))
+    return done.select("sample_id", "perturbation_id", "severity", "status", "notes", F.md5(F.hex("data").cast("binary")).alias("data"))
+
+
+_NAMES = """names AS (SELECT * FROM (VALUES
+  (1, 'HE_Intensity_Variation', 'colour_staining'), (2, 'Colour_Channel_Shift', 'colour_staining'), (3, 'Saturation_Adjustment', 'colour_staining'), (4, 'Hue_Rotation', 'colour_staining'),
+  (5, 'Stain_Normalisation_Failure', 'colour_staining'), (6, 'Gaussian_Blur', 'imaging_artefacts'), (7, 'Motion_Blur', 'imaging_artefacts'), (8, 'Gaussian_Noise', 'imaging_artefacts'),
+  (9, 'Salt_Pepper_Noise', 'imaging_artefacts'), (10, 'JPEG_Compression', 'imaging_artefacts'), (11, 'Rotation', 'geometric'), (12, 'Scaling', 'geometric'),
+  (13, 'Elastic_Deformation', 'geometric'), (14, 'Downsample_Upsample', 'resolution_quality'), (15, 'Resolution_Degradation_MPP', 'resolution_quality'), (16, 'Sharpness_Reduction', 'resolution_quality'),
+  (17, 'Brightness_Adjustment', 'lighting'), (18, 'Contrast_Adjustment', 'lighting')) v(perturbation_id, name, category)),
+params AS (SELECT * FROM (VALUES
+  (1, 0.10, 0.25, 0.40), (3, 0.7, 1.0, 1.3), (4, 10, 30, 60), (5, 0.10, 0.25, 0.40), (8, 5, 15, 30), (9, 0.01, 0.03, 0.05), (10, 80, 50, 20), (11, 90, 180, 270), (12, 0.8, 1.2, 1.5), (14, 2, 4, 8),
+  (15, 1.0, 2.0, 4.0), (16, 0.5, 0.25, 0.05), (17, 0.7, 1.0, 1.3), (18, 0.7, 1.0, 1.3)) v(perturbation_id, mild, moderate, severe))"""
+_OF = "perturbation_id, sample_id, severity"
+_REPORT = _EVERY + f""",
+{_NAMES},
+pair AS (
+  SELECT {_OF}, i, i // 8 AS r, i % 8 AS c, y0, y1, y2, p0[i + 1] AS x0, p1[i + 1] AS x1, p2[i + 1] AS x2
+  FROM shown JOIN t USING (sample_id)),
+gray AS (
+  SELECT {_OF}, list(y0 * 0.299::DOUBLE + y1 * 0.587::DOUBLE + y2 * 0.114::DOUBLE ORDER BY i) AS gy, list(x0 * 0.299::DOUBLE + x1 * 0.587::DOUBLE + x2 * 0.114::DOUBLE ORDER BY i) AS gx
+  FROM pair GROUP BY ALL),
+lap AS (
+  SELECT {_OF}, which, var_pop({_LAPLACE}) AS v
+  FROM (SELECT {_OF}, which, g, CAST(k // 8 AS BIGINT) AS r, CAST(k % 8 AS BIGINT) AS c
+    FROM (SELECT {_OF}, 'x' AS which, gx AS g FROM gray UNION ALL SELECT {_OF}, 'y', gy FROM gray), range(64) q(k)) GROUP BY ALL),
+wide AS (SELECT {_OF}, max(v) FILTER (which = 'x') AS base, max(v) FILTER (which = 'y') AS var FROM lap GROUP BY ALL),
+err AS (
+  SELECT {_OF}, avg(((x0 - y0) * (x0 - y0) + (x1 - y1) * (x1 - y1) + (x2 - y2) * (x2 - y2)) / 3) AS mse, avg((abs(x0 - y0) + abs(x1 - y1) + abs(x2 - y2)) / 3) AS mad
+  FROM pair GROUP BY ALL),
+chan AS (SELECT {_OF}, r, c, unnest([x0, x1, x2]) AS x, unnest([y0, y1, y2]::DOUBLE[]) AS y, unnest([0, 1, 2]) AS ch FROM pair),
+win AS (
+  SELECT {_OF}, ch, a, b, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS cov
+  FROM chan, range(2) p(a), range(2) q(b) WHERE r BETWEEN a AND a + 6 AND c BETWEEN b AND b + 6 GROUP BY ALL),
+ssim AS (
+  SELECT {_OF}, avg((2 * mx * my + 6.5025::DOUBLE) * (2 * cov + 58.5225::DOUBLE) / ((mx * mx + my * my + 6.5025::DOUBLE) * (vx + vy + 58.5225::DOUBLE))) AS ssim
+  FROM win GROUP BY ALL),
+lev AS (SELECT {_OF}, unnest(gy) AS g FROM gray),
+hist AS (SELECT {_OF}, floor(round(g, 6) + 0.5) AS b, count(*) / 64.0::DOUBLE AS p FROM lev GROUP BY ALL),
+ent AS (SELECT {_OF}, -sum(p * log2(p)) AS entropy FROM hist GROUP BY ALL),
+mom AS (SELECT {_OF}, avg(g) AS m, stddev_pop(g) AS sd FROM lev GROUP BY ALL)
+SELECT sample_id, perturbation_id, name, category, severity,
+  CAST(CASE severity WHEN 'mild' THEN mild WHEN 'moderate' THEN moderate WHEN 'severe' THEN severe WHEN 'reference_1.0' THEN 1.0 ELSE 0.1 END AS DOUBLE) AS param_value, 'OK' AS status,
+  CASE WHEN severity IN ('mild', 'moderate', 'severe') THEN '' ELSE 'diagnostic-only comparison row' END AS notes,
+  round(var, 4) AS laplacian_var, round(100 * var / nullif(base, 0), 4) AS laplacian_pct_of_orig, round(ssim, 6) AS ssim, CASE WHEN mse > 0 THEN round(10 * log10(65025 / mse), 5) END AS psnr,
+  round(mad, 8) AS mean_abs_diff, round(entropy, 5) + 0.0 AS entropy, round(m, 9) AS mean_intensity, round(sd, 5) AS std_intensity
+FROM wide JOIN err USING ({_OF}) JOIN ssim USING ({_OF}) JOIN ent USING ({_OF}) JOIN mom USING ({_OF}) JOIN names USING (perturbation_id) LEFT JOIN params USING (perturbation_id)"""
+
+
+@register("diagnostics", _REPORT)
+def diagnostics(spark, sf_dir):
+    """The report of all kernels and of the rows beside the grid, in two runs over one store: the second computes the
+    tiles that the first did not have. A PSNR without bound and a share of nothing are null."""
+    tiles, path = study.tiles(spark, sf_dir), new_path(spark, "diagnostics")
+    kernels.resume_report(tiles.filter("cohort = 'ACC'"), study.grid(spark), path)
+    kernels.resume_report(tiles, study.grid(spark), path)
+    digits = {"laplacian_var": 4, "laplacian_pct_of_orig": 4, "ssim": 6, "mean_intensity": 9, "mean_abs_diff": 8}
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    r = spark.read.parquet(path)
+    return r.select(*[c for c in r.columns if c not in kernels._METRICS], *[(F.round(finite(c), digits.get(c, 5)) + 0.0).alias(c) for c in kernels._METRICS])

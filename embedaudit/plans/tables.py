@@ -343,16 +343,6 @@ def grid_means(spark, sf_dir):
     return study.tiles(spark, sf_dir).select("sample_id", F.posexplode(kernels.grid_means("red")).alias("cell", "mean"))
 
 
-@register("perturb_tiles")
-def perturb_tiles(spark, sf_dir):
-    return kernels.perturb(study.tiles(spark, sf_dir), study.grid(spark))
-
-
-@register("diagnostics")
-def diagnostics(spark, sf_dir):
-    return kernels.diagnostics(study.tiles(spark, sf_dir), study.grid(spark))
-
-
 _HELD_OUT = f"""WITH {_TILES}, c AS (SELECT sample_id, red, list_transform(range(0, 64), lambda i: red[(i // 8) * 8 + (7 - i % 8) + 1]) AS h, list_transform(range(0, 64), lambda i: red[(7 - i // 8) * 8 + i % 8 + 1]) AS v FROM tile),
  s AS (SELECT substr(sample_id, 1, 3) AS cohort, round(list_dot_product(list_transform(red, lambda x: x::DOUBLE), list_transform(h, lambda x: x::DOUBLE)) / list_dot_product(list_transform(red, lambda x: x::DOUBLE), list_transform(red, lambda x: x::DOUBLE)), 6) AS x,
    round(list_dot_product(list_transform(red, lambda x: x::DOUBLE), list_transform(v, lambda x: x::DOUBLE)) / list_dot_product(list_transform(red, lambda x: x::DOUBLE), list_transform(red, lambda x: x::DOUBLE)), 6) AS y FROM c),
@@ -444,7 +434,7 @@ def match_series(spark, sf_dir):
 
 @register("perturb_status", f"WITH {_TILES} SELECT CAST(p AS INTEGER) AS perturbation_id, 'DONE' AS status, 3 * count(*) AS n FROM tile, range(1, 19) a(p) GROUP BY p")
 def perturb_status(spark, sf_dir):
-    return perturb_tiles(spark, sf_dir).groupBy("perturbation_id", "status").agg(F.count("*").alias("n"))
+    return kernels.perturb(study.tiles(spark, sf_dir), study.grid(spark)).groupBy("perturbation_id", "status").agg(F.count("*").alias("n"))
 
 
 @register("incremental_cells", """SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem d WHERE d.l_suppkey = l.l_suppkey AND d.l_returnflag = l.l_returnflag AND d.l_quantity > 49)""")

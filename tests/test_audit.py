@@ -453,6 +453,29 @@ def test_folder_paths_at_any_depth(spark):
             ledgers.folder_paths(spark.createDataFrame(ring, "id string, parent string, name string"), files)
 
 
+def test_a_report_is_resumed_and_keeps_its_errors(spark, tmp_path):
+    tiles = spark.createDataFrame([(t, list(range(64)), [20] * 64, [30] * 64) for t in ("a", "b")], "sample_id string, red array<int>, green array<int>, blue array<int>")
+    grid = spark.createDataFrame([(2, "mild"), (16, "severe"), (98, "mild")], "perturbation_id int, severity string")
+
+    def broken(x, s, rng):
+        raise ValueError("no kernel")
+
+    kernels.register(98, "Broken", "lighting", broken)
+    try:
+        path = str(tmp_path / "report")
+        assert kernels.resume_report(tiles.filter("sample_id = 'a'"), grid, path) == 5
+        assert kernels.resume_report(tiles, grid, path) == 5 and kernels.resume_report(tiles, grid, path) == 0
+        rows = {(r["sample_id"], r["perturbation_id"], r["severity"]): r for r in spark.read.parquet(path).collect()}
+    finally:
+        del kernels.REGISTRY[98]
+    assert len(rows) == 10
+    bad, same, other = (rows["b", *c] for c in ((98, "mild"), (16, "reference_1.0"), (16, "severe_alt_0.10")))
+    assert (bad["status"], bad["notes"], bad["ssim"], bad["param_value"]) == ("ERROR", "no kernel", None, None)
+    assert same["ssim"] == 1.0 and same["laplacian_pct_of_orig"] == pytest.approx(100) and same["psnr"] == math.inf and same["notes"] == "diagnostic-only comparison row"
+    assert (same["param_value"], other["param_value"], rows["a", 16, "severe"]["param_value"]) == (1.0, 0.1, 0.05)
+    assert rows["a", 16, "severe"]["laplacian_var"] <= other["laplacian_var"] < same["laplacian_var"]
+
+
 def test_registered_kernels_and_skipped_cells(spark):
     tiles = spark.createDataFrame([("t", [10] * 64, [20] * 64, [30] * 64)], "sample_id string, red array<int>, green array<int>, blue array<int>")
     grid = spark.createDataFrame([(2, "mild"), (17, "severe")], "perturbation_id int, severity string")
