@@ -454,7 +454,7 @@ def test_folder_paths_at_any_depth(spark):
 
 
 def test_a_report_is_resumed_and_keeps_its_errors(spark, tmp_path):
-    tiles = spark.createDataFrame([(t, list(range(64)), [20] * 64, [30] * 64) for t in ("a", "b")], "sample_id string, red array<int>, green array<int>, blue array<int>")
+    tiles = spark.createDataFrame([(t, [k * 37 % 256 for k in range(64)], [20] * 64, [30] * 64) for t in ("a", "b")], "sample_id string, red array<int>, green array<int>, blue array<int>")
     grid = spark.createDataFrame([(2, "mild"), (16, "severe"), (98, "mild")], "perturbation_id int, severity string")
 
     def broken(x, s, rng):
