@@ -466,6 +466,46 @@ def tukey_models(spark, sf_dir):
     return families.tukey_hsd(_stored(spark, sf_dir), "model", "cosine_similarity").select("group_a", "group_b", F.round("difference", 6).alias("difference"))
 
 
+# the studentised range: W over a table of widths a hundredth apart, then over the scale's distribution
+_TUKEY = """WITH g AS (SELECT c_mktsegment AS g, count(*)::DOUBLE AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) * (count(*) - 1) AS ss FROM customer GROUP BY 1),
+e AS (SELECT count(*)::DOUBLE AS k, sum(n) - count(*) AS dof, sum(ss) / (sum(n) - count(*)) AS mse FROM g),
+pairs AS (
+  SELECT a.g AS group_a, b.g AS group_b, b.m - a.m AS difference, abs(b.m - a.m) / sqrt(mse / 2 * (1 / a.n + 1 / b.n)) AS q, k, dof
+  FROM g a JOIN g b ON a.g < b.g, e),
+step AS (SELECT i, -8 + i * 0.01::DOUBLE AS z, exp(-(-8 + i * 0.01::DOUBLE) * (-8 + i * 0.01::DOUBLE) / 2) / sqrt(2 * pi()) AS d FROM range(0, 1601) t(i)),
+phi AS (SELECT i, d, sum(d) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) * 0.01::DOUBLE - d * 0.005::DOUBLE AS c FROM step),
+width AS (
+  SELECT j, k * sum(p.d * pow(greatest(0, p.c - coalesce(o.c, 0)), k - 1)) * 0.01::DOUBLE AS w
+  FROM range(0, 1601) t(j) JOIN phi p ON true LEFT JOIN phi o ON o.i = p.i - t.j, e GROUP BY j, k),
+scale AS (
+  SELECT group_a, group_b, q, dof, s, 18 / sqrt(2 * dof) / 400 AS ds,
+    exp(dof / 2 * ln(dof) - lgamma(dof / 2) - (dof / 2 - 1) * ln(2) + (dof - 1) * ln(s) - dof * s * s / 2) AS f
+  FROM (SELECT *, 1 - 9 / sqrt(2 * dof) + i * 18 / sqrt(2 * dof) / 400 AS s FROM pairs, range(0, 401) t(i)) WHERE s > 0),
+met AS (
+  SELECT group_a, group_b, sum(f * ds * (a.w + (least(q * s, 15.98) * 100 - floor(least(q * s, 15.98) * 100)) * (b.w - a.w))) AS inside
+  FROM scale JOIN width a ON a.j = CAST(floor(least(q * s, 15.98) * 100) AS BIGINT) JOIN width b ON b.j = a.j + 1 GROUP BY ALL)
+SELECT group_a, group_b, round(difference, 6) AS difference, round(q, 6) AS q, round(greatest(0, 1 - inside), 3) + 0.0 AS p_value, 1 - inside < 0.05 AS reject FROM pairs JOIN met USING (group_a, group_b)"""
+
+
+@register("tukey_segments", _TUKEY)
+def tukey_segments(spark, sf_dir):
+    """Balances of segments, pair by pair, with the range statistic, its p and what it rejects."""
+    t = families.tukey_hsd(study.table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
+    return t.select("group_a", "group_b", F.round("difference", 6).alias("difference"), F.round("q", 6).alias("q"), (F.round("p_value", 3) + 0.0).alias("p_value"), "reject")
+
+
+# vectors' components are close to normal, so most of these cells take the test for normal groups
+_NORMAL = "SELECT j AS component, vec_id % 2 = 0 AS a, round(CAST(embedding[j] AS DOUBLE), 6) AS x FROM embeddings, range(1, 65) t(j)"
+
+
+@register("welch_cells", _family_sql(["component"], _NORMAL, sqltail.bonferroni(), before="WITH one AS (SELECT 1)"))
+def welch_cells(spark, sf_dir):
+    """The vectors' components compared between even and odd ids, a test for each component."""
+    e = study.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "v"))
+    rows = e.select((F.col("j") + 1).cast("long").alias("component"), "vec_id", F.round(F.col("v").cast("double"), 6).alias("x"))
+    return _tested(cells.adjust_bonferroni(cells.two_sample_test(rows, ["component"], "x", F.col("vec_id") % 2 == 0)))
+
+
 _OMNIBUS = ", " + _KW.format(g="model", x="cosine_similarity", t="metric") + """, hh AS (SELECT count(*) AS k, (12 / (max(total) * (max(total) + 1)) * sum(rs * rs / n) - 3 * (max(total) + 1)) / (1 - max(ties) / (max(total) * max(total) * max(total) - max(total))) AS h FROM q, z),
  hp AS (SELECT h, """ + sqltail.chi2_upper("h", "k - 1") + """ AS p FROM hh),
  dz AS (SELECT a.g AS group_a, b.g AS group_b, (a.rs / a.n - b.rs / b.n) / sqrt((total * (total + 1) / 12 - ties / (12 * (total - 1))) * (1 / a.n + 1 / b.n)) AS dz FROM q a JOIN q b ON a.g < b.g, z),

@@ -67,7 +67,7 @@ def series_dump(spark, sf_dir):
     return files.read_series(spark, path).select(F.col("SeriesInstanceUID").alias("series_id"), F.col("Modality").alias("modality"))
 
 
-@register("embedding_store", f"WITH {BASE_SQL} SELECT model, printf('p%02d__', perturbation_id) || severity || '__' || sample_id AS key, perturbation_id, severity, sample_id, CAST(len(w) AS INTEGER) AS width FROM pert WHERE model = 'conch'")
+@register("embedding_store", f"WITH {BASE_SQL} SELECT model, printf('p%02d__', perturbation_id) || severity || '__' || sample_id AS key, perturbation_id, severity, sample_id, list_transform(w, lambda x: round(x, 6)) AS embedding FROM pert WHERE model = 'conch'")
 def embedding_store(spark, sf_dir):
     """Keyed vectors in a folder for each model; one model's are read, which opens its folder alone."""
     from embedaudit.functions.text import make_key
@@ -75,7 +75,7 @@ def embedding_store(spark, sf_dir):
     path = new_path(spark, "vectors")
     keyed = study.perturbed(spark, sf_dir).select("model", make_key(F.col("perturbation_id"), F.col("severity"), F.col("sample_id")).alias("key"), F.col("vector").alias("embedding"))
     keyed.write.partitionBy("model").parquet(path)
-    return files.read_embeddings(spark, path).filter("model = 'conch'").select("model", "key", "perturbation_id", "severity", "sample_id", F.size("embedding").alias("width"))
+    return files.read_embeddings(spark, path).filter("model = 'conch'").select("model", "key", "perturbation_id", "severity", "sample_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @register("corpus_folders", f"WITH {_TILES} SELECT list_extract({['colour_staining'] * 5 + ['imaging_artefacts'] * 5 + ['geometric'] * 3 + ['resolution_quality'] * 3 + ['lighting'] * 2}, p) AS category, printf('p%02d_', p) || list_extract({[v[0] for v in kernels.REGISTRY.values()]}, p) AS perturbation, 'mild' AS severity, count(*) AS n, CAST(sum(192) AS BIGINT) AS bytes FROM tile, range(11, 18) g(p) WHERE p IN (11, 17) GROUP BY p")
@@ -87,14 +87,17 @@ def corpus_folders(spark, sf_dir):
     return spark.read.parquet(path).groupBy("category", "perturbation", "severity").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("bytes"))
 
 
-@register("tile_listing", "SELECT c_mktsegment AS category, CAST(c_nationkey AS INTEGER) AS perturbation_id FROM customer GROUP BY ALL")
+@register("tile_listing", """SELECT DISTINCT c_mktsegment AS category, CAST(c_nationkey AS INTEGER) AS perturbation_id, 'Name' AS name, 'mild' AS severity, 't' || c_nationkey AS sample_id, 1::BIGINT AS length FROM customer
+UNION ALL SELECT DISTINCT NULL, NULL, NULL, NULL, 't' || c_nationkey, 1::BIGINT FROM customer""")
 def tile_listing(spark, sf_dir):
-    """One small image file for each segment and nation, listed at any depth and taken apart by its path."""
+    """One small image file for each segment and nation, and a baseline for each nation, listed at any depth and taken
+    apart by its path."""
     path = new_path(spark, "tiles")
     c = T(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey").distinct()
     parts = c.select(F.concat(F.lit("/"), "c_mktsegment", F.format_string("/p%02d_Name/mild/t%d.png", F.col("c_nationkey"), F.col("c_nationkey"))).alias("place"))
-    files.write_each(parts, "place", path)
-    return files.list_tiles(spark, path).select("category", "perturbation_id")
+    base = c.select(F.format_string("/baseline/t%d.png", F.col("c_nationkey")).alias("place")).distinct()
+    files.write_each(parts.unionByName(base), "place", path)
+    return files.list_tiles(spark, path).drop("path")
 
 
 @register("listed_files", "SELECT n_nationkey, n_nationkey % 4 <> 0 AS found, CASE WHEN n_nationkey % 4 <> 0 THEN 1::BIGINT END AS found_size FROM nation")

@@ -46,8 +46,9 @@ def read_candidates(spark: SparkSession, path: str, lines: bool = False) -> Data
     )
 
 
-def read_series(spark: SparkSession, path: str, modalities: tuple[str, ...] = ("SM", "GM")) -> DataFrame:
-    return spark.read.schema(_SERIES).json(path).filter(F.col("Modality").isin(*modalities))
+def read_series(spark: SparkSession, path: str, modalities: tuple[str, ...] = ("SM", "GM"), lines: bool = True) -> DataFrame:
+    """Series of the modalities, a JSON object to a line or (``lines`` false) an array of them to a file."""
+    return spark.read.schema(_SERIES).json(path, multiLine=not lines).filter(F.col("Modality").isin(*modalities))
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:

@@ -77,3 +77,11 @@ def test_tukey_of_two_groups_is_the_t_test(spark):
     a = families.one_way_anova(spark.createDataFrame(rows, "g string, x double"), "g", "x").first()
     assert r["difference"] == pytest.approx(3.5) and r["p_value"] == pytest.approx(a["p_value"], abs=2e-4)
     assert F is not None
+
+
+def test_series_as_lines_and_as_an_array(spark, tmp_path):
+    rows = [{"SeriesInstanceUID": str(k), "Modality": "SM" if k % 2 else "CT", "PatientAge": "040Y"} for k in range(6)]
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(r) for r in rows))
+    (tmp_path / "array.json").write_text(json.dumps(rows, indent=1))
+    read = lambda name, lines: sorted(r["SeriesInstanceUID"] for r in files.read_series(spark, str(tmp_path / name), lines=lines).collect())
+    assert read("lines.json", True) == read("array.json", False) == ["1", "3", "5"]
