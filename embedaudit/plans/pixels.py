@@ -7,8 +7,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from embedaudit.operators import kernels
-from embedaudit.sources import study
+from embedaudit.operators import kernels, tile_job
+from embedaudit.sources import files, study
 from embedaudit.sources.scratch import new_path
 
 from .registry import register
@@ -295,3 +295,44 @@ def diagnostics(spark, sf_dir):
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
     r = spark.read.parquet(path)
     return r.select(*[c for c in r.columns if c not in kernels._METRICS], *[(F.round(finite(c), digits.get(c, 5)) + 0.0).alias(c) for c in kernels._METRICS])
+
+
+# gray images of 8 x 8 brought to 16 x 16, four blocks of 8 x 8 each: kernels that work by pixel or block
+_BLOCKS = _TILES.replace("tile AS (", "images AS (", 1).split(",\nt AS (")[0]
+_CELL = _TILES[_TILES.index("cell AS (") :]
+_CHAIN = f"""WITH {_BLOCKS},
+weight AS (
+  SELECT k, j, c / sum(c) OVER (PARTITION BY k) AS w
+  FROM (SELECT k, j, {_cubic('(j - ((k + 0.5::DOUBLE) / 2 - 0.5))', '(-0.5::DOUBLE)')} AS c FROM range(16) a(k), range(8) b(j))),
+fit AS (
+  SELECT sample_id, a.k AS r, b.k AS c, greatest(0, least(255, floor(round(sum(a.w * b.w * p0[a.j * 8 + b.j + 1]), 6) + 0.5)))::DOUBLE AS v
+  FROM images, weight a, weight b GROUP BY ALL),
+t AS (
+  SELECT sample_id || '#' || (r // 8) || (c // 8) AS sample_id, list(v ORDER BY r, c) AS p0, p0 AS p1, p0 AS p2
+  FROM fit GROUP BY sample_id, r // 8, c // 8),
+{_CELL},
+every AS (
+  SELECT NULL::INTEGER AS perturbation_id, sample_id, NULL AS severity, i, p0[i + 1] AS y0, p0[i + 1] AS y1, p0[i + 1] AS y2 FROM cell WHERE s = 1
+  UNION ALL SELECT 2, sample_id, severity, i, y0, y1, y2 FROM (WITH {_KERNEL_SQL[2][1]} SELECT * FROM out)
+  UNION ALL SELECT 10, sample_id, severity, i, y0, y1, y2 FROM (WITH {_KERNEL_SQL[10][1]} SELECT * FROM out)
+  UNION ALL SELECT 17, sample_id, severity, i, y0, y1, y2 FROM (WITH {_KERNEL_SQL[17][1]} SELECT * FROM out)),
+shown AS (
+  SELECT perturbation_id, split_part(sample_id, '#', 1) AS sample_id, severity,
+    split_part(sample_id, '#', 2)[1]::INTEGER * 8 + i // 8 AS r, split_part(sample_id, '#', 2)[2]::INTEGER * 8 + i % 8 AS c,
+    {', '.join(_BYTE.format(y=f'y{k}') + f' AS y{k}' for k in range(3))}
+  FROM every)
+SELECT sample_id, perturbation_id, CASE perturbation_id WHEN 2 THEN 'colour_staining' WHEN 10 THEN 'imaging_artefacts' WHEN 17 THEN 'lighting' ELSE 'baseline' END AS category,
+  CASE perturbation_id WHEN 2 THEN 'Colour_Channel_Shift' WHEN 10 THEN '{kernels.REGISTRY[10][0]}' WHEN 17 THEN 'Brightness_Adjustment' END AS name, severity,
+  768::BIGINT AS bytes, md5(string_agg(printf('%02X%02X%02X', y0, y1, y2), '' ORDER BY r, c)) AS data
+FROM shown GROUP BY ALL"""
+
+
+@register("tile_chain", _CHAIN)
+def tile_chain(spark, sf_dir):
+    """Image files decoded, brought to another size, perturbed, written as a corpus with their baselines, and read back."""
+    images, out = new_path(spark, "images"), new_path(spark, "corpus")
+    files.write_gray_images(study.tiles(spark, sf_dir), "sample_id", "red", study.EDGE, images)
+    tiles = tile_job.decoded(files.read_tiles(spark, images), 2 * study.EDGE)
+    files.write_corpus(tile_job.corpus(tiles, study.grid(spark).filter("perturbation_id IN (2, 10, 17)")), out)
+    back = files.read_corpus(spark, out)
+    return back.select("sample_id", "perturbation_id", "category", "name", "severity", F.octet_length("data").cast("long").alias("bytes"), F.md5(F.hex("data").cast("binary")).alias("data"))

@@ -147,11 +147,24 @@ def read_ledger(spark: SparkSession, path: str, schema: str | None = None) -> Da
 
 
 def write_corpus(df: DataFrame, path: str) -> None:
-    """Perturbed tiles in folders by category, perturbation (``p03_name``) and severity, in the order of their ids."""
-    named = df.withColumn("perturbation", F.format_string("p%02d_%s", F.col("perturbation_id"), F.col("name"))).drop("name")
+    """Perturbed tiles in folders by category, perturbation (``p03_name``) and severity, in the order of their ids; baselines
+    in a folder of their own."""
+    label = F.when(F.col("perturbation_id").isNull(), "baseline").otherwise(F.format_string("p%02d_%s", F.col("perturbation_id"), F.col("name")))
+    named = df.withColumn("perturbation", label).withColumn("severity", F.coalesce("severity", F.lit("none"))).drop("name")
     named.sortWithinPartitions("category", "perturbation", "severity", "sample_id").write.mode("overwrite").partitionBy("category", "perturbation", "severity").parquet(path)
 
 
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """The tiles of a written corpus, with what their folders say: ``category, perturbation_id, name, severity``, nulls for
+    baselines. Filters on category and severity read their folders alone."""
+    df = spark.read.parquet(path)
+    number = F.regexp_extract("perturbation", r"^p(\d\d)_", 1)
+    return (
+        df.withColumn("perturbation_id", F.nullif(number, F.lit("")).cast("int")).withColumn("name", F.nullif(F.regexp_extract("perturbation", r"^p\d\d_(.*)$", 1), F.lit("")))
+        .withColumn("severity", F.nullif("severity", F.lit("none"))).drop("perturbation")
+    )
+
+
 def write_cumulative(prior: DataFrame, new: DataFrame, key: list[str], path: str) -> None:
     """The summary written whole: prior rows that have no new one, and the new ones. ``path`` is not that of ``prior``."""
     cumulative(prior, new, key).write.mode("overwrite").parquet(path)
