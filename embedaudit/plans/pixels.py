@@ -279,7 +279,7 @@ mom AS (SELECT {_OF}, avg(g) AS m, stddev_pop(g) AS sd FROM lev GROUP BY ALL)
 SELECT sample_id, perturbation_id, name, category, severity,
   CAST(CASE severity WHEN 'mild' THEN mild WHEN 'moderate' THEN moderate WHEN 'severe' THEN severe WHEN 'reference_1.0' THEN 1.0 ELSE 0.1 END AS DOUBLE) AS param_value, 'OK' AS status,
   CASE WHEN severity IN ('mild', 'moderate', 'severe') THEN '' ELSE 'diagnostic-only comparison row' END AS notes,
-  round(var, 4) AS laplacian_var, round(100 * var / nullif(base, 0), 4) AS laplacian_pct_of_orig, round(ssim, 6) AS ssim, CASE WHEN mse > 0 THEN round(10 * log10(65025 / mse), 5) END AS psnr,
+  round(var + 1e-9::DOUBLE, 4) AS laplacian_var, round(100 * var / nullif(base, 0), 4) AS laplacian_pct_of_orig, round(ssim, 6) AS ssim, CASE WHEN mse > 0 THEN round(10 * log10(65025 / mse), 5) END AS psnr,
   round(mad, 8) AS mean_abs_diff, round(entropy, 5) + 0.0 AS entropy, round(m, 9) AS mean_intensity, round(sd, 5) AS std_intensity
 FROM wide JOIN err USING ({_OF}) JOIN ssim USING ({_OF}) JOIN ent USING ({_OF}) JOIN mom USING ({_OF}) JOIN names USING (perturbation_id) LEFT JOIN params USING (perturbation_id)"""
 
@@ -287,14 +287,15 @@ FROM wide JOIN err USING ({_OF}) JOIN ssim USING ({_OF}) JOIN ent USING ({_OF})
 @register("diagnostics", _REPORT)
 def diagnostics(spark, sf_dir):
     """The report of all kernels and of the rows beside the grid, in two runs over one store: the second computes the
-    tiles that the first did not have. A PSNR without bound and a share of nothing are null."""
+    tiles that the first did not have. A PSNR without bound and a share of nothing are null. Variances that end in a half are rounded up, whatever the
+    order in which they were summed."""
     tiles, path = study.tiles(spark, sf_dir), new_path(spark, "diagnostics")
     kernels.resume_report(tiles.filter("cohort = 'ACC'"), study.grid(spark), path)
     kernels.resume_report(tiles, study.grid(spark), path)
     digits = {"laplacian_var": 4, "laplacian_pct_of_orig": 4, "ssim": 6, "mean_intensity": 9, "mean_abs_diff": 8}
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
     r = spark.read.parquet(path)
-    return r.select(*[c for c in r.columns if c not in kernels._METRICS], *[(F.round(finite(c), digits.get(c, 5)) + 0.0).alias(c) for c in kernels._METRICS])
+    return r.select(*[c for c in r.columns if c not in kernels._METRICS], *[(F.round(finite(c) + (1e-9 if c == "laplacian_var" else 0.0), digits.get(c, 5)) + 0.0).alias(c) for c in kernels._METRICS])
 
 
 # gray images of 8 x 8 brought to 16 x 16, four blocks of 8 x 8 each: kernels that work by pixel or block
