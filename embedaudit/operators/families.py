@@ -292,12 +292,12 @@ def _range_tail(q: float, k: int, dof: float) -> float:
     density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
     phi = lambda x: 0.5 * np.vectorize(math.erfc)(-x / math.sqrt(2))
     low = phi(z)
-    grid = np.linspace(0, max(q * 3, 30), 400)
-    inner = np.array([k * np.trapezoid(density * np.maximum(phi(z + w) - low, 0) ** (k - 1), z) for w in grid])
     wide = 9 / math.sqrt(2 * dof)  # the scale's spread: its grid follows it
-    s = np.linspace(max(1e-4, 1 - wide), 1 + wide, 700)
+    s = np.linspace(max(1e-4, 1 - wide), 1 + wide, 400)
     log_s = dof / 2 * math.log(dof) - math.lgamma(dof / 2) - (dof / 2 - 1) * math.log(2) + (dof - 1) * np.log(s) - dof * s * s / 2
-    return float(min(1.0, max(0.0, 1 - np.trapezoid(np.exp(log_s) * np.interp(q * s, grid, inner), s))))
+    # the chance that k values spread no further than w, at each width that the scale makes of q
+    inner = np.array([k * np.trapezoid(density * np.maximum(phi(z + w) - low, 0) ** (k - 1), z) for w in q * s])
+    return float(min(1.0, max(0.0, 1 - np.trapezoid(np.exp(log_s) * inner, s))))
 
 
 def tukey_hsd(df: DataFrame, group: str, metric: str, alpha: float = 0.05) -> DataFrame:

@@ -80,3 +80,9 @@ def test_ranks_of_two_samples_of_eighteen(spark):
     rows = [("c", True, x) for x in a] + [("c", False, x) for x in b]
     r = cells.two_sample_test(spark.createDataFrame(rows, "k string, a boolean, x double"), ["k"], "x", F.col("a")).first()
     assert (r["test_used"], r["statistic"]) == ("mann_whitney_u", 140.0) and r["p_value"] == pytest.approx(0.4963589047945871, rel=1e-6)
+
+
+@pytest.mark.parametrize(("q", "groups", "dof", "p"), [(3.877, 3, 10, 0.05), (4.232, 5, 20, 0.05), (3.635, 2, 5, 0.05), (4.646, 10, 60, 0.05), (5.502, 4, 12, 0.01), (3.314, 3, 100_000, 0.05), (6.085, 2, 2, 0.05)])
+def test_upper_points_of_the_studentised_range(q, groups, dof, p):
+    """Printed tables of the range statistic, to their three decimals; the last but one stands for infinitely many."""
+    assert families._range_tail(q, groups, dof) == pytest.approx(p, rel=3e-3)
