@@ -86,14 +86,15 @@ def wish_lists(cases: DataFrame, candidates: DataFrame, window: int = YEARS, siz
     )
     shown = [F.array_join("sites", ";"), *(F.coalesce(F.col(c).cast("string"), F.lit(_ANY)) for c in ("case_sex", "case_age", "case_diagnosis"))]
     named = named.filter("size(sites) > 0").withColumn("class", F.concat_ws("|", *shown))
-    classes = named.drop("case_id").distinct()
+    low, high = day_interval(F.col("case_age"), window)
+    classes = written(named.drop("case_id").distinct().withColumn("low", low).withColumn("high", high), "case-classes")
     any_age = F.array(_node(-1, F.lit(0).cast("long"))).cast(_NODES)
     days = F.when(F.col("age_days").isNotNull(), nodes_of_day(F.col("age_days")).cast(_NODES)).otherwise(F.array().cast(_NODES))
     keyed = candidates.select("candidate_id", "site", "sex", "age_days", "race", F.col("diagnosis"), F.explode(F.array(F.col("sex"), F.lit(_ANY))).alias("k_sex"), F.concat(days, any_age).alias("n"))
     keyed = keyed.filter("k_sex IS NOT NULL").select("*", F.inline("n")).drop("n")
     ranked = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("site", "k_sex", "level", "node").orderBy("candidate_id"))).filter(F.col("__n") <= FETCH).drop("__n")
     sex = F.coalesce("case_sex", F.lit(_ANY))
-    ages = F.when(F.col("case_age").isNull(), any_age).otherwise(nodes_of_interval(*day_interval(F.col("case_age"), window)).cast(_NODES))
+    ages = F.when(F.col("case_age").isNull(), any_age).otherwise(nodes_of_interval(F.col("low"), F.col("high")).cast(_NODES))
     tiers = F.array(*[F.named_struct(F.lit("tier"), F.lit(t), F.lit("k_sex"), s, F.lit("n"), a).cast(f"struct<tier:int,k_sex:string,n:{_NODES}>") for t, s, a in ((1, sex, ages), (2, sex, any_age), (3, F.lit(_ANY), any_age))])
     looked = classes.select("class", "case_age", "case_diagnosis", F.explode("sites").alias("site"), tiers.alias("t")).select("class", "case_age", "case_diagnosis", "site", F.inline("t")).select("*", F.inline("n")).drop("n")
     met = looked.join(ranked, ["site", "k_sex", "level", "node"])
