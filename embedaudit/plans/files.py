@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from embedaudit.functions.rounding import half_away
 from embedaudit.operators import kernels, stores
 from embedaudit.operators.slides import attach_files
 from embedaudit.sources import files, study
@@ -75,7 +76,7 @@ def embedding_store(spark, sf_dir):
     path = new_path(spark, "vectors")
     keyed = study.perturbed(spark, sf_dir).select("model", make_key(F.col("perturbation_id"), F.col("severity"), F.col("sample_id")).alias("key"), F.col("vector").alias("embedding"))
     keyed.write.partitionBy("model").parquet(path)
-    return files.read_embeddings(spark, path).filter("model = 'conch'").select("model", "key", "perturbation_id", "severity", "sample_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return files.read_embeddings(spark, path).filter("model = 'conch'").select("model", "key", "perturbation_id", "severity", "sample_id", F.transform("embedding", lambda x: half_away(x, 6)).alias("embedding"))
 
 
 @register("corpus_folders", f"WITH {_TILES} SELECT list_extract({['colour_staining'] * 5 + ['imaging_artefacts'] * 5 + ['geometric'] * 3 + ['resolution_quality'] * 3 + ['lighting'] * 2}, p) AS category, printf('p%02d_', p) || list_extract({[v[0] for v in kernels.REGISTRY.values()]}, p) AS perturbation, 'mild' AS severity, count(*) AS n, CAST(sum(192) AS BIGINT) AS bytes FROM tile, range(11, 18) g(p) WHERE p IN (11, 17) GROUP BY p")
