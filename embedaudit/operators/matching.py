@@ -21,6 +21,8 @@ YEARS, MISSING_AGE = 20, 25.0
 FETCH, WANTED = 200, 50
 #: Classes that one task settles, about.
 CLASSES = 2000
+#: Candidates that one task ranks, about.
+DEALT = 20_000
 # What is excluded after the fetch; missing values stay.
 EXCLUDED = ("black or african american", "african american")
 #: Days are looked up by nodes of 8 ** level days.
@@ -90,7 +92,9 @@ def wish_lists(cases: DataFrame, candidates: DataFrame, window: int = YEARS, siz
     classes = written(named.drop("case_id").distinct().withColumn("low", low).withColumn("high", high), "case-classes")
     any_age = F.array(_node(-1, F.lit(0).cast("long"))).cast(_NODES)
     days = F.when(F.col("age_days").isNotNull(), nodes_of_day(F.col("age_days")).cast(_NODES)).otherwise(F.array().cast(_NODES))
-    keyed = candidates.select("candidate_id", "site", "sex", "age_days", "race", F.col("diagnosis"), F.explode(F.array(F.col("sex"), F.lit(_ANY))).alias("k_sex"), F.concat(days, any_age).alias("n"))
+    # a file of candidates is one task's, and each becomes some 14 keyed rows that are put in order: dealt by number first
+    dealt = candidates.repartition(max(1, -(-candidates.count() // DEALT)), "candidate_id")
+    keyed = dealt.select("candidate_id", "site", "sex", "age_days", "race", F.col("diagnosis"), F.explode(F.array(F.col("sex"), F.lit(_ANY))).alias("k_sex"), F.concat(days, any_age).alias("n"))
     keyed = keyed.filter("k_sex IS NOT NULL").select("*", F.inline("n")).drop("n")
     ranked = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("site", "k_sex", "level", "node").orderBy("candidate_id"))).filter(F.col("__n") <= FETCH).drop("__n")
     sex = F.coalesce("case_sex", F.lit(_ANY))
@@ -122,6 +126,12 @@ def scored(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("age_delta", gap).withColumn("score", other + gap)
 
 
+def best_listed(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """:func:`best_per_case` of all pairs, found once for each class: cases never meet their whole lists."""
+    best = lists.groupBy("class").agg(F.min(F.struct("score", "candidate_id")).alias("b"))
+    return members.join(best, "class").select("case_id", "b.candidate_id", "b.score")
+
+
 def best_per_case(pairs: DataFrame) -> DataFrame:
     """The least score of each case; ties go to the first candidate."""
     by = Window.partitionBy("case_id").orderBy("score", "candidate_id")
