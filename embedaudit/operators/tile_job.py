@@ -16,21 +16,24 @@ EDGE = 224
 def decoded(images: DataFrame, edge: int = EDGE) -> DataFrame:
     """``sample_id`` (the file's name without its ending) and the three channels of each image (``origin, height, width,
     channels, data``, blue first), gray ones three times the same; bicubic to ``edge`` x ``edge`` where the size differs.
-    Transparent images are laid on white."""
+    Transparent images are laid on white. Images of one size and kind are worked on in stacks."""
 
     def work(batches):
         for batch in batches:
-            flat: tuple[list, list, list] = ([], [], [])
-            for h, w, n, data in zip(*(batch.column(c).to_pylist() for c in ("height", "width", "channels", "data")), strict=True):
-                x = np.frombuffer(data, np.uint8).reshape(h, w, n)
-                if n == 4:
-                    share = x[..., 3:] / 255.0
-                    x = kernels._bytes(x[..., :3] * share + 255 * (1 - share))
-                x = kernels.fit_tile(np.repeat(x, 3, -1) if n == 1 else x[..., ::-1], edge)
-                for k in range(3):
-                    flat[k].append(x[..., k].astype(np.int32).ravel())
-            arrays = [batch.column("sample_id"), *(pa.array(x, pa.list_(pa.int32())) for x in flat)]
-            yield pa.RecordBatch.from_arrays(arrays, ["sample_id", "red", "green", "blue"])
+            kinds = np.stack([np.array(batch.column(c)) for c in ("height", "width", "channels")], -1)
+            for h, w, n in np.unique(kinds, axis=0).tolist():
+                alike = np.flatnonzero((kinds == (h, w, n)).all(1))
+                step = max(1, kernels._AT_ONCE // max(3 * edge * edge, h * w * n))
+                for at in range(0, len(alike), step):
+                    some = batch.take(pa.array(alike[at : at + step]))
+                    x = np.stack([np.frombuffer(v.as_buffer(), np.uint8).reshape(h, w, n) for v in some.column("data")])
+                    if n == 4:
+                        share = x[..., 3:] / 255.0
+                        x = kernels._bytes(x[..., :3] * share + 255 * (1 - share))
+                    x = kernels.fit_tile(np.repeat(x, 3, -1) if n == 1 else x[..., ::-1], edge)
+                    ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * edge * edge)
+                    flat = [pa.ListArray.from_arrays(ends, pa.array(x[..., k].astype(np.int32).ravel())) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([some.column("sample_id"), *flat], ["sample_id", "red", "green", "blue"])
 
     named = images.select(F.regexp_extract("origin", r"([^/]+)\.\w+$", 1).alias("sample_id"), "height", "width", "channels", "data")
     return named.mapInArrow(work, "sample_id string, red array<int>, green array<int>, blue array<int>")

@@ -144,10 +144,10 @@ def cumulative_summary(spark, sf_dir):
 
 @register("tile_images", f"WITH {_TILES} SELECT sample_id, CAST(8 AS INTEGER) AS height, CAST(8 AS INTEGER) AS width, CAST(1 AS INTEGER) AS channels, array_to_string(red, ',') AS red FROM tile")
 def tile_images(spark, sf_dir):
-    """Tiles as gray bitmap files, decoded again by the image source."""
+    """Tiles as gray bitmaps, packed many to a file, decoded again."""
     path = new_path(spark, "images")
     t = study.tiles(spark, sf_dir)
     files.write_gray_images(t, "sample_id", "red", 8, path)
-    back = files.read_tiles(spark, path)
+    back = files.read_packed(spark, path)
     values = F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10))
     return back.select(F.regexp_extract("origin", r"([^/]+)\.\w+$", 1).alias("sample_id"), "height", "width", "channels", F.array_join(values, ",").alias("red"))
