@@ -6,6 +6,7 @@ each model's adapter; what a store holds already, by key, is not computed again.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -28,10 +29,14 @@ PREDICTED_SOLARIZE = "dinov2_greater"
 LEAST = 10
 
 CONDITIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "flip_h": lambda x: x[:, ::-1],
-    "flip_v": lambda x: x[::-1],
+    "flip_h": lambda x: x[..., ::-1, :],
+    "flip_v": lambda x: x[..., ::-1, :, :],
     "solarize": lambda x: np.where(x < THRESHOLD, x, 255 - x),
 }
+#: Conditions that take a stack of tiles at once; those registered later take one tile.
+_STACKED = dict(CONDITIONS)
+#: Tiles that a model takes at once, at most, and pixel values of the tiles that are worked on at once, about.
+BATCH, _AT_ONCE = 256, 1 << 22
 
 
 def register_condition(name: str, change: Callable[[np.ndarray], np.ndarray]) -> None:
@@ -42,46 +47,113 @@ def register_condition(name: str, change: Callable[[np.ndarray], np.ndarray]) ->
     CONDITIONS[name] = change
 
 
+def _stacks(batch: pa.RecordBatch, edge: int):
+    """The batch's rows with tiles of one size, some at a time, and these tiles as a stack, resized to ``edge``."""
+    sizes = batch.column("red").value_lengths().to_numpy()
+    for size in np.unique(sizes).tolist():
+        alike, side = np.flatnonzero(sizes == size), int(round(size**0.5))
+        step = max(1, min(BATCH, _AT_ONCE // max(1, 3 * size, 3 * edge * edge)))
+        for at in range(0, len(alike), step):
+            some = batch.take(pa.array(alike[at : at + step]))
+            channels = [some.column(c).flatten().to_numpy().reshape(-1, side, side) for c in ("red", "green", "blue")]
+            yield some, kernels.fit_tile(np.stack(channels, -1).astype(np.uint8), edge)
+
+
+def _changes(names) -> dict[str, tuple[Callable[[np.ndarray], np.ndarray], bool]]:
+    """The conditions as they are now on the driver, and whether they take a stack at once."""
+    known = CONDITIONS | {"baseline": lambda x: x}
+    return {n: (known[n], n == "baseline" or known[n] is _STACKED.get(n)) for n in names}
+
+
+def _channels(stack: np.ndarray, change: tuple) -> list[np.ndarray]:
+    """The three channels of a stack's tiles under a condition, a row of integers for each tile."""
+    f, at_once = change
+    changed = f(stack) if at_once else np.stack([f(x) for x in stack])
+    return [changed[..., k].reshape(len(stack), stack.shape[1] * stack.shape[2]).astype(np.int32) for k in range(3)]
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(rows).ravel()))
+
+
 def conditioned(tiles: DataFrame, todo: DataFrame, edge: int) -> DataFrame:
     """``sample_id`` (the key) and channels of the tiles under the conditions of ``todo`` (sample_id, condition); the
     condition ``baseline`` leaves the tile as it is. Tiles of another size are resized to ``edge`` first."""
-    changes = dict(CONDITIONS) | {"baseline": lambda x: x}
+    changes = _changes([*CONDITIONS, "baseline"])
     rows = tiles.select("sample_id", "red", "green", "blue").join(todo, "sample_id")
 
     def work(batches):
         for batch in batches:
-            keys, channels = [], ([], [], [])
-            for sample, condition, *flat in zip(*(batch.column(c).to_pylist() for c in ("sample_id", "condition", "red", "green", "blue")), strict=True):
-                size = int(round(len(flat[0]) ** 0.5))
-                tile = kernels.fit_tile(np.stack([np.array(x).reshape(size, size) for x in flat], -1).astype(np.uint8), edge)
-                changed = changes[condition](tile)
-                keys.append(f"{condition}__{sample}")
-                for k in range(3):
-                    channels[k].append(changed[..., k].astype(np.int32).ravel())
-            arrays = [pa.array(keys, pa.string()), *(pa.array(x, pa.list_(pa.int32())) for x in channels)]
-            yield pa.RecordBatch.from_arrays(arrays, ["sample_id", "red", "green", "blue"])
+            for some, stack in _stacks(batch, edge):
+                names = np.array(some.column("condition").to_pylist())
+                for name in np.unique(names).tolist():
+                    mine = np.flatnonzero(names == name)
+                    keys = [f"{name}__{x}" for x in some.column("sample_id").take(pa.array(mine)).to_pylist()]
+                    arrays = [pa.array(keys, pa.string()), *map(_lists, _channels(stack[mine], changes[name]))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["sample_id", "red", "green", "blue"])
 
     return rows.filter("red IS NOT NULL").mapInArrow(work, "sample_id string, red array<int>, green array<int>, blue array<int>")
 
 
+_MODELS: dict = {}
+
+
+def _model(job: str, name: str, make: Callable) -> Callable[..., np.ndarray]:
+    """The adapter's model, made once in each worker; those of the job before are let go."""
+    if job not in _MODELS:
+        _MODELS.clear()
+        _MODELS[job] = {}
+    made = _MODELS[job]
+    if name not in made:
+        made[name] = make()
+    return made[name]
+
+
 def embedded(tiles: DataFrame, adapters: dict[str, Callable], store: DataFrame | None = None, conditions: tuple[str, ...] | None = None, edge: int = 224) -> DataFrame:
     """``model, key, vector`` of every tile, model and condition whose key the ``store`` (model, key, ...) lacks.
 
-    ``conditions`` are all that are registered, and may name ``baseline``. Only what is lacking is changed and embedded.
+    ``conditions`` are all that are registered, and may name ``baseline``. Only what is lacking is changed and embedded. A
+    tile comes to Python once, with the numbers of its lacking cells, and is changed and embedded there in small stacks.
     """
-    names = tuple(CONDITIONS) if conditions is None else conditions
-    spark = tiles.sparkSession
-    grid = spark.createDataFrame([(n,) for n in names], "condition string")  # a row for each condition
-    wanted = tiles.select("sample_id").crossJoin(F.broadcast(grid)).withColumn("key", held_out_key(F.col("condition"), F.col("sample_id")))
-    parts = []
-    for model, make in adapters.items():
-        todo = wanted if store is None else wanted.join(store.filter(F.col("model") == model).select("key"), "key", "left_anti")
-        changed = conditioned(tiles, todo.select("sample_id", "condition"), edge)
-        parts.append(stores.embed(changed, make, None, edge * edge).select(F.lit(model).alias("model"), F.col("sample_id").alias("key"), "vector"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    names = tuple(dict.fromkeys(CONDITIONS if conditions is None else conditions))
+    changes, adapters, job = _changes(names), dict(adapters), uuid.uuid4().hex
+    pairs = [(name, model) for name in names for model in adapters]
+    rows = tiles.select(F.col("sample_id").cast("string").alias("sample_id"), "red", "green", "blue").filter("red IS NOT NULL AND sample_id IS NOT NULL")
+    every = F.array(*map(F.lit, range(len(pairs)))).cast("array<int>")
+    if store is None:
+        rows = rows.withColumn("cells", every)
+    else:
+        numbered = F.array(*[F.struct(F.lit(k), F.lit(model), held_out_key(F.lit(name), F.lit(""))) for k, (name, model) in enumerate(pairs)])
+        numbered = numbered.cast("array<struct<cell: int, model: string, prefix: string>>")
+        met = F.filter(numbered, lambda c: (c["model"] == F.col("model")) & F.startswith(F.col("key"), c["prefix"]))
+        held = store.select("key", F.explode(met).alias("c")).groupBy(F.expr("substring(key, length(c.prefix) + 1)").alias("sample_id")).agg(F.collect_set("c.cell").alias("held"))
+        left = F.coalesce(F.array_except(every, "held"), every)
+        rows = rows.join(held, "sample_id", "left").select("sample_id", "red", "green", "blue", left.alias("cells"))
+
+    def run(batches):
+        for batch in batches:
+            for some, stack in _stacks(batch, edge):
+                ids, wanted = np.array(some.column("sample_id").to_pylist(), object), some.column("cells")
+                lacks = np.zeros((len(pairs), len(ids)), bool)
+                lacks[wanted.flatten().to_numpy(), wanted.value_parent_indices().to_numpy()] = True
+                out = []
+                for (name, change), models in zip(changes.items(), lacks.reshape(len(names), len(adapters), len(ids)), strict=True):
+                    some_model = np.flatnonzero(models.any(0))
+                    if not len(some_model):
+                        continue
+                    channels = [x.astype(float) for x in _channels(stack[some_model], change)]
+                    for (model, make), lacking in zip(adapters.items(), models[:, some_model], strict=True):
+                        if lacking.any():
+                            vectors = np.asarray(_model(job, model, make)(*(x[lacking] for x in channels)), float)
+                            mine = ids[some_model[lacking]]
+                            if vectors.ndim != 2 or len(vectors) != len(mine):
+                                raise ValueError(f"{model} made {vectors.shape} of {len(mine)} tiles")
+                            out.append([pa.array([model] * len(mine)), pa.array([f"{name}__{x}" for x in mine], pa.string()), _lists(vectors)])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*out, strict=True)], ["model", "key", "vector"])
+
+    return rows.filter(F.size("cells") > 0).mapInArrow(run, "model string, key string, vector array<double>")
 
 
 def similarities(store: DataFrame, decimals: int = 6) -> DataFrame:

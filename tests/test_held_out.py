@@ -82,3 +82,59 @@ def test_tiles_of_any_size_are_brought_to_the_models_size(spark):
 def test_few_pairs_have_no_row(spark):
     sims = spark.createDataFrame([("uni", c, str(k), k / 10) for k in range(9) for c in ("flip_h", "flip_v", "solarize")], "model string, condition string, sample_id string, similarity double")
     assert held_out.flip_test(sims).count() == 0 and held_out.solarize_test(sims).count() == 0
+
+
+def test_a_tile_comes_to_python_once(spark):
+    """Whatever the number of models and conditions, and with a store beside."""
+    models = {m: stores.grid_mean_model for m in ("uni", "conch", "quilt_llava")}
+    store = spark.createDataFrame([("uni", "flip_h__t__1", [0.5])], "model string, key string, vector array<double>")
+    for there in (None, store):
+        plan = held_out.embedded(_tiles(spark), models, there, None, 8)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow ") == 1 and "EvalPython" not in plan
+
+
+def test_models_take_stacks_of_bounded_size(spark):
+    """40 tiles of 224 x 224 and 600 small ones: as many values at once as a few dozen tiles have, 256 tiles at most."""
+
+    def make():
+        def predict(red, green, blue):
+            if 3 * red.size > 1 << 22 or len(red) > 256:
+                raise ValueError(f"{red.shape} at once")
+            return red[:, :1]
+
+        return predict
+
+    assert held_out.embedded(_tiles(spark, 40, 30).coalesce(1), {"uni": make}, None, ("baseline", "flip_v"), 224).count() == 80
+    assert held_out.embedded(_tiles(spark, 600).coalesce(1), {"uni": make}, None, ("flip_h",), 8).count() == 600
+
+
+def test_every_vector_is_that_of_its_own_tile_and_condition(spark):
+    """Tiles of two sizes in one task, a condition registered later that takes one tile, names that begin alike, and a store that holds some."""
+    tiles = _tiles(spark, 30).unionByName(_tiles(spark, 30, 12, 2).withColumn("sample_id", F.concat(F.lit("_u"), "sample_id"))).coalesce(1)
+    models = {"uni": stores.profile_model(True, False), "conch": stores.profile_model(False, True)}
+
+    def transposed(x):
+        assert x.shape == (8, 8, 3)
+        return x.transpose(1, 0, 2)
+
+    held_out.register_condition("turn", transposed)
+    held_out.register_condition("turn_", lambda x: x[::-1, ::-1])
+    try:
+        names = ("baseline", "flip_h", "flip_v", "solarize", "turn", "turn_")
+        store = spark.createDataFrame([("uni", "turn___ut__3"), ("uni", "solarize__t__4"), ("conch", "turn__t__5"), ("conch", "turn__nothing"), ("other", "turn__t__5"), ("uni", None)], "model string, key string")
+        rows = held_out.embedded(tiles, models, store, names, 8).collect()
+        got = {(r["model"], r["key"]): r["vector"] for r in rows}
+        want = {}
+        for r in tiles.filter("red IS NOT NULL").collect():
+            side = int(len(r["red"]) ** 0.5)
+            x = kernels.fit_tile(np.stack([np.array(r[c]).reshape(side, side) for c in ("red", "green", "blue")], -1).astype(np.uint8), 8)
+            for name in names:
+                y = x if name == "baseline" else held_out.CONDITIONS[name](x)
+                gray = y.astype(float).sum(-1) / 3 / 255
+                want |= {("uni", f"{name}__{r['sample_id']}"): gray.mean(1), ("conch", f"{name}__{r['sample_id']}"): gray.mean(0)}
+        for k in (("uni", "turn___ut__3"), ("uni", "solarize__t__4"), ("conch", "turn__t__5")):
+            del want[k]
+        assert len(rows) == len(got) and set(got) == set(want) and len(want) == 60 * 6 * 2 - 3
+        assert all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
+    finally:
+        del held_out.CONDITIONS["turn"], held_out.CONDITIONS["turn_"]
