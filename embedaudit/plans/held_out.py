@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from embedaudit.functions.rounding import half_away
 from embedaudit.operators import held_out, stores
 from embedaudit.sources import study
 from embedaudit.sources.scratch import written
@@ -108,7 +109,7 @@ SELECT model, family, n_pairs, n_pos, n_neg, round(w, 1) AS w, round(z, 5) AS z,
   round(median_diff, 6) + 0.0 AS median_diff, round(cohens_2g, 6) AS cohens_2g, observed, predicted, confirmed FROM flips""")
 def flip_test(spark, sf_dir):
     t = held_out.flip_test(_sims(spark, sf_dir))
-    numbers = [F.round("w", 1).alias("w"), F.round("z", 5).alias("z"), F.round("p_value", 7).alias("p_value"), *[(F.round(c, 6) + 0.0).alias(c) for c in ("median_a", "median_b", "median_diff", "cohens_2g")]]
+    numbers = [F.round("w", 1).alias("w"), F.round("z", 5).alias("z"), F.round("p_value", 7).alias("p_value"), *[(half_away(F.col(c), 6) + 0.0).alias(c) for c in ("median_a", "median_b", "median_diff", "cohens_2g")]]
     return t.select("model", "family", "n_pairs", "n_pos", "n_neg", *numbers, "observed", "predicted", "confirmed")
 
 
@@ -126,7 +127,7 @@ SELECT model, family, n_pairs AS n, round(median_diff, 6) + 0.0 AS median_diff,
   CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars, confirmed FROM flips""")
 def flip_summary(spark, sf_dir):
     s = held_out.summary(held_out.flip_test(_sims(spark, sf_dir)))
-    return s.withColumn("median_diff", F.round("median_diff", 6) + 0.0).withColumn("cohens_2g", F.round("cohens_2g", 6))
+    return s.withColumn("median_diff", half_away(F.col("median_diff"), 6) + 0.0).withColumn("cohens_2g", half_away(F.col("cohens_2g"), 6))
 
 
 @register("family_means", _SOLARIZED + """
